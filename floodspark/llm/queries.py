@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import chat, quality, secrets
+import public_tokenizers
+
+from floodspark.llm import chat, neardup, quality, secrets, tokens
 from floodspark.llm.text import table
 
 
@@ -38,6 +40,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
@@ -71,8 +83,8 @@ FROM e GROUP BY conv_id
 ORACLES["op9_quality_rules"] = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), g AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
