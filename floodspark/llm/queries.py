@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from floodspark.llm import chat, neardup, quality, secrets, tokens
-from floodspark.llm.text import table
+from floodspark.llm import chat, decontam, langid, neardup, packing, quality, secrets, sharding, tokens, toxicity
+from floodspark.llm.text import crc_mod, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
 
 
+def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("text_bytes"), "text")
+    return sharding.assign(docs, limit=1 << 20).select("doc_id", "n_bytes", "shard", "depth", "overflow")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -44,20 +49,48 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return langid.predict(docs, langid.fit(docs, ~F.col("held_out")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_chat_format": op1_chat_format,
-    "op3_secret_scan": op3_secret_scan,
-    "op4_token_counts": op4_token_counts,
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
-    "op9_quality_rules": op9_quality_rules,
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_extendible_shards,
+        op3_secret_scan,
+        op4_token_counts,
+        op5_decontamination,
+        op6_minhash_near_dedup,
+        op7_length_packing,
+        op8_language_id,
+        op9_quality_rules,
+        op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {}
@@ -103,3 +136,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars > 10 * n_words OR 10 * n_capitals > 3 * word_chars) AS kept
 FROM b
 """
+
+ORACLES["op2_extendible_shards"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+    lpad(ltrim(format('{:b}', ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), '0'), 60, '0') AS address
+  FROM documents
+), t AS (
+  SELECT doc_id, n_bytes, address, 0 AS depth, (SELECT sum(n_bytes) FROM d) AS total FROM d
+  UNION ALL
+  SELECT doc_id, n_bytes, address, depth + 1,
+    sum(n_bytes) OVER (PARTITION BY substr(address, 1, depth + 1))
+  FROM t WHERE total > 1048576 AND depth < 60
+)
+SELECT doc_id, n_bytes, substr(address, 1, depth) AS shard, depth::INTEGER AS depth, 0::BIGINT AS overflow
+FROM t WHERE total <= 1048576
+"""
