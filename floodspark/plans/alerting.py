@@ -1 +1,118 @@
-"""Queries."""
+"""Queries on weather alerts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from floodspark.functions import alerts as C
+from floodspark.operators import alerts as op
+from floodspark.operators import nearby
+from floodspark.plans import query
+from floodspark.sources import adapt as A
+from floodspark.sources.adapt import MESSAGES, NOW, POINTS, ZONES
+
+_EVENTS = "('Flash Flood Warning', 'Flood Watch', 'Flood Advisory', 'Flood Warning')"
+_LEVEL = "CASE WHEN event = 'Flash Flood Warning' AND catastrophic THEN 'emergency' WHEN event = 'Flash Flood Warning' THEN 'flash' WHEN event LIKE '%Warning' THEN 'warning' WHEN event LIKE '%Watch' THEN 'watch' ELSE 'advisory' END"
+_KEPT = f"""kept AS (SELECT *, substr(vtec, 4, 3) AS action, {_LEVEL} AS level, substr(vtec, 8, 4) || '.' || substr(vtec, 13, 2) || '.' || substr(vtec, 16, 1) || '.' || substr(vtec, 18, 4) AS key
+  FROM messages WHERE event IN {_EVENTS} AND status = 'Actual' AND vtec NOT LIKE '/T.%')"""
+_OPEN = """gone AS (SELECT key, max(sent) AS cancelled FROM kept WHERE action IN ('CAN', 'UPG') GROUP BY 1), open_ AS (SELECT k.* FROM kept k LEFT JOIN gone g USING (key) WHERE action NOT IN ('CAN', 'UPG') AND (cancelled IS NULL OR sent > cancelled))"""
+_MERGED = """merged AS (SELECT key, arg_max(id, (sent, id)) AS id, arg_max(event, (sent, id)) AS event, arg_max(level, (sent, id)) AS level, max(sent) AS sent, max(expires) AS expires, count(*) AS n, list_sort(list_distinct(flatten(list(ugc)))) AS ugc FROM open_ GROUP BY key)"""
+
+
+def _messages(spark, sf_dir):
+    m = op.alert_filter(A.messages(spark, sf_dir))
+    return m.select("*", C.alert_level(F.col("event"), F.col("catastrophic")).alias("level"), C.event_key(F.col("v")).alias("key"))
+
+
+def _merged(spark, sf_dir):
+    return op.merge_events(op.without_cancelled(_messages(spark, sf_dir)))
+
+
+@query(f"WITH {MESSAGES}, {_KEPT} SELECT id, level, lower(split_part(event, ' ', -1)) AS kind, key, expires IS NULL OR expires > TIMESTAMP '{NOW}' AS active FROM kept")
+def alert_filter(spark, sf_dir):
+    e = F.col("event")
+    return _messages(spark, sf_dir).select("id", "level", C.alert_kind(e).alias("kind"), "key", C.alert_active(F.lit(None).cast("timestamp_ntz"), F.col("expires"), A.now()).alias("active"))
+
+
+@query(f"WITH {MESSAGES} SELECT id, substr(vtec, 2, 1) AS class, substr(vtec, 4, 3) AS action, substr(vtec, 8, 4) AS office, substr(vtec, 18, 4) AS etn, TIMESTAMP '2024-01-31' AS ends, 'https://www.weather.gov/' || lower(substr(vtec, 9, 3)) AS link FROM messages")
+def parse_vtec(spark, sf_dir):
+    v = C.parse_vtec(F.col("vtec"))
+    return A.messages(spark, sf_dir).withColumn("v", v).select("id", "v.class", "v.action", "v.office", "v.etn", "v.ends", C.office_link(F.col("v.office")).alias("link"))
+
+
+@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN} SELECT id, key FROM open_")
+def alert_cancel(spark, sf_dir):
+    return op.without_cancelled(_messages(spark, sf_dir)).select("id", "key")
+
+
+@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT key, id, event, level, sent, expires, n, array_to_string(ugc, ',') AS ugc FROM merged")
+def alert_event_merge(spark, sf_dir):
+    return _merged(spark, sf_dir).withColumn("ugc", F.array_join(F.sort_array("ugc"), ","))
+
+
+@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT l AS level, count(key) AS n FROM (SELECT unnest(['advisory', 'watch', 'warning', 'flash', 'emergency']) AS l) LEFT JOIN merged ON level = l GROUP BY 1")
+def alert_counts(spark, sf_dir):
+    return op.level_counts(_merged(spark, sf_dir))
+
+
+_SHAPED = "shaped AS (SELECT key FROM (SELECT key, unnest(ugc) AS code FROM merged) LEFT JOIN zones USING (code) GROUP BY key HAVING bool_and(coalesce(has_shape, false)))"
+
+
+@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED}, {ZONES}, {_SHAPED} SELECT key, CASE WHEN key IN (SELECT key FROM shaped) THEN len(ugc) END::INTEGER AS n_polygons FROM merged")
+def zone_geometry_join(spark, sf_dir):
+    x = op.zone_geometry(_merged(spark, sf_dir), A.zones(spark, sf_dir))
+    return x.select("key", F.when(F.col("polys").isNotNull(), F.size("polys")).alias("n_polygons"))
+
+
+@query(f"""WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED}, {ZONES}, {_SHAPED}, {POINTS},
+  z AS (SELECT DISTINCT key, x, y FROM (SELECT key, unnest(ugc) AS code FROM merged WHERE key IN (SELECT key FROM shaped)) JOIN zones USING (code)),
+  h AS (SELECT p.id, z.key, count(*) AS c FROM points p JOIN z ON p.lon >= x AND p.lon < x + 2.5 AND p.lat >= y AND p.lat < y + 2.0 AND NOT (p.lon >= x + 1.0 AND p.lon < x + 1.5 AND p.lat >= y + 0.75 AND p.lat < y + 1.25) GROUP BY 1, 2)
+  SELECT id, pid, level, place FROM (SELECT h.id, h.key AS pid, level, row_number() OVER (PARTITION BY h.id ORDER BY list_position(['advisory', 'watch', 'warning', 'flash', 'emergency'], level) DESC, sent DESC, h.key)::INTEGER AS place FROM h JOIN merged m ON m.key = h.key) WHERE place <= 10""")
+def alerts_at_points(spark, sf_dir):
+    """The ten first alerts at each point: zones are tested once, then alerts follow by their codes."""
+    from pyspark.sql.window import Window
+
+    zones = A.zones(spark, sf_dir).filter("polys IS NOT NULL").select(F.col("code").alias("pid"), "polys")
+    at = nearby.points_in_polygons(A.points(spark, sf_dir), zones).withColumnRenamed("pid", "code")
+    shaped = op.zone_geometry(_merged(spark, sf_dir), A.zones(spark, sf_dir)).filter("polys IS NOT NULL")
+    codes = shaped.select(F.col("key").alias("pid"), "level", "sent", C.level_rank(F.col("level")).alias("level_rank"), F.explode("ugc").alias("code"))
+    # A zone's own first ten suffice for each of its points.
+    top = Window.partitionBy("code").orderBy(F.col("level_rank").desc(), F.col("sent").desc(), "pid")
+    first = codes.withColumn("r", F.row_number().over(top)).filter("r <= 10")
+    hits = at.join(first, "code").groupBy("id", "pid").agg(F.first("level").alias("level"), F.first("sent").alias("sent"), F.first("level_rank").alias("level_rank"))
+    ranked = nearby.ranked_alerts(hits.select("id", "pid"), first.select("pid", "level", "sent", "level_rank").distinct())
+    return ranked.filter("place <= 10")
+
+
+@query(f"WITH {ZONES} SELECT code, CASE WHEN has_shape THEN age < 7 * 24 ELSE age < 6 END AS fresh, has_shape OR age < 6 AS serves FROM (SELECT *, substr(code, 4)::INTEGER * 10 AS age FROM zones)")
+def zone_cache_freshness(spark, sf_dir):
+    age = F.substring("code", 4, 3).cast("int") * 10
+    z = A.zones(spark, sf_dir).withColumn("fetched_at", F.timestamp_add("HOUR", -age, A.now()))
+    return op.zone_cache(z, A.now())
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN 'unavailable' WHEN event_id * 13 % 40000 > 21600 THEN 'dropped' WHEN event_id * 13 % 40000 > 600 THEN 'stale' ELSE 'ready' END AS state FROM events")
+def alerts_state(spark, sf_dir):
+    i = F.col("event_id")
+    return op.feed_state(A.table(spark, sf_dir, "events").select(i.alias("id"), F.when(i % 7 != 0, i * 13 % 40000).alias("age_s")))
+
+
+@query(f"WITH {MESSAGES} SELECT id, array_to_string(ugc, ',') AS codes FROM messages")
+def ugc_codes(spark, sf_dir):
+    u = F.col("ugc")
+    some = F.when(F.col("id") % 2 == 0, u)
+    zones = F.transform(u, lambda c: F.concat(F.lit("https://api/zones/"), c))
+    return A.messages(spark, sf_dir).select("id", F.array_join(C.ugc_codes(some, zones), ",").alias("codes"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 600 THEN rtrim(substr(t, 1, 599)) || '…' ELSE t END AS statement FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)""")
+def clean_statement(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", C.clean_statement(F.col("text")).alias("statement"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '[ \t]*\n[ \t]*', ' ', 'g')) AS text FROM documents WHERE NOT regexp_matches(text, '\n\s*\n') AND NOT regexp_matches(text, '\r') AND NOT regexp_matches(text, '\n[ \t]*[*-] ')""")
+def reflow_text(spark, sf_dir):
+    """Documents without blank lines and bullets, whose rules SQL cannot say; tests cover those."""
+    d = A.table(spark, sf_dir, "documents")
+    plain = d.filter(~F.col("text").rlike(r"\n\s*\n") & ~F.col("text").rlike(r"\r") & ~F.col("text").rlike(r"\n[ \t]*[*-] "))
+    return plain.select("doc_id", C.reflow_text(F.col("text")).alias("text"))

@@ -1 +1,143 @@
-"""Queries."""
+"""Queries on where things are: neighbours, cameras, places, search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from floodspark.functions import geo as G
+from floodspark.functions import status as S
+from floodspark.operators import cameras as cam
+from floodspark.operators import nearby as op
+from floodspark.operators import search as se
+from floodspark.plans import query
+from floodspark.plans.status import _RANK, current, status_sql
+from floodspark.sources import adapt as A
+from floodspark.sources.adapt import CAMERAS, GAUGES, NOW, PLACES, POINTS
+
+
+def _km(a, b, r=G.EARTH_KM, la="lat", lo="lon"):
+    return f"2 * {r} * asin(least(1.0, sqrt(pow(sin((radians({b}.{la}) - radians({a}.{la})) / 2), 2) + cos(radians({a}.{la})) * cos(radians({b}.{la})) * pow(sin(radians({b}.{lo} - {a}.{lo}) / 2), 2))))"
+
+
+def _ranked(spark, sf_dir):
+    return current(spark, sf_dir).select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), S.rank(F.col("display")).alias("rank"))
+
+
+_NEAR = f""", {POINTS}, pairs AS (SELECT p.id, d.id AS rid, {_RANK} AS rank, {_km('p', 'd')} AS distance FROM points p, displayed d),
+  hit AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank DESC, distance, rid) AS place, count(*) OVER (PARTITION BY id) AS total FROM pairs WHERE distance <= 40),
+  far AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, rid) AS place FROM pairs WHERE id NOT IN (SELECT id FROM hit))
+  SELECT id, place::INTEGER AS place, rid, floor(distance * 1000)::BIGINT AS metres, total, false AS beyond_radius FROM hit WHERE place <= 100
+  UNION ALL SELECT id, place::INTEGER, rid, floor(distance * 1000)::BIGINT, 5, true FROM far WHERE place <= 5"""
+
+
+@query(status_sql("SELECT * FROM (SELECT 1)").replace(" SELECT * FROM (SELECT 1)", "") + _NEAR)
+def nearby_gauges(spark, sf_dir):
+    x = op.nearby_gauges(A.points(spark, sf_dir), _ranked(spark, sf_dir))
+    return x.select("id", "place", "rid", F.floor(F.col("distance") * 1000).alias("metres"), "total", "beyond_radius")
+
+
+@query(f"WITH {POINTS} SELECT p.id, floor({_km('p', 'c')} * 1000)::BIGINT AS metres, floor({_km('p', 'c', G.EARTH_M)})::BIGINT AS metres2, floor({_km('p', 'c')} * 0.621371)::BIGINT AS miles FROM points p, (SELECT 30.0::DOUBLE AS lat, -97.0::DOUBLE AS lon) c")
+def haversine(spark, sf_dir):
+    at = (F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(-97.0))
+    km = G.haversine_km(*at)
+    return A.points(spark, sf_dir).select("id", F.floor(km * 1000).alias("metres"), F.floor(G.haversine_m(*at)).alias("metres2"), F.floor(S.km_to_miles(km)).alias("miles"))
+
+
+@query(f"""WITH {POINTS} SELECT id, floor((lon + 180) / 360 * 256 * 1024)::BIGINT AS px, floor((0.5 - ln((1 + s) / (1 - s)) / (4 * pi())) * 256 * 1024)::BIGINT AS py, floor((lon + 180) / 360 * 1024)::INTEGER AS tx, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 1024)::INTEGER AS ty FROM (SELECT *, sin(radians(lat)) AS s FROM points)""")
+def web_mercator(spark, sf_dir):
+    x, y = G.web_mercator_px(F.col("lat"), F.col("lon"), 10)
+    tx, ty = G.tile_xy(F.col("lat"), F.col("lon"), 10)
+    return A.points(spark, sf_dir).select("id", F.floor(x).alias("px"), F.floor(y).alias("py"), tx.alias("tx"), ty.alias("ty"))
+
+
+_SUN = """WITH base AS (SELECT event_id, epoch_ms(ts)::DOUBLE / 86400000::DOUBLE - 10957.5::DOUBLE AS d, 30.0::DOUBLE AS lat, -97.0::DOUBLE AS lon FROM events),
+ a AS (SELECT *, radians(357.529::DOUBLE + 0.98560028::DOUBLE * d) AS g, 280.459::DOUBLE + 0.98564736::DOUBLE * d AS q, radians(23.439::DOUBLE - 0.00000036::DOUBLE * d) AS tilt FROM base),
+ b AS (SELECT *, radians(q + 1.915 * sin(g) + 0.020 * sin(2 * g)) AS l FROM a),
+ c AS (SELECT *, atan2(cos(tilt) * sin(l), cos(l)) AS ra, asin(sin(tilt) * sin(l)) AS dec FROM b),
+ e AS (SELECT *, radians((18.697374558::DOUBLE + 24.06570982441908::DOUBLE * d) * 15::DOUBLE + lon) - ra AS h FROM c)
+ SELECT event_id, round(degrees(asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(h))), 1) AS elevation FROM e"""
+
+
+@query(_SUN)
+def sun_elevation(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    return e.select("event_id", F.round(G.sun_elevation_deg(F.col("ts"), F.lit(30.0), F.lit(-97.0)), 1).alias("elevation"))
+
+
+@query(f"WITH {CAMERAS} SELECT id FROM cameras WHERE state = 'TX' AND NOT hidden")
+def camera_filter(spark, sf_dir):
+    return cam.camera_filter(A.cameras(spark, sf_dir)).select("id")
+
+
+_CAM_STATUS = f"CASE WHEN photo_at IS NULL THEN 'none' WHEN age <= 10800 THEN 'fresh' WHEN age <= 86400 THEN 'stale' ELSE 'offline' END"
+
+
+@query(f"WITH {CAMERAS} SELECT id, age, {_CAM_STATUS} AS status FROM (SELECT *, date_diff('second', photo_at, TIMESTAMP '{NOW}') AS age FROM cameras)")
+def camera_status(spark, sf_dir):
+    at = F.col("photo_at")
+    return A.cameras(spark, sf_dir).select("id", cam.photo_age(at, A.now()).alias("age"), cam.camera_status(at, A.now()).alias("status"))
+
+
+@query(f"WITH {CAMERAS} SELECT count(*) FILTER (WHERE status IN ('fresh', 'stale')) AS shown, count(*) FILTER (WHERE status NOT IN ('fresh', 'stale')) AS offline FROM (SELECT {_CAM_STATUS} AS status FROM (SELECT *, date_diff('second', photo_at, TIMESTAMP '{NOW}') AS age FROM cameras))")
+def camera_counts(spark, sf_dir):
+    live = cam.camera_status(F.col("photo_at"), A.now()).isin("fresh", "stale")
+    return A.cameras(spark, sf_dir).agg(F.count_if(live).alias("shown"), F.count_if(~live).alias("offline"))
+
+
+@query(f"""WITH {GAUGES}, {CAMERAS}, s AS (SELECT c.id, g.id AS gauge_id, {_km('c', 'g', G.EARTH_M)} AS d FROM cameras c JOIN gauges g ON g.site = c.site), f AS (SELECT id, gauge_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, gauge_id DESC) AS r FROM s WHERE d <= 3000) WHERE r = 1),
+  t AS (SELECT c.id, g.id AS gauge_id, {_km('c', 'g', G.EARTH_M)} AS d FROM cameras c, gauges g WHERE g.site IS NULL AND c.id NOT IN (SELECT id FROM f)), u AS (SELECT id, gauge_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, gauge_id DESC) AS r FROM t WHERE d <= 30) WHERE r = 1)
+  SELECT c.id, coalesce(f.gauge_id, u.gauge_id) AS gauge_id FROM cameras c LEFT JOIN f ON f.id = c.id LEFT JOIN u ON u.id = c.id""")
+def camera_gauge_link(spark, sf_dir):
+    return cam.link_gauges(A.cameras(spark, sf_dir), A.gauges(spark, sf_dir))
+
+
+@query(f"WITH {CAMERAS} SELECT id, rid, row_number() OVER (PARTITION BY id ORDER BY d, rid)::INTEGER AS place FROM (SELECT a.id, b.id AS rid, {_km('a', 'b', G.EARTH_M)} AS d FROM cameras a, cameras b WHERE a.id <> b.id) WHERE d <= 150")
+def cameras_near(spark, sf_dir):
+    return cam.cameras_near(A.cameras(spark, sf_dir))
+
+
+@query(f"WITH {PLACES} SELECT lower(name) AS key, count(*) AS n FROM places GROUP BY 1 HAVING count(*) > 1")
+def repeated_names(spark, sf_dir):
+    return se.repeated_names(A.places(spark, sf_dir))
+
+
+@query(f"""WITH {PLACES}, m AS (SELECT p.id, q.name AS landmark, q.id AS rid, {_km('p', 'q')} AS d FROM places p, places q WHERE q.population >= 10000 AND p.name <> q.name AND lower(p.name) IN (SELECT lower(name) FROM places GROUP BY 1 HAVING count(*) > 1))
+  SELECT id, landmark, floor(d * 0.621371 + 0.5)::INTEGER AS miles FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS r FROM m WHERE d <= 300) WHERE r = 1""")
+def place_hint(spark, sf_dir):
+    return se.place_hint(A.places(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END::BIGINT AS population FROM part")
+def place_population_join(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    known = p.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("population"))
+    return se.place_population(p.select(F.col("p_partkey").alias("id")), known)
+
+
+@query(f"WITH {PLACES} SELECT id, row_number() OVER (ORDER BY coalesce(population, 0) DESC, name, id) AS place FROM places ORDER BY place LIMIT 50")
+def places_ranked(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    p = A.places(spark, sf_dir).select("id", F.coalesce("population", F.lit(0)).alias("population"), "name")
+    order = [F.col("population").desc(), "name", "id"]
+    return p.orderBy(*order).limit(50).select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+@query("SELECT p_partkey AS id, lower(p_name) AS key, regexp_replace(p_name || ' ' || p_partkey, '[0-9]+$', '') || lpad(p_partkey::VARCHAR, 12, '0') AS sort_key FROM part")
+def name_sort_key(spark, sf_dir):
+    n = F.col("p_name")
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), se.normalize_text(n).alias("key"), se.name_sort_key(F.concat_ws(" ", n, F.col("p_partkey").cast("string"))).alias("sort_key"))
+
+
+_WORDS = ["small ring", "red", "wid", "sm wi", "blue b", "ring"]
+
+
+@query("""WITH q AS (SELECT unnest(range(0, 6)) AS query_id, unnest(['small ring', 'red', 'wid', 'sm wi', 'blue b', 'ring']) AS query), qw AS (SELECT query_id, unnest(range(0, len(string_split(query, ' ')))) AS w, unnest(string_split(query, ' ')) AS word, len(string_split(query, ' ')) AS words FROM q),
+  dt AS (SELECT p_partkey AS doc_id, unnest(range(0, len(string_split(p_name, ' ')))) AS pos, unnest(string_split(p_name, ' ')) AS token FROM part),
+  h AS (SELECT query_id, words, doc_id, w, max(CASE WHEN word = token THEN 100 ELSE 60 END) AS points, max(CASE WHEN w = 0 AND pos = 0 THEN 1 ELSE 0 END) AS starts FROM qw JOIN dt ON starts_with(token, word) GROUP BY 1, 2, 3, 4),
+  s AS (SELECT query_id, doc_id, floor(sum(points) / words + 15 * max(starts) + 0.5)::INTEGER AS score FROM h GROUP BY query_id, words, doc_id HAVING count(*) = words)
+  SELECT * FROM (SELECT query_id, s.doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_size DESC, p_name, s.doc_id)::INTEGER AS place, count(*) OVER (PARTITION BY query_id) AS total FROM s JOIN part ON p_partkey = s.doc_id) WHERE place <= 30""")
+def gauge_search(spark, sf_dir):
+    queries = spark.createDataFrame(list(enumerate(_WORDS)), "query_id long, query string")
+    docs = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), F.col("p_size").alias("rank"))
+    return se.search(queries, docs)
