@@ -55,13 +55,13 @@ _SUN = """WITH base AS (SELECT event_id, epoch_ms(ts)::DOUBLE / 86400000::DOUBLE
  b AS (SELECT *, radians(q + 1.915 * sin(g) + 0.020 * sin(2 * g)) AS l FROM a),
  c AS (SELECT *, atan2(cos(tilt) * sin(l), cos(l)) AS ra, asin(sin(tilt) * sin(l)) AS dec FROM b),
  e AS (SELECT *, radians((18.697374558::DOUBLE + 24.06570982441908::DOUBLE * d) * 15::DOUBLE + lon) - ra AS h FROM c)
- SELECT event_id, round(degrees(asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(h))), 1) AS elevation FROM e"""
+ SELECT event_id, round(degrees(asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(h))), 1) + 0.0::DOUBLE AS elevation FROM e"""
 
 
 @query(_SUN)
 def sun_elevation(spark, sf_dir):
     e = A.table(spark, sf_dir, "events")
-    return e.select("event_id", F.round(G.sun_elevation_deg(F.col("ts"), F.lit(30.0), F.lit(-97.0)), 1).alias("elevation"))
+    return e.select("event_id", (F.round(G.sun_elevation_deg(F.col("ts"), F.lit(30.0), F.lit(-97.0)), 1) + 0.0).alias("elevation"))
 
 
 @query(f"WITH {CAMERAS} SELECT id FROM cameras WHERE state = 'TX' AND NOT hidden")

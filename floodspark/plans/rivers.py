@@ -1 +1,133 @@
-"""Queries."""
+"""Queries on the river network: chains of customers in a nation make its rivers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from floodspark.operators import rivers as op
+from floodspark.plans import query
+from floodspark.sources import adapt as A
+
+_PER = 10  # points of a part
+
+
+def parts(spark, sf_dir):
+    """part_id, feature_id, name, owner, coords: one river a nation, a kilometre a point, cut into parts, with a gap after every fourth."""
+    n = F.col("c_nationkey")
+    w = Window.partitionBy(n).orderBy("c_custkey")
+    c = A.table(spark, sf_dir, "customer").select(n.cast("long").alias("nation"), (F.row_number().over(w) - 1).alias("i"))
+    part = F.floor(F.col("i") / _PER).cast("long")
+    c = c.withColumn("k", part)
+    # A part's last point is the next one's first, but at gaps.
+    shared = c.filter((F.col("i") % _PER == 0) & (F.col("i") > 0) & (F.col("k") % 4 != 0)).withColumn("k", F.col("k") - 1)
+    p = c.unionByName(shared)
+    lon = -106.0 + F.col("i") * 0.0104
+    lat = 26.0 + F.col("nation") * 0.4 + F.col("i") % 3 * 0.002
+    coords = F.transform(F.sort_array(F.collect_list(F.struct("i", lon.alias("lon"), lat.alias("lat")))), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat")))
+    g = p.groupBy("nation", "k").agg(coords.alias("coords"))
+    return g.filter(F.size("coords") > 1).select(
+        (F.col("nation") * 100_000 + F.col("k")).alias("part_id"), F.col("nation").alias("feature_id"),
+        F.when(F.col("nation") % 5 != 0, F.format_string("River %d", F.col("nation"))).alias("name"), (F.col("nation") * 1000).alias("owner"), "coords",
+    )
+
+
+def staged(spark, sf_dir):
+    """id, lat, lon of staged gauges: the first point of every second part."""
+    p = parts(spark, sf_dir).filter(F.col("part_id") % 2 == 0)
+    return p.select((F.col("feature_id") * 1000 + F.col("part_id") % 100_000).alias("id"), F.col("coords")[0]["lat"].alias("lat"), F.col("coords")[0]["lon"].alias("lon"))
+
+
+_PARTS = """c AS (SELECT c_nationkey::BIGINT AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer), k AS (SELECT *, i // 10 AS k FROM c),
+  p AS (SELECT * FROM k UNION ALL SELECT nation, i, k - 1 FROM k WHERE i % 10 = 0 AND i > 0 AND k % 4 <> 0), pt AS (SELECT *, -106.0::DOUBLE + i * 0.0104::DOUBLE AS lon, 26.0::DOUBLE + nation * 0.4::DOUBLE + i % 3 * 0.002::DOUBLE AS lat FROM p),
+  s AS (SELECT *, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1 FROM pt WINDOW w AS (PARTITION BY nation, k ORDER BY i)),
+  net AS (SELECT nation * 100000 + k AS part_id, nation AS feature_id, sum(6371000.0::DOUBLE * pi() / 180 * sqrt(pow(lat1 - lat, 2) + pow((lon1 - lon) * cos(radians(lat)), 2))) AS len_m,
+    first(round(lon * 1e5)::BIGINT || ',' || round(lat * 1e5)::BIGINT ORDER BY i) AS start_node, last(round(lon * 1e5)::BIGINT || ',' || round(lat * 1e5)::BIGINT ORDER BY i) AS end_node FROM s GROUP BY nation, k HAVING count(*) > 1)"""
+
+
+@query(f"WITH {_PARTS} SELECT part_id, feature_id, start_node, end_node, round(len_m, 3) AS len_m FROM net")
+def river_network(spark, sf_dir):
+    return op.network(parts(spark, sf_dir)).select("part_id", "feature_id", "start_node", "end_node", F.round("len_m", 3).alias("len_m"))
+
+
+@query(f"WITH {_PARTS} SELECT node, count(*) AS degree FROM (SELECT start_node AS node FROM net UNION ALL SELECT end_node FROM net) GROUP BY 1")
+def river_degrees(spark, sf_dir):
+    return op.degrees(op.network(parts(spark, sf_dir)))
+
+
+@query(f"WITH {_PARTS} SELECT feature_id * 1000 AS owner, round(sum(len_m) / 1000, 3) AS km FROM net GROUP BY 1")
+def river_length_by_owner(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    x = op.segments(p).join(p.select("part_id", "owner"), "part_id")
+    return x.groupBy("owner").agg(F.round(F.sum("length_m") / 1000, 3).alias("km"))
+
+
+@query()
+def network_gap_bridge(spark, sf_dir):
+    return op.gap_bridges(parts(spark, sf_dir), metres=2_000.0)
+
+
+@query()
+def gauge_line_snap(spark, sf_dir):
+    return op.snap_to_lines(staged(spark, sf_dir), op.segments(parts(spark, sf_dir)))
+
+
+@query()
+def river_candidates(spark, sf_dir):
+    return op.candidates(staged(spark, sf_dir), parts(spark, sf_dir))
+
+
+def _distances(spark, sf_dir):
+    p, g = parts(spark, sf_dir), staged(spark, sf_dir)
+    net = op.network(p)
+    return op.distances(op.candidates(g, p), net, op.gap_bridges(p, 2_000.0), op.part_boxes(g, op.segments(p)))
+
+
+@query()
+def river_distances(spark, sf_dir):
+    return _distances(spark, sf_dir)
+
+
+def _pieces(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    return op.owner_pieces(op.network(p), _distances(spark, sf_dir), p.select("part_id", "owner"), op.candidates(staged(spark, sf_dir), p).select("id", "part_id", "along"))
+
+
+@query()
+def river_owner_cut(spark, sf_dir):
+    return _pieces(spark, sf_dir)
+
+
+@query()
+def river_regroup(spark, sf_dir):
+    return op.regroup(_pieces(spark, sf_dir), parts(spark, sf_dir))
+
+
+@query()
+def segment_stats(spark, sf_dir):
+    x = _pieces(spark, sf_dir)
+    return x.agg(F.count_distinct("part_id").alias("parts"), F.count("*").alias("pieces"), F.count_distinct("owner").alias("owners"), F.round(F.sum(F.col("to_m") - F.col("from_m")) / 1000, 3).alias("km"))
+
+
+@query()
+def staged_neighbor(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    middle = p.filter(F.col("part_id") % 2 == 1).select(F.col("part_id").alias("id"), F.col("coords")[1]["lat"].alias("lat"), F.col("coords")[1]["lon"].alias("lon"))
+    near = p.withColumn("owner", F.col("feature_id") * 1000 + F.floor(F.col("part_id") % 100_000 / 2) * 2)
+    own = staged(spark, sf_dir).select(F.col("id").alias("owner"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
+    return op.staged_neighbor(middle, own, near)
+
+
+@query(f"""WITH RECURSIVE {_PARTS}, r AS (SELECT nation, k, i, lon, lat, row_number() OVER w AS j, count(*) OVER (PARTITION BY nation, k) AS n, first_value(lon) OVER w AS flon, first_value(lat) OVER w AS flat, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS nlon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS nlat FROM pt WINDOW w AS (PARTITION BY nation, k ORDER BY i))
+  SELECT nation * 100000 + k AS part_id, round(sum(lon * nlat - nlon * lat) / 2, 9) + 0.0::DOUBLE AS area, min(lon) AS west, max(lat) AS north FROM r WHERE n > 2 GROUP BY nation, k""")
+def ring_area(spark, sf_dir):
+    ring = op.closed_ring(F.col("coords"))
+    x = parts(spark, sf_dir).select("part_id", ring.alias("ring")).filter("ring IS NOT NULL")
+    b = op.bounds(F.col("ring"))
+    return x.select("part_id", (F.round(op.ring_area(F.col("ring")), 9) + 0.0).alias("area"), b["west"].alias("west"), b["north"].alias("north"))
+
+
+@query()
+def simplify_geometry(spark, sf_dir):
+    x = parts(spark, sf_dir).select(F.col("part_id").alias("id"), op.closed_ring(F.col("coords")).alias("ring")).filter("ring IS NOT NULL")
+    return op.simplify(x, tolerance=0.001).select("id", F.size("ring").alias("points"))

@@ -1 +1,43 @@
-"""Queries."""
+"""Queries that run a stream over the events table until its input is done."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from floodspark.plans import query
+from floodspark.streaming import streams as st
+
+_CLOSED = "(SELECT strftime(max(ts) - INTERVAL 1 DAY, '%Y-%m-%d') FROM events)"
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'view') AS pageviews, count(*) FILTER (WHERE event_type = 'click') AS opens FROM events GROUP BY 1 HAVING strftime(ts, '%Y-%m-%d') < {_CLOSED}")
+def stream_day_rollup(spark, sf_dir):
+    """Days that the watermark has closed."""
+    return st.run(st.day_counts(st.events(spark, sf_dir)))
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1 HAVING strftime(ts, '%Y-%m-%d') < {_CLOSED}")
+def stream_day_visitors(spark, sf_dir):
+    return st.run(st.day_rollup(st.events(spark, sf_dir)))
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY 1")
+def stream_latest(spark, sf_dir):
+    to = st.folder(spark)
+    st.latest(st.events(spark, sf_dir), to)
+    return spark.read.parquet(f"{to}/0").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query()
+def stream_trend(spark, sf_dir):
+    return st.run(st.trends(st.events(spark, sf_dir)))
+
+
+@query()
+def stream_rapid_rise(spark, sf_dir):
+    return st.run(st.rapid_rise(st.events(spark, sf_dir)))
+
+
+@query()
+def stream_staleness(spark, sf_dir):
+    return st.run(st.silent(st.events(spark, sf_dir)))
