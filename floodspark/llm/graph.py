@@ -22,14 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in the edges (a, b): component is the least node reachable.
 
-    Each round halves the longest chain at least; rounds end when they change nothing. Rounds are
+    Rounds shorten chains until every node links straight to its component's least node. Rounds are
     written to the shared folder, so that a lost executor costs one round. Self-links and repeated
     edges do no harm; an empty table gives no rows.
     """
     now = written(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges"
     )
-    mark = None
     while True:
         both = now.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             now.select(F.col("m").alias("u"), "v")
@@ -39,10 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
             stars.select(F.col("m").alias("u"), "v")
         )
         now = written(_star(both, large=False), "edges")
-        seen = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("v", "m")), F.lit(0))).first()
-        if seen == mark or not seen[0]:
+        # Done when every node has one link, and none that has one is linked to.
+        ends = now.select(F.col("v").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in_")).unionByName(
+            now.select(F.col("m").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in_"))
+        )
+        open_ends = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in_").alias("in_")).filter(
+            "out > 1 OR (out > 0 AND in_ > 0)"
+        )
+        if open_ends.isEmpty():
             break
-        mark = seen
     return now.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(
         now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
     )

@@ -5,15 +5,16 @@
    evaluation. Bands of ``ROWS`` entries make bucket keys. Texts with equal sets are one class, which
    its least id represents.
 2. In each bucket with several classes, a member is tried against the bucket's pivot; only its best
-   pivot by signature is confirmed. Confirmed links join into components. A second round takes other
-   pivots for members that are still apart.
+   pivot by signature is confirmed. Confirmed links join into components. The pivot is the member with the
+   largest buckets, which is the likeliest to be near all others.
 3. What is still apart inside a bucket is compared exhaustively by signature: pairs in small buckets,
    block against block in large ones, where blocks of the largest component are not compared with
-   each other. All pairs whose signatures allow the threshold are confirmed on their full sets.
+   each other and a pair counts in its first common bucket only. Pairs whose signatures allow the
+   threshold are confirmed on their full sets: first each member's best, then all that are still apart.
 
 Every two texts in a bucket thus end up in one component, or are compared, so no link is lost but by
-the banding (at 85 % under 3e-10, at 80 % under 5e-8 of the links) and the signature bound (five
-standard deviations). All tables between steps are files in the shared folder.
+the banding (at 85 % under 3e-10, at 80 % under 5e-8 of the links) and the signature bound (4.5
+standard deviations: 4e-6 of the links at the threshold itself). All tables between steps are files in the shared folder.
 
 Null and empty texts have no shingles and link with nothing; shorter texts than k words are one
 shingle; equal texts and repeated rows are one class; rows that share an id count as one text. Rows
@@ -33,14 +34,14 @@ from pyspark.sql import functions as F
 from floodspark.llm import graph
 from floodspark.llm.text import mixed, runs, shingle_hashes, strings, word_hashes, written
 
-PERMUTATIONS, ROWS = 64, 4
+PERMUTATIONS, BANDED, ROWS = 128, 64, 4
 SLICE = 1 << 20
 SMALL, BLOCK = 32, 512
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_BAND = _rng.integers(1, 1 << 63, (2 * PERMUTATIONS // ROWS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(1, 1 << 63, (2 * BANDED // ROWS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FEATURES = "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
 
 
@@ -81,11 +82,12 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                         v = s * _A[p] + _B[p]
                         low[p, full] = np.minimum.reduceat(v, at[full])
                         high[p, full] = np.maximum.reduceat(v, at[full])
-                both = np.concatenate([mixed(low), mixed(high)])
+                both = np.concatenate([mixed(low[:BANDED]), mixed(high[:BANDED]), mixed(low[BANDED:]), mixed(high[BANDED:])])
                 keys = np.stack(
                     [mixed((both[q * ROWS : (q + 1) * ROWS] * w[:, None]).sum(0, dtype=np.uint64) + w[0]) for q, w in enumerate(_BAND)], 1
                 )
-                signs = np.ascontiguousarray((both >> np.uint64(56)).astype(np.uint8).T)
+                four = (both >> np.uint64(60)).astype(np.uint8)
+                signs = np.ascontiguousarray((four[0::2] << 4 | four[1::2]).T)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, m),
@@ -115,12 +117,14 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Estimated similarity from the signatures' bytes, of which 1 in 256 agrees by chance."""
-    return ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)
+    """Estimated similarity from the signatures' half bytes, of which 1 in 16 agrees by chance."""
+    d = x ^ y
+    same = ((d & 15) == 0).mean(-1) + ((d >> 4) == 0).mean(-1)
+    return (same / 2 - 1 / 16) / (1 - 1 / 16)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * PERMUTATIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PERMUTATIONS)
 
 
 def _may_link(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -128,8 +132,8 @@ def _may_link(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _least(percent: int) -> float:
-    t = percent / 100
-    return t - 5 * float(np.sqrt(t * (1 - t) / (2 * PERMUTATIONS)))
+    p = percent / 100 * 15 / 16 + 1 / 16  # the share of half bytes that agree
+    return percent / 100 - 4.5 * float(np.sqrt(p * (1 - p) / (2 * PERMUTATIONS))) * 16 / 15
 
 
 def estimated(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -186,6 +190,7 @@ def _in_blocks(apart: DataFrame, percent: int) -> DataFrame:
         "component",
         "n_shingles",
         "signature",
+        "bands",
     )
     least = _least(percent)
 
@@ -195,23 +200,31 @@ def _in_blocks(apart: DataFrame, percent: int) -> DataFrame:
         code, ids = group.column("code").to_numpy(), group.column("id").to_numpy()
         comp, n = group.column("component").to_numpy(), group.column("n_shingles").to_numpy()
         signs = _matrix(group.column("signature").combine_chunks())
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        here = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
         left, right = np.flatnonzero(code == i), np.flatnonzero(code == j)
-        out_a, out_b = [], []
+        out_a, out_b, out_e = [], [], []
         for r in left:
             at = right[(comp[right] != comp[r]) & _may_link(n[right], n[r], percent)]
             if i == j:
                 at = at[ids[at] > ids[r]]
-            at = at[_agreement(signs[at], signs[r]) >= least]
+            e = _agreement(signs[at], signs[r])
+            at, e = at[e >= least], e[e >= least]
+            first = (bands[at] == bands[r]).argmax(1) == here
+            at, e = at[first], e[first]
             out_a.append(np.minimum(ids[at], ids[r]))
             out_b.append(np.maximum(ids[at], ids[r]))
+            out_e.append(e)
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+        return pa.table(
+            {"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b]), "estimate": np.concatenate([none.astype(float), *out_e])}
+        )
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, estimate double")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row for each of docs: id_col, n_shingles, component_id (the least id reachable), kept.
 
@@ -228,7 +241,7 @@ def near_duplicates(
     full = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(banded.join(full, "bucket"), "members")
     ids = members.select("id").distinct()
-    signs = written(alone.select("id", "n_shingles", "signature").join(ids, "id"), "signatures")
+    signs = written(alone.select("id", "n_shingles", "signature", "bands").join(ids, "id"), "signatures")
     sets = written(
         shingle_sets(texts.join(signs.select("id"), "id", "left_semi"), k).dropDuplicates(["id"]), "sets"
     )
@@ -253,27 +266,19 @@ def near_duplicates(
         several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         return now, several.filter("lo < hi").select("bucket")
 
-    for turn in range(rounds):
-        now, several = split(labels)
-        pivots = (
-            now.join(several, "bucket", "left_semi")
-            .groupBy("bucket")
-            .agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("p"))
-            .select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("other"))
-        )
-        tries = (
-            now.join(pivots, "bucket")
-            .filter("component <> other")
-            .select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-            .distinct()
-        )
-        best = (
-            estimated(tries, signs, percent)
-            .groupBy("a")
-            .agg(F.max(F.struct("estimate", "b")).alias("m"))
-            .select("a", F.col("m.b").alias("b"))
-        )
-        labels = joined(confirmed(best, sets, percent), labels)
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of each id, the pair with the highest estimate, as a."""
+        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
+        return ends.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+    central = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    ranked = members.join(central, "id")
+    pivots = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("pivot"))
+    tries = (
+        members.join(pivots, "bucket").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    )
+    first = estimated(tries, signs, percent).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m"))
+    labels = joined(confirmed(first.select("a", F.col("m.b").alias("b")), sets, percent), labels)
 
     now, several = split(labels)
     apart = written(now.join(several, "bucket", "left_semi"), "apart")
@@ -282,7 +287,7 @@ def near_duplicates(
     y = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
     pairs = estimated(
         x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct(), signs, percent
-    ).select("a", "b")
+    )
     large = apart.filter(F.col("size") > SMALL)
     main = (
         large.groupBy("bucket", "component")
@@ -292,7 +297,12 @@ def near_duplicates(
         .select("bucket", F.col("m.component").alias("main"))
     )
     blocked = _in_blocks(large.join(main, "bucket").join(signs, "id"), percent)
-    labels = joined(confirmed(pairs.unionByName(blocked).distinct(), sets, percent), labels)
+    open_ = written(pairs.unionByName(blocked), "pairs")
+    labels = joined(confirmed(best(open_), sets, percent), labels)
+    a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    b = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    rest = open_.join(a, "a").join(b, "b").filter("ca <> cb").select("a", "b").distinct()
+    labels = joined(confirmed(rest, sets, percent), labels)
 
     reps = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component")
