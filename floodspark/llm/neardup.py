@@ -10,7 +10,8 @@
 3. What is still apart inside a bucket is compared exhaustively by signature: pairs in small buckets,
    block against block in large ones, where blocks of the largest component are not compared with
    each other and a pair counts in its first common bucket only. Pairs whose signatures allow the
-   threshold are confirmed on their full sets: first each member's best, then all that are still apart.
+   threshold are confirmed on their full sets: first each member's best in large buckets, then all that
+   are still apart.
 
 Every two texts in a bucket thus end up in one component, or are compared, so no link is lost but by
 the banding (at 85 % under 3e-10, at 80 % under 5e-8 of the links) and the signature bound (4.5
@@ -35,7 +36,7 @@ from floodspark.llm import graph
 from floodspark.llm.text import mixed, runs, shingle_hashes, strings, word_hashes, written
 
 PERMUTATIONS, BANDED, ROWS = 128, 64, 4
-SLICE = 1 << 20
+SLICE = 1 << 18
 SMALL, BLOCK = 32, 512
 
 _rng = np.random.default_rng(64)
@@ -167,8 +168,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
-def _in_blocks(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs from large buckets. apart: bucket, id, component, n_shingles, signature, size, main.
+def _in_blocks(apart: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs from large buckets, or each member's best in each block. apart: bucket, id, component, n_shingles, signature, size, main.
 
     main tells the bucket's largest component. Members fall into blocks of about BLOCK rows by hash;
     each two blocks meet in one group, but not two blocks of the main component.
@@ -212,6 +213,8 @@ def _in_blocks(apart: DataFrame, percent: int) -> DataFrame:
             at, e = at[e >= least], e[e >= least]
             first = (bands[at] == bands[r]).argmax(1) == here
             at, e = at[first], e[first]
+            if best_only and len(at):
+                at, e = at[[e.argmax()]], e[[e.argmax()]]
             out_a.append(np.minimum(ids[at], ids[r]))
             out_b.append(np.maximum(ids[at], ids[r]))
             out_e.append(e)
@@ -280,29 +283,30 @@ def near_duplicates(
     first = estimated(tries, signs, percent).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m"))
     labels = joined(confirmed(first.select("a", F.col("m.b").alias("b")), sets, percent), labels)
 
-    now, several = split(labels)
-    apart = written(now.join(several, "bucket", "left_semi"), "apart")
-    small = apart.filter(F.col("size") <= SMALL)
+    def apart(labels: DataFrame) -> DataFrame:
+        now, several = split(labels)
+        return written(now.join(several, "bucket", "left_semi"), "apart")
+
+    def blocked(open_: DataFrame, best_only: bool) -> DataFrame:
+        large = open_.filter(F.col("size") > SMALL)
+        main = (
+            large.groupBy("bucket", "component")
+            .agg(F.count("*").alias("n"))
+            .groupBy("bucket")
+            .agg(F.max(F.struct("n", "component")).alias("m"))
+            .select("bucket", F.col("m.component").alias("main"))
+        )
+        return _in_blocks(large.join(main, "bucket").join(signs, "id"), percent, best_only)
+
+    # Large buckets first give each member's best only, so that few of them are apart when all pairs count.
+    labels = joined(confirmed(best(blocked(apart(labels), best_only=True)), sets, percent), labels)
+    open_ = apart(labels)
+    small = open_.filter(F.col("size") <= SMALL)
     x = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
     y = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = estimated(
-        x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct(), signs, percent
-    )
-    large = apart.filter(F.col("size") > SMALL)
-    main = (
-        large.groupBy("bucket", "component")
-        .agg(F.count("*").alias("n"))
-        .groupBy("bucket")
-        .agg(F.max(F.struct("n", "component")).alias("m"))
-        .select("bucket", F.col("m.component").alias("main"))
-    )
-    blocked = _in_blocks(large.join(main, "bucket").join(signs, "id"), percent)
-    open_ = written(pairs.unionByName(blocked), "pairs")
-    labels = joined(confirmed(best(open_), sets, percent), labels)
-    a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = open_.join(a, "a").join(b, "b").filter("ca <> cb").select("a", "b").distinct()
-    labels = joined(confirmed(rest, sets, percent), labels)
+    pairs = estimated(x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct(), signs, percent)
+    listed = pairs.unionByName(blocked(open_, best_only=False)).select("a", "b").distinct()
+    labels = joined(confirmed(listed, sets, percent), labels)
 
     reps = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component")
