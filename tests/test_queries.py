@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,8 +25,18 @@ def duck():
     return con
 
 
+def plain(v):
+    """A value without its library's type; numbers as floats, for pandas makes integers with nulls into floats."""
+    if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
+        return None
+    if hasattr(v, "isoformat"):
+        return v.isoformat()
+    if isinstance(v, (bool, np.bool_)):
+        return bool(v)
+    return float(v) if isinstance(v, (int, float, np.number)) else v
+
+
 def rows(df):
-    plain = lambda v: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else v.isoformat() if hasattr(v, "isoformat") else v.item() if hasattr(v, "item") else v
     return sorted(repr([plain(v) for v in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
