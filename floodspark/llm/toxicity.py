@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floodspark.llm.text import written
+
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2000
 #: A feature stands in at least so many positives of the sample, so far above what unlabelled texts let expect.
 LEAST_POSITIVES, LEAST_Z = 3, 4.0
@@ -60,27 +62,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(s, -60, 60))))
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> Model:
-    """The word weights that minimise the non-negative risk, by Adam on the whole sample."""
-    if not positive:
+def train(words: list[str], xp: np.ndarray, xu: np.ndarray, prior: float) -> Model:
+    """The words' weights that minimise the non-negative risk, by Adam; xp, xu: positive and unlabelled texts by words."""
+    np_, nu = len(xp), max(len(xu), 1)
+    if not np_:
         return Model({}, -60.0)
-    in_p, in_u = Counter(w for t in positive for w in t), Counter(w for t in unlabelled for w in t)
-    np_, nu = len(positive), max(len(unlabelled), 1)
-    z = {}
-    for w, c in in_p.items():
-        q = (in_u[w] + 0.5) / (nu + 1)
-        if c >= min(LEAST_POSITIVES, np_):
-            z[w] = (c - np_ * q) / np.sqrt(np_ * q * (1 - q))
-    words = sorted((w for w in z if z[w] >= LEAST_Z), key=lambda w: (-z[w], w))[:FEATURES]
-    place = {w: i for i, w in enumerate(words)}
-
-    def matrix(texts: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(texts), len(words)), np.float32)
-        for row, t in zip(x, texts):
-            row[[place[w] for w in t if w in place]] = 1
-        return x
-
-    xp, xu = matrix(positive), matrix(unlabelled)
     theta, bias = np.zeros(len(words), np.float32), float(np.log(prior / (1 - prior)))
     m = v = np.zeros(len(words) + 1)
     sigmoid = lambda s: 1 / (1 + np.exp(-s))
@@ -102,15 +88,24 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float) ->
     return Model({w: float(t) for w, t in zip(words, theta) if abs(t) > 1e-6}, bias)
 
 
-def _words_of(docs: DataFrame) -> list[set[str]]:
-    """The features of a bounded number of texts."""
+def _with_features(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """(positive, text) to (positive, features), or with words to (positive, places): which of them each text has."""
+    place = {w: i for i, w in enumerate(words or [])}
+    stems = {w.partition("-")[0] for w in place if "-" in w}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(features(t.as_py())) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string()))], names=["words"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                if words is None:
+                    out = pa.array([sorted(features(t.as_py())) for t in part.column(1)], pa.list_(pa.string()))
+                else:
+                    found = [sorted(place[w] for w in features(t.as_py(), stems) if w in place) for t in part.column(1)]
+                    out = pa.array(found, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), out], names=["positive", "features"])
 
-    return [set(r.words) for r in docs.select("text").mapInArrow(run, "words array<string>").collect()]
+    kind = "string" if words is None else "int"
+    return texts.select("positive", "text").mapInArrow(run, f"positive boolean, features array<{kind}>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
@@ -118,14 +113,34 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
     known = labels.filter(train_rows & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not n_toxic:
-        return train([], [], 0.5)
+        return train([], np.zeros((0, 0)), np.zeros((0, 0)), 0.5)
     order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = known.filter("toxic = 1").orderBy(*order).limit(POSITIVES).select("doc_id")
-    positive = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    others = docs.filter(train_rows).select("doc_id").orderBy(*order).limit(UNLABELLED)
-    unlabelled = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id", "left_semi")
-    prior = min(max(n_toxic / n, 0.01), 0.9)
-    return train(_words_of(positive), _words_of(unlabelled), prior)
+    chosen = known.filter("toxic = 1").orderBy(*order).limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
+    others = docs.filter(train_rows).select("doc_id").orderBy(*order).limit(UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
+    # Both lists have a bound of their own, so they are broadcast.
+    both = F.broadcast(chosen.unionByName(others))
+    sample = written(docs.select("doc_id", "text").join(both, "doc_id").select("positive", "text"), "sample")
+    counts = (
+        _with_features(sample)
+        .select("positive", F.explode("features").alias("word"))
+        .groupBy("word")
+        .agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    )
+    sizes = sample.agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nu")).first()
+    q = (F.col("u") + 0.5) / (sizes.nu + 1)
+    z = (F.col("p") - sizes.np * q) / F.sqrt(sizes.np * q * (1 - q))
+    stand_out = counts.filter(F.col("p") >= min(LEAST_POSITIVES, sizes.np)).select("word", z.alias("z")).filter(F.col("z") >= LEAST_Z)
+    words = [r.word for r in stand_out.orderBy(F.round("z", 9).desc(), "word").limit(FEATURES).collect()]
+    rows = _with_features(sample, words).collect()
+
+    def matrix(texts: list[list[int]]) -> np.ndarray:
+        x = np.zeros((len(texts), len(words)), np.float32)
+        for row, at in zip(x, texts):
+            row[at] = 1
+        return x
+
+    xp, xu = (matrix(sorted(list(r.features) for r in rows if r.positive == kind)) for kind in (True, False))
+    return train(words, xp, xu, min(max(n_toxic / n, 0.01), 0.9))
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
