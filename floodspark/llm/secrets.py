@@ -3,7 +3,8 @@
 A text's base secrets are found by three patterns. Then every layer of the text that can be decoded
 (percent escapes, Unicode escapes, base64, and zlib or gzip data inside base64) goes on a worklist:
 it is decoded, scanned, and searched for further layers until none is new. A layer whose content was
-seen before in this document is not decoded again, so cycles end; decompression stops at
+seen before at the same place of this document is not decoded again, so cycles end, and each place of a
+repeated layer is reported; decompression stops at
 ``max_inflated`` bytes a layer, which bounds memory against compression bombs. Each decoded character
 keeps the range of the original text that it came from, so every finding is mapped to original code
 points. Null text is empty; repeated rows give equal results; further columns are ignored.
@@ -140,7 +141,7 @@ def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, i
     if not ("%" in text or "\\" in text or _BASE64.search(text)):
         return base, []
     added: set[tuple[str, int, int]] = set()
-    seen = {text}
+    seen: set[tuple[str, tuple]] = set()
     # A layer: its content, its name, and where each character (or all of them) came from.
     work: list[tuple[str, str, list[Span] | Span | None]] = [(text, "", None)]
 
@@ -164,19 +165,20 @@ def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, i
         if "\\" in content and (got := _ununicode(content)):
             layers.append(("unicode", *got))
         for how, new, inner in layers:
-            if new not in seen:
-                seen.add(new)
-                if spans is None:
-                    to: list[Span] | Span = inner
-                elif isinstance(spans, tuple):
-                    to = spans
-                else:
-                    to = [(spans[a][0], spans[z - 1][1]) for a, z in inner]
+            if spans is None:
+                to: list[Span] | Span = inner
+            elif isinstance(spans, tuple):
+                to = spans
+            else:
+                to = [(spans[a][0], spans[z - 1][1]) for a, z in inner]
+            if (key := (new, tuple(to))) not in seen:
+                seen.add(key)
                 work.append((new, f"{name}.{how}".lstrip("."), to))
         for how, new, a, z in _unbase64(content, max_inflated):
-            if new not in seen:
-                seen.add(new)
-                work.append((new, f"{name}.{how}".lstrip("."), origin(spans, a, z)))
+            to = origin(spans, a, z)
+            if (key := (new, to)) not in seen:
+                seen.add(key)
+                work.append((new, f"{name}.{how}".lstrip("."), to))
     return base, sorted(added, key=lambda s: (s[1], s[0], s[2]))
 
 

@@ -107,6 +107,16 @@ def test_nested_layers_are_decoded_and_mapped():
     assert secrets.scan("%25" * 50)[1] == []  # decodes to itself in the end
 
 
+def test_each_place_of_a_repeated_layer_is_reported(spark):
+    once = base64.b64encode(b"password=hunter2secret").decode()
+    twice = base64.b64encode(once.encode()).decode()
+    for name, hidden in {"base64": once, "base64.base64": twice}.items():
+        text = f"x {hidden} y {hidden} z\n{hidden}"
+        want = [(f"assign@{name}", m.start(), m.end()) for m in re.finditer(re.escape(hidden), text)]
+        assert len(want) == 3 and secrets.scan(text)[1] == want
+        assert secrets.redact(documents(spark, [text])).first().text == "x [secret] y [secret] z\n[secret]"
+
+
 def test_secret_digest_and_redaction(spark):
     docs = documents(spark, ["say secret = 'abc123xyz' now", *ODD])
     rows = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}
