@@ -7,7 +7,7 @@ seen before at the same place of this document is not decoded again, so cycles e
 repeated layer is reported; decompression stops at
 ``max_inflated`` bytes a layer, which bounds memory against compression bombs. Each decoded character
 keeps the range of the original text that it came from, so every finding is mapped to original code
-points. Null text is empty; repeated rows give equal results; further columns are ignored.
+points. A decoded finding is left out only where one base finding of its kind covers it. Null text is empty; repeated rows give equal results; further columns are ignored.
 
 The worklist is Python inside Arrow tasks, one text at a time; Spark deals out the rows.
 """
@@ -157,7 +157,7 @@ def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, i
         if name:
             known = {(k, *origin(spans, a, z)) for k, a, z in find(content)}
             for kind, a, z in known:
-                if not any(k == kind and x < z and a < y for k, x, y in base):
+                if not any(k == kind and x <= a and z <= y for k, x, y in base):
                     added.add((f"{kind}@{name}", a, z))
         layers = []
         if "%" in content and (got := _unpercent(content)):

@@ -117,6 +117,16 @@ def test_each_place_of_a_repeated_layer_is_reported(spark):
         assert secrets.redact(documents(spark, [text])).first().text == "x [secret] y [secret] z\n[secret]"
 
 
+def test_decoded_findings_longer_than_a_base_one_are_kept(spark):
+    for name, bar in {"url": "%2F", "unicode": "\\u002f"}.items():
+        secret = f"secret=wJalrXUtnFEMI{bar}K7MDENG{bar}bPxRfiCYEXAMPLEKEY"
+        base, more = secrets.scan(f"say {secret}, then")
+        assert base == [("assign", 4, 24)]
+        assert more == [(f"assign@{name}", 4, 4 + len(secret))]
+        assert secrets.redact(documents(spark, [f"say {secret}, then"])).first().text == "say [secret], then"
+    assert secrets.scan("say secret=abcdef1 and%20more")[1] == []  # the base finding covers it
+
+
 def test_secret_digest_and_redaction(spark):
     docs = documents(spark, ["say secret = 'abc123xyz' now", *ODD])
     rows = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}
