@@ -1,10 +1,10 @@
 """Packing by optimal length buckets.
 
-The global histogram of lengths has at most ``GRID`` cells: lengths are rounded up to a grid that is exact
-up to 256 and then has 64 steps to each doubling, so its size grows with the logarithm of the longest
-text only. Dynamic programming over it chooses the ``BUCKETS`` boundaries that minimise padding
-exactly on that grid. Inside each bucket, batches hold as many rows as fit ``token_budget`` tokens once
-padded to the boundary (one row at least).
+The global histogram of lengths is exact: its size is the number of distinct lengths, which is below the
+square root of twice the sum of all lengths. Dynamic programming over it chooses the ``BUCKETS``
+boundaries that minimise padding. Inside each bucket, batches hold as many rows as fit
+``token_budget`` tokens once padded to the boundary (one row at least). packed() takes op4's token counts as
+lengths, counted once and written; pack() takes any length, and words where none is given.
 
 Rows of a bucket are dealt by hash into groups of about ``GROUP`` rows, whose number the histogram
 gives; batches form inside a group, in the order of its length and id, so no task sees a whole
@@ -15,11 +15,14 @@ further columns pass through.
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from floodspark.llm import tokens
 from floodspark.llm.text import SPACE, written
 
 BUCKETS, BUDGET, GROUP = 8, 16384, 4096
@@ -31,36 +34,41 @@ def word_count(text: Column) -> Column:
     return F.when(body == "", F.lit(0)).otherwise(F.regexp_count(body, F.lit(SPACE)) + 1)
 
 
-def on_grid(length: Column) -> Column:
-    """The least grid length that is not below."""
-    step = F.pow(F.lit(2), F.floor(F.log2(F.greatest(length - 1, F.lit(1)))) - 6)
-    return F.when(length <= 256, length).otherwise((F.ceil(length / step) * step).cast("long")).cast("long")
-
-
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
-    """The boundaries (of the given sorted lengths) that minimise padding with at most so many buckets."""
-    x, c = np.array(lengths, np.float64), np.array(counts, np.float64)
-    n = len(x)
-    if not n:
-        return []
-    rows, total = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x)])
-    # cost(i, j): cells i to j - 1 padded to the last one's length
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
+    """The boundaries (of the given sorted, distinct lengths) that minimise padding with at most so many buckets.
+
+    Cells i to j - 1 padded to the last one's length x cost x * (rows[j] - rows[i]) - (total[j] - total[i]).
+    The best i for each j is the lowest of lines of slope -rows[i] at x, so that a round is linear.
+    """
+    n = len(lengths)
+    rows = list(accumulate(counts, initial=0))
+    total = list(accumulate((c * x for x, c in zip(lengths, counts)), initial=0))
+    best: list[int | None] = [0] + [None] * n
     choice = []
     for _ in range(min(buckets, n)):
-        new, where = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        new[0] = 0
-        for j in range(1, n + 1):
-            cost = best[:j] + x[j - 1] * (rows[j] - rows[:j]) - (total[j] - total[:j])
-            where[j] = int(np.argmin(cost))
-            new[j] = cost[where[j]]
+        new: list[int | None] = [0] + [None] * n
+        where, lines, p = [0] * (n + 1), [], 0
+        for j, x in enumerate(lengths, 1):
+            i = j - 1
+            if best[i] is not None:
+                at, slope = best[i] + total[i], -rows[i]
+                while len(lines) > 1:
+                    (s0, a0, _), (s1, a1, _) = lines[-2:]
+                    if (at - a0) * (s0 - s1) > (a1 - a0) * (s0 - slope):
+                        break
+                    lines.pop()
+                lines.append((slope, at, i))
+            p = min(p, len(lines) - 1)
+            while p + 1 < len(lines) and lines[p + 1][0] * x + lines[p + 1][1] < lines[p][0] * x + lines[p][1]:
+                p += 1
+            slope, at, where[j] = lines[p]
+            new[j] = slope * x + at + x * rows[j] - total[j]
         best = new
         choice.append(where)
     out, j = [], n
     for where in reversed(choice):
         if j:
-            out.append(int(x[j - 1]))
+            out.append(lengths[j - 1])
             j = where[j]
     return sorted(set(out))
 
@@ -73,28 +81,29 @@ def pack(
     token_budget: int = BUDGET,
     group: int = GROUP,
 ) -> DataFrame:
-    """docs with n_words (the length), boundary (its bucket), batch_id and pad (boundary less length)."""
+    """docs with n_words (the length, in whatever unit), boundary (its bucket), batch_id and pad (boundary less length)."""
     length = word_count(F.col("text")) if length is None else length
-    sized = docs.withColumn("n_words", length.cast("long")).withColumn("__cell", on_grid(F.col("n_words")))
-    cells = sized.groupBy("__cell").agg(F.count("*").alias("n")).orderBy("__cell").collect()
-    edges = boundaries([r["__cell"] for r in cells], [r.n for r in cells], buckets)
+    sized = docs.withColumn("n_words", length.cast("long"))
+    cells = sized.groupBy("n_words").agg(F.count("*").alias("n")).orderBy("n_words").collect()
+    edges = boundaries([r.n_words for r in cells], [r.n for r in cells], buckets)
     if not edges:
         edges = [0]
-    held = [sum(r.n for r in cells if lo < r["__cell"] <= hi) for lo, hi in zip([-1, *edges], edges)]
+    held = [sum(r.n for r in cells if lo < r.n_words <= hi) for lo, hi in zip([-1, *edges], edges)]
     boundary, groups = F.lit(None).cast("long"), F.lit(1)
     for e, n in reversed(list(zip(edges, held))):
-        boundary = F.when(F.col("__cell") <= e, F.lit(e).cast("long")).otherwise(boundary)
-        groups = F.when(F.col("__cell") <= e, F.lit(max(1, -(-n // group)))).otherwise(groups)
+        boundary = F.when(F.col("n_words") <= e, F.lit(e).cast("long")).otherwise(boundary)
+        groups = F.when(F.col("n_words") <= e, F.lit(max(1, -(-n // group)))).otherwise(groups)
     placed = sized.withColumn("boundary", boundary).withColumn("__group", F.pmod(F.xxhash64(id_col), groups))
     order = Window.partitionBy("boundary", "__group").orderBy("n_words", id_col)
     fit = F.greatest(F.floor(F.lit(token_budget) / F.greatest(F.col("boundary"), F.lit(1))), F.lit(1))
     batch = F.floor((F.row_number().over(order) - 1) / fit)
     return placed.withColumn(
         "batch_id", F.concat_ws("-", "boundary", "__group", batch.cast("string"))
-    ).withColumn("pad", F.col("boundary") - F.col("n_words")).drop("__cell", "__group")
+    ).withColumn("pad", F.col("boundary") - F.col("n_words")).drop("__group")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """The result of packing without the texts, which a batch's ids refer to."""
-    slim = docs.select("doc_id", word_count(F.col("text")).alias("words"))
-    return pack(slim, length=F.col("words")).select("doc_id", "n_words", "boundary", "batch_id", "pad")
+def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The result of packing without the texts, which a batch's ids refer to; n_words holds tokens (path: the tokenizer's file)."""
+    counts = tokens.count_tokens(docs, path or public_tokenizers.path("byte_bpe_50k.json"))
+    slim = written(counts.select("doc_id", "n_tokens"), "lengths")
+    return pack(slim, length=F.col("n_tokens")).select("doc_id", "n_words", "boundary", "batch_id", "pad")

@@ -298,6 +298,23 @@ def test_packing_keeps_budget_and_rows(spark):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_batches_hold_tokens_and_boundaries_are_exact(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = documents(spark, [*ODD, "".join(f"{i}ä" for i in range(9000)), *("wörd " * (300 + 7 * i) for i in range(60))])
+    want = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, path).collect()}
+    got = packing.packed(docs).toPandas()
+    assert dict(zip(got.doc_id, got.n_words)) == want and max(want.values()) > packing.BUDGET
+    for _, b in got.groupby("batch_id"):
+        assert len(b) == 1 or sum(want[i] for i in b.doc_id) <= packing.BUDGET
+    # the full table over every distinct length
+    x = sorted(set(want.values()))
+    c = [sum(v == e for v in want.values()) for e in x]
+    best = [0] + [float("inf")] * len(x)
+    for _ in range(packing.BUCKETS):
+        best = [0] + [min(best[i] + sum(n * (x[j - 1] - v) for v, n in zip(x[i:j], c[i:j])) for i in range(j)) for j in range(1, len(x) + 1)]
+    assert got["pad"].sum() == best[-1]
+
+
 # language
 
 
