@@ -4,8 +4,10 @@ A text's base secrets are found by three patterns. Then every layer of the text
 (percent escapes, Unicode escapes, base64, and zlib or gzip data inside base64) goes on a worklist:
 it is decoded, scanned, and searched for further layers until none is new. A layer whose content was
 seen before at the same place of this document is not decoded again, so cycles end, and each place of a
-repeated layer is reported; decompression stops at
-``max_inflated`` bytes a layer, which bounds memory against compression bombs. Each decoded character
+repeated layer is reported. Base64 may be wrapped in lines. Plain base64 counts as a layer if it is valid
+UTF-8; inflated data always does. Data is inflated to its end (all members, however often compressed)
+in overlapping windows of about ``max_inflated`` bytes, so that a compression bomb takes time but little memory;
+a window grows only while one run without breaks lasts. Each decoded character
 keeps the range of the original text that it came from, so every finding is mapped to original code
 points. A decoded finding is left out only where one base finding of its kind covers it. Null text is empty; repeated rows give equal results; further columns are ignored.
 
@@ -16,10 +18,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +41,11 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++={0,2}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++={0,2}+)++")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: A character that no secret or layer holds; a token with the spaces after it (not those that begin a line).
+_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=%\\{}"':\s-]""")
+_TOKEN = re.compile(r"(?:[^ \n]|\n[ \t]*)+ +")
 
 Span = tuple[int, int]
 
@@ -74,20 +83,26 @@ def _unpercent(text: str) -> tuple[str, list[Span]] | None:
     return "".join(out) + text[at:], spans + [(i, i + 1) for i in range(at, len(text))]
 
 
+def _characters(run: re.Match) -> list[tuple[str, int, int]]:
+    """The characters of a run of Unicode escapes, each with its source range."""
+    units = [(int(m[1] or m[2] or m[3], 16), run.start() + m.start(), run.start() + m.end()) for m in _UNICODE_ONE.finditer(run[0])]
+    got, i = [], 0
+    while i < len(units):
+        v, a, z = units[i]
+        if 0xD800 <= v < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
+            v, z = 0x10000 + ((v - 0xD800) << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2]
+            i += 1
+        i += 1
+        if 0xD800 <= v < 0xE000 or v > 0x10FFFF:
+            v = 0xFFFD
+        got.append((chr(v), a, z))
+    return got
+
+
 def _ununicode(text: str) -> tuple[str, list[Span]] | None:
     out, spans, at = [], [], 0
     for run in _UNICODE.finditer(text):
-        units = [(int(m[1] or m[2] or m[3], 16), run.start() + m.start(), run.start() + m.end()) for m in _UNICODE_ONE.finditer(run[0])]
-        got, i = [], 0
-        while i < len(units):
-            v, a, z = units[i]
-            if 0xD800 <= v < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
-                v, z = 0x10000 + ((v - 0xD800) << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2]
-                i += 1
-            i += 1
-            if 0xD800 <= v < 0xE000 or v > 0x10FFFF:
-                v = 0xFFFD
-            got.append((chr(v), a, z))
+        got = _characters(run)
         out.append(text[at : run.start()] + "".join(c for c, _, _ in got))
         spans += [(i, i + 1) for i in range(at, run.start())] + [(a, z) for _, a, z in got]
         at = run.end()
@@ -96,89 +111,230 @@ def _ununicode(text: str) -> tuple[str, list[Span]] | None:
     return "".join(out) + text[at:], spans + [(i, i + 1) for i in range(at, len(text))]
 
 
-def _readable(raw: bytes) -> str | None:
+def _percent_run(m: re.Match) -> str:
     try:
-        text = raw.decode()
+        return bytes.fromhex(m[0].replace("%", "")).decode()
     except UnicodeDecodeError:
+        return m[0]
+
+
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0)
+
+
+def _inflate(chunks: Iterator[bytes], window: int) -> Iterator[bytes]:
+    """All members' data in pieces of at most window bytes, then what follows the last member."""
+    d, members, more = zlib.decompressobj(zlib.MAX_WBITS | 32), 0, False
+    for chunk in chunks:
+        while chunk or more:
+            try:
+                out = d.decompress(chunk, window)
+            except zlib.error:
+                if members and not more:  # no further member
+                    yield from chain([b"\0", chunk], chunks)
+                return
+            if out:
+                yield out
+            more, chunk = len(out) == window and not d.eof, d.unconsumed_tail
+            if d.eof:
+                members, chunk = members + 1, d.unused_data.lstrip(b"\0")
+                d = zlib.decompressobj(zlib.MAX_WBITS | 32)
+
+
+def _unpadded(body: str) -> bytes | None:
+    try:
+        return base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
         return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _inflated(raw: bytes, most: int) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0):
+def _after(raw: bytes, window: int) -> int:
+    """How many bytes follow compressed data."""
+    while _packed(raw):
+        d = zlib.decompressobj(zlib.MAX_WBITS | 32)
         try:
-            d = zlib.decompressobj(zlib.MAX_WBITS | 32)
-            return d.decompress(raw, most)
+            while raw and not d.eof:
+                d.decompress(raw, window)
+                raw = d.unconsumed_tail
+            if not d.eof and not d.decompress(b"") and not d.eof:
+                return 0
         except zlib.error:
+            return 0
+        raw = d.unused_data
+        if not _packed(raw):
+            return len(raw)
+    return 0
+
+
+def _opened(body: str, window: int) -> tuple[str, Iterator[str]] | None:
+    """The name and text (in overlapping windows) of a base64 run, inflated as often as it can be."""
+    if len(body) < 16 or len(body) % 4 == 1 or (body.isalpha() and (body.islower() or body.istitle())):
+        return None
+    if (head := _unpadded(body)) is None:
+        return None
+    name, rest, seen = "base64", iter(()), set()
+    while _packed(head):
+        if (key := hashlib.sha256(head).digest()) in seen:  # data that inflates to itself
             return None
-    return None
+        seen.add(key)
+        inner, got, size = _inflate(chain([head], rest), window), [], 0
+        for piece in inner:
+            got.append(piece)
+            size += len(piece)
+            if size >= window:
+                break
+        if not got:
+            break
+        head, rest, name = b"".join(got), inner, name + "+zlib"
+    if name != "base64":
+        return name, _windows(chain([head], rest), window)
+    try:
+        text = head.decode()
+    except UnicodeDecodeError:
+        return None
+    return (name, iter([text])) if text else None
+
+
+def _windows(chunks: Iterator[bytes], window: int) -> Iterator[str]:
+    decoder, text, most = codecs.getincrementaldecoder("utf-8")("replace"), "", window
+    for chunk in chunks:
+        text += decoder.decode(chunk)
+        if len(text) > most:
+            cut = _cut(text, len(text) - window // 8)
+            if cut:
+                yield text
+                text = text[cut:]
+            most = max(window, 2 * len(text))
+    yield text + decoder.decode(b"", True)
+
+
+def _cut(text: str, at: int) -> int:
+    """A place before at that no secret or layer of the text ahead needs to be seen beyond; 0 if there is none."""
+    reach = 1 << 10
+    while True:
+        low = max(0, at - reach)
+        if ends := [m.end() for m in _BREAK.finditer(text, low, at)]:
+            return ends[-1]
+        # A secret reaches over at most two stretches of spaces.
+        if len(tokens := [m.start() for m in _TOKEN.finditer(text, low, at)]) > 4:
+            return tokens[-4]
+        if not low:
+            return 0
+        reach *= 4
+
+
+def _blocks(text: str, window: int) -> Iterator[tuple[list[tuple[int, int]], str, str, Iterator[str]]]:
+    """(lines' ranges, body, name, windows) of base64 that is wrapped in lines."""
+    for m in _LINES.finditer(text):
+        group: list[tuple[int, int]] = []
+        for one in _LINE.finditer(text, *m.span()):
+            group.append(one.span())
+            if text[one.end() - 1] == "=" or one.end() == m.end():
+                yield from _block(text, group, window)
+                group = []
+
+
+def _block(text: str, lines: list[tuple[int, int]], window: int) -> Iterator[tuple[list[tuple[int, int]], str, str, Iterator[str]]]:
+    bodies = [text[a:z].rstrip("=") for a, z in lines]
+    n, i, done = len(lines), 0, 0
+    while i < n:
+        j = i
+        while j + 1 < n and len(bodies[j + 1]) == len(bodies[i]):
+            j += 1
+        # The first line may stand after other text, the last may be shorter.
+        ends = [j + 2, j + 1] if j + 1 < n and len(bodies[j + 1]) < len(bodies[i]) else [j + 1]
+        tries = [(max(i - 1, done), e) for e in ends] + [(i, e) for e in ends]
+        for a, z in ([(0, n)] if not i else []) + tries:
+            if z - a > 1 and (got := _opened(body := "".join(bodies[a:z]), window)):
+                behind = _after(_unpadded(body) or b"", window)
+                if behind and 4 * behind >= 3 * len(bodies[z - 1]) - 4:  # the last line is no part of it
+                    continue
+                yield lines[a:z], body, *got
+                j, done = z - 1, z
+                break
+        i = j + 1
 
 
-def _unbase64(text: str, most: int) -> Iterator[tuple[str, str, int, int]]:
-    """(name, content, start, end) of each run that decodes to readable text, also after inflation."""
+def _below(name: str, text: str, window: int) -> Iterator[tuple[str, str]]:
+    """(name, content) of the layers right inside a decoded one."""
+    if _PERCENT.search(text):
+        yield f"{name}.url", _PERCENT.sub(_percent_run, text)
+    if _UNICODE.search(text):
+        yield f"{name}.unicode", _UNICODE.sub(lambda m: "".join(c for c, _, _ in _characters(m)), text)
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or (body.isalpha() and (body.islower() or body.istitle())):
+        if got := _opened(m[0].rstrip("="), window):
+            yield from ((f"{name}.{got[0]}", t) for t in got[1])
+    for _, _, how, texts in _blocks(text, window):
+        yield from ((f"{name}.{how}", t) for t in texts)
+
+
+def _inside(name: str, texts: Iterator[str], window: int) -> set[tuple[str, str]]:
+    """(kind, name of the layer) of all findings in a decoded layer and in those inside it."""
+    found, seen, stack = set(), set(), [((name, t) for t in texts)]
+    while stack:
+        got = next(stack[-1], None)
+        if got is None:
+            stack.pop()
             continue
-        try:
-            raw = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        name = "base64"
-        for _ in range(8):  # data compressed repeatedly; deeper nesting than this goes on through base64 layers
-            more = _inflated(raw, most)
-            if more is None:
-                break
-            raw, name = more, name + "+zlib"
-        got = _readable(raw)
-        if got:
-            yield name, got, m.start(), m.end()
+        key = hashlib.sha256(got[1].encode("utf-8", "surrogatepass")).digest()
+        if key not in seen:
+            seen.add(key)
+            found |= {(kind, got[0]) for kind, _, _ in find(got[1])}
+            stack.append(_below(*got, window))
+    return found
 
 
 def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base findings, and those that only decoded layers show (kind@layers), both in original code points."""
     base = find(text)
-    if not ("%" in text or "\\" in text or _BASE64.search(text)):
+    if not ("%" in text or "\\" in text or _BASE64.search(text) or _LINES.search(text)):
         return base, []
     added: set[tuple[str, int, int]] = set()
     seen: set[tuple[str, tuple]] = set()
-    # A layer: its content, its name, and where each character (or all of them) came from.
-    work: list[tuple[str, str, list[Span] | Span | None]] = [(text, "", None)]
+    known: dict[str, set[tuple[str, str]]] = {}
+    # A layer of the whole text: its content, its name, and where each character came from.
+    work: list[tuple[str, str, list[Span] | None]] = [(text, "", None)]
 
-    def origin(spans: list[Span] | Span | None, a: int, z: int) -> Span:
-        if spans is None:
-            return a, z
-        if isinstance(spans, tuple):
-            return spans
-        return spans[a][0], spans[z - 1][1]
+    def origin(spans: list[Span] | None, a: int, z: int) -> Span:
+        return (a, z) if spans is None else (spans[a][0], spans[z - 1][1])
+
+    def add(kind: str, name: str, a: int, z: int) -> None:
+        if not any(k == kind and x <= a and z <= y for k, x, y in base):
+            added.add((f"{kind}@{name}", a, z))
+
+    def inside(body: str, got: tuple[str, Iterator[str]] | None = None) -> set[tuple[str, str]]:
+        if body not in known:
+            got = got or _opened(body, max_inflated)
+            known[body] = _inside(*got, max_inflated) if got else set()
+        return known[body]
 
     while work:
         content, name, spans = work.pop()
         if name:
-            known = {(k, *origin(spans, a, z)) for k, a, z in find(content)}
-            for kind, a, z in known:
-                if not any(k == kind and x <= a and z <= y for k, x, y in base):
-                    added.add((f"{kind}@{name}", a, z))
+            for kind, a, z in find(content):
+                add(kind, name, *origin(spans, a, z))
         layers = []
         if "%" in content and (got := _unpercent(content)):
             layers.append(("url", *got))
         if "\\" in content and (got := _ununicode(content)):
             layers.append(("unicode", *got))
         for how, new, inner in layers:
-            if spans is None:
-                to: list[Span] | Span = inner
-            elif isinstance(spans, tuple):
-                to = spans
-            else:
-                to = [(spans[a][0], spans[z - 1][1]) for a, z in inner]
+            to = inner if spans is None else [(spans[a][0], spans[z - 1][1]) for a, z in inner]
             if (key := (new, tuple(to))) not in seen:
                 seen.add(key)
                 work.append((new, f"{name}.{how}".lstrip("."), to))
-        for how, new, a, z in _unbase64(content, max_inflated):
-            to = origin(spans, a, z)
-            if (key := (new, to)) not in seen:
+        runs = {m.span(): inside(m[0].rstrip("=")) for m in _BASE64.finditer(content)}
+        for lines, body, how, texts in _blocks(content, max_inflated):
+            found = inside(body, (how, texts))
+            # What each line shows by itself stays there; what only the block shows counts once, for the block.
+            each = set.intersection(*(runs.get(line, set()) for line in lines))
+            runs |= {line: runs[line] - (found - each) for line in lines if line in runs}
+            runs[lines[0][0], lines[-1][1]] = found - each
+        for (a, z), found in runs.items():
+            if found and (key := (content[a:z], to := origin(spans, a, z))) not in seen:
                 seen.add(key)
-                work.append((new, f"{name}.{how}".lstrip("."), to))
+                for kind, how in found:
+                    add(kind, f"{name}.{how}".lstrip("."), *to)
     return base, sorted(added, key=lambda s: (s[1], s[0], s[2]))
 
 

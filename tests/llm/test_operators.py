@@ -127,6 +127,37 @@ def test_decoded_findings_longer_than_a_base_one_are_kept(spark):
     assert secrets.scan("say secret=abcdef1 and%20more")[1] == []  # the base finding covers it
 
 
+def test_layers_are_decoded_to_their_end():
+    secret = b"password=hunter2secret"
+    wrap = lambda raw, n: "\n".join(raw[i : i + n] for i in range(0, len(raw), n))
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    deep = secret
+    for _ in range(12):
+        deep = gzip.compress(deep, mtime=0)
+    filler = "é words, " * 700_000
+    cases = {
+        "bom": b64("\ufeffa\u00a0b\f\0 ".encode() + secret),
+        "members": b64(gzip.compress(b"first ", mtime=0) + gzip.compress(secret, mtime=0)),
+        "often compressed": b64(deep),
+        "after 4 MiB": b64(gzip.compress(filler.encode() + secret, mtime=0)),
+        "layer after 4 MiB": b64(gzip.compress(filler.encode() + b64(secret).encode(), mtime=0)),
+        "binary around": b64(gzip.compress(b"\xff\xfe\0" + secret + b"\0\xff", mtime=0)),
+        "wrapped": wrap(b64(b"some words to begin a text with, all of them harmless; pass" + secret[4:] + b" and more" * 9), 76),
+        "narrow": wrap(b64(secret), 12),
+        "wrapped and compressed": wrap(b64(gzip.compress(random.Random(4).randbytes(300) + b" " + secret, mtime=0)), 76),
+    }
+    for name, hidden in cases.items():
+        for text in (f"see {hidden} end", f"one\ntwo:\n{hidden}\nend, all"):
+            at = text.index(hidden)
+            base, more = secrets.scan(text)
+            assert base == [] and [(k.partition("@")[0], a, z) for k, a, z in more] == [("assign", at, at + len(hidden))], name
+    # windows end between tokens, and lose nothing, whatever their size
+    for size in (64, 100, 1000):
+        for i in range(0, 300, 7):
+            raw = gzip.compress(b"ab cd, " * i + secret + b" ef" * 200 + b" " + b64(secret).encode() + b" gh" * 90, mtime=0)
+            assert {k for k, _, _ in secrets.scan(b64(raw), size)[1]} == {"assign@base64+zlib", "assign@base64+zlib.base64"}
+
+
 def test_secret_digest_and_redaction(spark):
     docs = documents(spark, ["say secret = 'abc123xyz' now", *ODD])
     rows = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}
