@@ -211,15 +211,20 @@ def align(window: bytes, b: np.ndarray, low: int, high: int, k: int) -> tuple[in
 
 
 def candidates(ix: Index, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The texts, of those end to end in data, where a stretch with enough marks starts."""
+    """The texts, of those end to end in data, that a stretch with enough marks touches."""
     b, at = normal(data)
     starts = offsets if at is None else np.searchsorted(at, offsets)
     g = grams(b)
     if not len(g) or not ix.windows:
         return np.zeros(0, np.int64)
-    of = np.searchsorted(starts, np.unique(np.concatenate([d for _, _, d in ix.dense(g)])), "right") - 1
-    # A stretch may start in the text before: the next text is searched, too, and fails alone if it has none.
-    return np.unique(np.concatenate([of, np.minimum(of + 1, len(offsets) - 2)]))
+    touched = np.zeros(len(offsets), np.int64)
+    for _, reach, dense in ix.dense(g):
+        # A stretch covers reach q-grams and may start in any text before: all from its first to its last are searched.
+        first = np.searchsorted(starts, dense, "right") - 1
+        last = np.searchsorted(starts, dense + reach + Q - 1, "left")
+        np.add.at(touched, np.minimum(first, len(offsets) - 1), 1)
+        np.add.at(touched, np.minimum(last, len(offsets) - 1), -1)
+    return np.flatnonzero(np.cumsum(touched[:-1]) > 0)
 
 
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long"

@@ -220,6 +220,18 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_after_tiny_texts(spark):
+    rng = random.Random(11)
+    for n in (20, 100, 160):
+        item = "".join(rng.choice("abcdefgh ijkl") for _ in range(n - 2)).strip() + "xyz"[: rng.randint(1, 3)]
+        bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+        for head in (["hi", None], ["a", "b"], ["", "", " "], ["c"] * 30, ["some words before", None, "d"]):
+            for tail in ([], [None], ["e", ""]):
+                docs = documents(spark, [*head, item, *tail]).coalesce(1)
+                got = [(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()]
+                assert got == [(len(head), 7)], (n, head, tail)
+
+
 def test_alignment_agrees_with_the_full_table():
     rng = random.Random(5)
     for _ in range(40):
