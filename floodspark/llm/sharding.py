@@ -6,8 +6,8 @@ by address prefix in Spark: a level's sums are split only below the oversized bu
 bits at a time, so no level lists more than the buckets that still need a split, times 2**STRIDE.
 
 Rows of one key share an address. Where equal keys alone exceed the limit, no bit can part them: after
-``DEPTH`` bits they form overflow buckets by a running sum of their bytes, numbered from 1; a single row over
-the limit is alone in one. A null key is the empty string, null and empty texts have no bytes, an empty table
+``DEPTH`` bits they form overflow buckets, numbered from 1: rows over half the limit have one each, the others
+share one for each half of the limit in their running sum, so that only a single row may exceed the limit. A null key is the empty string, null and empty texts have no bytes, an empty table
 gives no rows, and further columns pass through.
 """
 
@@ -81,13 +81,16 @@ def assign(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limit:
     fits = out.filter(~over).withColumn("overflow", F.lit(0).cast("long"))
     # Pages of equal keys: running bytes within 256 salted parts keep any one task's share small.
     part = F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(256))
-    run = Window.partitionBy("shard", "__part").orderBy("n_bytes", text_col).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.least("n_bytes", F.lit(limit))).over(run), F.lit(0))
+    order = Window.partitionBy("shard", "__part", "__large").orderBy("n_bytes", text_col)
+    before = F.coalesce(F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Even pages are shared, odd ones have a single row.
+    page = F.when(F.col("__large"), 2 * F.row_number().over(order) - 1).otherwise(2 * F.floor(before * 2 / limit))
     paged = (
         out.filter(over)
         .withColumn("__part", part)
-        .withColumn("overflow", 1 + F.col("__part") + 256 * F.floor(before * 2 / limit).cast("long"))
-        .drop("__part")
+        .withColumn("__large", F.col("n_bytes") * 2 > limit)
+        .withColumn("overflow", 1 + F.col("__part") + 256 * page.cast("long"))
+        .drop("__part", "__large")
     )
     return fits.unionByName(paged).drop("shard_bytes")
 
