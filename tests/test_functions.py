@@ -91,3 +91,21 @@ def test_river_cut_conserves_length_and_splits_half_way(spark):
     n = net.first().len_m
     assert [p.owner for p in pieces] == [5, 6]
     assert abs(pieces[0].to_m - n / 2) < 1 and pieces[0].from_m == 0 and abs(pieces[-1].to_m - n) < 1e-6
+
+
+def test_nearest_takes_far_and_few_gauges(spark):
+    import math
+
+    a = [(1, 30.0, -97.0), (2, -40.0, 170.0), (3, 60.0, 10.0), (4, None, 5.0)]
+    b = [(i, 30.0 + i / 3, -97.0 + i) for i in range(6)] + [(20, -41.0, 171.0), (21, 5.0, 120.0)]
+
+    def km(p, q):
+        x, y = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
+
+    points = spark.createDataFrame(a, "id long, lat double, lon double")
+    for some, more in ((b[:3], {}), (b, {"block": 3})):
+        gauges = spark.createDataFrame(some, "rid long, rlat double, rlon double")
+        got = sorted((r.id, r.place, r.rid) for r in nearby.nearest(points, gauges, 5, 80.0, **more).collect())
+        assert got == [(p[0], i, q[0]) for p in a[:3] for i, q in enumerate(sorted(some, key=lambda q: (km(p, q), q[0]))[:5], 1)]
