@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodspark.llm.text import written
+from floodspark.llm.text import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,14 +19,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return near.filter("v <> m").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node in the edges (a, b): component is the least node reachable.
 
     Rounds shorten chains until every node links straight to its component's least node. Rounds are
-    written to the shared folder, so that a lost executor costs one round. Self-links and repeated
-    edges do no harm; an empty table gives no rows.
+    written to the shared folder, so that a lost executor costs one round; a round's table goes once the
+    next one stands. Self-links and repeated edges do no harm; an empty table gives no rows.
     """
-    now = written(
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.written(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges"
     )
     while True:
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             stars.select(F.col("m").alias("u"), "v")
         )
-        now = written(_star(both, large=False), "edges")
+        now = scratch.written(_star(both, large=False), "edges")
         # Done when every node has one link, and none that has one is linked to.
         ends = now.select(F.col("v").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in_")).unionByName(
             now.select(F.col("m").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in_"))

@@ -2,25 +2,26 @@
 
 1. Every text gets the 64-bit hashes of its k-word shingles and, for each of ``PERMUTATIONS`` hash
    functions, both the least and the greatest value: two unbiased signature entries for one
-   evaluation. Bands of ``ROWS`` entries make bucket keys. Texts with equal sets are one class, which
-   its least id represents.
+   evaluation. Bands of ``ROWS`` entries make bucket keys. Texts with equal sets are one class, and
+   one row stands for it; sets that are too small to reach the threshold with any other set get no bands.
 2. In each bucket with several classes, a member is tried against the bucket's pivot; only its best
    pivot by signature is confirmed. Confirmed links join into components. The pivot is the member with the
    largest buckets, which is the likeliest to be near all others.
-3. What is still apart inside a bucket is compared exhaustively by signature: pairs in small buckets,
-   block against block in large ones, where blocks of the largest component are not compared with
-   each other and a pair counts in its first common bucket only. Pairs whose signatures allow the
-   threshold are confirmed on their full sets: first each member's best in large buckets, then all that
-   are still apart.
+3. Buckets that still hold several components get their members' full sets, in blocks of about
+   ``BLOCK_BYTES``: each two blocks meet in one group, but not two blocks of the bucket's largest
+   component. Inside a group, pairs of different components whose sizes and signatures allow the
+   threshold are confirmed exactly, and a union-find leaves out what is connected by then, so a
+   group returns at most one link for each of its components, never a list of pairs.
 
-Every two texts in a bucket thus end up in one component, or are compared, so no link is lost but by
-the banding (at 85 % under 3e-10, at 80 % under 5e-8 of the links) and the signature bound (4.5
-standard deviations: 4e-6 of the links at the threshold itself). All tables between steps are files in the shared folder.
+Every two texts in a bucket thus end up in one component, or are compared in their first common
+bucket, so no link is lost but by the banding (at 85 % under 3e-10, at 80 % under 5e-8 of the links)
+and the signature bound (4.5 standard deviations: 4e-6 of the links at the threshold itself). All
+tables between steps are files in the shared folder and are deleted at the end, but for the result.
 
 Null and empty texts have no shingles and link with nothing; shorter texts than k words are one
-shingle; equal texts and repeated rows are one class; rows that share an id count as one text. Rows
-with a null id are kept and linked with nothing. Further columns are ignored; an empty table gives
-no rows.
+shingle; equal texts and repeated rows are one class. Rows that share an id are one document: a link
+of one is a link of all that have words. Rows with a null id are kept and linked with nothing. Ids
+are whole numbers. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,17 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.llm import graph
-from floodspark.llm.text import mixed, runs, shingle_hashes, strings, word_hashes, written
+from floodspark.llm.text import Scratch, mixed, runs, shingle_hashes, strings, word_hashes
 
 PERMUTATIONS, BANDED, ROWS = 128, 64, 4
 SLICE = 1 << 18
-SMALL, BLOCK = 32, 512
+BLOCK_BYTES = 4 << 20
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _BAND = _rng.integers(1, 1 << 63, (2 * BANDED // ROWS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FEATURES = "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
+_SET = ["n_shingles", "set_a", "set_b"]
 
 
 def _sliced(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -61,6 +62,11 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     )
 
 
+def _named(u: np.ndarray) -> tuple[int, np.int64, np.int64]:
+    """Size and 128-bit fingerprint of a set of distinct hashes."""
+    return len(u), mixed(u).sum().view(np.int64), mixed(u * _A[0]).sum().view(np.int64)
+
+
 def features(docs: DataFrame, k: int) -> DataFrame:
     """docs (id, text) with set size, a 128-bit fingerprint of the set, signature and bucket keys."""
 
@@ -74,9 +80,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(count)])
                 size, a, b = (np.zeros(m, np.int64) for _ in range(3))
                 for r in full:
-                    u = np.unique(s[at[r] : at[r + 1]])
-                    size[r] = len(u)
-                    a[r], b[r] = mixed(u).sum().view(np.int64), mixed(u * _A[0]).sum().view(np.int64)
+                    size[r], a[r], b[r] = _named(np.unique(s[at[r] : at[r + 1]]))
                 low, high = np.zeros((PERMUTATIONS, m), np.uint64), np.zeros((PERMUTATIONS, m), np.uint64)
                 if len(full):
                     for p in range(PERMUTATIONS):
@@ -98,23 +102,24 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                         pa.array([x.tobytes() for x in signs], pa.binary()),
                         _lists([x if c else x[:0] for x, c in zip(keys, count)]),
                     ],
-                    names=["id", "n_shingles", "set_a", "set_b", "signature", "bands"],
+                    names=["id", *_SET, "signature", "bands"],
                 )
 
-    return docs.mapInArrow(run, _FEATURES)
+    return docs.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (id, text) with the distinct shingles' hashes."""
+    """docs (id, text) with the distinct shingles' hashes and the set's size and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, s, of in _sliced(batch, k):
                 at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))])
-                sets = _lists([np.unique(s[a:z]) for a, z in zip(at, at[1:])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], names=["id", "shingles"])
+                sets = [np.unique(s[a:z]) for a, z in zip(at, at[1:])]
+                names = [pa.array(c, pa.int64()) for c in zip(*map(_named, sets))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *names, _lists(sets)], names=["id", *_SET, "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, shingles array<long>")
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -139,8 +144,8 @@ def _least(percent: int) -> float:
 
 def estimated(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow the threshold, with their estimate."""
-    left = signs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    right = signs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
+    left = signs.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
+    right = signs.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     least = _least(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,166 +165,199 @@ def estimated(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").filter(
         100 * both >= percent * (F.size("sa") + F.size("sb") - both)
     ).select("a", "b")
 
 
-def _in_blocks(apart: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs from large buckets, or each member's best in each block. apart: bucket, id, component, n_shingles, signature, size, main.
+def in_blocks(apart: DataFrame, block_bytes: int) -> DataFrame:
+    """apart (bucket, node, component, n_shingles, ...) dealt into groups (bucket, i, j), with each row's block in ``code``.
 
-    main tells the bucket's largest component. Members fall into blocks of about BLOCK rows by hash;
-    each two blocks meet in one group, but not two blocks of the main component.
+    A bucket of at most block_bytes is one group. In a larger one, the largest component's blocks come
+    before the others' ("rest"); each block of the rest meets every block in the group of both codes.
     """
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.when(F.col("component") == F.col("main"), F.lit(0)).otherwise(1)
-    placed = apart.withColumn("own", own).withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-    code = F.col("block") * 2 + F.col("own")
-    # A block meets every block of the others with a code not below its own: as left below, as right above.
-    others = F.filter(
-        F.sequence(F.lit(0), n_blocks * 2 - 1), lambda c: (F.col("own") == 1) | (c % 2 == 1)
-    )
-    dealt = placed.withColumn("code", code).withColumn("other", F.explode(others)).select(
+    bytes_ = F.sum(8 * F.col("n_shingles") + 512)
+    parts = apart.groupBy("bucket", "component").agg(bytes_.alias("bytes"))
+    shape = parts.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.max(F.struct("bytes", "component")).alias("m")).select(
         "bucket",
-        F.least("code", "other").alias("i"),
-        F.greatest("code", "other").alias("j"),
-        "code",
-        "id",
-        "component",
-        "n_shingles",
-        "signature",
-        "bands",
+        F.col("m.component").alias("main"),
+        F.when(F.col("all") <= block_bytes, 0).otherwise(F.ceil(F.col("m.bytes") / block_bytes)).cast("int").alias("n_main"),
+        F.when(F.col("all") <= block_bytes, 1).otherwise(F.ceil((F.col("all") - F.col("m.bytes")) / block_bytes)).cast("int").alias("n_rest"),
     )
-    least = _least(percent)
+    of_main = (F.col("component") == F.col("main")) & (F.col("n_main") > 0)
+    code = F.when(of_main, F.pmod(F.xxhash64("node"), F.greatest("n_main", F.lit(1)))).otherwise(
+        F.col("n_main") + F.pmod(F.xxhash64("node"), "n_rest")
+    )
+    others = F.sequence(F.when(of_main, F.col("n_main")).otherwise(0), F.col("n_main") + F.col("n_rest") - 1)
+    return (
+        apart.join(shape, "bucket")
+        .select(*apart.columns, code.cast("int").alias("code"), F.explode(others).alias("other"))
+        .withColumn("i", F.least("code", "other"))
+        .withColumn("j", F.greatest("code", "other"))
+        .drop("other")
+    )
+
+
+class _Rows:
+    """Rows of groups as arrays."""
 
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        code, ids = group.column("code").to_numpy(), group.column("id").to_numpy()
-        comp, n = group.column("component").to_numpy(), group.column("n_shingles").to_numpy()
-        signs = _matrix(group.column("signature").combine_chunks())
-        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        here = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
-        left, right = np.flatnonzero(code == i), np.flatnonzero(code == j)
-        out_a, out_b, out_e = [], [], []
-        for r in left:
-            at = right[(comp[right] != comp[r]) & _may_link(n[right], n[r], percent)]
-            if i == j:
-                at = at[ids[at] > ids[r]]
-            e = _agreement(signs[at], signs[r])
-            at, e = at[e >= least], e[e >= least]
-            first = (bands[at] == bands[r]).argmax(1) == here
-            at, e = at[first], e[first]
-            if best_only and len(at):
-                at, e = at[[e.argmax()]], e[[e.argmax()]]
-            out_a.append(np.minimum(ids[at], ids[r]))
-            out_b.append(np.maximum(ids[at], ids[r]))
-            out_e.append(e)
-        none = np.zeros(0, np.int64)
-        return pa.table(
-            {"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b]), "estimate": np.concatenate([none.astype(float), *out_e])}
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.bucket, self.i, self.j, self.code, self.node, self.component, self.n = (
+            batch.column(c).to_numpy() for c in ("bucket", "i", "j", "code", "node", "component", "n_shingles")
         )
+        self.signs = _matrix(batch.column("signature"))
+        self.bands = batch.column("bands").flatten().to_numpy().reshape(len(self.node), -1)
+        self.shingles = batch.column("shingles").flatten().to_numpy()
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+
+    def groups(self) -> np.ndarray:
+        """Where groups start, and the end."""
+        new = (self.bucket[1:] != self.bucket[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [len(self.node)]])
+
+
+def _links(x: _Rows, lo: int, hi: int, percent: int, least: float) -> list[tuple[int, int]]:
+    """Links inside one group that connect as much as all its links would."""
+    label = x.component[lo:hi].copy()
+    if (label == label[0]).all():
+        return []
+    n, signs, bands, code = x.n[lo:hi], x.signs[lo:hi], x.bands[lo:hi], x.code[lo:hi]
+    i, j = x.i[lo], x.j[lo]
+    here = int(np.flatnonzero(bands[0] == x.bucket[lo])[0])
+    left, right = np.flatnonzero(code == i), np.flatnonzero(code == j)
+    at = x.at[lo : hi + 1] - x.at[lo]
+    place, mark, out = None, None, []
+    for r in left:
+        c = right[right > r] if i == j else right
+        c = c[(label[c] != label[r]) & _may_link(n[c], n[r], percent)]
+        if len(c):
+            c = c[_agreement(signs[c], signs[r]) >= least]
+        if len(c):
+            c = c[(bands[c] == bands[r]).argmax(1) == here]  # a pair counts in its first common bucket
+        if not len(c):
+            continue
+        if place is None:
+            values, place = np.unique(x.shingles[x.at[lo] : x.at[hi]], return_inverse=True)
+            mark = np.zeros(len(values), bool)
+        own = place[at[r] : at[r + 1]]
+        mark[own] = True
+        if 4 * len(c) > len(n):
+            common = np.add.reduceat(mark[place], at[:-1], dtype=np.int64)[c]
+        else:
+            common = np.array([np.count_nonzero(mark[place[at[y] : at[y + 1]]]) for y in c])
+        mark[own] = False
+        for y in c[100 * common >= percent * (n[c] + n[r] - common)]:
+            if label[y] != label[r]:
+                label[label == label[y]] = label[r]
+                out.append((x.node[lo + r], x.node[lo + y]))
+    return out
+
+
+def spanning_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect, inside each group of in_blocks(), what all its links do."""
+    least = _least(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batch: pa.RecordBatch, whole: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            """The links of a batch's groups, and its last group, which may go on (not if whole)."""
+            x = _Rows(batch)
+            edges = x.groups()
+            out = [e for lo, hi in zip(edges, edges[1:] if whole else edges[1:-1]) if hi - lo > 1 for e in _links(x, lo, hi, percent, least)]
+            columns = list(zip(*out)) or [(), ()]
+            links = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            return links, batch.slice(edges[-2])
+
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                if rest is not None:
+                    batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+                links, rest = found(batch, False)
+                yield links
+        if rest is not None:
+            yield found(rest, True)[0]
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, estimate double")
+    group = ["bucket", "i", "j"]
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """One row for each of docs: id_col, n_shingles, component_id (the least id reachable), kept.
 
     Links texts whose shingle sets have 100 * intersection >= percent * union.
     """
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    facts = written(features(texts, k), "features")
-    key = ["n_shingles", "set_a", "set_b"]
+    facts = scratch.written(features(texts, k).withColumn("node", F.monotonically_increasing_id()), "features")
     some = facts.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy(*key).agg(F.min("id").alias("rep")), "classes")
-    # An id's row of the class that it represents; repeated rows fall away by the aggregate below.
-    alone = facts.join(classes.withColumnRenamed("rep", "id"), [*key, "id"]).dropDuplicates(["id"])
-    banded = alone.select("id", F.explode("bands").alias("bucket"))
+    # One row, the node, stands for each class of equal sets.
+    classes = scratch.written(some.groupBy(*_SET).agg(F.min(F.struct("id", "node")).alias("m")).select(*_SET, "m.*"), "classes")
+    # A set of n shingles reaches n / (n + 1) at most with another set that is not smaller.
+    wide = some.filter(F.col("n_shingles") * (100 - percent) >= percent)
+    nodes = wide.join(classes.select("node"), "node")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(banded.join(full, "bucket"), "members")
-    ids = members.select("id").distinct()
-    signs = written(alone.select("id", "n_shingles", "signature", "bands").join(ids, "id"), "signatures")
-    sets = written(
-        shingle_sets(texts.join(signs.select("id"), "id", "left_semi"), k).dropDuplicates(["id"]), "sets"
-    )
-    labels = signs.select("id", F.col("id").alias("component"))
+    members = scratch.written(banded.join(full, "bucket"), "members")
+    ids = members.select("node").distinct()
+    signs = scratch.written(nodes.select("node", "id", *_SET, "signature", "bands").join(ids, "node"), "signatures")
+    raw = shingle_sets(texts.join(signs.select("id"), "id", "left_semi"), k).dropDuplicates(["id", *_SET])
+    sets = scratch.written(raw.join(signs.select("node", "id", *_SET), ["id", *_SET]).select("node", "shingles"), "sets")
+    labels = signs.select("node", F.col("node").alias("component"))
 
     def joined(links: DataFrame, labels: DataFrame) -> DataFrame:
         """labels after the links between components."""
-        a = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
-        b = labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
+        a = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
+        b = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
         ends = links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        new = graph.components(ends)
-        return written(
-            labels.join(new, labels["component"] == new["node"], "left").select(
-                "id", F.coalesce(new["component"], labels["component"]).alias("component")
-            ),
+        new = graph.components(ends, scratch).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        return scratch.written(
+            labels.join(new, labels["component"] == new["old"], "left").select("node", F.coalesce("new", "component").alias("component")),
             "labels",
         )
 
-    def split(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members with their components, and the buckets that hold several."""
-        now = members.join(labels, "id")
-        several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return now, several.filter("lo < hi").select("bucket")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        """Of each id, the pair with the highest estimate, as a."""
-        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
-        return ends.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-
-    central = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    ranked = members.join(central, "id")
-    pivots = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("pivot"))
-    tries = (
-        members.join(pivots, "bucket").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    )
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+    tries = members.join(pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = estimated(tries, signs, percent).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m"))
     labels = joined(confirmed(first.select("a", F.col("m.b").alias("b")), sets, percent), labels)
 
-    def apart(labels: DataFrame) -> DataFrame:
-        now, several = split(labels)
-        return written(now.join(several, "bucket", "left_semi"), "apart")
-
-    def blocked(open_: DataFrame, best_only: bool) -> DataFrame:
-        large = open_.filter(F.col("size") > SMALL)
-        main = (
-            large.groupBy("bucket", "component")
-            .agg(F.count("*").alias("n"))
-            .groupBy("bucket")
-            .agg(F.max(F.struct("n", "component")).alias("m"))
-            .select("bucket", F.col("m.component").alias("main"))
-        )
-        return _in_blocks(large.join(main, "bucket").join(signs, "id"), percent, best_only)
-
-    # Large buckets first give each member's best only, so that few of them are apart when all pairs count.
-    labels = joined(confirmed(best(blocked(apart(labels), best_only=True)), sets, percent), labels)
-    open_ = apart(labels)
-    small = open_.filter(F.col("size") <= SMALL)
-    x = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = estimated(x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct(), signs, percent)
-    listed = pairs.unionByName(blocked(open_, best_only=False)).select("a", "b").distinct()
-    labels = joined(confirmed(listed, sets, percent), labels)
-
-    reps = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        *key, F.coalesce("component", "rep").alias("component")
-    )
-    return facts.join(reps, key, "left").select(
+    now = members.join(labels, "node").select("bucket", "node", "component")
+    several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    apart = now.join(several.select("bucket"), "bucket", "left_semi").join(signs.select("node", "n_shingles"), "node")
+    dealt = in_blocks(scratch.written(apart, "apart"), block_bytes)
+    whole = signs.select("node", "signature", "bands").join(sets, "node")
+    links = scratch.written(spanning_links(dealt.join(whole, "node"), percent), "links")
+    labels = joined(links, labels)
+
+    # Ids with several sets link the classes of these sets.
+    differ = some.groupBy("id").agg(F.min(F.struct(*_SET)).alias("lo"), F.max(F.struct(*_SET)).alias("hi")).filter("lo <> hi").select("id")
+    own = labels.withColumnRenamed("node", "member")
+    labelled = classes.join(own, classes["node"] == own["member"], "left").select(*_SET, "id", F.coalesce("component", "node").alias("component"))
+    labelled = scratch.written(labelled, "labelled")
+    twice = some.select("id", *_SET).join(differ, "id", "left_semi").join(labelled.select(*_SET, "component"), _SET)
+    same = twice.join(twice.groupBy("id").agg(F.min("component").alias("b")), "id").select(F.col("component").alias("a"), "b")
+    merged = graph.components(same, scratch).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    labelled = labelled.join(merged, "component", "left").select(*_SET, "id", F.coalesce("new", "component").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("id").alias("least"))
+    known = labelled.join(least, "component").select(*_SET, "least")
+    # Without words, or without an id, a row stands for itself.
+    out = facts.join(known, (F.col("id").isNotNull() & (facts["n_shingles"] == known["n_shingles"]) & (facts["set_a"] == known["set_a"]) & (facts["set_b"] == known["set_b"])), "left").select(
         F.col("id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id")).alias("component_id"),
-        (F.col("id").isNull() | (F.col("id") == F.coalesce("component", "id"))).alias("kept"),
+        facts["n_shingles"],
+        F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"),
+        F.coalesce(F.col("id") == F.coalesce("least", "id"), F.lit(True)).alias("kept"),
     )
+    out = scratch.written(out, "near-duplicates")
+    scratch.keep_only("near-duplicates")
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that an earlier id is a near copy of."""
-    verdicts = near_duplicates(docs, id_col, "text", k, percent).filter("NOT kept").select(id_col).distinct()
-    return docs.join(verdicts, id_col, "left_anti").select(*docs.columns)
+    """docs without the rows that an earlier id is a near copy of; rows with a null id stay."""
+    verdicts = near_duplicates(docs, id_col, "text", k, percent).filter("NOT kept").select(F.col(id_col).alias("__near")).distinct()
+    return docs.join(verdicts, F.col(id_col).cast("long") == F.col("__near"), "left_anti")

@@ -33,24 +33,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where Spark runs inside one machine's process (tests)."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
-    if not folder:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
+    known = sc._jsc.sc().getCheckpointDir()
+    if not folder and known.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if known.isEmpty():
         sc.setCheckpointDir(folder)
-    return folder
+    return folder or known.get()
+
+
+class Scratch:
+    """An operator's tables between steps: Parquet in the shared folder, from which later steps start.
+
+    Writing a name again deletes that name's table before, once the new one is complete.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
+        self.paths: dict[str, str] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{name}-{self.n}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes these tables, which nothing may read any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            if name in self.paths:
+                path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(conf).delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(n for n in list(self.paths) if n not in names))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later steps start from the files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written as Parquet to the shared folder and read again; the table stays."""
+    return Scratch(df.sparkSession).written(df, name)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -310,13 +310,34 @@ def test_block_comparison_loses_no_pair(spark):
         for _ in range(rng.randint(3, 8)):
             copy[rng.randrange(100)] = word()
         texts.append(" ".join(copy))
-    small, block = neardup.SMALL, neardup.BLOCK
-    neardup.SMALL, neardup.BLOCK = 4, 16
-    try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts), k=3, percent=85).collect()}
-    finally:
-        neardup.SMALL, neardup.BLOCK = small, block
-    assert [got[i] for i in range(150)] == brute(texts, 3, 85)
+    want = brute(texts, 3, 85)
+    for size in (3 * 1300, 40 * 1300):  # a few rows a block, and tens
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts), k=3, percent=85, block_bytes=size).collect()}
+        assert [got[i] for i in range(150)] == want
+
+
+def test_a_large_group_around_the_threshold(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(2000):
+        copy = list(base)
+        for _ in range(rng.randint(2, 5)):
+            copy[rng.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts), k=3, percent=85).collect()}
+    want = brute(texts, 3, 85)
+    assert [got[i] for i in range(2000)] == want and 1 < len(set(want)) < 2000
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (1, one), (2, one + " x"), (3, two + " y"), (1, None), (None, one), (4, "other words"), (5, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, k=3, percent=85).collect())
+    assert got == [(0, 58, None, True), (1, 0, 1, True), (1, 58, 1, True), (1, 58, 1, True), (1, 58, 1, True), (2, 59, 1, False), (3, 59, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+    assert sorted(r.doc_id or 0 for r in neardup.drop_near_duplicates(docs, k=3, percent=85).collect()) == [0, 1, 1, 1, 1, 4]
 
 
 def test_components_of_a_chain(spark):
