@@ -6,9 +6,13 @@ backpropagation through time on a bounded sample: at most ``SAMPLE`` labelled do
 the least hashes within their language, with ``PER_DOCUMENT`` windows of each, taken at places that a
 hash of the document's id chooses. Predicting runs in Arrow tasks over all bytes.
 
+A hash threshold, from the counts of each language's documents, lets about twice the sample pass before
+anything is ranked or moved; an id with several texts gives one of them. Labels are assumed to be few, as languages are.
+
 ``und`` with score 0 is predicted for null or empty texts and those without a letter, and everywhere
 if no labelled text exists. Ties go to the first language in order. Repeated rows are predicted alike;
-further columns are ignored; an empty table gives no rows.
+further columns are ignored; an empty table gives no rows. Ids are whole numbers, and a null one is learned
+from and predicted like others.
 """
 
 from __future__ import annotations
@@ -144,25 +148,23 @@ class Network:
 
 def sample(docs: DataFrame, train, label_col: str = "lang") -> DataFrame:
     """At most SAMPLE labelled documents, as many of each language as of any where there are enough: y, and windows of bytes."""
-    known = docs.filter(train & F.col(label_col).isNotNull() & (F.length("text") > 0))
-    n_labels = known.select(label_col).distinct().count()
-    rank = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = docs.filter(train & F.col(label_col).isNotNull() & (F.length("text") > 0)).select(F.col(label_col).alias("y"), "doc_id", "text")
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    each = max(1, SAMPLE // max(len(counts), 1))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # Twice what is wanted, and some more, so that each language has enough in all likelihood.
+    shares = [x for y, n in counts.items() for x in (F.lit(y), F.lit(min(1 << 40, ((2 * each + 60) << 40) // max(n, 1))))]
+    below = F.create_map(*shares)[F.col("y")] if shares else F.lit(0)
     raw = F.encode("text", "UTF-8")
-    size = F.octet_length("text")
     places = F.array(*[
-        F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(size - WINDOW + 1, F.lit(1))).cast("int") for i in range(PER_DOCUMENT)
+        F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.octet_length("text") - WINDOW + 1, F.lit(1))).cast("int") for i in range(PER_DOCUMENT)
     ])
-    cut = known.select(
-        F.col(label_col).alias("y"),
-        "doc_id",
-        F.transform(places, lambda p: F.substr(raw, p + 1, F.lit(WINDOW))).alias("windows"),
-    )
-    return (
-        cut.withColumn("rank", F.row_number().over(rank))
-        .filter(F.col("rank") <= max(1, SAMPLE // max(n_labels, 1)))
-        .orderBy("y", "rank")
-        .select("y", "windows")
+    cut = known.filter(place <= below).select(
+        "y", "doc_id", F.transform(places, lambda p: F.substr(raw, p + 1, F.lit(WINDOW))).alias("windows")
     )
+    one = cut.groupBy("y", "doc_id").agg(F.min("windows").alias("windows"))
+    rank = Window.partitionBy("y").orderBy(place, "doc_id")
+    return one.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= each).orderBy("y", "rank").select("y", "windows")
 
 
 def fit(docs: DataFrame, train, label_col: str = "lang") -> Network | None:

@@ -6,11 +6,12 @@ boundaries that minimise padding. Inside each bucket, batches hold as many rows
 ``token_budget`` tokens once padded to the boundary (one row at least). packed() takes op4's token counts as
 lengths, counted once and written; pack() takes any length, and words where none is given.
 
-Rows of a bucket are dealt by hash into groups of about ``GROUP`` rows, whose number the histogram
-gives; batches form inside a group, in the order of its length and id, so no task sees a whole
-bucket and only a group's last batch may be partly filled. Null and empty texts have length 0 and are
-packed in the first bucket; repeated rows are packed like others; an empty table gives no rows;
-further columns pass through.
+Lengths are written once with a number for each row. Rows of a bucket are dealt by a hash of that number into groups
+of about ``GROUP`` rows, whose count the histogram gives; batches form inside a group, in the order of
+its length and id, so no task sees a whole bucket, however often a row repeats, and only a group's last
+batch may be partly filled. Null and empty texts have length 0 and are packed in the first bucket;
+repeated rows and null ids are packed like others; an empty table gives no rows. The result refers to
+texts by id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from floodspark.llm import tokens
-from floodspark.llm.text import SPACE, written
+from floodspark.llm.text import SPACE, Scratch
 
 BUCKETS, BUDGET, GROUP = 8, 16384, 4096
 
@@ -81,29 +82,34 @@ def pack(
     token_budget: int = BUDGET,
     group: int = GROUP,
 ) -> DataFrame:
-    """docs with n_words (the length, in whatever unit), boundary (its bucket), batch_id and pad (boundary less length)."""
+    """id_col, n_words (the length, in whatever unit), boundary (its bucket), batch_id and pad (boundary less length) of each row."""
     length = word_count(F.col("text")) if length is None else length
-    sized = docs.withColumn("n_words", length.cast("long"))
-    cells = sized.groupBy("n_words").agg(F.count("*").alias("n")).orderBy("n_words").collect()
-    edges = boundaries([r.n_words for r in cells], [r.n for r in cells], buckets)
+    scratch = Scratch(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("n"))
+    sized = scratch.written(slim.withColumn("row", F.monotonically_increasing_id()), "lengths")
+    cells = sized.groupBy("n").agg(F.count("*").alias("rows")).orderBy("n").collect()
+    edges = boundaries([r.n for r in cells], [r.rows for r in cells], buckets)
     if not edges:
         edges = [0]
-    held = [sum(r.n for r in cells if lo < r.n_words <= hi) for lo, hi in zip([-1, *edges], edges)]
+    held = [sum(r.rows for r in cells if lo < r.n <= hi) for lo, hi in zip([-1, *edges], edges)]
     boundary, groups = F.lit(None).cast("long"), F.lit(1)
-    for e, n in reversed(list(zip(edges, held))):
-        boundary = F.when(F.col("n_words") <= e, F.lit(e).cast("long")).otherwise(boundary)
-        groups = F.when(F.col("n_words") <= e, F.lit(max(1, -(-n // group)))).otherwise(groups)
-    placed = sized.withColumn("boundary", boundary).withColumn("__group", F.pmod(F.xxhash64(id_col), groups))
-    order = Window.partitionBy("boundary", "__group").orderBy("n_words", id_col)
+    for e, rows in reversed(list(zip(edges, held))):
+        boundary = F.when(F.col("n") <= e, F.lit(e).cast("long")).otherwise(boundary)
+        groups = F.when(F.col("n") <= e, F.lit(max(1, -(-rows // group)))).otherwise(groups)
+    placed = sized.withColumn("boundary", boundary).withColumn("group", F.pmod(F.xxhash64("row"), groups))
+    order = Window.partitionBy("boundary", "group").orderBy("n", "id", "row")
     fit = F.greatest(F.floor(F.lit(token_budget) / F.greatest(F.col("boundary"), F.lit(1))), F.lit(1))
     batch = F.floor((F.row_number().over(order) - 1) / fit)
-    return placed.withColumn(
-        "batch_id", F.concat_ws("-", "boundary", "__group", batch.cast("string"))
-    ).withColumn("pad", F.col("boundary") - F.col("n_words")).drop("__group")
+    return placed.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_words"),
+        "boundary",
+        F.concat_ws("-", "boundary", "group", batch.cast("string")).alias("batch_id"),
+        (F.col("boundary") - F.col("n")).alias("pad"),
+    )
 
 
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The result of packing without the texts, which a batch's ids refer to; n_words holds tokens (path: the tokenizer's file)."""
+    """pack() with the token counts of docs (doc_id, text) as lengths (path: the tokenizer's file)."""
     counts = tokens.count_tokens(docs, path or public_tokenizers.path("byte_bpe_50k.json"))
-    slim = written(counts.select("doc_id", "n_tokens"), "lengths")
-    return pack(slim, length=F.col("n_tokens")).select("doc_id", "n_words", "boundary", "batch_id", "pad")
+    return pack(counts, length=F.col("n_tokens"))

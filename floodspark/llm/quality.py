@@ -5,8 +5,12 @@ measures how long each rule takes and how many rows it rejects, then applies the
 per second; coalesce() stops at the first that rejects, so later rules' statistics are not computed
 for that row. The order changes speed only: a text is kept when no rule rejects it.
 
-Null and empty texts have no words and are rejected by ``few_words``. Repeated rows are judged alike,
-an empty table gives no rows, and further columns pass through.
+The sample has at most ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` each, from the first partitions that
+hold enough; nothing but the order rests on it.
+
+Null and empty texts have no words and are rejected by ``few_words``. Repeated rows are judged alike, an
+empty table gives no rows, and ids may be null or repeat. Further columns pass through; rejected_by() replaces a
+column of that name, and keep_good() leaves it as it was.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from floodspark.llm.text import SPACE
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _STATS = "__quality"
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 15
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -133,11 +138,11 @@ def order_rules(
     docs: DataFrame,
     text_col: str = "text",
     rules: dict[str, Callable[[Column, Column], Column]] = RULES,
-    sample_rows: int = 1000,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> list[str]:
     """The rules' names by rejected sample rows per second of the rule's own work, best first."""
     # take() reads partitions one by one until it has enough, so the sample is bounded and moves nothing else.
-    rows = docs.select(text_col).take(sample_rows)
+    rows = docs.select(text_col).filter(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES).take(sample_rows)
     local = docs.sparkSession.createDataFrame(rows, docs.select(text_col).schema)
     sample = with_words(local, text_col).persist()
     try:
@@ -167,16 +172,17 @@ def rejected_by(
     order: list[str] | None = None,
 ) -> DataFrame:
     """docs with ``rejected_by``: the first rule of the cascade that rejects the text, else null."""
-    order = order or order_rules(docs, text_col, rules)
+    return docs.withColumn("rejected_by", _cascade(text_col, rules, order or order_rules(docs, text_col, rules)))
+
+
+def _cascade(text_col: str, rules: dict[str, Callable[[Column, Column], Column]], order: list[str]) -> Column:
     text = F.col(text_col)
-    cascade = bound(
-        words(text), lambda ws: F.coalesce(*[F.when(rules[name](text, ws), F.lit(name)) for name in order])
-    )
-    return docs.withColumn("rejected_by", cascade)
+    return bound(words(text), lambda ws: F.coalesce(*[F.when(rules[name](text, ws), F.lit(name)) for name in order]))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return rejected_by(docs, text_col).filter(F.col("rejected_by").isNull()).select(*docs.columns)
+    """docs without the rows that a rule rejects."""
+    return docs.filter(_cascade(text_col, RULES, order_rules(docs, text_col)).isNull())
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("text_bytes"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign(docs, limit=1 << 20).select("doc_id", "n_bytes", "shard", "depth", "overflow")
 
 

@@ -4,8 +4,8 @@ A text's base secrets are found by three patterns. Then every layer of the text
 (percent escapes, Unicode escapes, base64, and zlib or gzip data inside base64) goes on a worklist:
 it is decoded, scanned, and searched for further layers until none is new. A layer whose content was
 seen before at the same place of this document is not decoded again, so cycles end, and each place of a
-repeated layer is reported. Base64 may be wrapped in lines. Plain base64 counts as a layer if it is valid
-UTF-8; inflated data always does. Data is inflated to its end (all members, however often compressed)
+repeated layer is reported. Base64 may be wrapped in lines. Bytes that are no UTF-8 stand as replacement
+characters, so they hide nothing around them. Data is inflated to its end (all members, however often compressed)
 in overlapping windows of about ``max_inflated`` bytes, so that a compression bomb takes time but little memory;
 a window grows only while one run without breaks lasts. Each decoded character
 keeps the range of the original text that it came from, so every finding is mapped to original code
@@ -22,9 +22,11 @@ import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -47,7 +49,8 @@ _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _BREAK = re.compile(r"""[^A-Za-z0-9+/_.=%\\{}"':\s-]""")
 _TOKEN = re.compile(r"(?:[^ \n]|\n[ \t]*)+ +")
 
-Span = tuple[int, int]
+#: Where each character of a layer came from: first and last + 1.
+Origin = tuple[np.ndarray, np.ndarray]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -61,26 +64,34 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _unpercent(text: str) -> tuple[str, list[Span]] | None:
-    """All percent escapes of a text decoded once, with each character's source range."""
-    out, spans, at = [], [], 0
+def _rebuilt(text: str, pieces: list[tuple[int, int, list[tuple[str, int, int]]]]) -> tuple[str, Origin] | None:
+    """A text with ranges (start, end, characters with their own ranges) replaced, and where each character came from."""
+    if not pieces:
+        return None
+    out, first, last, at = [], [], [], 0
+    for a, z, got in pieces:
+        out += [text[at:a], "".join(c for c, _, _ in got)]
+        for ends, k in ((first, 1), (last, 2)):
+            ends += [np.arange(at, a) + (k - 1), np.array([g[k] for g in got], np.int64)]
+        at = z
+    out.append(text[at:])
+    first.append(np.arange(at, len(text)))
+    last.append(np.arange(at, len(text)) + 1)
+    return "".join(out), (np.concatenate(first), np.concatenate(last))
+
+
+def _unpercent(text: str) -> tuple[str, Origin] | None:
+    """All percent escapes of a text decoded once; a byte that is no UTF-8 becomes a replacement character."""
+    pieces = []
     for m in _PERCENT.finditer(text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            got = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        out.append(text[at : m.start()] + got)
-        spans += [(i, i + 1) for i in range(at, m.start())]
-        p = m.start()
-        for c in got:
-            n = 3 * len(c.encode())
-            spans.append((p, p + n))
+        got, p = [], m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            bad = "\udc80" <= c <= "\udcff"
+            n = 3 if bad else 3 * len(c.encode())
+            got.append(("\ufffd" if bad else c, p, p + n))
             p += n
-        at = m.end()
-    if not out:
-        return None
-    return "".join(out) + text[at:], spans + [(i, i + 1) for i in range(at, len(text))]
+        pieces.append((*m.span(), got))
+    return _rebuilt(text, pieces)
 
 
 def _characters(run: re.Match) -> list[tuple[str, int, int]]:
@@ -99,23 +110,12 @@ def _characters(run: re.Match) -> list[tuple[str, int, int]]:
     return got
 
 
-def _ununicode(text: str) -> tuple[str, list[Span]] | None:
-    out, spans, at = [], [], 0
-    for run in _UNICODE.finditer(text):
-        got = _characters(run)
-        out.append(text[at : run.start()] + "".join(c for c, _, _ in got))
-        spans += [(i, i + 1) for i in range(at, run.start())] + [(a, z) for _, a, z in got]
-        at = run.end()
-    if not out:
-        return None
-    return "".join(out) + text[at:], spans + [(i, i + 1) for i in range(at, len(text))]
+def _ununicode(text: str) -> tuple[str, Origin] | None:
+    return _rebuilt(text, [(*run.span(), _characters(run)) for run in _UNICODE.finditer(text)])
 
 
 def _percent_run(m: re.Match) -> str:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return m[0]
+    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
 
 def _packed(raw: bytes) -> bool:
@@ -166,9 +166,9 @@ def _after(raw: bytes, window: int) -> int:
     return 0
 
 
-def _opened(body: str, window: int) -> tuple[str, Iterator[str]] | None:
-    """The name and text (in overlapping windows) of a base64 run, inflated as often as it can be."""
-    if len(body) < 16 or len(body) % 4 == 1 or (body.isalpha() and (body.islower() or body.istitle())):
+def _opened(body: str, window: int, strict: bool = False) -> tuple[str, Iterator[str]] | None:
+    """The name and text (in overlapping windows) of a base64 run, inflated as often as it can be; strict: text must be valid UTF-8."""
+    if len(body) < 16 or len(body) % 4 == 1:
         return None
     if (head := _unpadded(body)) is None:
         return None
@@ -189,10 +189,9 @@ def _opened(body: str, window: int) -> tuple[str, Iterator[str]] | None:
     if name != "base64":
         return name, _windows(chain([head], rest), window)
     try:
-        text = head.decode()
+        return name, iter([head.decode("utf-8", "strict" if strict else "replace")])
     except UnicodeDecodeError:
         return None
-    return (name, iter([text])) if text else None
 
 
 def _windows(chunks: Iterator[bytes], window: int) -> Iterator[str]:
@@ -245,13 +244,16 @@ def _block(text: str, lines: list[tuple[int, int]], window: int) -> Iterator[tup
         ends = [j + 2, j + 1] if j + 1 < n and len(bodies[j + 1]) < len(bodies[i]) else [j + 1]
         tries = [(max(i - 1, done), e) for e in ends] + [(i, e) for e in ends]
         for a, z in ([(0, n)] if not i else []) + tries:
-            if z - a > 1 and (got := _opened(body := "".join(bodies[a:z]), window)):
+            if z - a > 1 and (got := _opened(body := "".join(bodies[a:z]), window, strict=True)):
                 behind = _after(_unpadded(body) or b"", window)
                 if behind and 4 * behind >= 3 * len(bodies[z - 1]) - 4:  # the last line is no part of it
                     continue
                 yield lines[a:z], body, *got
                 j, done = z - 1, z
                 break
+        else:
+            if j > i and (got := _opened(body := "".join(bodies[i : j + 1]), window)):
+                yield lines[i : j + 1], body, *got
         i = j + 1
 
 
@@ -290,18 +292,24 @@ def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, i
     if not ("%" in text or "\\" in text or _BASE64.search(text) or _LINES.search(text)):
         return base, []
     added: set[tuple[str, int, int]] = set()
-    seen: set[tuple[str, tuple]] = set()
+    seen: set[tuple] = set()
     known: dict[str, set[tuple[str, str]]] = {}
     # A layer of the whole text: its content, its name, and where each character came from.
-    work: list[tuple[str, str, list[Span] | None]] = [(text, "", None)]
+    work: list[tuple[str, str, Origin | None]] = [(text, "", None)]
+    own = {kind: sorted((a, z) for k, a, z in base if k == kind) for kind in KINDS}
 
-    def origin(spans: list[Span] | None, a: int, z: int) -> Span:
-        return (a, z) if spans is None else (spans[a][0], spans[z - 1][1])
+    def origin(spans: Origin | None, a: int, z: int) -> tuple[int, int]:
+        return (a, z) if spans is None else (int(spans[0][a]), int(spans[1][z - 1]))
 
     def add(kind: str, name: str, a: int, z: int) -> None:
-        if not any(k == kind and x <= a and z <= y for k, x, y in base):
+        i = bisect_right(own[kind], (a, len(text) + 1)) - 1  # base findings of a kind do not overlap
+        if i < 0 or own[kind][i][1] < z:
             added.add((f"{kind}@{name}", a, z))
 
+    def digest(content: str, spans: Origin) -> tuple[bytes, ...]:
+        parts = (content.encode("utf-8", "surrogatepass"), *spans)
+        return tuple(hashlib.sha256(p).digest() for p in parts)
+
     def inside(body: str, got: tuple[str, Iterator[str]] | None = None) -> set[tuple[str, str]]:
         if body not in known:
             got = got or _opened(body, max_inflated)
@@ -319,8 +327,8 @@ def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, i
         if "\\" in content and (got := _ununicode(content)):
             layers.append(("unicode", *got))
         for how, new, inner in layers:
-            to = inner if spans is None else [(spans[a][0], spans[z - 1][1]) for a, z in inner]
-            if (key := (new, tuple(to))) not in seen:
+            to = inner if spans is None else (spans[0][inner[0]], spans[1][inner[1] - 1])
+            if (key := digest(new, to)) not in seen:
                 seen.add(key)
                 work.append((new, f"{name}.{how}".lstrip("."), to))
         runs = {m.span(): inside(m[0].rstrip("=")) for m in _BASE64.finditer(content)}

@@ -82,7 +82,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    """crc32 of the id as text modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def strings(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

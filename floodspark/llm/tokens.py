@@ -8,15 +8,17 @@ common (one very long run), the later chunk starts earlier by three times the ov
 earlier chunk's own last sure boundary.
 
 A space between two characters that are no white space always starts a pre-token, so texts and chunks
-are counted piece by piece between such spaces, and a bounded cache saves encoding pieces again.
-Texts with other white space next to a space are encoded as they are. Null and empty texts have no
-tokens; repeated rows count alike; further columns are ignored.
+are counted piece by piece between such spaces, and a bounded cache, kept by a worker from task to
+task, saves encoding pieces again; a piece that is a word followed by punctuation is counted as these two. Texts with other white space next to a space are encoded as they are. Null and empty texts have no
+tokens; repeated rows count alike; further columns are ignored; an empty table gives no rows. Ids are
+whole numbers, a null one stays null.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -28,6 +30,9 @@ from pyspark.sql import DataFrame
 CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 9, 64
 CACHE, BATCH = 400_000, 1 << 20
 
+#: A word and what follows it: a letter and one of these marks never share a pre-token.
+_WORD_AND_MORE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,./:;<=>?@\[\\\]^`{|}~-].*)""", re.DOTALL)
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -59,13 +64,17 @@ def _by_pieces(path: str) -> bool:
         and pre.get("type") == "ByteLevel"
         and pre.get("use_regex", True)
         and not pre.get("add_prefix_space")
-        and not any(" " in s or t["lstrip"] or t["rstrip"] for t in j["added_tokens"] for s in [t["content"]])
+        and not any(" " in s or s[:1].isalpha() or t["lstrip"] or t["rstrip"] for t in j["added_tokens"] for s in [t["content"]])
     )
 
 
+def _sure(c: str) -> bool:
+    return c.isalnum() or (c.isprintable() and not c.isspace())
+
+
 def _regular(piece: str) -> bool:
     """Neither empty nor with white space, or what might count as such, at an end."""
-    return bool(piece) and all(c.isalnum() or c.isprintable() and not c.isspace() for c in (piece[0], piece[-1]))
+    return bool(piece) and _sure(piece[0]) and _sure(piece[-1])
 
 
 class Counter:
@@ -75,6 +84,7 @@ class Counter:
         self.path, self.pieces = path, _by_pieces(path)
         self.new: dict[str, int | None] = {}
         self.old: dict[str, int | None] = {}
+        self.tails: dict[str, int] = {}
         self.margin = max([MARGIN, *(2 * len(s) for s in specials(path))])
 
     def lengths(self, texts: list[str]) -> list[int]:
@@ -85,12 +95,29 @@ class Counter:
         missing = pieces.difference(self.new)
         if len(self.new) + len(missing) > CACHE:
             self.old, self.new, missing = self.new, {}, pieces
-        found = {p: self.old[p] for p in missing.intersection(self.old)}
-        self.new |= found
-        rest = [p for p in missing.difference(found)]
-        good = [p for p in rest if _regular(p)]
-        self.new.update(dict.fromkeys(rest))
-        self.new.update(zip(good, self.lengths([" " + p for p in good])))
+        if len(self.tails) > CACHE:
+            self.tails = {}
+        whole, split = set(), {}
+        for p in missing:
+            if p in self.old:
+                self.new[p] = self.old[p]
+            elif p.isalpha():
+                whole.add(p)
+            elif not _regular(p):
+                self.new[p] = None
+            elif m := _WORD_AND_MORE.fullmatch(p):
+                split[p] = m.groups()
+            else:
+                whole.add(p)
+        for head, _ in split.values():
+            if head in self.old:
+                self.new[head] = self.old[head]
+            elif head not in self.new:
+                whole.add(head)
+        self.new.update(zip(whole, self.lengths([" " + p for p in whole])))
+        tails = {t for _, t in split.values()}.difference(self.tails)
+        self.tails.update(zip(tails, self.lengths(list(tails))))
+        self.new.update((p, self.new[head] + self.tails[tail]) for p, (head, tail) in split.items())
 
     def encoded(self, text: str, base: int) -> tuple[dict[int, int], int]:
         """Of a chunk: its pre-token starts but the first ones, each with the tokens before it; all its tokens."""
@@ -160,11 +187,16 @@ class Counter:
         return out
 
 
+@cache
+def counter_of(path: str) -> Counter:
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each document; path: the tokenizer's file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in batches:
             ids, column, i = batch.column(0).cast(pa.int64()), batch.column(1), 0
             sizes = [0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()]

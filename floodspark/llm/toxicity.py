@@ -13,9 +13,12 @@ Features are a text's distinct words, lower-cased and cut to their letters, and
 positives of the sample, by ``LEAST_Z`` standard deviations at least. The prior is the share of positives among all
 labelled rows of the training part.
 
-Every whole text is scored in Arrow tasks. Texts without words, null ones among them, get the score of
-the intercept alone; without a positive, every score is 0. A label that is null says nothing; repeated
-rows are scored alike; further columns are ignored; an empty table gives no rows.
+Every whole text is scored in Arrow tasks; what each word counts for is looked up in a bounded cache. Texts
+without words, null ones among them, get the score of the intercept alone; without a positive, every
+score is 0. A label that is null says nothing, of several labels of an id the highest counts, and an id
+gives one text to each sample (of several, the one with the least hash), however often its rows repeat.
+Repeated rows are scored alike; further columns are ignored; an empty table gives no rows. Ids are whole
+numbers; a null one is scored and not learned from.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodspark.llm.text import written
+from floodspark.llm.text import Scratch
 
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2000
 #: A feature stands in at least so many positives of the sample, so far above what unlabelled texts let expect.
 LEAST_POSITIVES, LEAST_Z = 3, 4.0
 BEGINNINGS, TIMES = (3, 4, 5, 6, 7), (2, 3, 5)
 STEPS, RATE, SHRINK, SLACK = 400, 0.05, 1e-4, 0.0
+CACHE = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,11 +59,36 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
         self.stems = {w.partition("-")[0] for w in weights if "-" in w}
-
-    def score(self, text: str | None) -> float:
-        known = self.weights
-        s = self.bias + sum(known[w] for w in features(text, self.stems) if w in known)
-        return float(1 / (1 + np.exp(-np.clip(s, -60, 60))))
+        self.known: _Known | None = None  # each worker fills its own
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.known is None:
+            self.known = _Known(self.weights, self.stems)
+        known = self.known
+        sums = np.full(len(texts), self.bias)
+        for i, text in enumerate(texts):
+            heads: Counter[str] = Counter()
+            seen: set[str] = set()
+            for w, stems in filter(None, map(known.__getitem__, _WORD.findall((text or "").lower()))):
+                seen.add(w)
+                heads.update(stems)
+            sums[i] += sum(self.weights.get(w, 0.0) for w in sorted(seen))
+            sums[i] += sum(self.weights.get(f"{h}-{k}", 0.0) for h, c in sorted(heads.items()) for k in TIMES if c >= k)
+        return 1 / (1 + np.exp(-np.clip(sums, -60, 60)))
+
+
+class _Known(dict):
+    """A word to itself and its beginnings that the model weighs; None where it weighs neither."""
+
+    def __init__(self, weights: dict[str, float], stems: set[str]) -> None:
+        self.weights, self.stems = weights, stems
+
+    def __missing__(self, w: str) -> tuple[str, list[str]] | None:
+        if len(self) > CACHE:
+            self.clear()
+        stems = [w[:n] for n in BEGINNINGS if len(w) >= n and w[:n] in self.stems]
+        self[w] = out = (w, stems) if stems or w in self.weights else None
+        return out
 
 
 def train(words: list[str], xp: np.ndarray, xu: np.ndarray, prior: float) -> Model:
@@ -110,16 +139,18 @@ def _with_features(texts: DataFrame, words: list[str] | None = None) -> DataFram
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic); train_rows: a condition on doc_id."""
-    known = labels.filter(train_rows & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scratch = Scratch(docs.sparkSession)
+    known = labels.filter(train_rows & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not n_toxic:
         return train([], np.zeros((0, 0)), np.zeros((0, 0)), 0.5)
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
-    others = docs.filter(train_rows).select("doc_id").orderBy(*order).limit(UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
+    others = docs.filter(train_rows & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
     # Both lists have a bound of their own, so they are broadcast.
     both = F.broadcast(chosen.unionByName(others))
-    sample = written(docs.select("doc_id", "text").join(both, "doc_id").select("positive", "text"), "sample")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    sample = scratch.written(docs.select("doc_id", "text").join(both, "doc_id").groupBy("doc_id", "positive").agg(one).select("positive", "text"), "sample")
     counts = (
         _with_features(sample)
         .select("positive", F.explode("features").alias("word"))
@@ -132,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
     stand_out = counts.filter(F.col("p") >= min(LEAST_POSITIVES, sizes.np)).select("word", z.alias("z")).filter(F.col("z") >= LEAST_Z)
     words = [r.word for r in stand_out.orderBy(F.round("z", 9).desc(), "word").limit(FEATURES).collect()]
     rows = _with_features(sample, words).collect()
+    scratch.keep_only()
 
     def matrix(texts: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(texts), len(words)), np.float32)
@@ -153,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            s = np.array([model.score(t.as_py()) for t in batch.column(1)], float)
+            s = np.concatenate([np.zeros(0), *(model.scores(batch.column(1).slice(i, 512).to_pylist()) for i in range(0, batch.num_rows, 512))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],

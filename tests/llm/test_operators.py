@@ -150,6 +150,8 @@ def test_layers_are_decoded_to_their_end():
         "often compressed": b64(deep),
         "after 4 MiB": b64(gzip.compress(filler.encode() + secret, mtime=0)),
         "layer after 4 MiB": b64(gzip.compress(filler.encode() + b64(secret).encode(), mtime=0)),
+        "a bad byte before": "%ff" + "".join(f"%{b:02x}" for b in secret),
+        "not text": b64(bytes(range(128, 256)) + b" " + secret + b" \xff\xfe"),
         "binary around": b64(gzip.compress(b"\xff\xfe\0" + secret + b"\0\xff", mtime=0)),
         "wrapped": wrap(b64(b"some words to begin a text with, all of them harmless; pass" + secret[4:] + b" and more" * 9), 76),
         "narrow": wrap(b64(secret), 12),
