@@ -8,42 +8,84 @@ from pyspark.sql import functions as F
 from floodspark.functions import alerts as C
 
 
-def alert_filter(messages: DataFrame) -> DataFrame:
-    """Flood events of actual, valid messages, with ``v``, the parsed VTEC."""
+def with_keys(messages: DataFrame) -> DataFrame:
+    """messages with ``v``, the parsed VTEC, and ``key``, the event they tell of."""
     x = messages.withColumn("v", C.parse_vtec(F.col("vtec")))
-    return x.filter(
+    return x.withColumn("key", C.event_key(F.col("v"), F.col("cap_id")))
+
+
+def alert_filter(messages: DataFrame, now: Column) -> DataFrame:
+    """The messages that tell of a flood event in effect, with v, key and level.
+
+    Tests, cancellations, acknowledgements and errors tell of none; UPG replaces an event by another
+    product's; what has passed its end (or, without one, its expiry) is over.
+    """
+    v = F.col("v")
+    fits = (
         F.col("event").isin(*C.FLOOD_EVENTS)
         & F.coalesce(F.col("status") == "Actual", F.lit(True))
-        & F.coalesce(F.col("v.class") != "T", F.lit(True))
+        & ~F.coalesce(F.col("message_type").isin("Cancel", "Ack", "Error"), F.lit(False))
+        & (v.isNull() | ((v["class"] != "T") & ~v["action"].isin("CAN", "UPG")))
+        & C.alert_active(F.col("ends"), F.col("expires"), now)
+        & F.col("key").isNotNull()
     )
+    return with_keys(messages).filter(fits).withColumn("level", C.alert_level(F.col("event"), F.col("catastrophic")))
 
 
-def without_cancelled(messages: DataFrame) -> DataFrame:
-    """Messages (key, sent, v) newer than the last cancellation of their event; cancellations themselves go."""
-    gone = messages.filter(F.col("v.action").isin("CAN", "UPG")).groupBy("key").agg(F.max("sent").alias("cancelled"))
-    left = messages.filter(~F.col("v.action").isin("CAN", "UPG")).join(gone, "key", "left")
+def cancellations(messages: DataFrame) -> DataFrame:
+    """key and time of the last cancellation (CAN, or a Cancel message) of each event, whatever its event is called."""
+    v = F.col("v")
+    gone = (v["class"] != "T") & ((v["action"] == "CAN") | F.coalesce(F.col("message_type") == "Cancel", F.lit(False)))
+    return with_keys(messages).filter(v.isNotNull() & gone).groupBy("key").agg(F.max("sent").alias("cancelled"))
+
+
+def without_cancelled(messages: DataFrame, now: Column) -> DataFrame:
+    """alert_filter() less the messages that are not newer than the last cancellation of their event."""
+    left = alert_filter(messages, now).join(cancellations(messages), "key", "left")
     return left.filter(F.col("cancelled").isNull() | (F.col("sent") > F.col("cancelled"))).drop("cancelled")
 
 
+def _first_seen(messages: DataFrame, parts: Column, name: str) -> DataFrame:
+    """key and the distinct parts of its messages, in the order of the newest message that has them."""
+    at = F.struct(-F.unix_micros(F.col("sent").cast("timestamp")), "id", "i")
+    each = messages.select("key", "sent", "id", F.posexplode(parts).alias("i", "part")).groupBy("key", "part").agg(F.min(at).alias("at"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
+    return each.groupBy("key").agg(ordered.alias(name))
+
+
 def merge_events(messages: DataFrame) -> DataFrame:
-    """One row for each key: the newest message's event and level, the latest expiry (null if any is open), the codes, newest message first."""
-    codes = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(-F.unix_micros(F.col("sent").cast("timestamp")), "id", "ugc"))), lambda x: x["ugc"])))
-    return messages.groupBy("key").agg(
-        F.max_by(F.struct("id", "event", "level"), F.struct("sent", "id")).alias("newest"),
+    """One row for each key: the newest message's event and level, the latest end and expiry, codes and areas, newest message first.
+
+    The shape is the newest one that any of the messages brings. Of messages sent at the same time, the first (least id) is the newest.
+    """
+    newest = F.struct("sent", -F.col("id"))
+    base = messages.groupBy("key").agg(
+        F.max_by(F.struct("id", "event", "level"), newest).alias("newest"),
         F.max("sent").alias("sent"),
         F.max("expires").alias("expires"),
+        F.max("ends").alias("ends"),
         F.count("*").alias("n"),
-        codes.alias("ugc"),
-    ).select("key", "newest.*", "sent", "expires", "n", "ugc")
+        F.max_by("polys", F.when(F.col("polys").isNotNull(), newest)).alias("own_polys"),
+    )
+    areas = F.filter(F.transform(F.split("area_desc", ";"), lambda x: F.btrim(x)), lambda x: x != "")
+    ugc = _first_seen(messages, F.col("ugc"), "ugc")
+    area = _first_seen(messages, areas, "areas").select("key", F.array_join("areas", "; ").alias("area_desc"))
+    out = base.join(ugc, "key", "left").join(area, "key", "left")
+    none = F.array().cast("array<string>")
+    return out.select("key", "newest.*", "sent", "expires", "ends", "n", "own_polys", F.coalesce("ugc", none).alias("ugc"), F.coalesce("area_desc", F.lit("")).alias("area_desc"))
+
+
+def state_codes(ugc: Column, state: str = "TX") -> Column:
+    return F.filter(ugc, lambda c: c.rlike(f"^{state}[ZC][0-9]{{3}}$"))
 
 
-def zone_geometry(events: DataFrame, zones: DataFrame) -> DataFrame:
-    """events (key, ugc) with all polygons of their zones, or null where any zone has no shape."""
-    x = events.select("key", F.posexplode("ugc").alias("pos", "code")).join(zones, "code", "left")
+def zone_geometry(events: DataFrame, zones: DataFrame, state: str = "TX") -> DataFrame:
+    """events (key, ugc, own_polys) with polys: their own shape, else all polygons of the state's zones, or null where any has none."""
+    x = events.filter("own_polys IS NULL").select("key", F.posexplode(state_codes(F.col("ugc"), state)).alias("pos", "code")).join(zones, "code", "left")
     polys = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "polys"))), lambda p: p["polys"]))
     whole = F.count("polys") == F.count("*")
-    found = x.groupBy("key").agg(F.when(whole, polys).alias("polys"))
-    return events.join(found, "key", "left")
+    found = x.groupBy("key").agg(F.when(whole, polys).alias("zone_polys"))
+    return events.join(found, "key", "left").withColumn("polys", F.coalesce("own_polys", "zone_polys")).drop("zone_polys")
 
 
 def level_counts(events: DataFrame) -> DataFrame:

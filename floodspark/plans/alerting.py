@@ -11,43 +11,57 @@ from floodspark.plans import query
 from floodspark.sources import adapt as A
 from floodspark.sources.adapt import MESSAGES, NOW, POINTS, ZONES
 
-_EVENTS = "('Flash Flood Warning', 'Flood Watch', 'Flood Advisory', 'Flood Warning')"
-_LEVEL = "CASE WHEN event = 'Flash Flood Warning' AND catastrophic THEN 'emergency' WHEN event = 'Flash Flood Warning' THEN 'flash' WHEN event LIKE '%Warning' THEN 'warning' WHEN event LIKE '%Watch' THEN 'watch' ELSE 'advisory' END"
-_KEPT = f"""kept AS (SELECT *, substr(vtec, 4, 3) AS action, {_LEVEL} AS level, substr(vtec, 8, 4) || '.' || substr(vtec, 13, 2) || '.' || substr(vtec, 16, 1) || '.' || substr(vtec, 18, 4) AS key
-  FROM messages WHERE event IN {_EVENTS} AND status = 'Actual' AND vtec NOT LIKE '/T.%')"""
-_OPEN = """gone AS (SELECT key, max(sent) AS cancelled FROM kept WHERE action IN ('CAN', 'UPG') GROUP BY 1), open_ AS (SELECT k.* FROM kept k LEFT JOIN gone g USING (key) WHERE action NOT IN ('CAN', 'UPG') AND (cancelled IS NULL OR sent > cancelled))"""
-_MERGED = """merged AS (SELECT key, arg_max(id, (sent, id)) AS id, arg_max(event, (sent, id)) AS event, arg_max(level, (sent, id)) AS level, max(sent) AS sent, max(expires) AS expires, count(*) AS n, list_sort(list_distinct(flatten(list(ugc)))) AS ugc FROM open_ GROUP BY key)"""
+_EVENTS = "('Flash Flood Warning', 'Flash Flood Watch', 'Flash Flood Statement', 'Flood Warning', 'Flood Watch', 'Flood Advisory', 'Flood Statement')"
+_LEVEL = """CASE split_part(event, ' ', -1) WHEN 'Watch' THEN 'watch' WHEN 'Advisory' THEN 'advisory'
+  ELSE CASE WHEN NOT starts_with(event, 'Flash Flood') THEN 'warning' WHEN catastrophic THEN 'emergency' ELSE 'flash' END END"""
+_KEY = "substr(vtec, 8, 4) || '.' || substr(vtec, 13, 2) || '.' || substr(vtec, 16, 1) || '.' || substr(vtec, 18, 4)"
+_KEPT = f"""kept AS (SELECT *, {_LEVEL} AS level, coalesce({_KEY}, cap_id) AS key FROM messages
+  WHERE event IN {_EVENTS} AND coalesce(status, 'Actual') = 'Actual' AND coalesce(message_type, '') NOT IN ('Cancel', 'Ack', 'Error')
+    AND (vtec IS NULL OR vtec NOT LIKE '/T.%' AND substr(vtec, 4, 3) NOT IN ('CAN', 'UPG')) AND coalesce(coalesce(ends, expires) > TIMESTAMP '{NOW}', true))"""
+_OPEN = f"""gone AS (SELECT {_KEY} AS key, max(sent) AS cancelled FROM messages WHERE vtec NOT LIKE '/T.%' AND (substr(vtec, 4, 3) = 'CAN' OR message_type = 'Cancel') GROUP BY 1),
+  open_ AS (SELECT k.* FROM kept k LEFT JOIN gone g USING (key) WHERE cancelled IS NULL OR sent > cancelled)"""
 
 
-def _messages(spark, sf_dir):
-    m = op.alert_filter(A.messages(spark, sf_dir))
-    return m.select("*", C.alert_level(F.col("event"), F.col("catastrophic")).alias("level"), C.event_key(F.col("v")).alias("key"))
+def _union(name: str, column: str) -> str:
+    first = f"SELECT *, row_number() OVER (PARTITION BY key, part ORDER BY sent DESC, id, i) AS r FROM (SELECT key, sent, id, unnest({column}) AS part, unnest(range(0, 2)) AS i FROM open_)"
+    return f"{name} AS (SELECT key, list(part ORDER BY sent DESC, id, i) AS {column} FROM ({first}) WHERE r = 1 GROUP BY key)"
+
+
+_MERGED = f"""{_union('codes', 'ugc')}, {_union('named', 'areas')},
+  base AS (SELECT key, arg_max(id, (sent, -id)) AS id, arg_max(event, (sent, -id)) AS event, arg_max(level, (sent, -id)) AS level, max(sent) AS sent, max(expires) AS expires, max(ends) AS ends, count(*) AS n,
+    arg_max(own_x, (sent, -id)) FILTER (WHERE own_x IS NOT NULL) AS own_x, arg_max(own_y, (sent, -id)) FILTER (WHERE own_x IS NOT NULL) AS own_y FROM open_ GROUP BY key),
+  merged AS (SELECT base.*, ugc, array_to_string(areas, '; ') AS area_desc FROM base JOIN codes USING (key) JOIN named USING (key))"""
 
 
 def _merged(spark, sf_dir):
-    return op.merge_events(op.without_cancelled(_messages(spark, sf_dir)))
+    return op.merge_events(op.without_cancelled(A.messages(spark, sf_dir), A.now()))
 
 
-@query(f"WITH {MESSAGES}, {_KEPT} SELECT id, level, lower(split_part(event, ' ', -1)) AS kind, key, expires IS NULL OR expires > TIMESTAMP '{NOW}' AS active FROM kept")
+@query(f"WITH {MESSAGES}, {_KEPT} SELECT id, level, lower(split_part(event, ' ', -1)) AS kind, key FROM kept")
 def alert_filter(spark, sf_dir):
-    e = F.col("event")
-    return _messages(spark, sf_dir).select("id", "level", C.alert_kind(e).alias("kind"), "key", C.alert_active(F.lit(None).cast("timestamp_ntz"), F.col("expires"), A.now()).alias("active"))
+    return op.alert_filter(A.messages(spark, sf_dir), A.now()).select("id", "level", C.alert_kind(F.col("event")).alias("kind"), "key")
+
+
+@query(f"WITH {MESSAGES} SELECT id, coalesce(coalesce(ends, expires) > TIMESTAMP '{NOW}', true) AS active FROM messages")
+def alert_active(spark, sf_dir):
+    return A.messages(spark, sf_dir).select("id", C.alert_active(F.col("ends"), F.col("expires"), A.now()).alias("active"))
 
 
-@query(f"WITH {MESSAGES} SELECT id, substr(vtec, 2, 1) AS class, substr(vtec, 4, 3) AS action, substr(vtec, 8, 4) AS office, substr(vtec, 18, 4) AS etn, TIMESTAMP '2024-01-31' AS ends, 'https://www.weather.gov/' || lower(substr(vtec, 9, 3)) AS link FROM messages")
+@query(f"WITH {MESSAGES} SELECT id, substr(vtec, 2, 1) AS class, substr(vtec, 4, 3) AS action, substr(vtec, 8, 4) AS office, substr(vtec, 18, 4) AS etn, CASE WHEN vtec IS NOT NULL THEN TIMESTAMP '2024-01-31' END AS ends, coalesce('https://www.weather.gov/' || lower(substr(vtec, 9, 3)) || '/', 'https://www.weather.gov/alerts') AS link FROM messages")
 def parse_vtec(spark, sf_dir):
     v = C.parse_vtec(F.col("vtec"))
-    return A.messages(spark, sf_dir).withColumn("v", v).select("id", "v.class", "v.action", "v.office", "v.etn", "v.ends", C.office_link(F.col("v.office")).alias("link"))
+    return A.messages(spark, sf_dir).drop("ends").withColumn("v", v).select("id", "v.class", "v.action", "v.office", "v.etn", "v.ends", C.office_link(F.col("v.office")).alias("link"))
 
 
 @query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN} SELECT id, key FROM open_")
 def alert_cancel(spark, sf_dir):
-    return op.without_cancelled(_messages(spark, sf_dir)).select("id", "key")
+    return op.without_cancelled(A.messages(spark, sf_dir), A.now()).select("id", "key")
 
 
-@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT key, id, event, level, sent, expires, n, array_to_string(ugc, ',') AS ugc FROM merged")
+@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT key, id, event, level, sent, expires, ends, n, array_to_string(ugc, ',') AS ugc, area_desc, own_x IS NOT NULL AS shaped FROM merged")
 def alert_event_merge(spark, sf_dir):
-    return _merged(spark, sf_dir).withColumn("ugc", F.array_join(F.sort_array("ugc"), ","))
+    x = _merged(spark, sf_dir).withColumn("ugc", F.array_join("ugc", ","))
+    return x.withColumn("shaped", F.col("own_polys").isNotNull()).drop("own_polys")
 
 
 @query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT l AS level, count(key) AS n FROM (SELECT unnest(['advisory', 'watch', 'warning', 'flash', 'emergency']) AS l) LEFT JOIN merged ON level = l GROUP BY 1")
@@ -55,10 +69,10 @@ def alert_counts(spark, sf_dir):
     return op.level_counts(_merged(spark, sf_dir))
 
 
-_SHAPED = "shaped AS (SELECT key FROM (SELECT key, unnest(ugc) AS code FROM merged) LEFT JOIN zones USING (code) GROUP BY key HAVING bool_and(coalesce(has_shape, false)))"
+_SHAPED = "shaped AS (SELECT key FROM (SELECT key, unnest(ugc) AS code FROM merged WHERE own_x IS NULL) LEFT JOIN zones USING (code) WHERE code LIKE 'TX%' GROUP BY key HAVING bool_and(coalesce(has_shape, false)))"
 
 
-@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED}, {ZONES}, {_SHAPED} SELECT key, CASE WHEN key IN (SELECT key FROM shaped) THEN len(ugc) END::INTEGER AS n_polygons FROM merged")
+@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED}, {ZONES}, {_SHAPED} SELECT key, CASE WHEN own_x IS NOT NULL THEN 1 WHEN key IN (SELECT key FROM shaped) THEN len(list_filter(ugc, lambda c: starts_with(c, 'TX'))) END::INTEGER AS n_polygons FROM merged")
 def zone_geometry_join(spark, sf_dir):
     x = op.zone_geometry(_merged(spark, sf_dir), A.zones(spark, sf_dir))
     return x.select("key", F.when(F.col("polys").isNotNull(), F.size("polys")).alias("n_polygons"))
@@ -66,22 +80,14 @@ def zone_geometry_join(spark, sf_dir):
 
 @query(f"""WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED}, {ZONES}, {_SHAPED}, {POINTS},
   z AS (SELECT DISTINCT key, x, y FROM (SELECT key, unnest(ugc) AS code FROM merged WHERE key IN (SELECT key FROM shaped)) JOIN zones USING (code)),
-  h AS (SELECT p.id, z.key, count(*) AS c FROM points p JOIN z ON p.lon >= x AND p.lon < x + 2.5 AND p.lat >= y AND p.lat < y + 2.0 AND NOT (p.lon >= x + 1.0 AND p.lon < x + 1.5 AND p.lat >= y + 0.75 AND p.lat < y + 1.25) GROUP BY 1, 2)
-  SELECT id, pid, level, place FROM (SELECT h.id, h.key AS pid, level, row_number() OVER (PARTITION BY h.id ORDER BY list_position(['advisory', 'watch', 'warning', 'flash', 'emergency'], level) DESC, sent DESC, h.key)::INTEGER AS place FROM h JOIN merged m ON m.key = h.key) WHERE place <= 10""")
+  inside AS (SELECT p.id, code FROM points p JOIN zones ON has_shape AND p.lon >= x AND p.lon < x + 2.5 AND p.lat >= y AND p.lat < y + 2.0 AND NOT (p.lon >= x + 1.0 AND p.lon < x + 1.5 AND p.lat >= y + 0.75 AND p.lat < y + 1.25)),
+  h AS (SELECT DISTINCT i.id, m.key FROM inside i JOIN (SELECT key, unnest(ugc) AS code FROM merged WHERE key IN (SELECT key FROM shaped)) m USING (code)
+    UNION ALL SELECT p.id, key FROM points p JOIN merged ON own_x IS NOT NULL AND p.lon >= own_x AND p.lon < own_x + 1 AND p.lat >= own_y AND p.lat < own_y + 1)
+  SELECT h.id, h.key AS pid, level, row_number() OVER (PARTITION BY h.id ORDER BY list_position(['advisory', 'watch', 'warning', 'flash', 'emergency'], level) DESC, sent DESC, h.key)::INTEGER AS place FROM h JOIN merged m ON m.key = h.key""")
 def alerts_at_points(spark, sf_dir):
-    """The ten first alerts at each point: zones are tested once, then alerts follow by their codes."""
-    from pyspark.sql.window import Window
-
-    zones = A.zones(spark, sf_dir).filter("polys IS NOT NULL").select(F.col("code").alias("pid"), "polys")
-    at = nearby.points_in_polygons(A.points(spark, sf_dir), zones).withColumnRenamed("pid", "code")
-    shaped = op.zone_geometry(_merged(spark, sf_dir), A.zones(spark, sf_dir)).filter("polys IS NOT NULL")
-    codes = shaped.select(F.col("key").alias("pid"), "level", "sent", C.level_rank(F.col("level")).alias("level_rank"), F.explode("ugc").alias("code"))
-    # A zone's own first ten suffice for each of its points.
-    top = Window.partitionBy("code").orderBy(F.col("level_rank").desc(), F.col("sent").desc(), "pid")
-    first = codes.withColumn("r", F.row_number().over(top)).filter("r <= 10")
-    hits = at.join(first, "code").groupBy("id", "pid").agg(F.first("level").alias("level"), F.first("sent").alias("sent"), F.first("level_rank").alias("level_rank"))
-    ranked = nearby.ranked_alerts(hits.select("id", "pid"), first.select("pid", "level", "sent", "level_rank").distinct())
-    return ranked.filter("place <= 10")
+    """All alerts at each point, ranked: points meet zones and own shapes once, then alerts follow zones by their codes."""
+    points, zones = A.points(spark, sf_dir), A.zones(spark, sf_dir)
+    return nearby.alerts_at(points, op.zone_geometry(_merged(spark, sf_dir), zones), zones)
 
 
 @query(f"WITH {ZONES} SELECT code, CASE WHEN has_shape THEN age < 7 * 24 ELSE age < 6 END AS fresh, has_shape OR age < 6 AS serves FROM (SELECT *, substr(code, 4)::INTEGER * 10 AS age FROM zones)")
@@ -105,14 +111,27 @@ def ugc_codes(spark, sf_dir):
     return A.messages(spark, sf_dir).select("id", F.array_join(C.ugc_codes(some, zones), ",").alias("codes"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(t) > 600 THEN rtrim(substr(t, 1, 599)) || '…' ELSE t END AS statement FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 600 THEN substr(t, 1, 599) || '…' ELSE nullif(t, '') END AS statement FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)""")
 def clean_statement(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", C.clean_statement(F.col("text")).alias("statement"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(text, '[ \t]*\n[ \t]*', ' ', 'g')) AS text FROM documents WHERE NOT regexp_matches(text, '\n\s*\n') AND NOT regexp_matches(text, '\r') AND NOT regexp_matches(text, '\n[ \t]*[*-] ')""")
+#: A break becomes a blank, but one before a bullet first becomes a mark that no text holds.
+_MARKED = r"""regexp_replace(p, '\n(\s*[*\-•]\s)', chr(1) || '\1', 'g')"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, list_transform(regexp_split_to_array(replace(text, chr(13), ''), '\n{{2,}}'), lambda p: trim(replace(regexp_replace(replace({_MARKED}, chr(10), ' '), '[ \t]{{2,}}', ' ', 'g'), chr(1), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12))) AS ps FROM documents)
+  SELECT doc_id, CASE WHEN ps IS NOT NULL THEN coalesce(array_to_string(list_filter(ps, lambda p: p <> ''), chr(10) || chr(10)), '') END AS text FROM d""")
 def reflow_text(spark, sf_dir):
-    """Documents without blank lines and bullets, whose rules SQL cannot say; tests cover those."""
-    d = A.table(spark, sf_dir, "documents")
-    plain = d.filter(~F.col("text").rlike(r"\n\s*\n") & ~F.col("text").rlike(r"\r") & ~F.col("text").rlike(r"\n[ \t]*[*-] "))
-    return plain.select("doc_id", C.reflow_text(F.col("text")).alias("text"))
+    """All documents; tests show the rules of paragraphs and bullets one by one."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", C.reflow_text(F.col("text")).alias("text"))
+
+
+@query(f"""WITH {MESSAGES}, d AS (SELECT id, epoch_ms(sent) - epoch_ms(TIMESTAMP '{NOW}') AS ms FROM messages), m AS (SELECT *, floor(abs(ms) / 60000.0 + 0.5)::BIGINT AS m FROM d),
+  t AS (SELECT *, (m // 60) || ' h' || CASE WHEN m % 60 <> 0 THEN ' ' || m % 60 || ' min' ELSE '' END AS hours FROM m)
+  SELECT id, CASE WHEN m < 1 THEN 'just now' ELSE CASE WHEN ms > 0 THEN 'in ' ELSE '' END || CASE WHEN m < 60 THEN m || ' min' WHEN m < 1440 THEN hours ELSE floor(m / 1440.0 + 0.5)::BIGINT || ' d' END || CASE WHEN ms > 0 THEN '' ELSE ' ago' END END AS relative,
+    CASE WHEN m < 1 THEN 'Updated just now' WHEN m < 60 THEN 'Updated ' || m || ' min ago' ELSE 'Updated ' || hours || ' ago' END AS updated FROM t""")
+def alert_times(spark, sf_dir):
+    sent = F.col("sent")
+    age = F.abs(F.unix_millis(A.now().cast("timestamp")) - F.unix_millis(sent.cast("timestamp")))
+    return A.messages(spark, sf_dir).select("id", C.relative_time(sent, A.now()).alias("relative"), C.updated_text(age).alias("updated"))

@@ -146,32 +146,49 @@ CAMERAS = f"""cameras AS (
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert messages, one from each order: id, vtec, event, status, sent, expires, area, office, ugc codes."""
+    """Alert messages, one from each order, in the order of id; some have no VTEC, some a shape of their own."""
     k = F.col("o_orderkey")
     etn = F.lpad((k % 2000).cast("string"), 4, "0")
     action = F.when(k % 11 == 0, "CAN").when(k % 5 == 0, "CON").when(k % 17 == 0, "UPG").otherwise("NEW")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
     sent = F.timestamp_add("MINUTE", (k * 7 % 43200).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    code = lambda j: F.format_string("TXC%03d", (k + j) % 25)
+    code = lambda j: F.format_string("%s%03d", F.when(k % 43 == 0, "OKC").otherwise("TXC"), (k + j) % 25)
+    area = lambda j: F.format_string("Area %d", (k + j) % 25)
+    x, y = -106.6 + (k % 50) * 0.25, 25.8 + (k % 40) * 0.25
+    ring = F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y))])
     return table(spark, sf_dir, "orders").select(
         k.alias("id"),
-        F.concat(F.when(k % 23 == 0, "/T.").otherwise("/O."), action, F.lit(".K"), F.element_at(F.array(*map(F.lit, ("EWX", "FWD", "HGX"))), (k % 3 + 1).cast("int")),
-                 F.when(k % 2 == 0, ".FF.W.").otherwise(".FA.Y."), etn, F.lit(".240101T0000Z-240131T0000Z/")).alias("vtec"),
-        F.element_at(F.array(*map(F.lit, ("Flash Flood Warning", "Flood Watch", "Flood Advisory", "Flood Warning", "Wind Advisory"))), (k % 5 + 1).cast("int")).alias("event"),
-        F.when(k % 19 == 0, "Test").otherwise("Actual").alias("status"),
+        F.concat(F.lit("urn:"), k.cast("string")).alias("cap_id"),
+        F.when(
+            k % 31 != 0,
+            F.concat(F.when(k % 23 == 0, "/T.").otherwise("/O."), action, F.lit(".K"), pick(("EWX", "FWD", "HGX"), k % 3), F.when(k % 2 == 0, ".FF.W.").otherwise(".FA.Y."), etn, F.lit(".240101T0000Z-240131T0000Z/")),
+        ).alias("vtec"),
+        pick(("Flash Flood Warning", "Flood Watch", "Flood Advisory", "Flood Statement", "Wind Advisory", "Flash Flood Statement"), k % 6).alias("event"),
+        F.when(k % 19 == 0, "Test").when(k % 3 == 0, "Actual").alias("status"),
+        F.when(k % 13 == 0, "Cancel").when(k % 37 == 0, "Ack").when(k % 2 == 0, "Update").alias("message_type"),
         sent.alias("sent"),
-        F.when(k % 6 != 0, F.timestamp_add("HOUR", (k % 200).cast("int"), sent)).alias("expires"),
+        F.when(k % 4 == 0, F.timestamp_add("HOUR", (k % 700).cast("int"), sent)).alias("ends"),
+        F.when(k % 6 != 0, F.timestamp_add("HOUR", (k % 500).cast("int"), sent)).alias("expires"),
         F.array(code(0), code(7)).alias("ugc"),
+        F.concat(area(0), F.lit("; "), area(7)).alias("area_desc"),
+        F.when(k % 41 == 0, F.array(F.array(ring))).alias("polys"),
         (k % 29 == 0).alias("catastrophic"),
     )
 
 
 MESSAGES = """messages AS (
-  SELECT k AS id, (CASE WHEN k % 23 = 0 THEN '/T.' ELSE '/O.' END) || (CASE WHEN k % 11 = 0 THEN 'CAN' WHEN k % 5 = 0 THEN 'CON' WHEN k % 17 = 0 THEN 'UPG' ELSE 'NEW' END)
-      || '.K' || ['EWX', 'FWD', 'HGX'][k % 3 + 1] || (CASE WHEN k % 2 = 0 THEN '.FF.W.' ELSE '.FA.Y.' END) || lpad((k % 2000)::VARCHAR, 4, '0') || '.240101T0000Z-240131T0000Z/' AS vtec,
-    ['Flash Flood Warning', 'Flood Watch', 'Flood Advisory', 'Flood Warning', 'Wind Advisory'][k % 5 + 1] AS event,
-    CASE WHEN k % 19 = 0 THEN 'Test' ELSE 'Actual' END AS status, sent,
-    CASE WHEN k % 6 <> 0 THEN sent + to_hours(k % 200) END AS expires,
-    ['TXC' || lpad((k % 25)::VARCHAR, 3, '0'), 'TXC' || lpad(((k + 7) % 25)::VARCHAR, 3, '0')] AS ugc, k % 29 = 0 AS catastrophic
+  SELECT k AS id, 'urn:' || k AS cap_id,
+    CASE WHEN k % 31 <> 0 THEN (CASE WHEN k % 23 = 0 THEN '/T.' ELSE '/O.' END) || (CASE WHEN k % 11 = 0 THEN 'CAN' WHEN k % 5 = 0 THEN 'CON' WHEN k % 17 = 0 THEN 'UPG' ELSE 'NEW' END)
+      || '.K' || ['EWX', 'FWD', 'HGX'][k % 3 + 1] || (CASE WHEN k % 2 = 0 THEN '.FF.W.' ELSE '.FA.Y.' END) || lpad((k % 2000)::VARCHAR, 4, '0') || '.240101T0000Z-240131T0000Z/' END AS vtec,
+    ['Flash Flood Warning', 'Flood Watch', 'Flood Advisory', 'Flood Statement', 'Wind Advisory', 'Flash Flood Statement'][k % 6 + 1] AS event,
+    CASE WHEN k % 19 = 0 THEN 'Test' WHEN k % 3 = 0 THEN 'Actual' END AS status,
+    CASE WHEN k % 13 = 0 THEN 'Cancel' WHEN k % 37 = 0 THEN 'Ack' WHEN k % 2 = 0 THEN 'Update' END AS message_type, sent,
+    CASE WHEN k % 4 = 0 THEN sent + to_hours(k % 700) END AS ends,
+    CASE WHEN k % 6 <> 0 THEN sent + to_hours(k % 500) END AS expires,
+    [(CASE WHEN k % 43 = 0 THEN 'OKC' ELSE 'TXC' END) || lpad((k % 25)::VARCHAR, 3, '0'), (CASE WHEN k % 43 = 0 THEN 'OKC' ELSE 'TXC' END) || lpad(((k + 7) % 25)::VARCHAR, 3, '0')] AS ugc,
+    ['Area ' || k % 25, 'Area ' || (k + 7) % 25] AS areas,
+    CASE WHEN k % 41 = 0 THEN -106.6 + (k % 50) * 0.25::DOUBLE END AS own_x, CASE WHEN k % 41 = 0 THEN 25.8 + (k % 40) * 0.25::DOUBLE END AS own_y,
+    k % 29 = 0 AS catastrophic
   FROM (SELECT o_orderkey AS k, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 7 % 43200) AS sent FROM orders)
 )"""
 
