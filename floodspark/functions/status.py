@@ -106,7 +106,7 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def km_to_miles(km: Column) -> Column:
-    return km * 0.621371
+    return km / 1.609344
 
 
 def time_bucket(t: Column, minutes: int, nearest: bool = True) -> Column:
@@ -123,17 +123,85 @@ def timeline_step(t: Column, start: Column, steps: int, minutes: int = 15) -> Co
 
 
 def format_age(seconds: Column) -> Column:
-    m = F.floor(seconds / 60)
+    """"45 minutes", "3 hours", "2 days"; null for null."""
+    def said(n: Column, unit: str) -> Column:
+        return F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+
+    m, h, d = (F.floor(seconds / k + 0.5) for k in (60, 3600, 86400))
+    return F.when(m < 90, said(m, "minute")).when(h < 36, said(h, "hour")).when(d.isNotNull(), said(d, "day"))
+
+
+def ago_text(seconds: Column) -> Column:
+    return F.when(seconds < 60, F.lit("just now")).otherwise(F.concat(format_age(seconds), F.lit(" ago")))
+
+
+def relative_time(t: Column, ref: Column) -> Column:
+    """"in 17 hours", "3 hours ago", "just now" under a minute either way."""
+    s = F.unix_seconds(t.cast("timestamp")) - F.unix_seconds(ref.cast("timestamp"))
+    return F.when(F.abs(s) < 60, "just now").when(s > 0, F.concat(F.lit("in "), format_age(s))).otherwise(F.concat(format_age(-s), F.lit(" ago")))
+
+
+def format_photo_age(seconds: Column) -> Column:
+    """"12 min ago", "2 h 10 min ago", "1 d 3 h ago", "9 days ago"; rounded down."""
+    m, h, d = (F.floor(seconds / k) for k in (60, 3600, 86400))
+    say = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
     return (
-        F.when(seconds.isNull(), F.lit("unknown"))
-        .when(m < 1, F.lit("just now"))
-        .when(m < 60, F.format_string("%d min ago", m))
-        .when(m < 48 * 60, F.format_string("%d h ago", F.floor(m / 60)))
-        .otherwise(F.format_string("%d days ago", F.floor(m / 1440)))
+        F.when(m < 1, "just now")
+        .when(m < 60, say(m, " min ago"))
+        .when(h < 24, F.when(m % 60 == 0, say(h, " h ago")).otherwise(say(h, " h ", m % 60, " min ago")))
+        .when(d < 2, F.when(h % 24 == 0, F.lit("1 d ago")).otherwise(say("1 d ", h % 24, " h ago")))
+        .when(d < 365, say(d, " days ago"))
+        .when(d.isNotNull(), "over a year ago")
     )
 
 
-def format_stage(stage: Column, unit: Column) -> Column:
-    return F.when(stage.isNull(), F.lit("no reading")).otherwise(
-        F.concat(F.format_string("%.2f", stage), F.lit(" "), F.coalesce(unit, F.lit("ft")))
+def old_reading_note(stage: Column, observed_at: Column, ref: Column) -> Column:
+    age = age_seconds(observed_at, ref)
+    note = F.when(age.isNull(), " · reading time unknown").otherwise(F.concat(F.lit(" · reading "), format_age(age), F.lit(" old")))
+    return F.when(is_old_reading(stage, observed_at, ref), note).otherwise("")
+
+
+def format_stage(stage: Column) -> Column:
+    """At most two decimals, without zeros at the end."""
+    text = F.regexp_replace(F.format_string("%.2f", stage), r"\.?0+$", "")
+    return F.when(text == "-0", "0").when(stage.isNotNull(), text)
+
+
+def format_miles(km: Column) -> Column:
+    """"<0.1 mi", "0.4 mi", "12 mi", "1,204 mi"."""
+    mi = km_to_miles(km)
+    return F.when(mi < 0.1, "<0.1 mi").when(mi < 10, F.format_string("%.1f mi", mi)).when(mi.isNotNull(), F.concat(F.format_number(F.floor(mi + 0.5), 0), F.lit(" mi")))
+
+
+# What categories are called.
+LABELS = {
+    "not_defined": "No data", "no_stages": "No flood stages", "no_flooding": "Normal", "action": "Action",
+    "minor": "Minor flood", "moderate": "Moderate flood", "major": "Major flood",
+}
+
+
+def category_label(c: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[c], F.lit(LABELS["not_defined"]))
+
+
+def describe_item(c: Column, stage: Column, unit: Column, t: Column, observed_at: Column, ref: Column) -> Column:
+    """The words of a row, in order: stage, status and age; c is its list category. Each has warn where it must not be missed."""
+    has, staged = valid_stage(stage), has_valid_thresholds(t)
+    age = reading_age(observed_at, ref)
+    word = lambda text, warn=None: F.struct(text.alias("text"), (F.lit(False) if warn is None else warn).alias("warn"))
+    shown = F.when(has, F.trim(F.concat_ws(" ", format_stage(stage), F.trim(unit))))
+    quiet = (
+        F.when(~has, "No current reading")
+        .when(age.isNull() | (age > GRAY_HOURS * 3600), "No recent reading")
+        .otherwise("Flood stages not defined")
+    )
+    bare = F.when((c == "no_flooding") & ~staged, " (no flood stages defined)").otherwise("")
+    status = F.when(c == "not_defined", quiet).when(c == "no_stages", LABELS["no_stages"]).otherwise(F.concat(category_label(c), bare))
+    when = (
+        F.when(~has, F.when(c != "not_defined", "Stage unavailable"))
+        .when(age.isNull(), "Reading time unknown")
+        .when(age > OLD_MINUTES * 60, F.concat(F.lit("Reading is "), format_age(age), F.lit(" old")))
+        .otherwise(ago_text(age))
     )
+    warn = ~has | age.isNull() | (age > OLD_MINUTES * 60)
+    return F.filter(F.array(word(shown), word(status), word(when, F.coalesce(warn, F.lit(True)))), lambda w: w["text"].isNotNull())

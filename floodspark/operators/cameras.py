@@ -10,7 +10,7 @@ from floodspark.functions import geo as G
 from floodspark.operators.nearby import within
 
 # The shape of camera ids.
-CAMERA_ID = r"^[A-Za-z0-9_.-]{1,80}$"
+CAMERA_ID = r"^[A-Za-z0-9_]{3,120}$"
 
 
 def camera_filter(cameras: DataFrame, state: str = "TX") -> DataFrame:
@@ -27,7 +27,13 @@ def photo_age(photo_at: Column, now: Column) -> Column:
 
 def camera_status(photo_at: Column, now: Column) -> Column:
     age = photo_age(photo_at, now)
-    return F.when(age.isNull(), "none").when(age <= 3 * 3600, "fresh").when(age <= 24 * 3600, "stale").otherwise("offline")
+    return F.when(age <= 3 * 3600, "fresh").when(age <= 24 * 3600, "stale").otherwise("offline")
+
+
+def camera_partition(cameras: DataFrame, now: Column) -> DataFrame:
+    """cameras with status, and shown: whether a map draws them."""
+    x = cameras.withColumn("status", camera_status(F.col("photo_at"), now))
+    return x.withColumn("shown", F.col("status") != "offline")
 
 
 def link_gauges(cameras: DataFrame, gauges: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from floodspark.functions import alerts as A
 from floodspark.functions import status as S
-from floodspark.operators.nearby import within
+from floodspark.operators import series as T
+from floodspark.operators.nearby import nearby_gauges, within
+from floodspark.operators.search import name_sort_key
 
 
 def impacts_topn(impacts: DataFrame, most: int = 20) -> DataFrame:
@@ -18,12 +22,47 @@ def impacts_topn(impacts: DataFrame, most: int = 20) -> DataFrame:
     return clean.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("gauge_id", "place", "stage", "statement")
 
 
-def detail_assembly(meta: DataFrame, observed: DataFrame, forecast: DataFrame) -> DataFrame:
-    """One row for each gauge: points seen and told in order of time, and whether there is any source."""
+OBSERVED_HOURS, OBSERVED_POINTS, FORECAST_POINTS = 48, 96, 120
+
+
+def detail_assembly(meta: DataFrame, observed: DataFrame, forecast: DataFrame, impacts: DataFrame, crests: DataFrame, now: Column) -> DataFrame:
+    """One row for each gauge of meta (id, name, unit): what a detail page shows.
+
+    observed and forecast (gauge_id, pos, t, v, unit; forecast with issued_at) are cleaned, of the last 48 hours and of all
+    points, thinned to 96 and 120; trend and newest time are of all observed points. impacts (gauge_id, stage, statement)
+    and crests are those of impacts_topn() and crests_topn(). ok: there is any source.
+    """
+    seen, told = (T.series_dedupe(x.filter(S.valid_stage(F.col("v")) & F.col("t").isNotNull())).withColumn("pos", F.unix_micros(F.col("t").cast("timestamp"))) for x in (observed, forecast))
+    recent = seen.filter(F.col("t") >= now - F.make_interval(hours=F.lit(OBSERVED_HOURS)))
     points = lambda df, name: df.groupBy("gauge_id").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias(name))
-    x = meta.select(F.col("id").alias("gauge_id"), "name", "unit")
-    both = x.join(points(observed, "observed"), "gauge_id", "left").join(points(forecast, "forecast"), "gauge_id", "left")
-    return both.withColumn("ok", F.col("observed").isNotNull() | F.col("forecast").isNotNull())
+    listed = lambda df, name, *cols: df.groupBy("gauge_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+    source = lambda df, name: df.groupBy("gauge_id").agg(F.min_by("unit", "pos").alias(name))
+    parts = [
+        points(T.downsample(recent, OBSERVED_POINTS), "observed"),
+        points(T.downsample(told, FORECAST_POINTS), "forecast"),
+        seen.groupBy("gauge_id").agg(F.max("t").alias("observed_at")),
+        forecast.groupBy("gauge_id").agg(F.max("issued_at").alias("issued_at")),
+        source(observed, "observed_unit"),
+        source(forecast, "forecast_unit"),
+        observed.select("gauge_id").distinct().withColumn("has_observed", F.lit(True)),
+        forecast.select("gauge_id").distinct().withColumn("has_forecast", F.lit(True)),
+        T.trend(seen, now).select("gauge_id", "rate", "direction"),
+        listed(impacts, "impacts", "place", "stage", "statement"),
+        listed(crests, "crests", "kind", "place", "date", "stage"),
+    ]
+    out = meta.select(F.col("id").alias("gauge_id"), "name", F.col("unit").alias("own_unit"))
+    for part in parts:
+        out = out.join(part, "gauge_id", "left")
+    has = lambda c: F.coalesce(c, F.lit(False))
+    record = F.col("own_unit").isNotNull() | F.col("impacts").isNotNull() | F.col("crests").isNotNull()
+    return out.select(
+        "gauge_id",
+        "name",
+        F.coalesce("own_unit", "observed_unit", "forecast_unit").alias("unit"),
+        F.struct(record.alias("record"), has(F.col("has_observed")).alias("observed"), has(F.col("has_forecast")).alias("forecast")).alias("sources"),
+        "impacts", "crests", "observed", "observed_at", "forecast", "issued_at", "rate", "direction",
+        (record | has(F.col("has_observed")) | has(F.col("has_forecast"))).alias("ok"),
+    )
 
 
 def favorite_ids(raw: Column, most: int = 50) -> Column:
@@ -34,9 +73,9 @@ def favorite_ids(raw: Column, most: int = 50) -> Column:
 
 
 def favorites_join(favorites: DataFrame, statuses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """favorites (user_id, pos, gauge_id) with their statuses, worst first, and those without one."""
+    """favorites (user_id, pos, gauge_id) with their statuses (gauge_id, name, rank), worst first, then by name, and those without one."""
     known = favorites.join(statuses, "gauge_id")
-    w = Window.partitionBy("user_id").orderBy(F.col("rank").desc(), "gauge_id")
+    w = Window.partitionBy("user_id").orderBy(F.col("rank").desc(), name_sort_key(F.col("name")), "gauge_id")
     return known.withColumn("place", F.row_number().over(w)), favorites.join(statuses.select("gauge_id"), "gauge_id", "left_anti")
 
 
@@ -72,6 +111,29 @@ def camera_image_url(camera: Column, photo_at: Column, base: str) -> Column:
     return F.concat(F.lit(base + "/"), camera, F.lit("/"), camera, F.lit("___"), F.date_format(photo_at, "yyyy-MM-dd'T'HH-mm-ss'Z'"), F.lit(".jpg"))
 
 
-def valid_image_url(url: Column) -> Column:
-    """The file's name begins with its folder's: a back-reference says so."""
-    return F.coalesce(url.rlike(r"^https://[^/]+/(?:[^/]+/)*([A-Za-z0-9_.-]+)/\1___[0-9TZ:-]+\.jpg$"), F.lit(False))
+#: Fixed value: the one host that photos may come from.
+IMAGE_HOST = "usgs-nims-images.s3.amazonaws.com"
+
+
+def valid_image_url(url: Column, host: str = IMAGE_HOST) -> Column:
+    """Whether a URL is that of a camera's photo on the host: a back-reference says that folder and file name the same camera."""
+    form = rf"^https://{re.escape(host)}/720/([A-Za-z0-9_]{{3,120}})/\1___\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}-\d{{2}}-\d{{2}}Z\.jpg$"
+    return F.coalesce((F.length(url) <= 300) & url.rlike(form), F.lit(False))
+
+
+def sort_items(items: DataFrame, by: str, partition: list[str], distance: Column | None = None) -> DataFrame:
+    """items (rank, name, id, ...) with place: by "status" (worst first) or "distance"; then nearest where distances are known, name, id."""
+    near = [distance.asc_nulls_last()] if distance is not None else []
+    worst = [F.col("rank").desc()] if by == "status" else []
+    w = Window.partitionBy(*partition).orderBy(*worst, *near, name_sort_key(F.col("name")), "id")
+    return items.withColumn("place", F.row_number().over(w))
+
+
+def gauges_near_place(places: DataFrame, gauges: DataFrame, km: float = 40.0) -> DataFrame:
+    """nearby_gauges() from each place (id, lat, lon)."""
+    return nearby_gauges(places.select("id", "lat", "lon"), gauges, km)
+
+
+def waterway_zoom_filter(features: DataFrame, zoom: Column, least: int = 8) -> DataFrame:
+    """features (kind): lines only from a zoom on, all else always."""
+    return features.filter(~F.col("kind").isin("LineString", "MultiLineString") | (zoom >= least))

@@ -52,11 +52,13 @@ def forecast_interpolate(points: DataFrame, wanted: DataFrame, lead_hours: int =
         wanted.select("gauge_id", F.col("target").alias("at"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"))
     )
     order = Window.partitionBy("gauge_id").orderBy("at", "kind")
+    back = Window.partitionBy("gauge_id").orderBy(F.col("at").desc(), F.col("kind").desc())
     point = F.when(F.col("kind") == 0, F.struct("at", "v"))
     x = both.select(
         "gauge_id", "at", "kind",
         F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"),
-        F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("n"),
+        # Looking ahead is looking back in the opposite order: a frame that only grows.
+        F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
     ).filter("kind = 1")
     part = (seconds(F.col("at")) - seconds(F.col("p.at"))) / (seconds(F.col("n.at")) - seconds(F.col("p.at")))
     v = (
@@ -180,8 +182,44 @@ def impact_mark(impacts: DataFrame, current: DataFrame, crests: DataFrame) -> Da
     return x.select("gauge_id", "stage", mark.alias("mark"))
 
 
-def forecast_view(meta: DataFrame, crests: DataFrame, issued: DataFrame, now: Column) -> DataFrame:
-    """meta (id) to view: none without points, expired when all are past, crest (stale if issued over a day ago)."""
-    x = meta.select(F.col("id").alias("gauge_id")).join(issued, "gauge_id", "left").join(crests, "gauge_id", "left")
-    view = F.when(F.col("issued_at").isNull(), "none").when(F.col("v").isNull(), "expired").otherwise("crest")
-    return x.select("gauge_id", view.alias("view"), F.coalesce((view == "crest") & (seconds(now) - seconds(F.col("issued_at")) > 86400), F.lit(False)).alias("stale"), "v")
+def extract_forecast(raw: Column, thresholds: Column) -> Column:
+    """A list row's forecast (primary, primaryUnit, floodCategory, validTime) as stage, unit, t and category; null where stage or time is a sentinel."""
+    stage, t = S.clean_stage(raw["primary"]), S.clean_time(raw["validTime"])
+    unit = F.when(F.trim(raw["primaryUnit"]) != "", raw["primaryUnit"])
+    category = S.resolve_category(raw["floodCategory"], stage, thresholds)
+    return F.when(stage.isNotNull() & t.isNotNull(), F.struct(stage.alias("stage"), unit.alias("unit"), t.alias("t"), category.alias("category")))
+
+
+def forecast_view(gauges: DataFrame, details: DataFrame, crests: DataFrame, now: Column, stale_hours: int = 24) -> DataFrame:
+    """gauges (id, unit, thresholds, forecast) to what is said of each one's forecast: view, v, t, unit, category, issued_at, stale.
+
+    details has a row for each gauge whose detail was answered or failed: gauge_id, has_forecast, n_points, unit, issued_at.
+    An answered series beats the list's forecast: none without points, expired when all are past, else its
+    crest. Otherwise the list's forecast is the crest while it is ahead; without it, unavailable where the
+    detail failed or lacks the series, and loading where it is not there yet.
+    """
+    g = gauges.select(F.col("id").alias("gauge_id"), F.col("unit").alias("gauge_unit"), "thresholds", F.col("forecast").alias("f"))
+    d = details.select("gauge_id", F.col("has_forecast").alias("answered"), "n_points", F.col("unit").alias("detail_unit"), "issued_at", F.lit(True).alias("ended"))
+    x = g.join(d, "gauge_id", "left").join(crests.select("gauge_id", F.col("t").alias("crest_t"), F.col("v").alias("crest_v")), "gauge_id", "left")
+    series = F.coalesce("answered", F.lit(False))
+    listed = F.coalesce(F.col("f.t") >= now, F.lit(False))
+    view = (
+        F.when(series, F.when(F.col("n_points") == 0, "none").when(F.col("crest_v").isNull(), "expired").otherwise("crest"))
+        .when(listed, "crest")
+        .when(F.col("ended"), "unavailable")
+        .otherwise("loading")
+    )
+    crest = view == "crest"
+    pick = lambda of_series, of_list: F.when(crest, F.when(series, of_series).otherwise(of_list))
+    known = F.when(F.col("thresholds").isNotNull(), S.categorize_by_stage(F.col("crest_v"), F.col("thresholds"))).otherwise("not_defined")
+    stale = crest & series & (seconds(now) - seconds(F.col("issued_at")) > stale_hours * 3600)
+    return x.select(
+        "gauge_id",
+        view.alias("view"),
+        pick(F.col("crest_v"), F.col("f.stage")).alias("v"),
+        pick(F.col("crest_t"), F.col("f.t")).alias("t"),
+        pick(F.coalesce("detail_unit", "gauge_unit"), F.coalesce("f.unit", "gauge_unit")).alias("unit"),
+        pick(known, F.col("f.category")).alias("category"),
+        F.when(series & (view != "none"), F.col("issued_at")).alias("issued_at"),
+        F.coalesce(stale, F.lit(False)).alias("stale"),
+    )

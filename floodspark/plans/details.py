@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from floodspark.functions import geo as G
 from floodspark.functions import status as S
 from floodspark.operators import details as op
 from floodspark.operators import search as se
-from floodspark.plans import query
+from floodspark.plans import ORACLES, query
 from floodspark.plans.places import _km
+from floodspark.plans.series import crests_topn
 from floodspark.plans.status import _RANK, current, status_sql
 from floodspark.sources import adapt as A
 from floodspark.sources.adapt import CAMERAS, FORECASTS, GAUGES, NOW, PLACES, POINTS, READINGS
@@ -20,13 +22,22 @@ def impacts_topn(spark, sf_dir):
     return op.impacts_topn(r.select("gauge_id", "pos", F.col("v").alias("stage"), F.concat(F.lit(" Water  reaches\nmark "), F.col("pos").cast("string")).alias("statement")))
 
 
-@query(f"""WITH {GAUGES}, {READINGS}, {FORECASTS}, o AS (SELECT gauge_id, count(*) AS n, max(t) AS last FROM readings WHERE t BETWEEN TIMESTAMP '2024-01-28 12:00:00' AND TIMESTAMP '{NOW}' GROUP BY 1), f AS (SELECT gauge_id, count(*) AS n FROM forecasts GROUP BY 1)
-  SELECT id AS gauge_id, unit, coalesce(o.n, 0)::INTEGER AS seen, o.last, coalesce(f.n, 0)::INTEGER AS told, o.n IS NOT NULL OR f.n IS NOT NULL AS ok FROM gauges LEFT JOIN o ON o.gauge_id = id LEFT JOIN f ON f.gauge_id = id""")
+@query(f"""WITH {GAUGES}, {READINGS}, {FORECASTS}, s AS (SELECT gauge_id, t, arg_max(v, pos) AS v FROM readings WHERE v > -100 GROUP BY 1, 2), fs AS (SELECT gauge_id, t, arg_max(v, pos) AS v FROM forecasts WHERE v > -100 GROUP BY 1, 2),
+  o AS (SELECT gauge_id, count(*) AS n, round(sum(v), 4) AS total FROM s WHERE t >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR GROUP BY 1), l AS (SELECT gauge_id, max(t) AS observed_at FROM s GROUP BY 1), f AS (SELECT gauge_id, count(*) AS n, round(sum(v), 4) AS total FROM fs GROUP BY 1),
+  i AS (SELECT gauge_id, least(count(*), 20) AS n, max(v) AS top FROM readings WHERE v > -100 GROUP BY 1), c AS (SELECT gauge_id, count(*) AS n FROM ({ORACLES['crests_topn']}) GROUP BY 1)
+  SELECT id AS gauge_id, unit, coalesce(o.n, 0)::INTEGER AS seen, o.total AS seen_total, observed_at, coalesce(f.n, 0)::INTEGER AS told, f.total AS told_total, CASE WHEN id IN (SELECT gauge_id FROM forecasts) THEN TIMESTAMP '2024-01-19' END AS issued_at, coalesce(i.n, 0)::INTEGER AS impacts, i.top AS highest, coalesce(c.n, 0)::INTEGER AS crests, true AS ok
+  FROM gauges LEFT JOIN o ON o.gauge_id = id LEFT JOIN l ON l.gauge_id = id LEFT JOIN f ON f.gauge_id = id LEFT JOIN i ON i.gauge_id = id LEFT JOIN c ON c.gauge_id = id""")
 def detail_assembly(spark, sf_dir):
-    start = F.lit("2024-01-28 12:00:00").cast("timestamp_ntz")
-    x = op.detail_assembly(A.gauges(spark, sf_dir), A.readings(spark, sf_dir).filter(F.col("t").between(start, A.now())), A.forecasts(spark, sf_dir))
-    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    return x.select("gauge_id", "unit", n("observed").alias("seen"), F.element_at("observed", -1)["t"].alias("last"), n("forecast").alias("told"), "ok")
+    unit = F.lit("ft").alias("unit")
+    seen, told = A.readings(spark, sf_dir).select("*", unit), A.forecasts(spark, sf_dir).select("*", unit, F.lit("2024-01-19").cast("timestamp_ntz").alias("issued_at"))
+    x = op.detail_assembly(A.gauges(spark, sf_dir), seen, told, impacts_topn(spark, sf_dir), crests_topn(spark, sf_dir), A.now())
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, p: s + p["v"]), 4)
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(n(c))
+    return x.select(
+        "gauge_id", "unit", size("observed").alias("seen"), total("observed").alias("seen_total"), "observed_at", size("forecast").alias("told"), total("forecast").alias("told_total"),
+        "issued_at", size("impacts").alias("impacts"), F.get("impacts", F.lit(0))["stage"].alias("highest"), size("crests").alias("crests"), "ok",
+    )
 
 
 _FAVORITES = "fav AS (SELECT DISTINCT c_custkey AS user_id, unnest([c_custkey % 200, c_custkey * 3 % 200, c_custkey * 7 % 200])::BIGINT AS gauge_id FROM customer)"
@@ -38,7 +49,7 @@ def _favorites(spark, sf_dir):
 
 
 def _statuses(spark, sf_dir):
-    return current(spark, sf_dir).select(F.col("id").alias("gauge_id"), F.col("display").alias("category"), S.rank(F.col("display")).alias("rank"))
+    return current(spark, sf_dir).select(F.col("id").alias("gauge_id"), "name", F.col("display").alias("category"), S.rank(F.col("display")).alias("rank"))
 
 
 @query(status_sql("SELECT 1").removesuffix(" SELECT 1") + f", {_FAVORITES} SELECT user_id, gauge_id, row_number() OVER (PARTITION BY user_id ORDER BY {_RANK} DESC, gauge_id)::INTEGER AS place FROM fav JOIN displayed ON id = gauge_id")
@@ -96,25 +107,32 @@ def local_date(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_id", op.local_date(F.col("ts").cast("timestamp"), zone, ("America/Chicago", "CST6CDT")).cast("string").alias("day"))
 
 
-@query(f"WITH {CAMERAS} SELECT id, 'https://host/' || id || '/' || id || '___' || strftime(photo_at, '%Y-%m-%dT%H-%M-%SZ') || '.jpg' AS url, photo_at IS NOT NULL AS ok FROM cameras")
+@query(f"WITH {CAMERAS} SELECT id, 'https://{op.IMAGE_HOST}/720/' || id || '/' || id || '___' || strftime(photo_at, '%Y-%m-%dT%H-%M-%SZ') || '.jpg' AS url, photo_at IS NOT NULL AS ok, false AS other FROM cameras")
 def camera_validate(spark, sf_dir):
-    url = op.camera_image_url(F.col("id"), F.col("photo_at"), "https://host")
-    return A.cameras(spark, sf_dir).select("id", url.alias("url"), op.valid_image_url(url).alias("ok"))
+    url = op.camera_image_url(F.col("id"), F.col("photo_at"), f"https://{op.IMAGE_HOST}/720")
+    elsewhere = F.replace(url, F.lit("usgs"), F.lit("evil"))
+    return A.cameras(spark, sf_dir).select("id", url.alias("url"), op.valid_image_url(url).alias("ok"), op.valid_image_url(elsewhere).alias("other"))
 
 
-@query(f"WITH {PLACES}, h AS (SELECT id, name, population, CASE WHEN lower(name) = 'red' THEN 115 ELSE 75 END AS score FROM places WHERE starts_with(lower(name), 'red')) SELECT id AS doc_id, row_number() OVER (ORDER BY score DESC, coalesce(population, 0) DESC, name, id)::INTEGER AS place FROM h ORDER BY place LIMIT 5")
+@query(f"""WITH {PLACES}, q AS (SELECT id AS query_id, lower(substr(name, 1, 3)) AS query FROM places WHERE id % 20 = 0), h AS (SELECT query_id, id AS doc_id, lower(name) AS key, coalesce(population, 0) AS population, CASE WHEN lower(name) = query THEN 115 ELSE 75 END AS score FROM places JOIN q ON starts_with(lower(name), query))
+  SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, population DESC, key, doc_id)::INTEGER AS place FROM h) WHERE place <= 5""")
 def place_search(spark, sf_dir):
-    docs = A.places(spark, sf_dir).select(F.col("id").alias("doc_id"), "name", F.coalesce("population", F.lit(0)).alias("rank"))
-    one = spark.createDataFrame([(0, "red")], "query_id long, query string")
-    return se.search(one, docs, most=5).select("doc_id", "place")
+    """The first letters of every twentieth place, against all places."""
+    places = A.places(spark, sf_dir)
+    queries = places.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring("name", 1, 3).alias("query"))
+    docs = places.select(F.col("id").alias("doc_id"), "name", F.coalesce("population", F.lit(0)).alias("rank"))
+    return se.search(queries, docs, most=5).select("query_id", "doc_id", "place")
 
 
-@query(f"WITH {POINTS}, {GAUGES} SELECT id, place FROM (SELECT g.id, row_number() OVER (ORDER BY {_km('c', 'g')}, g.name)::INTEGER AS place FROM gauges g, (SELECT 30.0::DOUBLE AS lat, -97.0::DOUBLE AS lon) c) WHERE place <= 50")
+@query(f"WITH {GAUGES} SELECT id, place FROM (SELECT g.id, row_number() OVER (PARTITION BY unit ORDER BY {_km('c', 'g')}, g.id)::INTEGER AS place FROM gauges g, (SELECT 30.0::DOUBLE AS lat, -97.0::DOUBLE AS lon) c)")
 def sort_distance(spark, sf_dir):
-    from pyspark.sql.window import Window
+    d = G.haversine_km(F.lit(30.0), F.lit(-97.0), F.col("lat"), F.col("lon"))
+    return op.sort_items(A.gauges(spark, sf_dir), "distance", ["unit"], d).select("id", "place")
 
-    from floodspark.functions import geo as G
 
-    d = G.haversine_km(F.lit(30.0), F.lit(-97.0), F.col("lat"), F.col("lon"))
-    top = A.gauges(spark, sf_dir).select("id", "name", d.alias("d")).orderBy("d", "name").limit(50)
-    return top.select("id", F.row_number().over(Window.orderBy("d", "name")).alias("place"))
+@query("SELECT p_partkey AS feature_id FROM part WHERE p_partkey % 3 = 2 OR p_size >= 8")
+def waterway_zoom_filter(spark, sf_dir):
+    p = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("LineString", "MultiLineString", "Polygon"))), (p % 3 + 1).cast("int"))
+    x = A.table(spark, sf_dir, "part").select(p.alias("feature_id"), kind.alias("kind"), F.col("p_size").alias("zoom"))
+    return op.waterway_zoom_filter(x, F.col("zoom")).select("feature_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from floodspark.functions import geo as G
 from floodspark.functions import status as S
 from floodspark.operators import cameras as cam
+from floodspark.operators import details as de
 from floodspark.operators import nearby as op
 from floodspark.operators import search as se
 from floodspark.plans import query
@@ -36,7 +37,7 @@ def nearby_gauges(spark, sf_dir):
     return x.select("id", "place", "rid", F.floor(F.col("distance") * 1000).alias("metres"), "total", "beyond_radius")
 
 
-@query(f"WITH {POINTS} SELECT p.id, floor({_km('p', 'c')} * 1000)::BIGINT AS metres, floor({_km('p', 'c', G.EARTH_M)})::BIGINT AS metres2, floor({_km('p', 'c')} * 0.621371)::BIGINT AS miles FROM points p, (SELECT 30.0::DOUBLE AS lat, -97.0::DOUBLE AS lon) c")
+@query(f"WITH {POINTS} SELECT p.id, floor({_km('p', 'c')} * 1000)::BIGINT AS metres, floor({_km('p', 'c', G.EARTH_M)})::BIGINT AS metres2, floor({_km('p', 'c')} / 1.609344)::BIGINT AS miles FROM points p, (SELECT 30.0::DOUBLE AS lat, -97.0::DOUBLE AS lon) c")
 def haversine(spark, sf_dir):
     at = (F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(-97.0))
     km = G.haversine_km(*at)
@@ -69,7 +70,7 @@ def camera_filter(spark, sf_dir):
     return cam.camera_filter(A.cameras(spark, sf_dir)).select("id")
 
 
-_CAM_STATUS = f"CASE WHEN photo_at IS NULL THEN 'none' WHEN age <= 10800 THEN 'fresh' WHEN age <= 86400 THEN 'stale' ELSE 'offline' END"
+_CAM_STATUS = f"CASE WHEN age <= 10800 THEN 'fresh' WHEN age <= 86400 THEN 'stale' ELSE 'offline' END"
 
 
 @query(f"WITH {CAMERAS} SELECT id, age, {_CAM_STATUS} AS status FROM (SELECT *, date_diff('second', photo_at, TIMESTAMP '{NOW}') AS age FROM cameras)")
@@ -78,10 +79,18 @@ def camera_status(spark, sf_dir):
     return A.cameras(spark, sf_dir).select("id", cam.photo_age(at, A.now()).alias("age"), cam.camera_status(at, A.now()).alias("status"))
 
 
-@query(f"WITH {CAMERAS} SELECT count(*) FILTER (WHERE status IN ('fresh', 'stale')) AS shown, count(*) FILTER (WHERE status NOT IN ('fresh', 'stale')) AS offline FROM (SELECT {_CAM_STATUS} AS status FROM (SELECT *, date_diff('second', photo_at, TIMESTAMP '{NOW}') AS age FROM cameras))")
+_AGED = f"(SELECT *, {_CAM_STATUS} AS status FROM (SELECT *, date_diff('second', photo_at, TIMESTAMP '{NOW}') AS age FROM cameras))"
+
+
+@query(f"WITH {CAMERAS} SELECT id, status, status <> 'offline' AS shown FROM {_AGED}")
+def camera_partition(spark, sf_dir):
+    return cam.camera_partition(A.cameras(spark, sf_dir), A.now()).select("id", "status", "shown")
+
+
+@query(f"WITH {CAMERAS} SELECT count(*) FILTER (WHERE status <> 'offline') AS shown, count(*) FILTER (WHERE status = 'offline') AS offline FROM {_AGED}")
 def camera_counts(spark, sf_dir):
-    live = cam.camera_status(F.col("photo_at"), A.now()).isin("fresh", "stale")
-    return A.cameras(spark, sf_dir).agg(F.count_if(live).alias("shown"), F.count_if(~live).alias("offline"))
+    x = cam.camera_partition(A.cameras(spark, sf_dir), A.now())
+    return x.agg(F.count_if("shown").alias("shown"), F.count_if(~F.col("shown")).alias("offline"))
 
 
 @query(f"""WITH {GAUGES}, {CAMERAS}, s AS (SELECT c.id, g.id AS gauge_id, {_km('c', 'g', G.EARTH_M)} AS d FROM cameras c JOIN gauges g ON g.site = c.site), f AS (SELECT id, gauge_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, gauge_id DESC) AS r FROM s WHERE d <= 3000) WHERE r = 1),
@@ -102,7 +111,7 @@ def repeated_names(spark, sf_dir):
 
 
 @query(f"""WITH {PLACES}, m AS (SELECT p.id, q.name AS landmark, q.id AS rid, {_km('p', 'q')} AS d FROM places p, places q WHERE q.population >= 10000 AND p.name <> q.name AND lower(p.name) IN (SELECT lower(name) FROM places GROUP BY 1 HAVING count(*) > 1))
-  SELECT id, landmark, floor(d * 0.621371 + 0.5)::INTEGER AS miles FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS r FROM m WHERE d <= 300) WHERE r = 1""")
+  SELECT id, landmark, floor(d / 1.609344 + 0.5)::INTEGER AS miles FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS r FROM m) WHERE r = 1""")
 def place_hint(spark, sf_dir):
     return se.place_hint(A.places(spark, sf_dir))
 
@@ -129,15 +138,42 @@ def name_sort_key(spark, sf_dir):
     return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), se.normalize_text(n).alias("key"), se.name_sort_key(F.concat_ws(" ", n, F.col("p_partkey").cast("string"))).alias("sort_key"))
 
 
-_WORDS = ["small ring", "red", "wid", "sm wi", "blue b", "ring"]
+_Q = """CASE WHEN p_partkey % 60 = 0 THEN 'pt' || p_partkey WHEN p_partkey % 40 = 0 THEN p_name ELSE substr(split_part(p_name, ' ', 2), 1, 3) || ' ' || split_part(p_name, ' ', 1) END"""
 
 
-@query("""WITH q AS (SELECT unnest(range(0, 6)) AS query_id, unnest(['small ring', 'red', 'wid', 'sm wi', 'blue b', 'ring']) AS query), qw AS (SELECT query_id, unnest(range(0, len(string_split(query, ' ')))) AS w, unnest(string_split(query, ' ')) AS word, len(string_split(query, ' ')) AS words FROM q),
-  dt AS (SELECT p_partkey AS doc_id, unnest(range(0, len(string_split(p_name, ' ')))) AS pos, unnest(string_split(p_name, ' ')) AS token FROM part),
-  h AS (SELECT query_id, words, doc_id, w, max(CASE WHEN word = token THEN 100 ELSE 60 END) AS points, max(CASE WHEN w = 0 AND pos = 0 THEN 1 ELSE 0 END) AS starts FROM qw JOIN dt ON starts_with(token, word) GROUP BY 1, 2, 3, 4),
-  s AS (SELECT query_id, doc_id, floor(sum(points) / words + 15 * max(starts) + 0.5)::INTEGER AS score FROM h GROUP BY query_id, words, doc_id HAVING count(*) = words)
-  SELECT * FROM (SELECT query_id, s.doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_size DESC, p_name, s.doc_id)::INTEGER AS place, count(*) OVER (PARTITION BY query_id) AS total FROM s JOIN part ON p_partkey = s.doc_id) WHERE place <= 30""")
+@query(f"""WITH names AS (SELECT p_partkey AS doc_id, p_size, lower(p_name) AS key, list_concat(string_split(lower(p_name), ' '), ['pt' || p_partkey]) AS tokens FROM part),
+  qw AS (SELECT query_id, len(words) AS n, unnest(words) AS word, unnest(range(0, len(words))) AS w FROM (SELECT p_partkey AS query_id, string_split(lower({_Q}), ' ') AS words FROM part WHERE p_partkey % 20 = 0)),
+  dt AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS pos FROM names),
+  h AS (SELECT query_id, n, doc_id, w, max(CASE WHEN word = token THEN 100 ELSE 60 END) AS points, arg_max(pos, (CASE WHEN word = token THEN 100 ELSE 60 END, -pos)) AS pos FROM qw JOIN dt ON starts_with(token, word) GROUP BY 1, 2, 3, 4),
+  s AS (SELECT query_id, doc_id, floor(sum(points) / n + CASE WHEN n > 1 AND max(pos - w) = min(pos - w) THEN 25 ELSE 0 END + CASE WHEN min(pos) FILTER (WHERE w = 0) = 0 THEN 15 ELSE 0 END + 0.5)::INTEGER AS score FROM h GROUP BY query_id, n, doc_id HAVING count(*) = n)
+  SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_size DESC, len(tokens), key, doc_id)::INTEGER AS place, count(*) OVER (PARTITION BY query_id) AS total FROM s JOIN names USING (doc_id)) WHERE place <= 30""")
 def gauge_search(spark, sf_dir):
-    queries = spark.createDataFrame(list(enumerate(_WORDS)), "query_id long, query string")
-    docs = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), F.col("p_size").alias("rank"))
-    return se.search(queries, docs)
+    """Queries are made from the names and codes of every twentieth row, against all rows."""
+    p = A.table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), F.col("p_name")
+    code = F.concat(F.lit("PT"), k.cast("string"))
+    part = lambda i: F.split_part(n, F.lit(" "), F.lit(i))
+    typed = F.when(k % 60 == 0, code).when(k % 40 == 0, n).otherwise(F.concat_ws(" ", F.substring(part(2), 1, 3), part(1)))
+    queries = p.filter(k % 20 == 0).select(k.alias("query_id"), typed.alias("query"))
+    return se.search(queries, p.select(k.alias("doc_id"), n.alias("name"), F.col("p_size").alias("rank"), code.alias("code")))
+
+
+@query(f"""WITH {PLACES}, {GAUGES}, pairs AS (SELECT p.id, g.id AS rid, {_km('p', 'g')} AS distance FROM places p, gauges g), hit AS (SELECT id, count(*) AS n, min(distance) AS d FROM pairs WHERE distance <= 40 GROUP BY 1)
+  SELECT id, n, floor(d * 1000)::BIGINT AS metres, false AS beyond FROM hit
+  UNION ALL SELECT id, 5, floor(min(distance) * 1000)::BIGINT, true FROM pairs WHERE id NOT IN (SELECT id FROM hit) GROUP BY 1""")
+def gauges_near_place(spark, sf_dir):
+    g = A.gauges(spark, sf_dir).select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), F.lit(0).alias("rank"))
+    x = de.gauges_near_place(A.places(spark, sf_dir), g)
+    return x.groupBy("id").agg(F.first("total").alias("n"), F.floor(F.min("distance") * 1000).alias("metres"), F.first("beyond_radius").alias("beyond"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace('Town of ' || source || ' city', '^(Town|City|Village) of ', ''), ' (city|town|village|CDP)$', '') AS name, trim(regexp_replace(lower(strip_accents(regexp_replace(lang || ' ' || source, '[''’ʼ`]', '', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
+def display_place_name(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("Town of "), "source", F.lit(" city"))
+    return d.select("doc_id", se.display_place_name(name).alias("name"), se.normalize_text(F.concat_ws(" ", "lang", "source")).alias("key"))
+
+
+@query("""SELECT doc_id, trim(regexp_replace(lower(strip_accents(regexp_replace(text, '[''’ʼ`]', '', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
+def normalize_text(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", se.normalize_text(F.col("text")).alias("key"))

@@ -47,11 +47,11 @@ def forecast_interpolate(spark, sf_dir):
     return got.withColumn("v", F.round("v", 6))
 
 
-@query(f"""WITH {GAUGES}, {READINGS}, {FORECASTS}, wanted AS (SELECT id AS gauge_id, unnest(generate_series(TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-21', INTERVAL 15 MINUTE)) AS target FROM gauges), {_ASOF}, {_INTERPOLATE}
+@query(f"""WITH {GAUGES}, {READINGS}, {FORECASTS}, wanted AS (SELECT id AS gauge_id, unnest(generate_series(TIMESTAMP '2024-01-14', TIMESTAMP '2024-01-26', INTERVAL 15 MINUTE)) AS target FROM gauges), {_ASOF}, {_INTERPOLATE}
   SELECT gauge_id, target, v, 'observed' AS kind FROM asof_ WHERE target <= TIMESTAMP '{FORECAST_NOW}'
   UNION ALL SELECT gauge_id, target, round(CASE WHEN pt = target THEN pv WHEN nt IS NULL THEN NULL WHEN pt IS NULL THEN CASE WHEN nx - x <= 21600 THEN nv END ELSE pv + (x - px) / (nx - px) * (nv - pv) END, 6), 'forecast' FROM both_ WHERE target > TIMESTAMP '{FORECAST_NOW}'""")
 def timeline_frames(spark, sf_dir):
-    w = _wanted(spark, sf_dir, "2024-01-19 00:00:00", "2024-01-21 00:00:00")
+    w = _wanted(spark, sf_dir, "2024-01-14 00:00:00", "2024-01-26 00:00:00")
     past, ahead = w.filter(F.col("target") <= _ts(FORECAST_NOW)), w.filter(F.col("target") > _ts(FORECAST_NOW))
     seen = op.history_asof(A.readings(spark, sf_dir), past).select("gauge_id", "target", "v", F.lit("observed").alias("kind"))
     told = op.forecast_interpolate(A.forecasts(spark, sf_dir), ahead).select("gauge_id", "target", F.round("v", 6).alias("v"), F.lit("forecast").alias("kind"))
@@ -79,12 +79,45 @@ def forecast_crest(spark, sf_dir):
     return op.forecast_crest(A.forecasts(spark, sf_dir), _ts(FORECAST_NOW))
 
 
-@query(f"""WITH {GAUGES}, {FORECASTS}, {_CREST}, x AS (SELECT g.id AS gauge_id, i.issued_at, c.v FROM gauges g LEFT JOIN (SELECT gauge_id, min(t) AS issued_at FROM forecasts GROUP BY 1) i ON i.gauge_id = g.id LEFT JOIN crests c ON c.gauge_id = g.id)
-  SELECT gauge_id, CASE WHEN issued_at IS NULL THEN 'none' WHEN v IS NULL THEN 'expired' ELSE 'crest' END AS view, coalesce(v IS NOT NULL AND TIMESTAMP '{FORECAST_NOW}' - issued_at > INTERVAL 1 DAY, false) AS stale, v FROM x""")
+_CATEGORY_OF = "CASE WHEN coalesce(action, minor, moderate, major) IS NULL THEN 'not_defined' WHEN {0} >= major THEN 'major' WHEN {0} >= moderate THEN 'moderate' WHEN {0} >= minor THEN 'minor' WHEN {0} >= action THEN 'action' ELSE 'no_flooding' END"
+_LISTED = f"""raw AS (SELECT user_id AS gauge_id, arg_max(event_id, event_id) AS pos, arg_max(CASE WHEN event_id % 4 = 0 THEN -999.0 ELSE value END, event_id)::DOUBLE AS stage,
+    arg_max(CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END, event_id) AS t0 FROM events GROUP BY 1), listed AS (
+  SELECT g.id AS gauge_id, CASE WHEN stage > -100 AND pos % 7 <> 0 THEN stage END AS stage, CASE WHEN stage > -100 AND pos % 7 <> 0 THEN (SELECT ts FROM events e WHERE e.event_id = pos) END AS t,
+    CASE WHEN stage > -100 AND pos % 7 <> 0 THEN CASE WHEN pos % 5 = 0 THEN 'minor' ELSE {_CATEGORY_OF.format('stage')} END END AS category FROM gauges g JOIN raw ON raw.gauge_id = g.id)"""
+
+
+def _listed(spark, sf_dir):
+    """Gauges with a list row's forecast: each gauge's last event, with sentinels."""
+    e, i = A.table(spark, sf_dir, "events"), F.col("pos")
+    last = e.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("pos"), F.max_by("value", "event_id").alias("value"), F.max_by("ts", "event_id").alias("ts"))
+    raw = F.struct(
+        F.when(i % 4 == 0, F.lit(-999.0)).otherwise(F.col("value")).alias("primary"),
+        F.lit(" ").alias("primaryUnit"),
+        F.when(i % 5 == 0, "Minor").otherwise("fcst_not_current").alias("floodCategory"),
+        F.when(i % 7 != 0, F.col("ts")).otherwise(F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("validTime"),
+    )
+    x = A.gauges(spark, sf_dir).join(last, "id")
+    return x.withColumn("forecast", op.extract_forecast(raw, F.col("thresholds")))
+
+
+@query(f"WITH {GAUGES}, {_LISTED} SELECT gauge_id, stage, t, category FROM listed")
+def extract_forecast(spark, sf_dir):
+    return _listed(spark, sf_dir).select(F.col("id").alias("gauge_id"), "forecast.stage", "forecast.t", "forecast.category")
+
+
+@query(f"""WITH {GAUGES}, {FORECASTS}, {_CREST}, {_LISTED}, d AS (SELECT gauge_id, count(*) AS n, min(t) AS issued_at FROM forecasts GROUP BY 1),
+  x AS (SELECT g.*, g.id % 9 <> 0 AS ended, g.id % 9 <> 0 AND g.id % 4 <> 0 AS answered, CASE WHEN g.id % 10 = 1 THEN 0 ELSE coalesce(d.n, 0) END AS n, d.issued_at, c.v AS cv, c.t AS ct, l.stage, l.t, l.category AS lc FROM gauges g LEFT JOIN d ON d.gauge_id = id LEFT JOIN crests c ON c.gauge_id = id LEFT JOIN listed l ON l.gauge_id = id),
+  y AS (SELECT *, CASE WHEN answered THEN CASE WHEN n = 0 THEN 'none' WHEN cv IS NULL THEN 'expired' ELSE 'crest' END WHEN t >= TIMESTAMP '{FORECAST_NOW}' THEN 'crest' WHEN ended THEN 'unavailable' ELSE 'loading' END AS view FROM x)
+  SELECT id AS gauge_id, view, CASE WHEN view = 'crest' THEN CASE WHEN answered THEN cv ELSE stage END END AS v, CASE WHEN view = 'crest' THEN CASE WHEN answered THEN ct ELSE t END END AS t, CASE WHEN view = 'crest' THEN unit END AS unit,
+    CASE WHEN view = 'crest' THEN CASE WHEN answered THEN {_CATEGORY_OF.format('cv')} ELSE lc END END AS category, CASE WHEN answered AND view <> 'none' THEN issued_at END AS issued_at,
+    coalesce(view = 'crest' AND answered AND TIMESTAMP '{FORECAST_NOW}' - issued_at > INTERVAL 1 DAY, false) AS stale FROM y""")
 def forecast_view(spark, sf_dir):
-    f = A.forecasts(spark, sf_dir)
-    issued = f.groupBy("gauge_id").agg(F.min("t").alias("issued_at"))
-    return op.forecast_view(A.gauges(spark, sf_dir), op.forecast_crest(f, _ts(FORECAST_NOW)).drop("t"), issued, _ts(FORECAST_NOW))
+    f, now, i = A.forecasts(spark, sf_dir), _ts(FORECAST_NOW), F.col("id")
+    told = f.groupBy(F.col("gauge_id").alias("id")).agg(F.count("*").alias("n"), F.min("t").alias("issued_at"))
+    details = A.gauges(spark, sf_dir).filter(i % 9 != 0).join(told, "id", "left").select(
+        i.alias("gauge_id"), (i % 4 != 0).alias("has_forecast"), F.when(i % 10 == 1, 0).otherwise(F.coalesce("n", F.lit(0))).alias("n_points"), F.lit(None).cast("string").alias("unit"), "issued_at"
+    )
+    return op.forecast_view(_listed(spark, sf_dir), details, op.forecast_crest(f, now), now)
 
 
 _TREND_NOW = "2024-01-30 12:00:00"

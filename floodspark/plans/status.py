@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floodspark.functions import status as S
 from floodspark.operators import status as op
+from floodspark.operators.details import sort_items
 from floodspark.plans import query
 from floodspark.sources import adapt as A
 from floodspark.sources.adapt import GAUGES, NOW, READINGS
@@ -198,22 +199,54 @@ def last_good_read(spark, sf_dir):
     return op.last_good_read(r)
 
 
-@query(status_sql("SELECT id, CASE WHEN v IS NULL THEN 'no reading' ELSE format('{:.2f}', v) || ' ' || unit END AS stage, CASE WHEN t IS NULL THEN 'unknown' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 2880 THEN (m // 60) || ' h ago' ELSE (m // 1440) || ' days ago' END AS age FROM (SELECT *, date_diff('second', date_trunc('second', t), TIMESTAMP '" + NOW + "') // 60 AS m FROM displayed)"))
+_AGE = "CASE WHEN {0} IS NULL THEN NULL WHEN floor({0} / 60.0 + 0.5) < 90 THEN floor({0} / 60.0 + 0.5)::BIGINT || ' minute' || CASE WHEN floor({0} / 60.0 + 0.5) = 1 THEN '' ELSE 's' END WHEN floor({0} / 3600.0 + 0.5) < 36 THEN floor({0} / 3600.0 + 0.5)::BIGINT || ' hour' || CASE WHEN floor({0} / 3600.0 + 0.5) = 1 THEN '' ELSE 's' END ELSE floor({0} / 86400.0 + 0.5)::BIGINT || ' day' || CASE WHEN floor({0} / 86400.0 + 0.5) = 1 THEN '' ELSE 's' END END"
+_TWO = "regexp_replace(regexp_replace(format('{:.2f}', v), '0+$', ''), '\\.$', '')"
+_AGED = f"SELECT *, date_diff('second', date_trunc('second', t), TIMESTAMP '{NOW}') AS s FROM displayed"
+
+
+@query(status_sql(f"SELECT id, {_TWO} AS stage, {_AGE.format('s')} AS age, CASE WHEN s < 60 THEN 'just now' ELSE {_AGE.format('s')} || ' ago' END AS ago, CASE WHEN NOT old THEN '' WHEN s IS NULL THEN ' · reading time unknown' ELSE ' · reading ' || {_AGE.format('s')} || ' old' END AS note FROM ({_AGED})"))
 def format_status(spark, sf_dir):
     c = current(spark, sf_dir)
-    return c.select("id", S.format_stage(F.col("v"), F.col("unit")).alias("stage"), S.format_age(S.age_seconds(F.col("t"), A.now())).alias("age"))
+    age = S.age_seconds(F.col("t"), A.now())
+    note = S.old_reading_note(F.col("v"), F.col("t"), A.now())
+    return c.select("id", S.format_stage(F.col("v")).alias("stage"), S.format_age(age).alias("age"), S.ago_text(age).alias("ago"), note.alias("note"))
+
+
+_LABEL = "CASE {0} WHEN 'no_stages' THEN 'No flood stages' WHEN 'no_flooding' THEN 'Normal' WHEN 'action' THEN 'Action' WHEN 'minor' THEN 'Minor flood' WHEN 'moderate' THEN 'Moderate flood' WHEN 'major' THEN 'Major flood' ELSE 'No data' END"
+
+
+@query(status_sql(f"""SELECT id, array_to_string(list_filter([CASE WHEN v IS NOT NULL THEN {_TWO} || ' ' || unit END,
+    CASE WHEN c = 'not_defined' THEN CASE WHEN v IS NULL THEN 'No current reading' WHEN s IS NULL OR s > 21600 THEN 'No recent reading' ELSE 'Flood stages not defined' END ELSE {_LABEL.format('c')} || CASE WHEN c = 'no_flooding' AND coalesce(action, minor, moderate, major) IS NULL THEN ' (no flood stages defined)' ELSE '' END END,
+    CASE WHEN v IS NULL THEN CASE WHEN c <> 'not_defined' THEN 'Stage unavailable!' END WHEN s IS NULL THEN 'Reading time unknown!' WHEN s > 5400 THEN 'Reading is ' || {_AGE.format('s')} || ' old!' WHEN s < 60 THEN 'just now' ELSE {_AGE.format('s')} || ' ago' END], lambda x: x IS NOT NULL), ' · ') AS words
+  FROM (SELECT *, CASE WHEN display = 'no_flooding' AND v IS NULL THEN 'not_defined' ELSE display END AS c FROM ({_AGED}))"""))
+def describe_item(spark, sf_dir):
+    c = current(spark, sf_dir)
+    listed = S.list_category(F.col("category"), F.col("v"), F.col("thresholds"), F.col("t"), A.now())
+    words = S.describe_item(listed, F.col("v"), F.col("unit"), F.col("thresholds"), F.col("t"), A.now())
+    marked = F.transform(words, lambda w: F.concat(w["text"], F.when(w["warn"], "!").otherwise("")))
+    return c.select("id", F.array_join(marked, " · ").alias("words"))
+
+
+@query(f"""SELECT event_id AS id, CASE WHEN km / 1.609344 < 0.1 THEN '<0.1 mi' WHEN km / 1.609344 < 10 THEN format('{{:.1f}}', km / 1.609344) || ' mi' ELSE format('{{:,}}', floor(km / 1.609344 + 0.5)::BIGINT) || ' mi' END AS miles,
+  CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN h < 24 THEN h || ' h' || CASE WHEN m % 60 = 0 THEN '' ELSE ' ' || m % 60 || ' min' END || ' ago' WHEN d < 2 THEN '1 d' || CASE WHEN h % 24 = 0 THEN '' ELSE ' ' || h % 24 || ' h' END || ' ago' WHEN d < 365 THEN d || ' days ago' ELSE 'over a year ago' END AS photo,
+  CASE WHEN abs(s) < 60 THEN 'just now' WHEN s < 0 THEN 'in ' || {_AGE.format('(-s)')} ELSE {_AGE.format('s')} || ' ago' END AS relative
+  FROM (SELECT *, s // 60 AS m, s // 3600 AS h, s // 86400 AS d, (event_id * 37 % 50000) / 16.0 AS km FROM (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31') AS s FROM events))""")
+def format_texts(spark, sf_dir):
+    ref = F.lit("2024-01-31").cast("timestamp_ntz")
+    age = F.unix_seconds(ref.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
+    return A.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), S.format_miles(F.col("event_id") * 37 % 50000 / 16.0).alias("miles"), S.format_photo_age(age).alias("photo"), S.relative_time(F.col("ts"), ref).alias("relative")
+    )
 
 
 _RANK = "list_position(['not_defined', 'no_stages', 'no_flooding', 'action', 'minor', 'moderate', 'major'], display) - 1"
 
 
-@query(status_sql(f"SELECT id, row_number() OVER (ORDER BY {_RANK} DESC, lpad(regexp_extract(name, '[0-9]+'), 12, '0'), id) AS place FROM displayed ORDER BY place LIMIT 100"))
+@query(status_sql(f"SELECT id, row_number() OVER (PARTITION BY unit ORDER BY {_RANK} DESC, id)::INTEGER AS place FROM displayed"))
 def sort_status(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    c = current(spark, sf_dir).select("id", S.rank(F.col("display")).alias("rank"), F.lpad(F.regexp_extract("name", "[0-9]+", 0), 12, "0").alias("key"))
-    top = c.orderBy(F.col("rank").desc(), "key", "id").limit(100)
-    return top.select("id", F.row_number().over(Window.orderBy(F.col("rank").desc(), "key", "id")).cast("long").alias("place"))
+    """Within each unit; names sort by their numbers' values, as ids do."""
+    c = current(spark, sf_dir).withColumn("rank", S.rank(F.col("display")))
+    return sort_items(c, "status", ["unit"]).select("id", "place")
 
 
 @query(status_sql("SELECT count(*) AS n, bit_xor(('0x' || substr(md5(id || '@' || format('{:.5f}', lat) || ',' || format('{:.5f}', lon)), 1, 15))::BIGINT) AS signature FROM gauges WHERE coalesce(action, minor, moderate, major) IS NOT NULL"))

@@ -129,8 +129,8 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 4 != 0, i % 150 - (i % 150) % 2).alias("site"),
         F.when(i % 9 == 0, "OK").otherwise("TX").alias("state"),
         (i % 13 == 0).alias("hidden"),
-        (25.8 + (i % 150 * 7919 % 10800) / 1000.0 + (i % 5) * 0.0001).alias("lat"),
-        (-106.6 + (i % 150 * 104729 % 13100) / 1000.0 + (i % 3) * 0.0001).alias("lon"),
+        (25.8 + ((i - i % 2) % 150 * 7919 % 10800) / 1000.0 + (i % 5) * 0.0001).alias("lat"),
+        (-106.6 + ((i - i % 2) % 150 * 104729 % 13100) / 1000.0 + (i % 3) * 0.0001).alias("lon"),
         F.when(i % 10 != 0, F.timestamp_add("MINUTE", -(i * 37 % 3000).cast("int"), F.lit(NOW).cast("timestamp_ntz"))).alias("photo_at"),
     )
 
@@ -138,8 +138,8 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAMERAS = f"""cameras AS (
   SELECT 'CAM_' || s_suppkey AS id, s_suppkey AS n, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 150 - (s_suppkey % 150) % 2 END AS site,
     CASE WHEN s_suppkey % 9 = 0 THEN 'OK' ELSE 'TX' END AS state, s_suppkey % 13 = 0 AS hidden,
-    25.8 + (s_suppkey % 150 * 7919 % 10800) / 1000.0::DOUBLE + (s_suppkey % 5) * 0.0001::DOUBLE AS lat,
-    -106.6 + (s_suppkey % 150 * 104729 % 13100) / 1000.0::DOUBLE + (s_suppkey % 3) * 0.0001::DOUBLE AS lon,
+    25.8 + ((s_suppkey - s_suppkey % 2) % 150 * 7919 % 10800) / 1000.0::DOUBLE + (s_suppkey % 5) * 0.0001::DOUBLE AS lat,
+    -106.6 + ((s_suppkey - s_suppkey % 2) % 150 * 104729 % 13100) / 1000.0::DOUBLE + (s_suppkey % 3) * 0.0001::DOUBLE AS lon,
     CASE WHEN s_suppkey % 10 <> 0 THEN TIMESTAMP '{NOW}' - to_minutes(s_suppkey * 37 % 3000) END AS photo_at
   FROM supplier
 )"""
