@@ -14,29 +14,42 @@ def with_keys(messages: DataFrame) -> DataFrame:
     return x.withColumn("key", C.event_key(F.col("v"), F.col("cap_id")))
 
 
-def alert_filter(messages: DataFrame, now: Column) -> DataFrame:
-    """The messages that tell of a flood event in effect, with v, key and level.
-
-    Tests, cancellations, acknowledgements and errors tell of none; UPG replaces an event by another
-    product's; what has passed its end (or, without one, its expiry) is over.
-    """
+def _opens(now: Column) -> Column:
     v = F.col("v")
-    fits = (
+    return F.coalesce(
         F.col("event").isin(*C.FLOOD_EVENTS)
         & F.coalesce(F.col("status") == "Actual", F.lit(True))
         & ~F.coalesce(F.col("message_type").isin("Cancel", "Ack", "Error"), F.lit(False))
         & (v.isNull() | ((v["class"] != "T") & ~v["action"].isin("CAN", "UPG")))
         & C.alert_active(F.col("ends"), F.col("expires"), now)
-        & F.col("key").isNotNull()
+        & F.col("key").isNotNull(),
+        F.lit(False),
     )
-    return with_keys(messages).filter(fits).withColumn("level", C.alert_level(F.col("event"), F.col("catastrophic")))
 
 
-def cancellations(messages: DataFrame) -> DataFrame:
-    """key and time of the last cancellation (CAN, or a Cancel message) of each event, whatever its event is called."""
+def _cancels() -> Column:
     v = F.col("v")
     gone = (v["class"] != "T") & ((v["action"] == "CAN") | F.coalesce(F.col("message_type") == "Cancel", F.lit(False)))
-    return with_keys(messages).filter(v.isNotNull() & gone).groupBy("key").agg(F.max("sent").alias("cancelled"))
+    return F.coalesce(v.isNotNull() & gone, F.lit(False))
+
+
+def with_roles(messages: DataFrame, now: Column) -> DataFrame:
+    """messages with v, key, and whether each one opens (or goes on with) its event or cancels it."""
+    return with_keys(messages).withColumn("opens", _opens(now)).withColumn("cancels", _cancels())
+
+
+def alert_filter(messages: DataFrame, now: Column) -> DataFrame:
+    """The messages that tell of a flood event in effect, with v, key and level.
+
+    Tests, cancellations, acknowledgements and errors tell of none; UPG replaces an event by another
+    product's; what has passed its end (or, without one, its expiry) is over.
+    """
+    return with_keys(messages).filter(_opens(now)).withColumn("level", C.alert_level(F.col("event"), F.col("catastrophic")))
+
+
+def cancellations(messages: DataFrame) -> DataFrame:
+    """key and time of the last cancellation (CAN, or a Cancel message) of each event, whatever its event is called."""
+    return with_keys(messages).filter(_cancels()).groupBy("key").agg(F.max("sent").alias("cancelled"))
 
 
 def without_cancelled(messages: DataFrame, now: Column) -> DataFrame:

@@ -67,3 +67,13 @@ def top(counts: DataFrame, key: str, n: int) -> DataFrame:
 def write_rollup(days: DataFrame, path: str) -> None:
     """Rewrites only the days that are given; raw events are deleted by a retention job of its own."""
     days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def repair_days(rollup: DataFrame, raw_days: DataFrame) -> DataFrame:
+    """rollup and the days recomputed from raw events that were found for them: a recomputed day replaces its row."""
+    return rollup.join(raw_days.select("day"), "day", "left_anti").unionByName(raw_days)
+
+
+def retained_salts(salts: DataFrame, today: Column) -> DataFrame:
+    """salts (day, ...) less those of past days, once these are rolled up."""
+    return salts.filter(F.col("day") >= today)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from floodspark.functions import geo as G
+from floodspark.functions.alerts import office_link
 from floodspark.operators.nearby import snap_to_lines, within
 
 REACH_M, SNAP_M, SOURCE_M, BRIDGE_M = 40_000.0, 750.0, 150.0, 1_000.0
@@ -217,8 +218,54 @@ def bounds(ring: Column) -> Column:
     return F.struct(lim(F.array_min, "lon").alias("west"), lim(F.array_min, "lat").alias("south"), lim(F.array_max, "lon").alias("east"), lim(F.array_max, "lat").alias("north"))
 
 
-def closed_ring(ring: Column) -> Column:
-    """Valid positions only, closed; null for fewer than 4 points."""
-    ok = F.filter(ring, lambda p: G.valid_position(p["lat"], p["lon"]))
-    shut = F.when(ok[0] == F.element_at(ok, -1), ok).otherwise(F.concat(ok, F.slice(ok, 1, 1)))
-    return F.when(F.size(ok) > 0, F.when(F.size(shut) >= 4, shut))
+def clean_ring(ring: Column) -> Column:
+    """A ring of [lon, lat, ...] lists as closed points; null for fewer than 4 of them or where any position is not valid."""
+    valid = F.forall(ring, lambda p: (F.size(p) >= 2) & F.coalesce(G.valid_position(p[1], p[0]), F.lit(False)))
+    points = F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    shut = F.when(points[0] == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
+    return F.when(F.when(F.size(ring) >= 3, valid & (F.size(shut) >= 4)), shut)
+
+
+def clean_polygons(polygons: Column) -> Column:
+    """Polygons (outer ring, then holes) with a usable outer ring, less the holes that are none; none at all gives an empty array."""
+    rings = F.transform(polygons, lambda c: F.transform(c, clean_ring))
+    usable = F.filter(rings, lambda rs: (F.size(rs) > 0) & rs[0].isNotNull())
+    return F.coalesce(F.transform(usable, lambda rs: F.filter(rs, lambda r: r.isNotNull())), F.array().cast("array<array<array<struct<lon:double,lat:double>>>>"))
+
+
+def _edges(ring: Column) -> Column:
+    n = F.size(ring)
+    return F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def representative_point(polygons: Column) -> Column:
+    """A point inside: the centroid of the largest polygon, or the middle of its widest stretch at the centroid's latitude; null without polygons."""
+    sized = F.transform(polygons, lambda rs, i: F.struct(F.abs(ring_area(rs[0])).alias("area"), (-i).alias("first"), rs.alias("rings")))
+    rings = F.array_max(sized)["rings"]
+    outer = rings[0]
+    total = lambda f: F.aggregate(F.transform(_edges(outer), f), F.lit(0.0), lambda s, x: s + x)
+    cross = lambda e: e["p"]["lon"] * e["q"]["lat"] - e["q"]["lon"] * e["p"]["lat"]
+    area = ring_area(outer)
+    flat = F.abs(area) <= 1e-12
+    cx = F.when(flat, outer[0]["lon"]).otherwise(total(lambda e: (e["p"]["lon"] + e["q"]["lon"]) * cross(e)) / (6 * area))
+    cy = F.when(flat, outer[0]["lat"]).otherwise(total(lambda e: (e["p"]["lat"] + e["q"]["lat"]) * cross(e)) / (6 * area))
+
+    def at_latitude(y: Column) -> Column:
+        meets = F.filter(F.flatten(F.transform(rings, _edges)), lambda e: (e["q"]["lat"] > y) != (e["p"]["lat"] > y))
+        return F.array_sort(F.transform(meets, lambda e: (e["p"]["lon"] - e["q"]["lon"]) * (y - e["q"]["lat"]) / (e["p"]["lat"] - e["q"]["lat"]) + e["q"]["lon"]))
+
+    def choose(x: Column, y: Column, xs: Column) -> Column:
+        inside = F.size(F.filter(xs, lambda v: v > x)) % 2 == 1
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1), lambda k: F.struct((xs[2 * k + 1] - xs[2 * k]).alias("wide"), (-k).alias("first"), ((xs[2 * k] + xs[2 * k + 1]) / 2).alias("mid")))
+        other = F.when(F.size(xs) >= 2, F.array_max(pairs)["mid"])
+        return F.when(inside, F.struct(x.alias("lon"), y.alias("lat"))).when(other.isNotNull(), F.struct(other.alias("lon"), y.alias("lat"))).otherwise(F.struct(outer[0]["lon"].alias("lon"), outer[0]["lat"].alias("lat")))
+
+    known = F.array(F.struct(cx.alias("x"), cy.alias("y")))
+    found = F.transform(F.transform(known, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), at_latitude(c["y"]).alias("xs"))), lambda c: choose(c["x"], c["y"], c["xs"]))[0]
+    return F.when(F.size(polygons) > 0, found)
+
+
+def map_link(polygons: Column, office: Column) -> Column:
+    """The point forecast page of a place inside the shape, or the office's page where there is no shape."""
+    p = representative_point(polygons)
+    return F.when(p.isNotNull(), F.format_string("https://forecast.weather.gov/MapClick.php?lat=%.4f&lon=%.4f", p["lat"], p["lon"])).otherwise(office_link(office))

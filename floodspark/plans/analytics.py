@@ -83,3 +83,9 @@ def client_ip(spark, sf_dir):
     forwarded = F.when(e % 3 == 0, F.concat(F.lit(" "), u, F.lit(".1.1.1, 9.9.9.9")))
     real = F.when(e % 3 == 1, F.concat(F.lit("10.0.0."), u)).otherwise("")
     return A.table(spark, sf_dir, "events").select("event_id", op.client_ip(forwarded, real).alias("ip"))
+
+
+@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def salt_retention(spark, sf_dir):
+    salts = A.table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    return op.retained_salts(salts, F.lit("2024-01-20"))

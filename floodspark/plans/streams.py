@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from floodspark.operators import alerts as al
 from floodspark.plans import query
+from floodspark.sources import adapt as A
+from floodspark.sources.adapt import MESSAGES
 from floodspark.streaming import streams as st
 
 _CLOSED = "(SELECT strftime(max(ts) - INTERVAL 1 DAY, '%Y-%m-%d') FROM events)"
@@ -23,21 +26,64 @@ def stream_day_visitors(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY 1")
 def stream_latest(spark, sf_dir):
-    to = st.folder(spark)
-    st.latest(st.events(spark, sf_dir), to)
-    return spark.read.parquet(f"{to}/0").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return st.latest(st.events(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+_DAYS = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'view') AS pageviews, count(*) FILTER (WHERE event_type = 'click') AS opens FROM events GROUP BY 1"
+
+
+@query(f"SELECT * FROM ({_DAYS}) WHERE day < '2024-01-30'")
+def stream_late_day(spark, sf_dir):
+    """A rollup that lacks the events of one type is repaired by the late ones."""
+    raw = A.table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    early = raw.filter("event_type <> 'click' AND day < '2024-01-30'").groupBy("day").agg(*st.counts_of_day())
+    late = st.events(spark, sf_dir).filter("event_type = 'click'")
+    return st.late_days(late, early, raw, "2024-01-30")
+
+
+@query("SELECT user_id AS visitor, ts AS at, pos::INTEGER AS pos, CASE pos WHEN 0 THEN event_type ELSE 'pageview' END AS type, event_id + pos AS gauge_id FROM events, (SELECT unnest(range(0, 20)) AS pos) WHERE pos < event_id % 25")
+def stream_visit_batches(spark, sf_dir):
+    i = F.col("event_id")
+    none = F.array().cast("array<struct<type:string,gauge_id:bigint>>")
+    several = F.transform(F.sequence(F.lit(0).cast("long"), i % 25 - 1), lambda k: F.struct(F.when(k == 0, F.col("event_type")).otherwise("pageview").alias("type"), (i + k).alias("gauge_id")))
+    batches = st.events(spark, sf_dir).select(F.col("user_id").alias("visitor"), F.col("ts").cast("timestamp_ntz").alias("at"), F.when(i % 25 > 0, several).otherwise(none).alias("events"))
+    return st.run(st.visit_batches(batches))
+
+
+_KEY = "coalesce(substr(vtec, 8, 4) || '.' || substr(vtec, 13, 2) || '.' || substr(vtec, 16, 1) || '.' || substr(vtec, 18, 4), cap_id)"
+
+
+@query(f"""WITH {MESSAGES}, gone AS (SELECT {_KEY} AS key, max(sent) AS cancelled FROM messages WHERE vtec NOT LIKE '/T.%' AND (substr(vtec, 4, 3) = 'CAN' OR message_type = 'Cancel') GROUP BY 1),
+  o AS (SELECT *, {_KEY} AS key FROM messages WHERE event LIKE '%Flood%' AND coalesce(status, 'Actual') = 'Actual' AND coalesce(message_type, '') NOT IN ('Cancel', 'Ack', 'Error') AND (vtec IS NULL OR vtec NOT LIKE '/T.%' AND substr(vtec, 4, 3) NOT IN ('CAN', 'UPG'))),
+  x AS (SELECT key, arg_max(id, (sent, -id)) AS id, CASE WHEN bool_and(coalesce(ends, expires) IS NOT NULL) THEN max(coalesce(ends, expires)) END AS until FROM o LEFT JOIN gone USING (key) WHERE cancelled IS NULL OR sent > cancelled GROUP BY 1)
+  SELECT key, id, 'open' AS state FROM x UNION ALL SELECT key, id, 'over' FROM x WHERE until <= (SELECT max(sent) FROM messages)""")
+def stream_alert_events(spark, sf_dir):
+    always = F.lit("1970-01-01").cast("timestamp_ntz")
+    x = al.with_roles(A.messages_of(st.table(spark, sf_dir, "orders")), always)
+    until = F.coalesce("ends", "expires").cast("timestamp")
+    return st.run(st.alert_events(x.select("key", "id", F.col("sent").cast("timestamp").alias("sent"), until.alias("until"), "opens", "cancels")))
+
+
+_H = "(floor(epoch_us(ts) / 1000000.0) / 3600.0 - 473352.0)"
+
+
+@query(f"""WITH w AS (SELECT user_id, value, ts, {_H} AS h, unnest([0, 1, 2, 3]) AS k FROM events WHERE value > -100),
+  e AS (SELECT *, to_timestamp((floor(epoch(ts) / 43200) + 1 + k) * 43200) AT TIME ZONE 'UTC' AS until FROM w),
+  g AS (SELECT user_id AS gauge_id, until, regr_slope(value, h) AS slope, count(*) AS n, max(floor(epoch_us(ts) / 1000000.0)) - min(floor(epoch_us(ts) / 1000000.0)) AS span FROM e GROUP BY 1, 2)
+  SELECT gauge_id, until, n, CASE WHEN n >= 4 AND span >= 5400 THEN floor(slope * 100 + 0.5) / 100 END AS rate, CASE WHEN n < 4 OR span < 5400 THEN NULL WHEN abs(slope) < 0.05 THEN 'steady' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS direction
+  FROM g WHERE until <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_trend(spark, sf_dir):
-    return st.run(st.trends(st.events(spark, sf_dir)))
+    """Windows of 48 hours that the watermark has closed, every 12 hours."""
+    return st.run(st.trends(st.events(spark, sf_dir))).withColumn("until", F.col("until").cast("timestamp_ntz"))
 
 
-@query()
+@query("""SELECT gauge_id, event_id FROM (SELECT user_id AS gauge_id, event_id, regr_slope(value, s / 3600.0 - 473352.0) OVER w AS slope, count(*) OVER w AS n, s - min(s) OVER w AS span
+  FROM (SELECT *, floor(epoch_us(ts) / 1000000.0)::BIGINT AS s FROM events WHERE value > -100) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW)) WHERE n >= 4 AND span >= 5400 AND slope >= 1""")
 def stream_rapid_rise(spark, sf_dir):
-    return st.run(st.rapid_rise(st.events(spark, sf_dir)))
+    return st.run(st.rapid_rise(st.events(spark, sf_dir))).select("gauge_id", "event_id")
 
 
-@query()
+@query("""WITH l AS (SELECT user_id AS gauge_id, date_trunc('millisecond', max(ts)) AS last FROM events GROUP BY 1), m AS (SELECT date_trunc('millisecond', max(ts)) AS mark FROM events)
+  SELECT gauge_id, last, 'old' AS state FROM l, m WHERE last + INTERVAL 90 MINUTE <= mark UNION ALL SELECT gauge_id, last, 'no data' FROM l, m WHERE last + INTERVAL 6 HOUR <= mark""")
 def stream_staleness(spark, sf_dir):
-    return st.run(st.silent(st.events(spark, sf_dir)))
+    return st.run(st.silent(st.events(spark, sf_dir))).withColumn("last", F.col("last").cast("timestamp_ntz"))

@@ -146,6 +146,10 @@ CAMERAS = f"""cameras AS (
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(table(spark, sf_dir, "orders"))
+
+
+def messages_of(orders: DataFrame) -> DataFrame:
     """Alert messages, one from each order, in the order of id; some have no VTEC, some a shape of their own."""
     k = F.col("o_orderkey")
     etn = F.lpad((k % 2000).cast("string"), 4, "0")
@@ -156,7 +160,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = lambda j: F.format_string("Area %d", (k + j) % 25)
     x, y = -106.6 + (k % 50) * 0.25, 25.8 + (k % 40) * 0.25
     ring = F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y))])
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("id"),
         F.concat(F.lit("urn:"), k.cast("string")).alias("cap_id"),
         F.when(

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,43 +19,85 @@ from floodspark.operators.series import _direction
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; the warehouse where none is set."""
+    """A new folder under the one that driver and executors share; the warehouse only where Spark runs inside one machine's process."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     top = top or spark.conf.get("spark.sql.warehouse.dir")
     return f"{top}/stream-{uuid.uuid4().hex}"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    out = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return out.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows that a stream gives for the input there is, from the files it wrote."""
+    """The rows that a stream gives for the input there is, from the files it wrote.
+
+    Each batch has a folder of its own, which a repeated batch writes anew, so that none counts twice. In
+    update mode a key may have a row for each batch; in complete mode only the last batch's rows count.
+    """
     spark, to = stream.sparkSession, folder(stream.sparkSession)
-    spark.createDataFrame([], stream.schema).write.parquet(f"{to}/rows")
-    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{to}/progress")
-    if mode == "append":
-        q = q.foreachBatch(lambda rows, _: rows.write.mode("append").parquet(f"{to}/rows"))
+    done: list[str] = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        path = f"{to}/rows/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        if mode == "complete":
+            done.clear()
+        done.append(path)
+
+    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{to}/progress").foreachBatch(put)
     q.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{to}/rows")
+    paths = list(dict.fromkeys(done))
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
-def latest(stream: DataFrame, to: str) -> None:
-    """Keeps the newest reading of each gauge under to/<batch>: a later batch replaces only by a newer reading."""
-    spark = stream.sparkSession
+def latest(stream: DataFrame) -> DataFrame:
+    """The newest reading of each gauge once the input there is has been read: a later batch replaces only by a newer reading."""
+    spark, to = stream.sparkSession, folder(stream.sparkSession)
     once = stream.withWatermark("ts", "6 hours").dropDuplicatesWithinWatermark(["user_id", "ts"])
+    last: list[str] = []
 
     def merge(rows: DataFrame, batch: int) -> None:
         new = rows.select("user_id", "ts", "value")
-        if batch:
-            new = new.unionByName(spark.read.parquet(f"{to}/{batch - 1}"))
+        before = [p for p in last if p != f"{to}/{batch}"]
+        if before:
+            new = new.unionByName(spark.read.parquet(before[-1]))
         best = new.groupBy("user_id").agg(F.max_by(F.struct("ts", "value"), "ts").alias("r")).select("user_id", "r.*")
         best.write.mode("overwrite").parquet(f"{to}/{batch}")
+        last[:] = [*before[-1:], f"{to}/{batch}"]
 
     once.writeStream.foreachBatch(merge).option("checkpointLocation", f"{to}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(last[-1]) if last else once.select("user_id", "ts", "value")
+
+
+def late_days(stream: DataFrame, rollup: DataFrame, raw: DataFrame, today: str) -> DataFrame:
+    """rollup after late events: each past day that a batch brings events of is recomputed from raw and replaces its row.
+
+    Days are partitions, and a batch overwrites only those that it touches.
+    """
+    spark, to = stream.sparkSession, folder(stream.sparkSession)
+    rollup.write.partitionBy("day").parquet(f"{to}/days")
+
+    def repair(rows: DataFrame, batch: int) -> None:
+        days = rows.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).filter(F.col("day") < today).distinct()
+        again = raw.join(F.broadcast(days), "day", "left_semi").groupBy("day").agg(*counts_of_day())
+        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{to}/days")
+
+    stream.writeStream.foreachBatch(repair).option("checkpointLocation", f"{to}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rollup.schema).parquet(f"{to}/days").select(*rollup.columns)
+
+
+def visit_batches(stream: DataFrame, most: int = 20) -> DataFrame:
+    """Flushed batches (visitor, at, events of type and gauge_id) to single events, which share the batch's visitor; at most so many of a batch count."""
+    return stream.select("visitor", "at", F.posexplode(F.slice("events", 1, most)).alias("pos", "e")).select("visitor", "at", "pos", "e.*")
 
 
 def day_rollup(stream: DataFrame) -> DataFrame:
@@ -68,12 +111,16 @@ def day_rollup(stream: DataFrame) -> DataFrame:
     )
 
 
+def counts_of_day() -> list:
+    return [F.count_if(F.col("event_type") == "view").alias("pageviews"), F.count_if(F.col("event_type") == "click").alias("opens")]
+
+
 def day_counts(stream: DataFrame) -> DataFrame:
     """Closed days only: day, pageviews, opens."""
     return (
         stream.withWatermark("ts", "1 day")
         .groupBy(F.window("ts", "1 day"))
-        .agg(F.count_if(F.col("event_type") == "view").alias("pageviews"), F.count_if(F.col("event_type") == "click").alias("opens"))
+        .agg(*counts_of_day())
         .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "pageviews", "opens")
     )
 
@@ -92,73 +139,111 @@ def trends(stream: DataFrame, span: str = "48 hours", slide: str = "12 hours") -
 
 
 def rapid_rise(stream: DataFrame, hours: float = 48, least: float = 1.0) -> DataFrame:
-    """Readings at which a gauge's slope over its last hours reaches least, as they come; state holds those hours only."""
+    """Readings at which a gauge's slope over its last hours reaches least, as they come.
+
+    State holds a gauge's last hours, and goes when event time has left them behind. Slopes come from running sums over
+    the readings in order of time, so a batch costs as much as it has readings.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        ts, vs = map(list, state.get) if state.exists else ([], [])
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event, t, v in zip(rows.event_id, rows.ts.astype("int64") // 10**9 if rows.ts.dtype == "datetime64[ns]" else rows.ts.map(lambda x: int(x.timestamp())), rows.value):
-            ts.append(int(t))
-            vs.append(float(v))
-            k = next(i for i, x in enumerate(ts) if x >= ts[-1] - hours * 3600)
-            ts, vs = ts[k:], vs[k:]
-            if len(ts) >= 4 and ts[-1] - ts[0] >= 5400:
-                x = pd.Series(ts, dtype=float) / 3600
-                x, y = x - x.mean(), pd.Series(vs) - sum(vs) / len(vs)
-                rate = float((x * y).sum() / (x * x).sum())
-                if rate >= least:
-                    out.append((int(key[0]), int(event), rate))
-        state.update((ts, vs))
-        yield pd.DataFrame(out, columns=["gauge_id", "event_id", "rate"])
+        rows = pd.concat([f[["event_id", "ts", "value"]] for f in frames])
+        at = rows.ts.map(lambda x: int(x.timestamp())).to_numpy(np.int64)
+        order = np.lexsort((rows.event_id.to_numpy(), at))
+        old_t, old_v = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        t = np.concatenate([old_t, at[order]]).astype(np.int64)
+        v = np.concatenate([old_v, rows.value.to_numpy(float)[order]])
+        event = np.concatenate([np.full(len(old_t), -1), rows.event_id.to_numpy()[order]])
+        by = np.argsort(t, kind="stable")
+        t, v, event = t[by], v[by], event[by]
+        span = int(hours * 3600)
+        lo = np.searchsorted(t, t - span)
+        n = np.arange(1, len(t) + 1) - lo
+        # About the middle, so that sums of squares keep their digits.
+        x, y = (t - t.mean()) / 3600, v - v.mean()
+        sums = [np.concatenate([[0.0], np.cumsum(z)]) for z in (x, y, x * y, x * x)]
+        sx, sy, sxy, sxx = (c[1:] - c[lo] for c in sums)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = (sxy - sx * sy / n) / (sxx - sx * sx / n)
+        hit = (event >= 0) & (n >= 4) & (t - t[lo] >= 5400) & (rate >= least)
+        keep = t >= t[-1] - span
+        state.update((t[keep].tolist(), v[keep].tolist()))
+        state.setTimeoutTimestamp(max((int(t[-1]) + span) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"gauge_id": np.full(hit.sum(), int(key[0])), "event_id": event[hit].astype(np.int64), "rate": rate[hit]})
 
     return (
         stream.filter("value > -100")
         .withWatermark("ts", "1 day")
         .groupBy("user_id")
-        .applyInPandasWithState(step, "gauge_id long, event_id long, rate double", "ts array<long>, vs array<double>", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, "gauge_id long, event_id long, rate double", "ts array<long>, vs array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def silent(stream: DataFrame, minutes: int = 90) -> DataFrame:
-    """Gauges that fall silent: gauge_id and the time of the last reading, once event time has passed it by minutes."""
+def silent(stream: DataFrame, minutes: int = 90, hours: int = 6) -> DataFrame:
+    """Gauges that fall silent: gauge_id, last reading's time and state, "old" after minutes and "no data" after hours of event time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"gauge_id": [key[0]], "last": [pd.Timestamp(last, unit="ms", tz="UTC")]})
+            last, stage = state.get
+            said = ["old", "no data"][stage:] if state.getCurrentWatermarkMs() >= last + hours * 3_600_000 else ["old"][stage:]
+            if "no data" in said:
+                state.remove()
+            else:
+                state.update((last, 1))
+                state.setTimeoutTimestamp(max(last + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame({"gauge_id": [key[0]] * len(said), "last": [pd.Timestamp(last, unit="ms", tz="UTC")] * len(said), "state": said})
             return
         newest = max(int(f.ts.max().timestamp() * 1000) for f in frames)
         newest = max(newest, state.get[0]) if state.exists else newest
-        state.update((newest,))
+        state.update((newest, 0))
         state.setTimeoutTimestamp(max(newest + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
 
     return (
         stream.withWatermark("ts", "0 seconds")
         .groupBy("user_id")
-        .applyInPandasWithState(step, "gauge_id long, last timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(step, "gauge_id long, last timestamp, state string", "last long, stage int", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def alert_events(stream: DataFrame) -> DataFrame:
-    """Messages (key, id, sent, action) to each key's state after each batch: the newest message, or that it was cancelled."""
+    """Messages (key, id, sent, until, opens, cancels) to each event's state when it changes: open, cancelled, or over once event time passes its end.
+
+    An event is open while a message is newer than its last cancellation; it is over at the latest end of its
+    messages, and open for good where one has none. State goes when an event is over.
+    """
+    never = 1 << 62
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, newest_id, gone = state.get if state.exists else (-1, -1, -1)
-        for f in frames:
-            for r in f.itertuples():
-                sent = int(r.sent.timestamp() * 1000)
-                if r.action in ("CAN", "UPG"):
-                    gone = max(gone, sent)
-                elif (sent, r.id) > (newest, newest_id):
-                    newest, newest_id = sent, int(r.id)
-        state.update((newest, newest_id, gone))
-        yield pd.DataFrame({"key": [key[0]], "id": [newest_id], "open": [newest > gone]})
-
-    return stream.groupBy("key").applyInPandasWithState(
-        step, "key string, id long, open boolean", "newest long, newest_id long, gone long", "update", GroupStateTimeout.NoTimeout
+        row = lambda id_, said: pd.DataFrame({"key": [key[0]], "id": [id_], "state": [said]})
+        if state.hasTimedOut:
+            id_ = state.get[1]
+            state.remove()
+            yield row(id_, "over")
+            return
+        newest, newest_id, until, gone, before = state.get if state.exists else (-1, -1, -1, -1, "")
+        x = pd.concat(list(frames))
+        sent = x.sent.map(lambda t: int(t.timestamp() * 1000))
+        if x.cancels.any():
+            gone = max(gone, int(sent[x.cancels].max()))
+        opening = x[x.opens].assign(ms=sent[x.opens])
+        opening = opening[opening.ms > gone]
+        if len(opening):
+            first = opening.sort_values(["ms", "id"], ascending=[False, True]).iloc[0]
+            newest, newest_id = max((newest, -newest_id), (int(first.ms), -int(first.id)))
+            newest_id = -newest_id
+            ends = [never if pd.isna(t) else int(t.timestamp() * 1000) for t in opening.until]
+            until = max(until, *ends)
+        said = "" if newest < 0 else "open" if newest > gone else "cancelled"
+        state.update((newest, newest_id, until, gone, said))
+        if said == "open" and until < never:
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if said and said != before:
+            yield row(newest_id, said)
+
+    return (
+        stream.withWatermark("sent", "0 seconds")
+        .groupBy("key")
+        .applyInPandasWithState(step, "key string, id long, state string", "newest long, newest_id long, until long, gone long, said string", "append", GroupStateTimeout.EventTimeTimeout)
     )
