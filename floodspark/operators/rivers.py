@@ -109,9 +109,19 @@ def distances(cands: DataFrame, net: DataFrame, bridges: DataFrame, boxes: DataF
 
 
 def part_boxes(gauges: DataFrame, net_segments: DataFrame, km: float = REACH_M / 1000) -> DataFrame:
-    """(id, part_id) of parts with an end of a segment within km of a gauge."""
-    ends = net_segments.select("part_id", F.col("lat0").alias("rlat"), F.col("lon0").alias("rlon")).unionByName(net_segments.select("part_id", F.col("lat1").alias("rlat"), F.col("lon1").alias("rlon")))
-    return within(gauges, ends.withColumn("rid", F.lit(0)), km).select("id", "part_id").distinct()
+    """(id, part_id) of parts whose bounding box, km wider on each side, holds a gauge: all within km are among them."""
+    size = max(km / 111.0, 1e-3)
+    low = lambda c: F.min(F.least(f"{c}0", f"{c}1"))
+    high = lambda c: F.max(F.greatest(f"{c}0", f"{c}1"))
+    box = net_segments.groupBy("part_id").agg(low("lat").alias("s"), high("lat").alias("n"), low("lon").alias("w"), high("lon").alias("e"))
+    pad = km / 111.0 * 1.01
+    most = F.least(F.greatest(F.abs("s"), F.abs("n")) + pad, F.lit(89.0))
+    wide = pad / F.cos(F.radians(most))
+    box = box.select("part_id", (F.col("s") - pad).alias("s"), (F.col("n") + pad).alias("n"), (F.col("w") - wide).alias("w"), (F.col("e") + wide).alias("e"))
+    cells = box.select("*", F.explode(F.sequence(G.cell(F.col("s"), size), G.cell(F.col("n"), size))).alias("cy"))
+    cells = cells.select("*", F.explode(F.sequence(G.cell(F.col("w"), size), G.cell(F.col("e"), size))).alias("cx"))
+    placed = gauges.select("id", "lat", "lon", G.cell(F.col("lat"), size).alias("cy"), G.cell(F.col("lon"), size).alias("cx"))
+    return placed.join(cells, ["cy", "cx"]).filter(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).select("id", "part_id")
 
 
 def owner_pieces(net: DataFrame, dist: DataFrame, owners: DataFrame, sources: DataFrame, tie: float = 0.5, sliver: float = 3.0) -> DataFrame:
@@ -160,12 +170,28 @@ def owner_pieces(net: DataFrame, dist: DataFrame, owners: DataFrame, sources: Da
     return lines.groupBy("part_id").applyInPandas(cut, "part_id long, piece int, owner long, from_m double, to_m double")
 
 
+def _at(line: Column, m: Column) -> Column:
+    """The point of a line (array of m, lon, lat) at a distance along it."""
+    i = F.least(F.greatest(F.size(F.filter(line, lambda v: v["m"] <= m)), F.lit(1)), F.size(line) - 1)
+    p, q = line[i - 1], line[i]
+    t = F.when(q["m"] > p["m"], F.least(F.lit(1.0), F.greatest(F.lit(0.0), (m - p["m"]) / (q["m"] - p["m"])))).otherwise(0.0)
+    return F.struct((p["lon"] + t * (q["lon"] - p["lon"])).alias("lon"), (p["lat"] + t * (q["lat"] - p["lat"])).alias("lat"))
+
+
 def regroup(pieces: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row for each feature and owner: its pieces in order, and km; features without pieces keep their own owner."""
-    x = pieces.join(parts.select("part_id", "feature_id"), "part_id")
-    return x.groupBy("feature_id", "owner").agg(
-        F.count("*").alias("pieces"), (F.sum(F.col("to_m") - F.col("from_m")) / 1000).alias("km")
-    )
+    """One row for each feature and owner: how many pieces, km, and their coordinates in order; parts without pieces keep their own owner."""
+    x = segments(parts)
+    last = x.groupBy("part_id").agg(F.max_by(F.struct((F.col("start_m") + F.col("length_m")).alias("m"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), "seq").alias("end"))
+    starts = x.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start_m").alias("m"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat")))).alias("v"))
+    point = lambda v: F.struct(v["m"].alias("m"), v["lon"].alias("lon"), v["lat"].alias("lat"))
+    lines = starts.join(last, "part_id").select("part_id", F.concat(F.transform("v", point), F.array("end")).alias("line"))
+    all_ = parts.select("part_id", "feature_id", F.col("owner").alias("own")).join(lines, "part_id").join(pieces, "part_id", "left")
+    to = F.coalesce("to_m", F.element_at("line", -1)["m"])
+    y = all_.select("part_id", "feature_id", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("owner", "own").alias("owner"), "line", F.coalesce("from_m", F.lit(0.0)).alias("a"), to.alias("z"))
+    inner = F.transform(F.filter("line", lambda v: (v["m"] > F.col("a")) & (v["m"] < F.col("z"))), lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat")))
+    coords = F.concat(F.array(_at(F.col("line"), F.col("a"))), inner, F.array(_at(F.col("line"), F.col("z"))))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("part_id", "piece", coords.alias("coords")))), lambda v: v["coords"])
+    return y.groupBy("feature_id", "owner").agg(F.count("*").alias("pieces"), (F.sum(F.col("z") - F.col("a")) / 1000).alias("km"), held.alias("coords"))
 
 
 def staged_neighbor(gauges: DataFrame, staged: DataFrame, parts: DataFrame) -> DataFrame:
@@ -218,6 +244,13 @@ def bounds(ring: Column) -> Column:
     return F.struct(lim(F.array_min, "lon").alias("west"), lim(F.array_min, "lat").alias("south"), lim(F.array_max, "lon").alias("east"), lim(F.array_max, "lat").alias("north"))
 
 
+def closed_ring(ring: Column) -> Column:
+    """A ring of points, closed; null for fewer than 4 of them or where any position is not valid."""
+    valid = F.forall(ring, lambda p: F.coalesce(G.valid_position(p["lat"], p["lon"]), F.lit(False)))
+    shut = F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    return F.when(F.when(F.size(ring) >= 3, valid & (F.size(shut) >= 4)), shut)
+
+
 def clean_ring(ring: Column) -> Column:
     """A ring of [lon, lat, ...] lists as closed points; null for fewer than 4 of them or where any position is not valid."""
     valid = F.forall(ring, lambda p: (F.size(p) >= 2) & F.coalesce(G.valid_position(p[1], p[0]), F.lit(False)))

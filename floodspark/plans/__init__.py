@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from floodspark.plans import alerting, analytics, details, places, rivers, series, status, streams  # noqa: E402, F401
+from floodspark.plans import alerting, analytics, details, feeds, places, rivers, series, status, streams  # noqa: E402, F401

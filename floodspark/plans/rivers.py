@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from floodspark.functions import geo as G
 from floodspark.operators import rivers as op
 from floodspark.plans import query
+from floodspark.plans.places import _km
 from floodspark.sources import adapt as A
+from floodspark.sources.adapt import ZONES
 
 _PER = 10  # points of a part
 
@@ -62,19 +65,38 @@ def river_length_by_owner(spark, sf_dir):
     return x.groupBy("owner").agg(F.round(F.sum("length_m") / 1000, 3).alias("km"))
 
 
-@query()
+_ENDS = """named AS (SELECT *, CASE WHEN nation % 5 <> 0 THEN 'River ' || nation END AS name, round(lon * 1e5)::BIGINT || ',' || round(lat * 1e5)::BIGINT AS node FROM pt),
+  ends AS (SELECT nation * 100000 + k AS part_id, first(name) AS name, first(node ORDER BY i) AS node, first(lat ORDER BY i) AS lat, first(lon ORDER BY i) AS lon FROM named GROUP BY nation, k HAVING count(*) > 1
+    UNION ALL SELECT nation * 100000 + k, first(name), last(node ORDER BY i), last(lat ORDER BY i), last(lon ORDER BY i) FROM named GROUP BY nation, k HAVING count(*) > 1)"""
+
+
+@query(f"""WITH {_PARTS}, {_ENDS}, loose AS (SELECT e.* FROM ends e WHERE node IN (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 1)),
+  near AS (SELECT a.node AS id, b.node AS rid, {_km('a', 'b', G.EARTH_M)} AS d FROM loose a JOIN loose b ON a.part_id <> b.part_id AND (a.name IS NULL OR b.name IS NULL OR a.name = b.name)),
+  best AS (SELECT id, rid, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS r FROM near WHERE d <= 2000) WHERE r = 1)
+  SELECT least(id, rid) AS a, greatest(id, rid) AS b, round(min(d), 3) AS distance FROM best GROUP BY 1, 2""")
 def network_gap_bridge(spark, sf_dir):
-    return op.gap_bridges(parts(spark, sf_dir), metres=2_000.0)
+    return op.gap_bridges(parts(spark, sf_dir), metres=2_000.0).withColumn("distance", F.round("distance", 3))
 
 
-@query()
+_SNAP = f"""sg AS (SELECT *, nation * 100000 + k AS part_id, row_number() OVER w AS seq, coalesce(sum(m) OVER (PARTITION BY nation, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_m
+    FROM (SELECT *, {G.EARTH_M}::DOUBLE * pi() / 180 * sqrt(pow(lat1 - lat, 2) + pow((lon1 - lon) * cos(radians(lat)), 2)) AS m FROM s WHERE lon1 IS NOT NULL) WINDOW w AS (PARTITION BY nation, k ORDER BY i)),
+  st AS (SELECT nation * 1000 + k AS id, first(lat ORDER BY i) AS plat, first(lon ORDER BY i) AS plon FROM pt WHERE (nation * 100000 + k) % 2 = 0 GROUP BY nation, k HAVING count(*) > 1),
+  o AS (SELECT id, part_id, seq, start_m, (lon - plon) * kx AS ax, (lat - plat) * k0 AS ay, (lon1 - lon) * kx AS bx, (lat1 - lat) * k0 AS by_ FROM (SELECT *, pi() / 180 * {G.EARTH_M}::DOUBLE AS k0, pi() / 180 * {G.EARTH_M}::DOUBLE * cos(radians(plat)) AS kx FROM st JOIN sg ON abs(lat - plat) < 0.1)),
+  u AS (SELECT *, CASE WHEN bx * bx + by_ * by_ = 0 THEN 0 ELSE least(1.0, greatest(0.0, -(ax * bx + ay * by_) / (bx * bx + by_ * by_))) END AS t FROM o),
+  snap AS (SELECT id, part_id, distance, along FROM (SELECT *, row_number() OVER (PARTITION BY id, part_id ORDER BY distance, seq) AS r FROM (SELECT *, sqrt(pow(ax + t * bx, 2) + pow(ay + t * by_, 2)) AS distance, start_m + t * sqrt(bx * bx + by_ * by_) AS along FROM u) WHERE distance <= 750) WHERE r = 1)"""
+
+
+@query(f"WITH {_PARTS}, {_SNAP} SELECT id, part_id, round(distance, 3) + 0.0::DOUBLE AS distance, round(along, 1) + 0.0::DOUBLE AS along FROM snap")
 def gauge_line_snap(spark, sf_dir):
-    return op.snap_to_lines(staged(spark, sf_dir), op.segments(parts(spark, sf_dir)))
+    x = op.snap_to_lines(staged(spark, sf_dir), op.segments(parts(spark, sf_dir)))
+    return x.select("id", "part_id", (F.round("distance", 3) + 0.0).alias("distance"), (F.round("along", 1) + 0.0).alias("along"))
 
 
-@query()
+@query(f"""WITH {_PARTS}, {_SNAP}, w AS (SELECT snap.*, CASE WHEN part_id // 100000 % 5 <> 0 THEN 'River ' || part_id // 100000 END AS name, min(distance) OVER (PARTITION BY id) AS nearest FROM snap),
+  r AS (SELECT *, first_value(name) OVER (PARTITION BY id ORDER BY name IS NULL, distance, part_id) AS river FROM w)
+  SELECT id, part_id, river, round(along, 1) + 0.0::DOUBLE AS along FROM r WHERE distance <= nearest + 150 AND (name IS NULL OR river IS NULL OR name = river)""")
 def river_candidates(spark, sf_dir):
-    return op.candidates(staged(spark, sf_dir), parts(spark, sf_dir))
+    return op.candidates(staged(spark, sf_dir), parts(spark, sf_dir)).select("id", "part_id", "river", (F.round("along", 1) + 0.0).alias("along"))
 
 
 def _distances(spark, sf_dir):
@@ -100,7 +122,8 @@ def river_owner_cut(spark, sf_dir):
 
 @query()
 def river_regroup(spark, sf_dir):
-    return op.regroup(_pieces(spark, sf_dir), parts(spark, sf_dir))
+    x = op.regroup(_pieces(spark, sf_dir), parts(spark, sf_dir))
+    return x.withColumn("points", F.aggregate("coords", F.lit(0), lambda n, c: n + F.size(c))).drop("coords")
 
 
 @query()
@@ -131,3 +154,11 @@ def ring_area(spark, sf_dir):
 def simplify_geometry(spark, sf_dir):
     x = parts(spark, sf_dir).select(F.col("part_id").alias("id"), op.closed_ring(F.col("coords")).alias("ring")).filter("ring IS NOT NULL")
     return op.simplify(x, tolerance=0.001).select("id", F.size("ring").alias("points"))
+
+
+@query(f"WITH {ZONES} SELECT code, CASE WHEN has_shape THEN round(x + 0.5, 6) END AS lon, CASE WHEN has_shape THEN round(y + 1.0, 6) END AS lat, CASE WHEN has_shape THEN format('https://forecast.weather.gov/MapClick.php?lat={{:.4f}}&lon={{:.4f}}', y + 1.0, x + 0.5) ELSE 'https://www.weather.gov/ewx/' END AS link FROM zones")
+def representative_point(spark, sf_dir):
+    """Each zone's hole lies around its centroid, so the point is in the first stretch beside it."""
+    z = A.zones(spark, sf_dir)
+    p = op.representative_point(F.col("polys"))
+    return z.select("code", F.round(p["lon"], 6).alias("lon"), F.round(p["lat"], 6).alias("lat"), op.map_link(F.col("polys"), F.lit("KEWX")).alias("link"))

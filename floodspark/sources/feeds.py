@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodspark.operators.rivers import clean_polygons
+
 _POINT = "struct<primary:double,primaryUnit:string,secondary:double,secondaryUnit:string,floodCategory:string,validTime:string>"
 GAUGE = (
     "struct<lid:string,name:string,state:struct<abbreviation:string,name:string>,latitude:double,longitude:double,"
@@ -130,3 +132,39 @@ def gazetteer(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     schema = "GEOID string, NAME string, INTPTLAT string, INTPTLONG string"
     raw = spark.read.schema(schema).csv(path, sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     return raw.select(F.col("GEOID").alias("id"), F.col("NAME").alias("name"), F.col("INTPTLAT").try_cast("double").alias("lat"), F.col("INTPTLONG").try_cast("double").alias("lon"))
+
+
+_GEOMETRY = "type:string,coordinates:string"
+#: A collection of shapes may hold another; its members' coordinates stay text until their kind is known.
+ZONE = f"struct<properties:struct<id:string>,geometry:struct<{_GEOMETRY},geometries:array<struct<{_GEOMETRY},geometries:array<struct<{_GEOMETRY}>>>>>>"
+
+
+def _polygons(kind: Column, coordinates: Column) -> Column:
+    one = F.array(F.from_json(coordinates, "array<array<array<double>>>"))
+    many = F.from_json(coordinates, "array<array<array<array<double>>>>")
+    return F.coalesce(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many), F.array().cast("array<array<array<array<double>>>>"))
+
+
+def polygons_of(geometry: Column) -> Column:
+    """All usable polygons of a shape: of polygons, of many, or of collections two deep; other kinds have none."""
+    flat = lambda g: _polygons(g["type"], g["coordinates"])
+    members = F.coalesce(geometry["geometries"], F.array().cast(f"array<struct<{_GEOMETRY},geometries:array<struct<{_GEOMETRY}>>>>"))
+    second = F.flatten(F.transform(members, lambda g: F.concat(flat(g), F.flatten(F.transform(F.coalesce(g["geometries"], F.array().cast(f"array<struct<{_GEOMETRY}>>")), flat)))))
+    return clean_polygons(F.concat(flat(geometry), second))
+
+
+def zones(files: DataFrame) -> DataFrame:
+    """Zone features, one a file or in collections: code and polys, null where the zone has no usable shape."""
+    one = F.from_json("body", ZONE)
+    many = F.from_json("body", f"struct<features:array<{ZONE}>>")["features"]
+    x = files.select(F.explode(F.coalesce(many, F.array(one))).alias("f")).filter("f.properties.id IS NOT NULL")
+    polys = polygons_of(F.col("f.geometry"))
+    return x.select(F.col("f.properties.id").alias("code"), F.when(F.size(polys) > 0, polys).alias("polys"))
+
+
+def slim_list(feed: DataFrame) -> DataFrame:
+    """gauge_feed() to the list that other jobs start from: lid, name, latitude, longitude; an empty list is an error."""
+    slim = feed.select(F.col("gauge_id").alias("lid"), "name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    if slim.isEmpty():
+        raise ValueError("a list without gauges is not written")
+    return slim
