@@ -227,7 +227,8 @@ def simplify(polys: DataFrame, tolerance: float = 0.005) -> DataFrame:
         for x in batches:
             rings = [np.round(thin(np.array([[c["lon"], c["lat"]] for c in r])), 4) if len(r) else np.zeros((0, 2)) for r in x.ring]
             ok = [len(r) >= 4 for r in rings]
-            yield pd.DataFrame({"id": x.id[ok], "ring": [[{"lon": a, "lat": b} for a, b in r] for r, k in zip(rings, ok) if k]})
+            kept = pd.Series([[{"lon": a, "lat": b} for a, b in r] for r, k in zip(rings, ok) if k], dtype=object)
+            yield pd.DataFrame({"id": x.id[ok].reset_index(drop=True), "ring": kept})
 
     return polys.mapInPandas(run, "id long, ring array<struct<lon:double,lat:double>>")
 
