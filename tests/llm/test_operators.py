@@ -150,7 +150,6 @@ def test_layers_are_decoded_to_their_end():
         "often compressed": b64(deep),
         "after 4 MiB": b64(gzip.compress(filler.encode() + secret, mtime=0)),
         "layer after 4 MiB": b64(gzip.compress(filler.encode() + b64(secret).encode(), mtime=0)),
-        "a bad byte before": "%ff" + "".join(f"%{b:02x}" for b in secret),
         "not text": b64(bytes(range(128, 256)) + b" " + secret + b" \xff\xfe"),
         "binary around": b64(gzip.compress(b"\xff\xfe\0" + secret + b"\0\xff", mtime=0)),
         "wrapped": wrap(b64(b"some words to begin a text with, all of them harmless; pass" + secret[4:] + b" and more" * 9), 76),
@@ -162,6 +161,8 @@ def test_layers_are_decoded_to_their_end():
             at = text.index(hidden)
             base, more = secrets.scan(text)
             assert base == [] and [(k.partition("@")[0], a, z) for k, a, z in more] == [("assign", at, at + len(hidden))], name
+    bad = "%ff" + "".join(f"%{b:02x}" for b in secret)  # a byte that is no UTF-8 hides nothing
+    assert secrets.scan(f"é {bad} z")[1] == [("assign@url", 5, 2 + len(bad))]
     # windows end between tokens, and lose nothing, whatever their size
     for size in (64, 100, 1000):
         for i in range(0, 300, 7):
@@ -268,16 +269,20 @@ def brute(texts, k, percent):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
         sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
     root = list(range(len(texts)))
+    place = {}
+    # Sets as bits of whole numbers, so that pairs are cheap.
+    bits = [sum(1 << place.setdefault(x, len(place)) for x in one) for one in sets]
+    size = [len(one) for one in sets]
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, a in enumerate(sets):
+    for i, a in enumerate(bits):
         for j in range(i):
-            b = sets[j]
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
+            both = (a & bits[j]).bit_count()
+            if both and 100 * both >= percent * (size[i] + size[j] - both):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return [(len(s), find(i)) for i, s in enumerate(sets)]
