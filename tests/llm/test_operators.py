@@ -160,7 +160,11 @@ def test_layers_are_decoded_to_their_end():
         for text in (f"see {hidden} end", f"one\ntwo:\n{hidden}\nend, all"):
             at = text.index(hidden)
             base, more = secrets.scan(text)
-            assert base == [] and [(k.partition("@")[0], a, z) for k, a, z in more] == [("assign", at, at + len(hidden))], name
+            found = [(k.partition("@")[0], a, z) for k, a, z in more]
+            # Stored data shows its secret in a single line too.
+            inner = [x for x in found if name == "wrapped and compressed" and at <= x[1] and x[2] <= at + len(hidden)]
+            whole = ("assign", at, at + len(hidden))
+            assert base == [] and whole in found and set(found) <= {whole, *inner}, name
     bad = "%ff" + "".join(f"%{b:02x}" for b in secret)  # a byte that is no UTF-8 hides nothing
     assert secrets.scan(f"é {bad} z")[1] == [("assign@url", 5, 2 + len(bad))]
     # windows end between tokens, and lose nothing, whatever their size
