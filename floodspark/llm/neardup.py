@@ -7,10 +7,11 @@
 2. In each bucket with several classes, a member is tried against the bucket's pivot; only its best
    pivot by signature is confirmed. Confirmed links join into components. The pivot is the member with the
    largest buckets, which is the likeliest to be near all others.
-3. Buckets that still hold several components get their members' full sets, in blocks of about
-   ``BLOCK_BYTES``: each two blocks meet in one group, but not two blocks of the bucket's largest
-   component. Inside a group, pairs of different components whose sizes and signatures allow the
-   threshold are confirmed exactly, and a union-find leaves out what is connected by then, so a
+3. Members of buckets that still hold several components fall into blocks of about ``BLOCK_BYTES``
+   of sets: each two blocks meet in one group, but not two blocks of the bucket's largest
+   component. Inside a group, pairs of different components are compared by sizes and signatures.
+   Only members of pairs that these allow get their full sets; then a second pass over the groups
+   confirms such pairs exactly, and a union-find leaves out what is connected by then, so a
    group returns at most one link for each of its components, never a list of pairs.
 
 Every two texts in a bucket thus end up in one component, or are compared in their first common
@@ -205,13 +206,13 @@ class _Rows:
     """Rows of groups as arrays."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
-        self.bucket, self.i, self.j, self.code, self.node, self.component, self.n = (
-            batch.column(c).to_numpy() for c in ("bucket", "i", "j", "code", "node", "component", "n_shingles")
-        )
+        self.bucket, self.i, self.j, self.code, self.component, self.n = (batch.column(c).to_numpy() for c in ("bucket", "i", "j", "code", "component", "n_shingles"))
+        self.node = batch.column("node").to_numpy()
         self.signs = _matrix(batch.column("signature"))
         self.bands = batch.column("bands").flatten().to_numpy().reshape(len(self.node), -1)
-        self.shingles = batch.column("shingles").flatten().to_numpy()
-        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        if "shingles" in batch.schema.names:
+            self.shingles = batch.column("shingles").flatten().to_numpy()
+            self.at = np.concatenate([[0], np.cumsum(self.n)])
 
     def groups(self) -> np.ndarray:
         """Where groups start, and the end."""
@@ -219,26 +220,29 @@ class _Rows:
         return np.concatenate([[0], np.flatnonzero(new) + 1, [len(self.node)]])
 
 
-def _links(x: _Rows, lo: int, hi: int, percent: int, least: float) -> list[tuple[int, int]]:
-    """Links inside one group that connect as much as all its links would."""
-    label = x.component[lo:hi].copy()
-    if (label == label[0]).all():
-        return []
+def _near(x: _Rows, lo: int, hi: int, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a group with those of another label (as it is by then) that sizes and signatures allow."""
     n, signs, bands, code = x.n[lo:hi], x.signs[lo:hi], x.bands[lo:hi], x.code[lo:hi]
-    i, j = x.i[lo], x.j[lo]
+    i, j, least = x.i[lo], x.j[lo], _least(percent)
     here = int(np.flatnonzero(bands[0] == x.bucket[lo])[0])
     left, right = np.flatnonzero(code == i), np.flatnonzero(code == j)
-    at = x.at[lo : hi + 1] - x.at[lo]
-    place, mark, out = None, None, []
-    for r in left:
+    for r in left if (label != label[0]).any() else ():
         c = right[right > r] if i == j else right
         c = c[(label[c] != label[r]) & _may_link(n[c], n[r], percent)]
         if len(c):
             c = c[_agreement(signs[c], signs[r]) >= least]
         if len(c):
             c = c[(bands[c] == bands[r]).argmax(1) == here]  # a pair counts in its first common bucket
-        if not len(c):
-            continue
+        if len(c):
+            yield r, c
+
+
+def _links(x: _Rows, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
+    """Links inside one group that connect as much as all its links would."""
+    label, n = x.component[lo:hi].copy(), x.n[lo:hi]
+    at = x.at[lo : hi + 1] - x.at[lo]
+    place, mark, out = None, None, []
+    for r, c in _near(x, lo, hi, label, percent):
         if place is None:
             values, place = np.unique(x.shingles[x.at[lo] : x.at[hi]], return_inverse=True)
             mark = np.zeros(len(values), bool)
@@ -256,32 +260,48 @@ def _links(x: _Rows, lo: int, hi: int, percent: int, least: float) -> list[tuple
     return out
 
 
-def spanning_links(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect, inside each group of in_blocks(), what all its links do."""
-    least = _least(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(batch: pa.RecordBatch, whole: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-            """The links of a batch's groups, and its last group, which may go on (not if whole)."""
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Rows, list[tuple[int, int]]]]:
+    """Sorted batches, each with its complete groups; a group that goes on is carried over to the next batch."""
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             x = _Rows(batch)
             edges = x.groups()
-            out = [e for lo, hi in zip(edges, edges[1:] if whole else edges[1:-1]) if hi - lo > 1 for e in _links(x, lo, hi, percent, least)]
-            columns = list(zip(*out)) or [(), ()]
-            links = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-            return links, batch.slice(edges[-2])
+            yield batch, x, [(lo, hi) for lo, hi in zip(edges, edges[1:-1]) if hi - lo > 1]
+            rest = batch.slice(edges[-2])
+    if rest is not None and rest.num_rows > 1:
+        yield rest, _Rows(rest), [(0, rest.num_rows)]
 
-        rest = None
-        for batch in batches:
-            if batch.num_rows:
-                if rest is not None:
-                    batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-                links, rest = found(batch, False)
-                yield links
-        if rest is not None:
-            yield found(rest, True)[0]
 
-    group = ["bucket", "i", "j"]
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+_GROUP = ["bucket", "i", "j"]
+
+
+def in_question(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of in_blocks() that sizes and signatures allow to link with another component of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x, groups in _by_group(batches):
+            wanted = np.zeros(batch.num_rows, bool)
+            for lo, hi in groups:
+                for r, c in _near(x, lo, hi, x.component[lo:hi], percent):
+                    wanted[lo + r] = True
+                    wanted[lo + c] = True
+            yield batch.filter(pa.array(wanted))
+
+    return dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, dealt.schema)
+
+
+def spanning_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect, inside each group of rows with their shingles, what all its links do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, groups in _by_group(batches):
+            columns = list(zip(*(e for lo, hi in groups for e in _links(x, lo, hi, percent)))) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -330,8 +350,9 @@ def near_duplicates(
     several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     apart = now.join(several.select("bucket"), "bucket", "left_semi").join(signs.select("node", "n_shingles"), "node")
     dealt = in_blocks(scratch.written(apart, "apart"), block_bytes)
-    whole = signs.select("node", "signature", "bands").join(sets, "node")
-    links = scratch.written(spanning_links(dealt.join(whole, "node"), percent), "links")
+    signed = dealt.join(signs.select("node", "signature", "bands"), "node")
+    open_ = scratch.written(in_question(signed, percent), "in-question")
+    links = scratch.written(spanning_links(open_.join(sets, "node"), percent), "links")
     labels = joined(links, labels)
 
     # Ids with several sets link the classes of these sets.
