@@ -8,8 +8,7 @@ common (one very long run), the later chunk starts earlier by three times the ov
 earlier chunk's own last sure boundary.
 
 A space between two characters that are no white space always starts a pre-token, so texts and chunks
-are counted piece by piece between such spaces, and a bounded cache, kept by a worker from task to
-task, saves encoding pieces again; a piece that is a word followed by punctuation is counted as these two. Texts with other white space next to a space are encoded as they are. Null and empty texts have no
+are counted piece by piece between such spaces, and a bounded cache saves encoding pieces again; a piece that is a word followed by punctuation is counted as these two. Texts with other white space next to a space are encoded as they are. Null and empty texts have no
 tokens; repeated rows count alike; further columns are ignored; an empty table gives no rows. Ids are
 whole numbers, a null one stays null.
 """
@@ -28,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 
 CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 9, 64
-CACHE, BATCH = 400_000, 1 << 20
+CACHE, BATCH = 100_000, 1 << 20
 
 #: A word and what follows it: a letter and one of these marks never share a pre-token.
 _WORD_AND_MORE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,./:;<=>?@\[\\\]^`{|}~-].*)""", re.DOTALL)
@@ -187,16 +186,11 @@ class Counter:
         return out
 
 
-@cache
-def counter_of(path: str) -> Counter:
-    return Counter(path)
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each document; path: the tokenizer's file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path)
+        counter = Counter(path)
         for batch in batches:
             ids, column, i = batch.column(0).cast(pa.int64()), batch.column(1), 0
             sizes = [0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()]

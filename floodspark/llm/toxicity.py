@@ -39,7 +39,7 @@ POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2000
 LEAST_POSITIVES, LEAST_Z = 3, 4.0
 BEGINNINGS, TIMES = (3, 4, 5, 6, 7), (2, 3, 5)
 STEPS, RATE, SHRINK, SLACK = 400, 0.05, 1e-4, 0.0
-CACHE = 400_000
+CACHE = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
