@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from floodspark.llm import chat, decontam, langid, neardup, packing, quality, secrets, sharding, tokens, toxicity
+from floodspark.llm import chat, decontam, fim, hardneg, langid, maxent, neardup, packing, quality, secrets, sharding, tokens, toxicity
 from floodspark.llm.text import crc_mod, table
 
 
@@ -77,6 +77,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out))
 
 
+def op11_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    return maxent.score(table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restored(fim.transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(c, 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored"))]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hardneg.integers(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hardneg.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality_rules,
         op10_toxicity,
+        op11_maxent_scores,
+        op12_fill_in_middle,
+        op13_hard_negatives,
     )
 }
 
@@ -152,3 +172,46 @@ WITH RECURSIVE d AS (
 SELECT doc_id, n_bytes, substr(address, 1, depth) AS shard, depth::INTEGER AS depth, 0::BIGINT AS overflow
 FROM t WHERE total <= 1048576
 """
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), r AS (
+  SELECT doc_id, text, t, len(t)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(t) + 1) AS r1,
+    ('0x' || substr(h, 9, 8))::BIGINT % (len(t) + 1) AS r2, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS r3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS r4
+  FROM d
+), p AS (
+  SELECT doc_id, text, n, array_to_string(t[1:least(r1, r2)], '') AS prefix, array_to_string(t[least(r1, r2) + 1:greatest(r1, r2)], '') AS middle,
+    array_to_string(t[greatest(r1, r2) + 1:n], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r3 >= 90 THEN 'plain'
+      WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM r
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
