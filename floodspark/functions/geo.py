@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The two Earth radii in use.
 EARTH_KM, EARTH_M = 6371.0088, 6_371_000.0
+# Metres of a degree of latitude, and of longitude at the equator, in planar lengths.
+DEGREE_LAT_M, DEGREE_LON_M = 110_574.0, 111_320.0
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float) -> Column:
@@ -26,9 +28,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def equirect_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Planar distance near the first point."""
-    k = math.pi / 180 * EARTH_M
-    return F.hypot((lat2 - lat1) * k, (lon2 - lon1) * k * F.cos(F.radians(lat1)))
+    """Planar distance, at the latitude half way."""
+    return F.hypot((lat2 - lat1) * DEGREE_LAT_M, (lon2 - lon1) * DEGREE_LON_M * F.cos(F.radians((lat1 + lat2) / 2)))
 
 
 def valid_position(lat: Column, lon: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from floodspark.functions import alerts as A
 from floodspark.functions import status as S
 from floodspark.operators import series as T
-from floodspark.operators.nearby import nearby_gauges, within
+from floodspark.operators.nearby import nearby_gauges
 from floodspark.operators.search import name_sort_key
 
 
@@ -91,11 +91,6 @@ def lake_overrides(lakes: DataFrame, overrides: DataFrame) -> DataFrame:
     return x.select("feature_id", "name", new.alias("owner"), (new != F.col("owner")).alias("changed"))
 
 
-def feature_gauges(features: DataFrame, gauges: DataFrame, km: float = 40.0) -> DataFrame:
-    """features (id, lat, lon) to the nearest gauge (rid, rlat, rlon) within km."""
-    return within(features, gauges, km).groupBy("id").agg(F.min_by("rid", F.struct("distance", "rid")).alias("gauge_id"))
-
-
 def resolve_gauge_id(x: Column) -> Column:
     return F.when(x.rlike("^[A-Za-z0-9]{5}$"), F.upper(x))
 

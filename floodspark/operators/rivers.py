@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 
 from floodspark.functions import geo as G
 from floodspark.functions.alerts import office_link
+from floodspark.operators.kept import Kept
 from floodspark.operators.nearby import snap_to_lines, within
 
-REACH_M, SNAP_M, SOURCE_M, BRIDGE_M = 40_000.0, 750.0, 150.0, 1_000.0
+REACH_M, SNAP_M, SOURCE_M, BRIDGE_M, TIE_M, SLIVER_M = 40_000.0, 750.0, 150.0, 1_000.0, 0.5, 3.0
+#: Parts in a candidate's box up to which one group searches them.
+LARGE = 20_000
 
 
 def segments(parts: DataFrame) -> DataFrame:
@@ -41,58 +44,119 @@ def network(parts: DataFrame) -> DataFrame:
 
 
 def degrees(net: DataFrame) -> DataFrame:
-    both = net.select(F.col("start_node").alias("node")).unionByName(net.select(F.col("end_node").alias("node")))
-    return both.groupBy("node").agg(F.count("*").alias("degree"))
+    """How many parts end at each node; a part that ends where it begins counts once."""
+    ends = net.select(F.explode(F.array_distinct(F.array("start_node", "end_node"))).alias("node"))
+    return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
 def name_compatible(a: Column, b: Column) -> Column:
+    """Equal names, or one of them unknown."""
     return a.isNull() | b.isNull() | (a == b)
 
 
 def gap_bridges(parts: DataFrame, metres: float = BRIDGE_M) -> DataFrame:
-    """For each loose end, the nearest loose end of another part of a compatible name within metres: a, b, distance; each pair once."""
+    """For each loose end, the nearest loose end of another part of a compatible name under metres away: a, b, distance, name; each pair once.
+
+    A bridge has the name of the parts that it joins, or of the one that has a name. Distances are planar, at
+    the latitude of the end that looks; of a pair that finds each other, the shorter counts.
+    """
     net = network(parts)
     loose = degrees(net).filter("degree = 1").select("node")
     ends = parts.select("part_id", "name", F.explode(F.array(F.col("coords")[0], F.element_at("coords", -1))).alias("p"))
-    e = ends.select("part_id", "name", node(F.col("p")).alias("node"), "p.lat", "p.lon").join(loose, "node")
+    e = ends.select("part_id", "name", node(F.col("p")).alias("node"), "p.lat", "p.lon").dropDuplicates(["part_id", "node"]).join(loose, "node")
     left = e.select(F.col("node").alias("id"), "lat", "lon", F.col("part_id").alias("part"), F.col("name").alias("n0"))
     right = e.select(F.col("node").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), F.col("part_id").alias("rpart"), F.col("name").alias("n1"))
-    near = within(left, right, metres / 1000, metres=True).filter((F.col("part") != F.col("rpart")) & name_compatible(F.col("n0"), F.col("n1")))
-    best = near.groupBy("id").agg(F.min_by(F.struct("rid", "distance"), F.struct("distance", "rid")).alias("m"))
-    return best.select(F.least("id", "m.rid").alias("a"), F.greatest("id", "m.rid").alias("b"), F.col("m.distance").alias("distance")).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    # Distances on the sphere differ from planar ones by less than a fiftieth.
+    near = within(left, right, metres * 1.02 / 1000, metres=True).filter((F.col("part") != F.col("rpart")) & name_compatible(F.col("n0"), F.col("n1")))
+    flat = F.hypot((F.col("rlat") - F.col("lat")) * G.DEGREE_LAT_M, (F.col("rlon") - F.col("lon")) * G.DEGREE_LON_M * F.cos(F.radians("lat")))
+    near = near.withColumn("distance", flat).filter(F.col("distance") < metres).withColumn("name", F.coalesce("n0", "n1"))
+    best = near.groupBy("id").agg(F.min_by(F.struct("rid", "distance", "name"), F.struct("distance", "rid")).alias("m"))
+    pairs = best.select(F.least("id", "m.rid").alias("a"), F.greatest("id", "m.rid").alias("b"), "m.distance", "m.name")
+    return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.min("name").alias("name"))
 
 
 def candidates(gauges: DataFrame, parts: DataFrame) -> DataFrame:
-    """Staged gauges (id, lat, lon) with the parts they stand on: within SNAP_M, at most SOURCE_M past the nearest, of its name."""
+    """Staged gauges (id, lat, lon) with the parts that they stand on: id, part_id, distance, along, river.
+
+    The nearest named part within SNAP_M gives the river's name; a gauge stands on all parts of a
+    compatible name that are at most SOURCE_M farther than it (than the nearest of all, where none has a name).
+    """
     snapped = snap_to_lines(gauges, segments(parts), SNAP_M).join(parts.select("part_id", "name"), "part_id")
     w = Window.partitionBy("id")
     named = F.min(F.when(F.col("name").isNotNull(), F.struct("distance", "part_id", "name"))).over(w)
-    x = snapped.withColumn("nearest", F.min("distance").over(w)).withColumn("river", named["name"])
-    return x.filter((F.col("distance") <= F.col("nearest") + SOURCE_M) & name_compatible(F.col("name"), F.col("river"))).select("id", "part_id", "distance", "along", "river")
+    x = snapped.withColumn("named", named).withColumn("nearest", F.min("distance").over(w))
+    reference = F.coalesce(F.col("named.distance"), F.col("nearest"))
+    x = x.filter((F.col("distance") <= reference + SOURCE_M) & name_compatible(F.col("name"), F.col("named.name")))
+    return x.select("id", "part_id", "distance", "along", F.col("named.name").alias("river"))
+
+
+def _ways(net: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Parts and bridges, in both directions: a, b, m, name."""
+    one = net.select(F.col("start_node").alias("a"), F.col("end_node").alias("b"), F.col("len_m").alias("m"), "name")
+    two = one.unionByName(bridges.select("a", "b", F.col("distance").alias("m"), "name"))
+    return two.unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b"), "m", "name"))
+
 
+def _starts(cands: DataFrame, net: DataFrame) -> DataFrame:
+    """Each candidate's distance to the ends of the parts that it stands on: id, river, node, metres."""
+    on = cands.join(net.select("part_id", "start_node", "end_node", "len_m"), "part_id")
+    ends = F.explode(F.array(F.struct(F.col("start_node").alias("node"), F.col("along").alias("metres")), F.struct(F.col("end_node").alias("node"), (F.col("len_m") - F.col("along")).alias("metres"))))
+    return on.select("id", "river", ends.alias("e")).select("id", "river", "e.node", "e.metres")
 
-def distances(cands: DataFrame, net: DataFrame, bridges: DataFrame, boxes: DataFrame, reach: float = REACH_M) -> DataFrame:
-    """Distance along the network from each candidate to each node within reach: id, node, metres.
 
+def distances(cands: DataFrame, net: DataFrame, bridges: DataFrame, boxes: DataFrame, reach: float = REACH_M, large: int = LARGE) -> DataFrame:
+    """Distance along the river from each candidate to each node within reach: id, river, node, metres.
+
+    A candidate goes only through parts and bridges of a name that is compatible with its river's.
     boxes (id, part_id) says which parts lie near a candidate: the straight line is never longer than
-    the way along rivers, so a candidate's own sub-network holds all that it reaches. One group is one
-    candidate with the parts in its box.
+    the way along rivers, so these parts hold all that it reaches. A candidate with at most large of them is
+    searched in one group; those with more are searched together, round by round, by joins (frontier()).
     """
+    sizes = boxes.groupBy("id").count().filter(F.col("count") > large).select("id")
+    if sizes.isEmpty():
+        return _searched(cands, net, bridges, boxes, reach)
+    few = lambda df: df.join(sizes, "id", "left_anti")
+    many = cands.join(sizes, "id", "left_semi")
+    return _searched(few(cands), net, bridges, few(boxes), reach).unionByName(frontier(many, net, bridges, reach))
+
+
+def frontier(cands: DataFrame, net: DataFrame, bridges: DataFrame, reach: float = REACH_M) -> DataFrame:
+    """distances() by relaxing all candidates' open nodes at once: each round joins them with the ways and keeps the shorter distances.
+
+    Rounds are kept as Parquet, so that neither a task nor the driver holds a network; they end when no
+    distance shrinks any more, after as many as the most parts on a way within reach.
+    """
+    kept = Kept(net.sparkSession)
+    ways = kept.keep(_ways(net, bridges), "ways")
+    start = _starts(cands, net).filter(F.col("metres") <= reach)
+    now = kept.keep(start.groupBy("id", "node").agg(F.first("river").alias("river"), F.min("metres").alias("metres")).withColumn("open", F.lit(True)), "now")
+    while not now.filter("open").isEmpty():
+        step = now.filter("open").join(ways, F.col("node") == F.col("a")).filter(name_compatible(F.col("river"), F.col("name")))
+        step = step.select("id", F.col("b").alias("node"), "river", (F.col("metres") + F.col("m")).alias("metres"), F.lit(None).cast("double").alias("before")).filter(F.col("metres") <= reach)
+        both = step.unionByName(now.select("id", "node", "river", "metres", F.col("metres").alias("before")))
+        shorter = F.min("before").isNull() | (F.min("metres") < F.min("before"))
+        now = kept.keep(both.groupBy("id", "node").agg(F.first("river").alias("river"), F.min("metres").alias("metres"), shorter.alias("open")), "now")
+    kept.drop("ways")
+    return now.select("id", "river", "node", "metres")
+
+
+def _searched(cands: DataFrame, net: DataFrame, bridges: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:
+    """distances(), with one group for each candidate and the ways in its box."""
     edges = net.select("part_id", "start_node", "end_node", "len_m", "name")
-    own = boxes.join(edges, "part_id").select("id", F.lit("edge").alias("kind"), F.col("start_node").alias("a"), F.col("end_node").alias("b"), F.col("len_m").alias("m"), "name", F.lit(0.0).alias("along"))
+    own = boxes.join(edges, "part_id").select("id", F.lit(False).alias("start"), F.col("start_node").alias("a"), F.col("end_node").alias("b"), F.col("len_m").alias("m"), "name")
     nodes = own.select("id", F.explode(F.array("a", "b")).alias("a")).distinct()
-    gaps = nodes.join(bridges, "a").select("id", F.lit("edge").alias("kind"), "a", "b", F.col("distance").alias("m"), F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("along"))
-    starts = cands.join(edges, "part_id").select("id", F.lit("start").alias("kind"), F.col("start_node").alias("a"), F.col("end_node").alias("b"), F.col("len_m").alias("m"), F.col("river").alias("name"), "along")
+    gaps = nodes.join(bridges, "a").select("id", F.lit(False).alias("start"), "a", "b", F.col("distance").alias("m"), "name")
+    starts = _starts(cands, net).select("id", F.lit(True).alias("start"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.col("metres").alias("m"), F.col("river").alias("name"))
 
     def search(x: pd.DataFrame) -> pd.DataFrame:
-        begin = x[x.kind == "start"]
+        begin = x[x.start]
         river = next((n for n in begin.name if isinstance(n, str)), None)
         graph: dict[str, list[tuple[str, float]]] = {}
-        for r in x[x.kind == "edge"].itertuples():
+        for r in x[~x.start].itertuples():
             if river is None or not isinstance(r.name, str) or r.name == river:
                 graph.setdefault(r.a, []).append((r.b, r.m))
                 graph.setdefault(r.b, []).append((r.a, r.m))
-        heap = [(float(r.along), r.a) for r in begin.itertuples()] + [(float(r.m - r.along), r.b) for r in begin.itertuples()]
+        heap = [(float(r.m), r.a) for r in begin.itertuples()]
         heapq.heapify(heap)
         done: dict[str, float] = {}
         while heap:
@@ -103,9 +167,9 @@ def distances(cands: DataFrame, net: DataFrame, bridges: DataFrame, boxes: DataF
             for to, m in graph.get(n, []):
                 if to not in done:
                     heapq.heappush(heap, (d + m, to))
-        return pd.DataFrame({"id": x.id.iloc[0], "node": list(done), "metres": list(done.values())})
+        return pd.DataFrame({"id": x.id.iloc[0], "river": river, "node": list(done), "metres": list(done.values())})
 
-    return starts.unionByName(own).unionByName(gaps).groupBy("id").applyInPandas(search, "id long, node string, metres double")
+    return starts.unionByName(own).unionByName(gaps).groupBy("id").applyInPandas(search, "id long, river string, node string, metres double")
 
 
 def part_boxes(gauges: DataFrame, net_segments: DataFrame, km: float = REACH_M / 1000) -> DataFrame:
@@ -114,7 +178,7 @@ def part_boxes(gauges: DataFrame, net_segments: DataFrame, km: float = REACH_M /
     low = lambda c: F.min(F.least(f"{c}0", f"{c}1"))
     high = lambda c: F.max(F.greatest(f"{c}0", f"{c}1"))
     box = net_segments.groupBy("part_id").agg(low("lat").alias("s"), high("lat").alias("n"), low("lon").alias("w"), high("lon").alias("e"))
-    pad = km / 111.0 * 1.01
+    pad = km / 110.574 * 1.01
     most = F.least(F.greatest(F.abs("s"), F.abs("n")) + pad, F.lit(89.0))
     wide = pad / F.cos(F.radians(most))
     box = box.select("part_id", (F.col("s") - pad).alias("s"), (F.col("n") + pad).alias("n"), (F.col("w") - wide).alias("w"), (F.col("e") + wide).alias("e"))
@@ -124,80 +188,185 @@ def part_boxes(gauges: DataFrame, net_segments: DataFrame, km: float = REACH_M /
     return placed.join(cells, ["cy", "cx"]).filter(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).select("id", "part_id")
 
 
-def owner_pieces(net: DataFrame, dist: DataFrame, owners: DataFrame, sources: DataFrame, tie: float = 0.5, sliver: float = 3.0) -> DataFrame:
-    """Cuts each part where its nearest candidate changes: part_id, piece, owner, from_m, to_m.
+def owner_pieces(net: DataFrame, dist: DataFrame, owners: DataFrame, sources: DataFrame, reach: float = REACH_M, tie: float = TIE_M, sliver: float = SLIVER_M) -> DataFrame:
+    """Cuts parts where their nearest candidate changes: part_id, piece, owner, from_m, to_m of the parts that change.
+
+    dist (id, river, node, metres) and sources (id, part_id, along) are distances() and candidates(); owners
+    (part_id, owner) are the owners so far. Each place goes to the candidate with the shortest way along rivers of
+    its name, the smaller id where two are equal; places beyond reach of all keep their owner, and so do those where the
+    owner's way is at most tie longer. Pieces shorter than sliver join the one before them (the first, the one after).
+
+    A candidate's way to a place leads over the part's start or its end, or it stands on the part. Over the
+    start, all ways grow alike along the part, so only the shortest one and the owner's matter, and as much holds for the end:
+    a part needs four numbers and the gauges on it, which are aggregated before they meet.
+    """
+    fits = name_compatible(F.col("river"), F.col("name"))
+    start = net.join(dist, net["start_node"] == dist["node"]).filter(fits).select("part_id", "id", F.col("metres").alias("up"), F.lit(None).cast("double").alias("down"))
+    end = net.join(dist, net["end_node"] == dist["node"]).filter(fits).select("part_id", "id", F.lit(None).cast("double").alias("up"), F.col("metres").alias("down"))
+    none = F.lit(None).cast("double")
+    on = sources.select("part_id", "id", none.alias("up"), none.alias("down"), F.struct("along", "id").alias("spot"))
+    ways = start.unionByName(end).withColumn("spot", F.lit(None).cast("struct<along:double,id:bigint>")).unionByName(on)
+    ways = ways.join(owners, "part_id", "left")
+    mine = F.col("id") == F.col("owner")
+    best = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("m"), "id")))
+    x = ways.groupBy("part_id").agg(
+        F.first("owner").alias("owner"), best("up").alias("up"), best("down").alias("down"), F.min(F.when(mine, F.col("up"))).alias("own_up"),
+        F.min(F.when(mine, F.col("down"))).alias("own_down"), F.array_sort(F.collect_set("spot")).alias("spots"), F.bool_or(~F.coalesce(mine, F.lit(False))).alias("foreign"),
+    )
+    x = x.filter("foreign").drop("foreign").join(net.select("part_id", "len_m"), "part_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                owner = None if pd.isna(r.owner) else int(r.owner)
+                pair = lambda w: None if w is None else (w["m"], w["id"])
+                number = lambda v: None if pd.isna(v) else v
+                spots = [(p["along"], p["id"]) for p in r.spots]
+                cuts = _cut(r.len_m, owner, pair(r.up), pair(r.down), number(r.own_up), number(r.own_down), spots, reach, tie, sliver)
+                rows += [(r.part_id, i, *c) for i, c in enumerate(cuts)]
+            out = pd.DataFrame(rows, columns=["part_id", "piece", "owner", "from_m", "to_m"])
+            yield out.astype({"part_id": "int64", "piece": "int32", "owner": "Int64", "from_m": "float64", "to_m": "float64"})
+
+    return x.mapInPandas(run, "part_id long, piece int, owner long, from_m double, to_m double")
 
-    owners (part_id, owner) keep stretches within tie metres; pieces below sliver metres join their neighbour.
-    From a node, a candidate's distance grows by one metre a metre, so the owner by position is the
-    least of such lines, and changes only where two of them cross.
+
+def _cut(n: float, owner: int | None, up, down, own_up, own_down, spots: list, reach: float, tie: float, sliver: float) -> list[tuple[int | None, float, float]]:
+    """(owner, from, to) of a part n metres long; nothing where it stays whole with its owner.
+
+    up and down are (metres, id) to the part's start and end, own_up and own_down the owner's, spots (place, id) gauges on it.
     """
-    a = net.join(dist, net["start_node"] == dist["node"]).select("part_id", "len_m", "id", F.col("metres").alias("base"), F.lit(1.0).alias("slope"))
-    b = net.join(dist, net["end_node"] == dist["node"]).select("part_id", "len_m", "id", (F.col("metres") + F.col("len_m")).alias("base"), F.lit(-1.0).alias("slope"))
-    own = sources.join(net.select("part_id", "len_m"), "part_id").select("part_id", "len_m", "id", F.col("along").alias("base"), F.lit(0.0).alias("slope"))
-    lines = a.unionByName(b).unionByName(own).join(owners, "part_id", "left")
-
-    def cut(x: pd.DataFrame) -> pd.DataFrame:
-        n = float(x.len_m.iloc[0])
-        base, slope, ids = x.base.values, x.slope.values, x.id.values
-        before = x.owner.iloc[0]
-
-        def cost(p: float) -> np.ndarray:
-            return np.where(slope == 0, np.abs(p - base), base + slope * p)
-
-        marks = {0.0, n}
-        for p in base[slope == 0]:
-            marks.add(float(min(max(p, 0), n)))
-        # Lines of slopes 1 and -1 (a source has one of each side) cross half way between.
-        ups = np.concatenate([base[slope == 1], -base[slope == 0]])
-        downs = np.concatenate([base[slope == -1], base[slope == 0]])
-        for u in np.unique(ups):
-            marks.update(float(c) for c in (np.unique(downs) - u) / 2 if 0 < c < n)
-        edges = sorted(marks)
-        rows: list[list] = []
-        for lo, hi in zip(edges, edges[1:]):
-            c = cost((lo + hi) / 2)
-            best = c.min()
-            mine = c[ids == before] if before == before and before is not None else np.array([])
-            who = before if len(mine) and mine.min() <= best + tie else ids[c == best].min()
-            if rows and (rows[-1][0] == who or hi - lo < sliver):
-                rows[-1][2] = hi
-            elif len(rows) == 1 and rows[0][2] - rows[0][1] < sliver:
-                rows[0] = [who, rows[0][1], hi]
-            else:
-                rows.append([who, lo, hi])
-        return pd.DataFrame({"part_id": x.part_id.iloc[0], "piece": range(len(rows)), "owner": [int(r[0]) for r in rows], "from_m": [r[1] for r in rows], "to_m": [r[2] for r in rows]})
-
-    return lines.groupBy("part_id").applyInPandas(cut, "part_id long, piece int, owner long, from_m double, to_m double")
+    # Lines: metres at place 0 with slope 1, at place n with slope -1, and gauges on the part, from which metres grow both ways.
+    base, slope, ids = [], [], []
+    for m, i, s in ((*(up or (None, None)), 1), (own_up, owner, 1), (*(down or (None, None)), -1), (own_down, owner, -1), *((a, i, 0) for a, i in spots)):
+        if m is not None:
+            base.append(m if s == 1 else m + n if s == -1 else m)
+            slope.append(s)
+            ids.append(i)
+    base, slope, ids = np.array(base, float), np.array(slope), np.array(ids, np.int64)
+    own = ids == (owner if owner is not None else np.iinfo(np.int64).min)
+    at = base[slope == 0]
+    rising = np.concatenate([base[slope == 1], -at])
+    falling = np.concatenate([base[slope == -1], at])
+    marks = [np.array([0.0, n]), at, reach - base[slope == 1], base[slope == -1] - reach, at - reach, at + reach]
+    nodes_up, nodes_down = np.flatnonzero(slope == 1), np.flatnonzero(slope == -1)
+    cross = lambda u, d: marks.extend([((d - u) / 2 + e) for e in (0.0, tie / 2, -tie / 2)])
+    for i in nodes_up:
+        cross(base[i], falling)
+    for i in nodes_down:
+        cross(rising, base[i])
+    if len(at) > 1:
+        order = np.sort(at)
+        cross(-order[:-1], order[1:])
+        for a in base[(slope == 0) & own]:  # the owner's gauges meet all others, for ties
+            cross(-a, at)
+            cross(-at, a)
+    edges = np.unique(np.concatenate(marks))
+    edges = edges[(edges >= 0) & (edges <= n)]
+    runs: list[list] = []
+    for lo, hi in zip(edges, edges[1:]):
+        p = (lo + hi) / 2
+        c = np.where(slope == 0, np.abs(p - base), base + slope * p)
+        least = c.min()
+        if least > reach:
+            who = owner
+        elif own.any() and c[own].min() <= least + tie:
+            who = owner
+        else:
+            who = int(ids[c <= least + 1e-9].min())
+        if runs and runs[-1][0] == who:
+            runs[-1][2] = float(hi)
+        else:
+            runs.append([who, float(lo), float(hi)])
+    for k, r in enumerate(runs):
+        if r[2] - r[1] < sliver and len(runs) > 1:
+            r[0] = runs[k - 1][0] if k else runs[1][0]
+    out: list[list] = []
+    for r in runs:
+        if out and out[-1][0] == r[0]:
+            out[-1][2] = r[2]
+        else:
+            out.append(r)
+    return [] if not out or (len(out) == 1 and out[0][0] == owner) else [tuple(r) for r in out]
 
 
 def _at(line: Column, m: Column) -> Column:
-    """The point of a line (array of m, lon, lat) at a distance along it."""
+    """The point of a line (array of m, lon, lat) at a distance along it: its first or last point, or one between two, rounded to 1e-5 degrees."""
     i = F.least(F.greatest(F.size(F.filter(line, lambda v: v["m"] <= m)), F.lit(1)), F.size(line) - 1)
     p, q = line[i - 1], line[i]
     t = F.when(q["m"] > p["m"], F.least(F.lit(1.0), F.greatest(F.lit(0.0), (m - p["m"]) / (q["m"] - p["m"])))).otherwise(0.0)
-    return F.struct((p["lon"] + t * (q["lon"] - p["lon"])).alias("lon"), (p["lat"] + t * (q["lat"] - p["lat"])).alias("lat"))
+    point = lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat"))
+    cut = F.struct(*[F.round(p[k] + t * (q[k] - p[k]), 5).alias(k) for k in ("lon", "lat")])
+    last = F.element_at(line, -1)
+    return F.when(m <= 0, point(line[0])).when(m >= last["m"] - 1e-6, point(last)).otherwise(cut)
 
 
-def regroup(pieces: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row for each feature and owner: how many pieces, km, and their coordinates in order; parts without pieces keep their own owner."""
+def piece_lines(pieces: DataFrame, parts: DataFrame) -> DataFrame:
+    """The lines that pieces are: part_id, feature_id, name, piece, owner, changed, metres, coords. Parts without pieces are whole, with their own owner.
+
+    Cut points are rounded, so that both sides of a cut share one; what is left of no length goes.
+    """
     x = segments(parts)
     last = x.groupBy("part_id").agg(F.max_by(F.struct((F.col("start_m") + F.col("length_m")).alias("m"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), "seq").alias("end"))
     starts = x.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start_m").alias("m"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat")))).alias("v"))
     point = lambda v: F.struct(v["m"].alias("m"), v["lon"].alias("lon"), v["lat"].alias("lat"))
     lines = starts.join(last, "part_id").select("part_id", F.concat(F.transform("v", point), F.array("end")).alias("line"))
-    all_ = parts.select("part_id", "feature_id", F.col("owner").alias("own")).join(lines, "part_id").join(pieces, "part_id", "left")
+    cut = pieces.select("part_id", "piece", F.col("owner").alias("new"), "from_m", "to_m", F.lit(True).alias("changed"))
+    all_ = parts.select("part_id", "feature_id", "name", F.col("owner").alias("own")).join(lines, "part_id").join(cut, "part_id", "left")
     to = F.coalesce("to_m", F.element_at("line", -1)["m"])
-    y = all_.select("part_id", "feature_id", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("owner", "own").alias("owner"), "line", F.coalesce("from_m", F.lit(0.0)).alias("a"), to.alias("z"))
+    changed = F.coalesce("changed", F.lit(False))
+    owner = F.when(changed, F.col("new")).otherwise(F.col("own"))
+    y = all_.select("part_id", "feature_id", "name", F.coalesce("piece", F.lit(0)).alias("piece"), owner.alias("owner"), changed.alias("changed"), "line", F.coalesce("from_m", F.lit(0.0)).alias("a"), to.alias("z"))
     inner = F.transform(F.filter("line", lambda v: (v["m"] > F.col("a")) & (v["m"] < F.col("z"))), lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat")))
-    coords = F.concat(F.array(_at(F.col("line"), F.col("a"))), inner, F.array(_at(F.col("line"), F.col("z"))))
-    held = F.transform(F.array_sort(F.collect_list(F.struct("part_id", "piece", coords.alias("coords")))), lambda v: v["coords"])
-    return y.groupBy("feature_id", "owner").agg(F.count("*").alias("pieces"), (F.sum(F.col("z") - F.col("a")) / 1000).alias("km"), held.alias("coords"))
+    whole = F.concat(F.array(_at(F.col("line"), F.col("a"))), inner, F.array(_at(F.col("line"), F.col("z"))))
+    # Points of the part itself stay, repeated ones too; a cut that rounds to its neighbour is that neighbour.
+    own_points = F.transform("line", lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat")))
+    y = y.withColumn("coords", F.when(F.col("changed"), whole).otherwise(own_points))
+    y = y.withColumn("coords", F.when(F.col("changed"), F.filter("coords", lambda v, i: (i == 0) | (v != F.get("coords", F.greatest(i - 1, F.lit(0)))))).otherwise(F.col("coords")))
+    return y.filter(F.size("coords") > 1).select("part_id", "feature_id", "name", "piece", "owner", "changed", (F.col("z") - F.col("a")).alias("metres"), "coords")
+
+
+def regroup(pieces: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row for each feature and owner: kind (LineString, or MultiLineString of several pieces), pieces, km, and their coordinates in order."""
+    y = piece_lines(pieces, parts)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("part_id", "piece", "coords"))), lambda v: v["coords"])
+    kind = F.when(F.count("*") > 1, "MultiLineString").otherwise("LineString")
+    return y.groupBy("feature_id", "owner").agg(kind.alias("kind"), F.count("*").alias("pieces"), (F.sum("metres") / 1000).alias("km"), held.alias("coords"))
+
+
+def segmentation(parts: DataFrame, gauges: DataFrame, metres: float = BRIDGE_M) -> tuple[DataFrame, DataFrame]:
+    """Pieces of parts (part_id, feature_id, name, owner, coords) that change hands, and the candidates among staged gauges (id, lat, lon)."""
+    net, cands = network(parts), candidates(gauges, parts)
+    dist = distances(cands, net, gap_bridges(parts, metres), part_boxes(gauges, segments(parts)))
+    return owner_pieces(net, dist, parts.select("part_id", "owner"), cands.select("id", "part_id", "along")), cands
+
+
+def segment_stats(features: DataFrame, parts: DataFrame, pieces: DataFrame, cands: DataFrame) -> DataFrame:
+    """One row of counters of a segmentation; features (feature_id, kind) are all features, lakes and points among them."""
+    line = F.col("kind").isin("LineString", "MultiLineString")
+    before = features.agg(F.count("*").alias("features_in"), F.count_if(line).alias("river_features_in"))
+    lines = piece_lines(pieces, parts)
+    by_feature = lines.groupBy("feature_id").agg(F.bool_or("changed").alias("changed"), F.count_distinct(F.coalesce(F.col("owner").cast("string"), F.lit(""))).alias("owners")).filter("changed")
+    more = by_feature.agg(F.count("*").alias("features_changed"), F.coalesce(F.sum(F.col("owners") - 1), F.lit(0)).alias("more"))
+    touched = lines.filter("changed").groupBy("part_id").agg(F.sum(F.size("coords")).alias("now")).join(parts.select("part_id", F.size("coords").alias("was")), "part_id")
+    vertices = touched.agg(F.count("*").alias("parts_touched"), F.coalesce(F.sum(F.col("now") - F.col("was")), F.lit(0)).alias("added_vertices"))
+    who = cands.agg(F.count_distinct("id").alias("candidates"))
+    rows = before
+    for other in (more, vertices, who):
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    one = rows.agg(*[F.max(c).alias(c) for c in rows.columns])  # one row each, with columns of their own
+    out = lambda c: (F.col(c) + F.col("more")).alias(c.replace("_in", "_out"))
+    return one.select("features_in", out("features_in"), "river_features_in", out("river_features_in"), "features_changed", "parts_touched", "added_vertices", "candidates")
 
 
 def staged_neighbor(gauges: DataFrame, staged: DataFrame, parts: DataFrame) -> DataFrame:
-    """For gauges without stages (id, lat, lon): the nearest staged owner (owner, olat, olon) of the line under them, within reach."""
-    snapped = snap_to_lines(gauges, segments(parts), SNAP_M).join(parts.select("part_id", "owner"), "part_id")
-    close = snapped.withColumn("nearest", F.min("distance").over(Window.partitionBy("id"))).filter(F.col("distance") <= F.col("nearest") + SOURCE_M)
+    """For gauges without stages (id, lat, lon): the nearest staged owner (owner, olat, olon) of the lines under them, within reach.
+
+    parts (part_id, owner, coords) are segmented lines. The nearest line must be within SNAP_M; owners of lines at most SOURCE_M farther count.
+    """
+    snapped = snap_to_lines(gauges, segments(parts), SNAP_M + SOURCE_M).join(parts.select("part_id", "owner"), "part_id")
+    snapped = snapped.withColumn("nearest", F.min("distance").over(Window.partitionBy("id")))
+    close = snapped.filter((F.col("nearest") <= SNAP_M) & (F.col("distance") <= F.col("nearest") + SOURCE_M))
     x = close.join(staged, "owner").join(gauges.select("id", "lat", "lon"), "id")
     m = G.equirect_m(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))
     return x.withColumn("m", m).filter((F.col("m") <= REACH_M) & (F.col("id") != F.col("owner"))).groupBy("id").agg(F.min_by("owner", F.struct("m", "owner")).alias("owner"), F.min("m").alias("m"))

@@ -13,7 +13,7 @@ from floodspark.plans.places import _km
 from floodspark.plans.series import crests_topn
 from floodspark.plans.status import _RANK, current, status_sql
 from floodspark.sources import adapt as A
-from floodspark.sources.adapt import CAMERAS, FORECASTS, GAUGES, NOW, PLACES, POINTS, READINGS
+from floodspark.sources.adapt import CAMERAS, FORECASTS, GAUGES, NOW, PLACES, READINGS
 
 
 @query(f"""WITH {READINGS} SELECT gauge_id, place, stage, statement FROM (SELECT *, row_number() OVER (PARTITION BY gauge_id ORDER BY stage DESC, pos)::INTEGER AS place FROM (SELECT gauge_id, pos, v AS stage, 'Water reaches mark ' || pos AS statement FROM readings WHERE v > -100)) WHERE place <= 20""")
@@ -88,12 +88,6 @@ def lake_override_join(spark, sf_dir):
     return op.lake_overrides(p.select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 9).alias("owner")), names)
 
 
-@query(f"WITH {GAUGES}, {POINTS} SELECT id, gauge_id FROM (SELECT p.id, g.id AS gauge_id, {_km('p', 'g')} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {_km('p', 'g')}, g.id) AS r FROM points p, gauges g) WHERE r = 1 AND d <= 40")
-def feature_gauge_assignment(spark, sf_dir):
-    g = A.gauges(spark, sf_dir).select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    return op.feature_gauges(A.points(spark, sf_dir), g)
-
-
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'G' || lpad(user_id::VARCHAR, 4, '0') END AS gauge FROM events")
 def resolve_gauge_id(spark, sf_dir):
     u = F.lpad(F.col("user_id").cast("string"), 4, "0")

@@ -1,6 +1,5 @@
 """Rules that SQL does not show one by one, and operators that SQL cannot say, against plain Python."""
 
-import heapq
 import math
 import random
 
@@ -139,61 +138,6 @@ def test_photo_addresses(spark):
     assert [r.x for r in df.select(details.valid_image_url(F.col("u")).alias("x")).collect()] == [True] + [False] * 6
 
 
-def test_distances_and_owners_along_a_random_network(spark):
-    rng = random.Random(5)
-    grid = {(i, j): (-100 + i * 0.03 + rng.random() * 0.01, 30 + j * 0.03 + rng.random() * 0.01) for i in range(4) for j in range(4)}
-    links = [(p, q) for p in grid for q in ((p[0] + 1, p[1]), (p[0], p[1] + 1)) if q in grid and rng.random() < 0.75]
-    coords = [[grid[p], ((grid[p][0] + grid[q][0]) / 2, (grid[p][1] + grid[q][1]) / 2 + 0.002), grid[q]] for p, q in links]
-    parts = spark.createDataFrame([(k, k % 3, None, 900 + k % 3, c) for k, c in enumerate(coords)], "part_id long, feature_id long, name string, owner long, coords array<struct<lon:double,lat:double>>")
-    spots = rng.sample(range(len(links)), 4)
-    gauges = spark.createDataFrame([(i, coords[k][1][1], coords[k][1][0]) for i, k in enumerate(spots)], "id long, lat double, lon double")
-    net, cands = rivers.network(parts), rivers.candidates(gauges, parts)
-    dist = rivers.distances(cands, net, rivers.gap_bridges(parts), rivers.part_boxes(gauges, rivers.segments(parts)))
-    got = {(r.id, r.node): r.metres for r in dist.collect()}
-    edges = {r.part_id: r for r in net.collect()}
-    starts = [(r.id, r.part_id, r.along) for r in cands.select("id", "part_id", "along").collect()]
-
-    def walk(begin):
-        heap, done = list(begin), {}
-        while heap:
-            d, n = heapq.heappop(heap)
-            if n not in done and d <= rivers.REACH_M:
-                done[n] = d
-                for e in edges.values():
-                    for a, b in ((e.start_node, e.end_node), (e.end_node, e.start_node)):
-                        if a == n:
-                            heapq.heappush(heap, (d + e.len_m, b))
-        return done
-
-    want = {}
-    for i in range(4):
-        begin = [x for j, k, along in starts if j == i for x in ((along, edges[k].start_node), (edges[k].len_m - along, edges[k].end_node))]
-        want |= {(i, n): d for n, d in walk(sorted(begin)).items()}
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in want)
-
-    pieces = rivers.owner_pieces(net, dist, parts.select("part_id", "owner"), cands.select("id", "part_id", "along"))
-    rows = pieces.collect()
-    for k, e in edges.items():
-        own = sorted((r for r in rows if r.part_id == k), key=lambda r: r.piece)
-        if not own:
-            continue
-        assert own[0].from_m == 0 and math.isclose(own[-1].to_m, e.len_m) and all(math.isclose(a.to_m, b.from_m) for a, b in zip(own, own[1:]))
-        for r in own:
-            for f in (0.25, 0.5, 0.75):
-                m = r.from_m + f * (r.to_m - r.from_m)
-                cost = {}
-                for i in range(4):
-                    ways = [want[i, e.start_node] + m if (i, e.start_node) in want else 1e9, want[i, e.end_node] + e.len_m - m if (i, e.end_node) in want else 1e9]
-                    ways += [abs(along - m) for j, part, along in starts if (j, part) == (i, k)]
-                    cost[i] = min(ways)
-                assert cost[r.owner] <= min(cost.values()) + 3.5
-
-    whole = rivers.regroup(pieces.filter("part_id <> 0"), parts).collect()
-    assert math.isclose(sum(r.km for r in whole) * 1000, sum(e.len_m for e in edges.values()), rel_tol=1e-9)
-    ends = {tuple(c) for r in whole for line in r.coords for c in line}
-    assert all(any(math.dist(p, q) < 1e-9 for q in ends) for line in coords for p in line)
-
-
 def test_nearest_staged_owner_under_a_gauge(spark):
     line = [(-100.0 + i * 0.01, 30.0) for i in range(5)]
     parts = spark.createDataFrame([(1, 1, "R", 5, line), (2, 1, "R", 6, [(-99.96, 30.0), (-99.9, 30.0)])], "part_id long, feature_id long, name string, owner long, coords array<struct<lon:double,lat:double>>")
