@@ -2,14 +2,21 @@
 
 A text's base secrets are found by three patterns. Then every layer of the text that can be decoded
 (percent escapes, Unicode escapes, base64, and zlib or gzip data inside base64) goes on a worklist:
-it is decoded, scanned, and searched for further layers until none is new. A layer whose content was
+it is decoded, scanned, and searched for further layers until none is new. Base64 may begin and end anywhere in a run of its
+characters (behind a path, a prefix, before a slash): a run is decoded at all four alignments, and inflated from every
+place where compressed data may begin. An escape that escapes itself over and over (``%252525...``) is unwound to its last
+levels in one step, since the levels between differ by its repeats alone; past ``LEVELS`` levels of a whole text, the rest is unwound in
+one pass, so that time grows with the length and not with its square. A layer whose content was
 seen before at the same place of this document is not decoded again, so cycles end, and each place of a
 repeated layer is reported. Base64 may be wrapped in lines. Bytes that are no UTF-8 stand as replacement
 characters, so they hide nothing around them. Data is inflated to its end (all members, however often compressed)
 in overlapping windows of about ``max_inflated`` bytes, so that a compression bomb takes time but little memory;
 a window grows only while one run without breaks lasts. Each decoded character
 keeps the range of the original text that it came from, so every finding is mapped to original code
-points. A decoded finding is left out only where one base finding of its kind covers it. Null text is empty; repeated rows give equal results; further columns are ignored.
+points. A decoded finding is left out only where one base finding of its kind covers it, and at alignments
+other than that of a run's first character a row of hex digits only where it has under five different ones (data that
+repeats looks like that). Null text is empty; repeated rows give equal results; further columns are ignored.
+Ids are whole numbers, or text that says one (other text counts as null).
 
 The worklist is Python inside Arrow tasks, one text at a time; Spark deals out the rows.
 """
@@ -29,6 +36,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(
@@ -41,8 +49,16 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
+#: Escapes of themselves, as they stand before the last levels.
+_PERCENT_CHAIN = re.compile(r"%(?:25){8,}")
+_UNICODE_CHAIN = re.compile(r"\\(?:u005[cC]|u\{0{0,4}5[cC]\}|x5[cC]){8,}")
+_UNICODE_UNIT = re.compile(r"u005[cC]|u\{0{0,4}5[cC]\}|x5[cC]")
+_ESCAPE_END = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})$")
+CHAIN, LEVELS = 7, 40
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What in decoded bytes may be a secret or a further layer.
+_SUSPECT = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-]{16}")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++={0,2}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++={0,2}+)++")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: A character that no secret or layer holds; a token with the spaces after it (not those that begin a line).
@@ -83,7 +99,14 @@ def _rebuilt(text: str, pieces: list[tuple[int, int, list[tuple[str, int, int]]]
 def _unpercent(text: str) -> tuple[str, Origin] | None:
     """All percent escapes of a text decoded once; a byte that is no UTF-8 becomes a replacement character."""
     pieces = []
-    for m in _PERCENT.finditer(text):
+    chains = {m.start(): m.end() for m in _PERCENT_CHAIN.finditer(text)}
+    at = 0
+    while m := _PERCENT.search(text, at):
+        at = m.end()
+        if z := chains.get(m.start()):
+            pieces.append((m.start(), z - 2 * CHAIN, [("%", m.start(), z - 2 * CHAIN)]))
+            at = z
+            continue
         got, p = [], m.start()
         for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
             bad = "\udc80" <= c <= "\udcff"
@@ -110,8 +133,67 @@ def _characters(run: re.Match) -> list[tuple[str, int, int]]:
     return got
 
 
+def _chain_cut(m: re.Match) -> int:
+    """Where the last CHAIN units of a chain of Unicode escapes begin."""
+    return m.start() + 1 + [u.start() for u in _UNICODE_UNIT.finditer(m[0], 1)][-CHAIN] - 1
+
+
 def _ununicode(text: str) -> tuple[str, Origin] | None:
-    return _rebuilt(text, [(*run.span(), _characters(run)) for run in _UNICODE.finditer(text)])
+    chains = {m.start(): m for m in _UNICODE_CHAIN.finditer(text)}
+    pieces, at = [], 0
+    while run := _UNICODE.search(text, at):
+        at = run.end()
+        if m := chains.get(run.start()):
+            cut = _chain_cut(m)
+            pieces.append((m.start(), cut, [("\\", m.start(), cut)]))
+            at = m.end()
+        else:
+            pieces.append((*run.span(), _characters(run)))
+    return _rebuilt(text, pieces)
+
+
+def _unwound(text: str) -> tuple[str, Origin] | None:
+    """A text with all percent and Unicode escapes decoded to the end, in one pass: what the characters so far end with is decoded at once."""
+    out: list[str] = []
+    first: list[int] = []
+    last: list[int] = []
+    done = False
+    for i, c in enumerate(text):
+        out.append(c)
+        first.append(i)
+        last.append(i + 1)
+        while (c in "0123456789abcdefABCDEF}") and (m := _ESCAPE_END.search("".join(out[-10:]))):
+            n = len(m[0])
+            v = int(m[0].lstrip("%\\ux{").rstrip("}") or "0", 16)
+            byte = m[0][0] == "%" and v >= 128
+            c = chr(0xDC00 + v) if byte else chr(v) if v <= 0x10FFFF else "\ufffd"
+            out[-n:], first[-n:], last[-n:] = [c], [first[-n]], [last[-1]]
+            done = True
+    if not done:
+        return None
+    # Bytes become text, pairs of halves one character.
+    pieces, i = [], 0
+    whole = "".join(out)
+    for m in re.finditer("[\ud800-\udfff]+", whole):
+        got, p = [], m.start()
+        run = m[0].encode("utf-16", "surrogatepass").decode("utf-16", "replace") if re.search("[\ud800-\udbff]", m[0]) else None
+        if run is None:
+            for x in m[0].encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape") if all(0xDC80 <= ord(h) <= 0xDCFF for h in m[0]) else "\ufffd" * len(m[0]):
+                bad = "\udc80" <= x <= "\udcff"
+                n = 1 if bad else len(x.encode("utf-8", "surrogatepass")) if x != "\ufffd" else 1
+                got.append(("\ufffd" if bad else x, p, p + n))
+                p += n
+        else:
+            for x in run:
+                n = 2 if ord(x) > 0xFFFF else 1
+                got.append((x, p, min(p + n, m.end())))
+                p = min(p + n, m.end() - 1)
+        pieces.append((*m.span(), got))
+    starts, ends = np.array(first, np.int64), np.array(last, np.int64)
+    if not (made := _rebuilt(whole, pieces)):
+        return whole, (starts, ends)
+    new, (a, z) = made
+    return new, (starts[a], ends[z - 1])
 
 
 def _percent_run(m: re.Match) -> str:
@@ -142,6 +224,9 @@ def _inflate(chunks: Iterator[bytes], window: int) -> Iterator[bytes]:
 
 
 def _unpadded(body: str) -> bytes | None:
+    """The bytes of a base64 run; a last character that belongs to no byte goes."""
+    if len(body) % 4 == 1:
+        body = body[:-1]
     try:
         return base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -168,7 +253,7 @@ def _after(raw: bytes, window: int) -> int:
 
 def _opened(body: str, window: int, strict: bool = False) -> tuple[str, Iterator[str]] | None:
     """The name and text (in overlapping windows) of a base64 run, inflated as often as it can be; strict: text must be valid UTF-8."""
-    if len(body) < 16 or len(body) % 4 == 1:
+    if len(body) < 16:
         return None
     if (head := _unpadded(body)) is None:
         return None
@@ -194,6 +279,33 @@ def _opened(body: str, window: int, strict: bool = False) -> tuple[str, Iterator
         return None
 
 
+def _packed_starts() -> re.Pattern:
+    """Where in a base64 run zlib or gzip data may begin: the characters that the two first bytes of either give."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    heads = [0x1F8B] + [c << 8 | f for c in range(0x08, 0x80, 0x10) for f in range(256) if (c << 8 | f) % 31 == 0]
+    both = {"+": "+\\-", "/": "/_"}  # of both alphabets
+    some = lambda i, n: "[" + "".join(both.get(c, c) for c in letters[i : i + n]) + "]"
+    return re.compile("(?=" + "|".join(some(h >> 10, 1) + some(h >> 4 & 63, 1) + some((h & 15) << 2, 4) for h in heads) + ")")
+
+
+_PACKED = _packed_starts()
+
+
+def _shifted(body: str, window: int) -> Iterator[tuple[int, int, str, Iterator[str]]]:
+    """(first character, shift, name, texts) of what a base64 run holds elsewhere than from its first character on.
+
+    A shift of 1 to 3 decodes the whole rest of the run at another alignment; compressed data has a shift of 0.
+    """
+    for s in (1, 2, 3):
+        raw = _unpadded(body[s:]) if len(body) >= s + 2 else None
+        if raw and _SUSPECT.search(raw):
+            yield s, s, "base64", iter([raw.decode("utf-8", "surrogateescape")])
+    for m in _PACKED.finditer(body, 1):
+        if got := _opened(body[m.start() :], window):
+            if got[0] != "base64":
+                yield m.start(), 0, *got
+
+
 def _windows(chunks: Iterator[bytes], window: int) -> Iterator[str]:
     decoder, text, most = codecs.getincrementaldecoder("utf-8")("replace"), "", window
     for chunk in chunks:
@@ -259,13 +371,21 @@ def _block(text: str, lines: list[tuple[int, int]], window: int) -> Iterator[tup
 
 def _below(name: str, text: str, window: int) -> Iterator[tuple[str, str]]:
     """(name, content) of the layers right inside a decoded one."""
+    if name.count(".url") + name.count(".unicode") >= LEVELS:
+        if got := _unwound(text):
+            yield f"{name}.url", got[0]
+        return
     if _PERCENT.search(text):
-        yield f"{name}.url", _PERCENT.sub(_percent_run, text)
+        yield f"{name}.url", _PERCENT.sub(_percent_run, _PERCENT_CHAIN.sub("%" + "25" * (CHAIN + 1), text))
     if _UNICODE.search(text):
-        yield f"{name}.unicode", _UNICODE.sub(lambda m: "".join(c for c, _, _ in _characters(m)), text)
+        short = _UNICODE_CHAIN.sub(lambda m: "\\" + text[_chain_cut(m) : m.end()], text)
+        yield f"{name}.unicode", _UNICODE.sub(lambda m: "".join(c for c, _, _ in _characters(m)), short)
     for m in _BASE64.finditer(text):
-        if got := _opened(m[0].rstrip("="), window):
+        body = m[0].rstrip("=")
+        if got := _opened(body, window):
             yield from ((f"{name}.{got[0]}", t) for t in got[1])
+        for _, _, how, texts in _shifted(body, window):
+            yield from ((f"{name}.{how}", t) for t in texts)
     for _, _, how, texts in _blocks(text, window):
         yield from ((f"{name}.{how}", t) for t in texts)
 
@@ -316,16 +436,39 @@ def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, i
             known[body] = _inside(*got, max_inflated) if got else set()
         return known[body]
 
+    def elsewhere(body: str) -> set[tuple[str, str, int, int]]:
+        """(kind, name, from, to) of what a run holds elsewhere than from its first character on; from and to are places in the run."""
+        if body not in further:
+            found = further[body] = set()
+            for start, shift, how, texts in _shifted(body, max_inflated):
+                if not shift:
+                    found |= {(kind, at, start, len(body)) for kind, at in _inside(how, texts, max_inflated)}
+                    continue
+                inner = next(texts)
+                for kind, a, z in find(inner):
+                    if kind == "hex" and len(set(inner[a:z])) < 5:
+                        continue
+                    a, z = (len(inner[:x].encode("utf-8", "surrogateescape")) for x in (a, z))
+                    found.add((kind, how, shift + a // 3 * 4, min(len(body), shift - -z // 3 * 4)))
+                # A deeper layer of a wrong alignment would have to be text again, which chance does not give.
+                found |= {(kind, at, start, len(body)) for kind, at in _inside(how, iter([inner]), max_inflated) if at != how}
+        return further[body]
+
+    further: dict[str, set[tuple[str, str, int, int]]] = {}
     while work:
         content, name, spans = work.pop()
         if name:
             for kind, a, z in find(content):
                 add(kind, name, *origin(spans, a, z))
         layers = []
-        if "%" in content and (got := _unpercent(content)):
-            layers.append(("url", *got))
-        if "\\" in content and (got := _ununicode(content)):
-            layers.append(("unicode", *got))
+        if name.count(".") >= LEVELS:
+            if got := _unwound(content):
+                layers.append(("url", *got))
+        else:
+            if "%" in content and (got := _unpercent(content)):
+                layers.append(("url", *got))
+            if "\\" in content and (got := _ununicode(content)):
+                layers.append(("unicode", *got))
         for how, new, inner in layers:
             to = inner if spans is None else (spans[0][inner[0]], spans[1][inner[1] - 1])
             if (key := digest(new, to)) not in seen:
@@ -343,6 +486,9 @@ def scan(text: str, max_inflated: int = 1 << 22) -> tuple[list[tuple[str, int, i
                 seen.add(key)
                 for kind, how in found:
                     add(kind, f"{name}.{how}".lstrip("."), *to)
+        for m in _BASE64.finditer(content):
+            for kind, how, a, z in elsewhere(m[0].rstrip("=")):
+                add(kind, f"{name}.{how}".lstrip("."), *origin(spans, m.start() + a, m.start() + z))
     return base, sorted(added, key=lambda s: (s[1], s[0], s[2]))
 
 
@@ -371,11 +517,11 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 6
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").try_cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:

@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import random
 import re
+import time
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -174,6 +176,45 @@ def test_layers_are_decoded_to_their_end():
             assert {k for k, _, _ in secrets.scan(b64(raw), size)[1]} == {"assign@base64+zlib", "assign@base64+zlib.base64"}
 
 
+def _redacted(text):
+    base, more = secrets.scan(text)
+    done = len(text) + 1
+    for _, a, z in sorted(base + more, key=lambda s: (-s[2], s[1])):
+        z = min(z, done)
+        if a < z:
+            text, done = text[:a] + "[secret]" + text[z:], a
+    return text
+
+
+def test_base64_is_found_wherever_it_begins_and_ends():
+    rng = random.Random(3)
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    secret = b"password=hunter2secretx"
+    for hidden in (b64(secret), b64(gzip.compress(secret, mtime=0)), b64(zlib.compress(secret * 2)), b64(b"x" + b64(secret).encode()), b64(b"token=abcdef")):
+        bare = hidden.rstrip("=")
+        for before in ("https://h.example/d/", "id-", "v1_", "x", "xy", "abc", "".join(rng.choices("abcXYZ019", k=37))):
+            for after in ("", "/", "/rest", "-") if len(hidden) == len(bare) else ("",):
+                text = f"see {before}{bare}{after} end"
+                out = _redacted(text)
+                assert bare not in out and out.startswith("see ") and out.endswith(" end"), (before, hidden, after)
+                assert any(s.startswith("assign@base64") for s, _, _ in secrets.scan(text)[1])
+    assert secrets.scan("https://host.example/some/long/path-to/page_with/words and /usr/share/doc/packages-of/things")[1] == []
+
+
+def test_escapes_of_escapes_take_time_by_their_length():
+    hidden = "".join(f"%{b:02x}" for b in b"password=hunter2")
+    for chain in ("%" + "25" * 100_000 + "41", "\\" + "u005c" * 40_000 + "u0041", "%5c" + "u00255c" * 4_000 + "u0041"):
+        began = time.perf_counter()
+        base, more = secrets.scan(f"{chain} {hidden}")
+        assert time.perf_counter() - began < 20
+        assert ("assign@url", len(chain) + 1, len(chain) + 1 + len(hidden)) in more
+    # A secret behind so many levels is found, and the way to it is what is blacked out.
+    for n in (1, 7, 8, 9, 30, 500):
+        for text in (f"a %{'25' * n}70assword=hunter2 b", f"a \\{'u005c' * n}u0070assword=hunter2 b", f"a %5c{'u00255c' * n}u0070assword=hunter2 b"):
+            assert _redacted(text) == "a [secret] b", (n, text[:20])
+    assert secrets._unwound("a%2541%C3%A9\\u0041\\ud83d\\ude00%ff")[0] == "aAéA\U0001f600\ufffd"
+
+
 def test_secret_digest_and_redaction(spark):
     docs = documents(spark, ["say secret = 'abc123xyz' now", *ODD])
     rows = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}

@@ -1,5 +1,6 @@
 """Queries on the given tables: near duplicates against all pairs, packing against its rules, models on held-out rows."""
 
+import hashlib
 import re
 
 import pytest
@@ -45,6 +46,27 @@ def test_near_duplicates_of_all_documents(spark, texts):
     assert any(i != c for i, _, c, _ in want)
 
 
+_ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _secrets(text):
+    """Base findings by the three patterns as they are stated."""
+    found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(_ASSIGN, text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, a, z) for a, _, z, k in sorted(found)]
+
+
+def test_secrets_of_all_documents(spark, texts):
+    got = {r.doc_id: r for r in queries.op3_secret_scan(spark, TABLES).collect()}
+    assert got.keys() == texts.keys() and sum(len(_secrets(t)) for t in texts.values()) > 20
+    for i, t in texts.items():
+        want = _secrets(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in want).encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex")]
+        assert {f"{k}:{a}:{z}" for k, a, z in want} <= set(got[i].spans.split(","))
+
+
 def test_packing_of_all_documents(spark, texts):
     got = queries.op7_length_packing(spark, TABLES).toPandas()
     counts = {r.doc_id: r.n_tokens for r in queries.op4_token_counts(spark, TABLES).collect()}
