@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, secret scan, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as
-Parquet to the shared folder and reads them again, so that a lost executor costs one stage.
+Parquet to the shared folder and reads them again, so that a lost executor costs one stage. A stage's table goes
+once the next one stands; the last one before packing stays, since run()'s rows are read from it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from floodspark.llm import decontam, neardup, packing, quality, secrets
-from floodspark.llm.text import table, written
+from floodspark.llm.text import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        to = f"stage-{name.replace(' ', '-')}"
+        docs = scratch.written(stage(spark, docs, sf_dir), to)
+        scratch.keep_only(to)
     return STAGES[-1][1](spark, docs, sf_dir)
