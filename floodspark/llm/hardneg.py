@@ -2,8 +2,8 @@
 
 Scores are inner products of integer vectors. Every vector is rotated and coded by ``LEVELS`` one-bit
 codes: the first holds the signs of the rotated vector, each further one the signs of what the codes
-before leave over. Stored with each code is its alignment with the vector (the inner product with the
-code as a unit vector), and with the vector its length and the length of what all codes leave over. The
+before leave over. Stored with each code is its alignment, the length that the vector has along the
+code (for the first one their inner product, then steps that halve), and with the vector its length and the length of what all codes leave over. The
 inner product of two coded vectors is then a sum over pairs of codes, alignment * alignment *
 (1 - 2 * popcount / bits), and by Cauchy-Schwarz the true score differs from it by at most
 
@@ -35,7 +35,8 @@ from pyspark.sql.window import Window
 
 from floodspark.llm.text import Scratch
 
-LEVELS = 4
+#: Signs leave about 0.6 of a vector's length over, each further level half of that; six leave about a twenty-fifth.
+LEVELS = 6
 BLOCK, ANCHORS = 1 << 15, 1 << 12
 #: So many blocks of vectors at least, where rows allow LEAST_ROWS in each.
 LEAST_BLOCKS, LEAST_ROWS = 32, 400
@@ -57,17 +58,20 @@ def encode(x: np.ndarray, turn: np.ndarray, levels: int = LEVELS) -> tuple[np.nd
     left = left @ turn.T
     size = np.sqrt((left * left).sum(1))
     codes, aligned = [], []
-    for _ in range(levels):
+    for level in range(levels):
         signs = left >= 0
-        a = np.abs(left).sum(1) / np.sqrt(bits)
+        # A place's share of the code: the mean for the vector's signs, then half of what is left over at most, halved each time.
+        step = np.abs(left).mean(1) if not level else peak / 2**level
         codes.append(np.packbits(signs, axis=1).view(np.uint64))
-        aligned.append(a)
-        left = left - np.where(signs, a[:, None], -a[:, None]) / np.sqrt(bits)
+        aligned.append(step * np.sqrt(bits))
+        left = left - np.where(signs, step[:, None], -step[:, None])
+        if not level:
+            peak = np.abs(left).max(1)
     return np.concatenate(codes, 1), np.stack(aligned, 1), np.stack([size, np.sqrt((left * left).sum(1))], 1)
 
 
 class Coded:
-    """The rows of a block: ids, labels, integer vectors, codes, alignments and lengths."""
+    """Rows of a block: ids, labels, integer vectors, codes, alignments and lengths."""
 
     def __init__(self, rows: pa.Table) -> None:
         get = lambda name: rows.column(name).combine_chunks()
@@ -79,6 +83,13 @@ class Coded:
         # Products of integers below this are exact in doubles.
         self.floats = self.ints.astype(np.float64)
 
+    def of_label(self, label: int) -> Coded:
+        """The rows of a label."""
+        part, at = Coded.__new__(Coded), np.flatnonzero(self.labels == label)
+        for name in ("ids", "labels", "ints", "aligned", "sizes", "codes", "floats"):
+            setattr(part, name, getattr(self, name)[at])
+        return part
+
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Integer inner products of the rows at with q."""
         top = float(np.abs(self.floats[at]).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q)
@@ -113,15 +124,17 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def best_positives(q: Coded, x: Coded, k: int) -> Iterator[tuple[int, int, int]]:
     """(anchor, row, score): each anchor's first k rows of its label in this block, itself left out."""
-    for i in range(0, len(q.ids), LOT):
-        at = slice(i, i + LOT)
-        est, half = intervals(q, at, x)
-        for e, h, anchor, label, vector in zip(est, half, q.ids[at], q.labels[at], q.ints[at]):
-            same = (x.labels == label) & (x.ids != anchor)
-            rows = np.flatnonzero(same & (e + h >= _kth((e - h)[same], k)))
-            scores = x.scores(rows, vector)
-            for r in _first(scores, x.ids[rows], k):
-                yield int(anchor), int(x.ids[rows[r]]), int(scores[r])
+    for label in np.unique(q.labels):
+        anchors, same = q.of_label(label), x.of_label(label)
+        for i in range(0, len(anchors.ids), LOT):
+            at = slice(i, i + LOT)
+            est, half = intervals(anchors, at, same)
+            for e, h, anchor, vector in zip(est, half, anchors.ids[at], anchors.ints[at]):
+                other = same.ids != anchor
+                rows = np.flatnonzero(other & (e + h >= _kth((e - h)[other], k)))
+                scores = same.scores(rows, vector)
+                for r in _first(scores, same.ids[rows], k):
+                    yield int(anchor), int(same.ids[rows[r]]), int(scores[r])
 
 
 def best_negatives(q: Coded, windows: list[list[tuple[int, int, int]]], x: Coded, k: int) -> Iterator[tuple[int, int, int, int]]:
