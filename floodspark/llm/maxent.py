@@ -240,7 +240,7 @@ def contexts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     before = []
     for back in (1, 2):
         at = np.arange(len(codes)) - back
-        before.append(np.where(at >= first, codes[at], BEGIN).astype(np.uint32))
+        before.append(np.where(at >= first, codes[np.maximum(at, 0)], BEGIN).astype(np.uint32))
     a, b = before
     return np.stack([_mix(a, 1), _mix(a * np.uint32(65536) + b, 2), _mix(b, 3)], 1)
 
