@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from floodspark.llm import chat, decontam, langid, neardup, packing, quality, secrets, sharding, tokens, toxicity
+from floodspark.llm import chat, decontam, fim, langid, maxent, neardup, packing, quality, secrets, sharding, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ITEM = "the quick brown fox jumps over the lazy dog near the old mill by the river"
@@ -12,7 +12,7 @@ TEXTS = [None, "", " \n\t ", "one", "x" * 200_000, "a b " * 30_000, "é" * 5, IT
 CLASHING = [
     "shard", "depth", "overflow", "n_bytes", "shard_bytes", "n_words", "boundary", "batch_id", "pad", "group", "row", "id", "node", "bucket", "component",
     "component_id", "n_shingles", "kept", "rejected_by", "spans", "n_tokens", "over_limit", "score", "predicted", "lang_pred", "item_id", "start", "end",
-    "edits", "positive", "letters", "y", "rank", "a", "b", "least", "signature", "bands", "set_a", "set_b", "count", "n",
+    "edits", "positive", "form", "output", "tail", "codes", "uid", "word", "ints", "block", "letters", "y", "rank", "a", "b", "least", "signature", "bands", "set_a", "set_b", "count", "n",
 ]
 
 
@@ -53,6 +53,8 @@ def _operators(bench, labels):
         "op8": lambda d: langid.predict(d.withColumn("held_out", held), langid.fit(d.withColumn("held_out", held), ~F.col("held_out"))),
         "op9": quality.judged,
         "op10": lambda d: toxicity.score(d.withColumn("held_out", held), toxicity.fit(d, labels, ~held)),
+        "op11": lambda d: maxent.score(d.withColumn("held_out", held)),
+        "op12": fim.transform,
         "stage quality": quality.keep_good,
         "stage near": lambda d: neardup.drop_near_duplicates(d),
         "stage decontamination": lambda d: decontam.decontaminate(d, bench),
@@ -67,8 +69,8 @@ def _tokenizer():
 
 
 #: Rows for all of docs, where the operator gives one for each.
-EACH = {"op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10", "stage secrets"}
-NAMES = [*(f"op{n}" for n in range(1, 11)), "stage quality", "stage near", "stage decontamination", "stage secrets"]
+EACH = {"op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "stage secrets"}
+NAMES = [*(f"op{n}" for n in range(1, 13)), "stage quality", "stage near", "stage decontamination", "stage secrets"]
 
 
 def _sorted(df, columns):
