@@ -10,7 +10,8 @@
 3. Members of buckets that still hold several components fall into blocks of about ``BLOCK_BYTES``
    of sets: each two blocks meet in one group, but not two blocks of the bucket's largest
    component. Inside a group, pairs of different components are compared by sizes and signatures.
-   Only members of pairs that these allow get their full sets; then a second pass over the groups
+   Only members of pairs that these allow get their full sets (texts are read again, and a filter of at most
+   ``FILTER_BITS`` bits of the members' ids says which to take, so no text is shuffled); then a second pass over the groups
    confirms such pairs exactly, and a union-find leaves out what is connected by then, so a
    group returns at most one link for each of its components, never a list of pairs.
 
@@ -40,6 +41,8 @@ from floodspark.llm.text import Scratch, mixed, runs, shingle_hashes, strings, w
 PERMUTATIONS, BANDED, ROWS = 128, 64, 4
 SLICE = 1 << 18
 BLOCK_BYTES = 4 << 20
+#: The filter of members' ids takes 64 bits a member, 64 MB at most; with over 2**27 members, texts are joined with them instead.
+FILTER_BITS, CHUNK_BITS = 1 << 29, 1 << 19
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,18 +112,51 @@ def features(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (id, text) with the distinct shingles' hashes and the set's size and fingerprint."""
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """Bits, one set for each of n ids (id); packed in chunks by tasks."""
+    n_bits = CHUNK_BITS
+    while n_bits < min(64 * n, FILTER_BITS):
+        n_bits *= 2
+
+    def pack(rows: pa.Table) -> pa.Table:
+        place = rows.column("place").to_numpy()
+        bits = np.zeros(CHUNK_BITS, bool)
+        bits[place % CHUNK_BITS] = True
+        return pa.table({"chunk": pa.array([int(place[0]) // CHUNK_BITS], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+
+    place = F.pmod(F.xxhash64("id"), F.lit(n_bits))
+    chunks = ids.select(place.alias("place")).distinct().groupBy(F.floor(F.col("place") / CHUNK_BITS).alias("c")).applyInArrow(pack, "chunk long, bits binary")
+    out = np.zeros(n_bits // 8, np.uint8)
+    for r in chunks.collect():
+        at = r.chunk * CHUNK_BITS // 8
+        out[at : at + CHUNK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def shingle_sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
+    """docs (id, text) whose ids pass the filter, with the distinct shingles' hashes and the set's size and fingerprint."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, s, of in _sliced(batch, k):
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+            for i, j, s, of in _sliced(batch, k) if batch.num_rows else ():
                 at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))])
                 sets = [np.unique(s[a:z]) for a, z in zip(at, at[1:])]
                 names = [pa.array(c, pa.int64()) for c in zip(*map(_named, sets))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *names, _lists(sets)], names=["id", *_SET, "shingles"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, shingles array<long>")
+    place = F.pmod(F.xxhash64("id"), F.lit(8 * len(bits)))
+    return docs.select("id", "text", place.alias("place")).mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, shingles array<long>")
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """shingle_sets() of the texts with these ids (id), and of few others."""
+    n = ids.count()
+    if 4 * n > FILTER_BITS:
+        return shingle_sets(texts.join(ids, "id", "left_semi"), k, np.full(CHUNK_BITS // 8, 255, np.uint8))
+    return shingle_sets(texts, k, id_filter(ids, n))
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -164,14 +200,12 @@ def estimated(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+def confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """Of sets (node, pivot, is_pivot, shingles), the pairs (a, b) of a node and its pivot whose full sets reach the threshold."""
+    x = sets.filter("pivot IS NOT NULL").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("shingles").alias("sa"))
+    y = sets.filter("is_pivot").select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").filter(
-        100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    ).select("a", "b")
+    return x.join(y, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def in_blocks(apart: DataFrame, block_bytes: int) -> DataFrame:
@@ -325,8 +359,6 @@ def near_duplicates(
     members = scratch.written(banded.join(full, "bucket"), "members")
     ids = members.select("node").distinct()
     signs = scratch.written(nodes.select("node", "id", *_SET, "signature", "bands").join(ids, "node"), "signatures")
-    raw = shingle_sets(texts.join(signs.select("id"), "id", "left_semi"), k).dropDuplicates(["id", *_SET])
-    sets = scratch.written(raw.join(signs.select("node", "id", *_SET), ["id", *_SET]).select("node", "shingles"), "sets")
     labels = signs.select("node", F.col("node").alias("component"))
 
     def joined(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -343,8 +375,14 @@ def near_duplicates(
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     pivots = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
     tries = members.join(pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = estimated(tries, signs, percent).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m"))
-    labels = joined(confirmed(first.select("a", F.col("m.b").alias("b")), sets, percent), labels)
+    best = estimated(tries, signs, percent).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m"))
+    first = scratch.written(best.select(F.col("a").alias("node"), F.col("m.b").alias("pivot")), "first")
+    # Full sets carry their pivots, and whether they are one, so that they meet them without being dealt by node before.
+    told = first.select(F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")).distinct()
+    roles = signs.select("node", "id", *_SET).join(first, "node", "left").join(told, "node", "left")
+    raw = _sets_of(texts, signs.select("id"), k).dropDuplicates(["id", *_SET])
+    sets = scratch.written(raw.join(roles, ["id", *_SET]).select("node", "pivot", F.coalesce("is_pivot", F.lit(False)).alias("is_pivot"), "shingles"), "sets")
+    labels = joined(confirmed(sets, percent), labels)
 
     now = members.join(labels, "node").select("bucket", "node", "component")
     several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
@@ -352,7 +390,7 @@ def near_duplicates(
     dealt = in_blocks(scratch.written(apart, "apart"), block_bytes)
     signed = dealt.join(signs.select("node", "signature", "bands"), "node")
     open_ = scratch.written(in_question(signed, percent), "in-question")
-    links = scratch.written(spanning_links(open_.join(sets, "node"), percent), "links")
+    links = scratch.written(spanning_links(open_.join(sets.select("node", "shingles"), "node"), percent), "links")
     labels = joined(links, labels)
 
     # Ids with several sets link the classes of these sets.

@@ -352,6 +352,16 @@ def test_near_duplicates_agree_with_all_pairs(spark):
     assert neardup.near_duplicates(docs.limit(0), k=3, percent=85).count() == 0
 
 
+def test_texts_by_filter_and_by_join_give_equal_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(60)]
+    texts = base + [t + " more" for t in base[:40]] + base[:10]
+    want = sorted(map(tuple, neardup.near_duplicates(documents(spark, texts)).collect()))
+    assert sum(r[3] for r in want) == 60
+    monkeypatch.setattr(neardup, "FILTER_BITS", 8)  # too many members for a filter
+    assert sorted(map(tuple, neardup.near_duplicates(documents(spark, texts)).collect())) == want
+
+
 def test_block_comparison_loses_no_pair(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
