@@ -58,34 +58,34 @@ def without_cancelled(messages: DataFrame, now: Column) -> DataFrame:
     return left.filter(F.col("cancelled").isNull() | (F.col("sent") > F.col("cancelled"))).drop("cancelled")
 
 
-def _first_seen(messages: DataFrame, parts: Column, name: str) -> DataFrame:
-    """key and the distinct parts of its messages, in the order of the newest message that has them."""
-    at = F.struct(-F.unix_micros(F.col("sent").cast("timestamp")), "id", "i")
-    each = messages.select("key", "sent", "id", F.posexplode(parts).alias("i", "part")).groupBy("key", "part").agg(F.min(at).alias("at"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
-    return each.groupBy("key").agg(ordered.alias(name))
+#: What the newest message of an event says of it, where messages have it.
+TEXTS = ("headline", "description", "instruction", "sender_name", "damage_threat", "effective", "web")
 
 
 def merge_events(messages: DataFrame) -> DataFrame:
-    """One row for each key: the newest message's event and level, the latest end and expiry, codes and areas, newest message first.
+    """One row for each key: the newest message's event, level and texts, the latest end and expiry, codes and areas, newest message first.
 
-    The shape is the newest one that any of the messages brings. Of messages sent at the same time, the first (least id) is the newest.
+    The shape is the newest one that any of the messages brings. Of messages sent at the same time, the first (least id) is the
+    newest. Messages are read once: each is spread over its codes and areas and one row for itself; equal parts of an event meet
+    first, with the newest message that names them, and then all of the event.
     """
-    newest = F.struct("sent", -F.col("id"))
-    base = messages.groupBy("key").agg(
-        F.max_by(F.struct("id", "event", "level"), newest).alias("newest"),
-        F.max("sent").alias("sent"),
-        F.max("expires").alias("expires"),
-        F.max("ends").alias("ends"),
-        F.count("*").alias("n"),
-        F.max_by("polys", F.when(F.col("polys").isNotNull(), newest)).alias("own_polys"),
-    )
+    texts = [c for c in TEXTS if c in messages.columns]
     areas = F.filter(F.transform(F.split("area_desc", ";"), lambda x: F.btrim(x)), lambda x: x != "")
-    ugc = _first_seen(messages, F.col("ugc"), "ugc")
-    area = _first_seen(messages, areas, "areas").select("key", F.array_join("areas", "; ").alias("area_desc"))
-    out = base.join(ugc, "key", "left").join(area, "key", "left")
-    none = F.array().cast("array<string>")
-    return out.select("key", "newest.*", "sent", "expires", "ends", "n", "own_polys", F.coalesce("ugc", none).alias("ugc"), F.coalesce("area_desc", F.lit("")).alias("area_desc"))
+    part = lambda kind, x: F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("part"), i.alias("i")))
+    itself = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("part"), F.lit(0).alias("i")))
+    rows = messages.select("key", "id", "sent", "ends", "expires", "event", "level", *texts, "polys", F.explode(F.concat(itself, part("ugc", F.col("ugc")), part("area", areas))).alias("p"))
+    own = lambda c: F.when(F.col("p.kind") == "", F.col(c))
+    newest = F.struct("sent", -F.col("id"))
+    each = rows.groupBy("key", "p.kind", "p.part").agg(
+        F.min(F.struct(-F.unix_micros(F.col("sent").cast("timestamp")), "id", "p.i")).alias("at"),
+        F.max_by(F.struct("id", *[own(c).alias(c) for c in ("event", "level", *texts)]), newest).alias("newest"),
+        F.max(own("sent")).alias("sent"), F.max(own("expires")).alias("expires"), F.max(own("ends")).alias("ends"), F.count(own("id")).alias("n"),
+        F.max_by(own("polys"), F.when(own("polys").isNotNull(), newest)).alias("own_polys"),
+    )
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "part")))), lambda x: x["part"])
+    one = lambda c: F.first(F.when(F.col("kind") == "", F.col(c)), ignorenulls=True).alias(c)
+    out = each.groupBy("key").agg(*map(one, ("newest", "sent", "expires", "ends", "n", "own_polys")), listed("ugc").alias("ugc"), F.array_join(listed("area"), "; ").alias("area_desc"))
+    return out.select("key", "newest.*", "sent", "expires", "ends", "n", "own_polys", "ugc", "area_desc")
 
 
 def state_codes(ugc: Column, state: str = "TX") -> Column:
@@ -114,8 +114,14 @@ def zone_cache(cached: DataFrame, now: Column) -> DataFrame:
     return cached.select("code", fresh.alias("fresh"), (has | fresh).alias("serves"))
 
 
-def feed_state(reads: DataFrame) -> DataFrame:
-    """reads (id, age_s): unavailable, loading, or ready; stale over 10 minutes and dropped over 6 hours."""
-    a = F.col("age_s")
-    state = F.when(a.isNull(), "unavailable").when(a > 6 * 3600, "dropped").when(a > 600, "stale").otherwise("ready")
-    return reads.select("id", state.alias("state"))
+def feed_state(reads: DataFrame, stale_s: int = 600, drop_s: int = 6 * 3600) -> DataFrame:
+    """reads (id, held, failed, age_s) to id, state, age_s, stale.
+
+    Nothing held is loading, or unavailable once a read has failed; a copy whose age is unknown or over drop_s is unavailable too. Else
+    the copy is ready, and stale over stale_s; an age below zero counts as none.
+    """
+    age = F.when(F.col("age_s").isNotNull(), F.greatest(F.col("age_s"), F.lit(0)))
+    state = F.when(~F.col("held"), F.when(F.col("failed"), "unavailable").otherwise("loading")).when(age.isNull() | (age > drop_s), "unavailable").otherwise("ready")
+    x = reads.withColumn("state", state)
+    ready = F.col("state") == "ready"
+    return x.select("id", "state", F.when(ready, age).alias("age_s"), F.when(ready, age > stale_s).alias("stale"))

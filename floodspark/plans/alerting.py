@@ -58,10 +58,10 @@ def alert_cancel(spark, sf_dir):
     return op.without_cancelled(A.messages(spark, sf_dir), A.now()).select("id", "key")
 
 
-@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT key, id, event, level, sent, expires, ends, n, array_to_string(ugc, ',') AS ugc, area_desc, own_x IS NOT NULL AS shaped FROM merged")
+@query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT key, id, event, level, 'Headline ' || id AS headline, CASE WHEN id % 3 = 0 THEN 'Move to higher ground, ' || id END AS instruction, sent, expires, ends, n, array_to_string(ugc, ',') AS ugc, area_desc, own_x IS NOT NULL AS shaped FROM merged")
 def alert_event_merge(spark, sf_dir):
     x = _merged(spark, sf_dir).withColumn("ugc", F.array_join("ugc", ","))
-    return x.withColumn("shaped", F.col("own_polys").isNotNull()).drop("own_polys")
+    return x.select("key", "id", "event", "level", "headline", "instruction", "sent", "expires", "ends", "n", "ugc", "area_desc", F.col("own_polys").isNotNull().alias("shaped"))
 
 
 @query(f"WITH {MESSAGES}, {_KEPT}, {_OPEN}, {_MERGED} SELECT l AS level, count(key) AS n FROM (SELECT unnest(['advisory', 'watch', 'warning', 'flash', 'emergency']) AS l) LEFT JOIN merged ON level = l GROUP BY 1")
@@ -97,10 +97,12 @@ def zone_cache_freshness(spark, sf_dir):
     return op.zone_cache(z, A.now())
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN 'unavailable' WHEN event_id * 13 % 40000 > 21600 THEN 'dropped' WHEN event_id * 13 % 40000 > 600 THEN 'stale' ELSE 'ready' END AS state FROM events")
+@query("""SELECT id, state, CASE WHEN state = 'ready' THEN age END AS age_s, CASE WHEN state = 'ready' THEN age > 600 END AS stale FROM (SELECT event_id AS id, greatest(age_s, 0) AS age,
+    CASE WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'unavailable' ELSE 'loading' END WHEN age_s IS NULL OR age_s > 21600 THEN 'unavailable' ELSE 'ready' END AS state
+  FROM (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_id * 13 % 40000 - 50 END AS age_s FROM events))""")
 def alerts_state(spark, sf_dir):
     i = F.col("event_id")
-    return op.feed_state(A.table(spark, sf_dir, "events").select(i.alias("id"), F.when(i % 7 != 0, i * 13 % 40000).alias("age_s")))
+    return op.feed_state(A.table(spark, sf_dir, "events").select(i.alias("id"), (i % 7 != 0).alias("held"), (i % 2 == 0).alias("failed"), F.when(i % 11 != 0, i * 13 % 40000 - 50).alias("age_s")))
 
 
 @query(f"WITH {MESSAGES} SELECT id, array_to_string(ugc, ',') AS codes FROM messages")

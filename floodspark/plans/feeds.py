@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floodspark.plans import query
+from floodspark.operators import alerts as al
+from floodspark.plans import ORACLES, query
 from floodspark.sources import adapt as A
 from floodspark.sources import feeds
-from floodspark.sources.adapt import CAMERAS, GAUGES, ZONES
+from floodspark.sources.adapt import CAMERAS, GAUGES, MESSAGES, ZONES
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+#: Rows of a body, at most, where ids are numbers in a row.
+_BODY = 1000
+
+
 def _bodies(rows, item, key=None, by=None):
-    """One body for each of by (or for hundreds of rows): a JSON array of items, or an object that holds it."""
-    group = F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(7)) if by is None else by
-    listed = F.collect_list(item)
-    return rows.groupBy(group.alias("g")).agg(F.to_json(listed if key is None else F.struct(listed.alias(key))).alias("body"))
+    """One body for about a thousand rows by their number: a JSON array of items in order, or an object that holds it; number counts bodies."""
+    number = F.floor((F.col(rows.columns[0]) if by is None else by) / _BODY)
+    order = F.col(rows.columns[0]) if by is None else by
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), item.alias("item")))), lambda x: x["item"])
+    return rows.groupBy(number.alias("number")).agg(F.to_json(listed if key is None else F.struct(listed.alias(key))).alias("body"))
 
 
 def _feed(spark, sf_dir):
@@ -50,7 +56,7 @@ def src_usgs_iv(spark, sf_dir):
         F.struct(F.array(F.struct(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("value"))).alias("siteCode")).alias("sourceInfo"), F.array(F.struct(F.col("vs").alias("value"))).alias("values")
     )
     body = F.to_json(F.struct(F.struct(F.collect_list(series).alias("timeSeries")).alias("value")))
-    files = one.groupBy(F.col("user_id") % 5).agg(body.alias("body"))
+    files = one.groupBy(F.floor(F.col("user_id") / 20)).agg(body.alias("body"))
     return feeds.site_values(files).select("site", "t", "v")
 
 
@@ -75,14 +81,75 @@ def src_peak_rdb(spark, sf_dir):
     return feeds.peaks(files).select("site", "date", "stage")
 
 
-@query("SELECT 'urn:' || o_orderkey AS id, 'Flood Watch' AS event, 'TXC' || lpad((o_orderkey % 25)::VARCHAR, 3, '0') AS ugc, '/O.NEW.' AS vtec FROM orders")
+def _alert_bodies(spark, sf_dir):
+    """The messages as a feed sends them: lists of VTEC that begin with other text, zones where codes lack, shapes of three kinds."""
+    m = A.messages(spark, sf_dir)
+    k = F.col("id")
+    iso = lambda c: F.date_format(c, _ISO)
+    ring = F.transform(F.col("polys")[0][0], lambda p: F.array(p["lon"], p["lat"]))
+    text = lambda kind, inner: F.concat(F.lit('{"type":"' + kind + '",'), inner, F.lit("}"))
+    coords = F.to_json(F.array(ring))
+    one = text("Polygon", F.concat(F.lit('"coordinates":'), coords))
+    shape = (
+        F.when(F.col("polys").isNull(), F.when(k % 5 == 0, F.lit('{"type":"Point","coordinates":[1,2]}')).otherwise("null"))
+        .when(k % 3 == 0, one)
+        .when(k % 3 == 1, text("MultiPolygon", F.concat(F.lit('"coordinates":['), coords, F.lit("]"))))
+        .otherwise(text("GeometryCollection", F.concat(F.lit('"geometries":[{"type":"Point","coordinates":[1,2]},'), one, F.lit("]"))))
+    )
+    params = F.struct(F.when(F.col("vtec").isNotNull(), F.array(F.lit("none"), F.col("vtec"))).alias("VTEC"), F.when(F.col("catastrophic"), F.array(F.lit("catastrophic"))).alias("flashFloodDamageThreat"), F.array(F.col("headline")).alias("NWSheadline"))
+    zones = F.transform("ugc", lambda c: F.concat(F.lit("https://api/zones/county/"), c))
+    p = F.struct(
+        F.col("cap_id").alias("id"), "event", "status", F.col("message_type").alias("messageType"), F.when(k % 9 != 0, iso("sent")).alias("sent"), iso("sent").alias("effective"), iso("ends").alias("ends"), iso("expires").alias("expires"),
+        F.when(k % 2 == 0, F.struct(F.col("ugc").alias("UGC"))).alias("geocode"), zones.alias("affectedZones"), F.col("area_desc").alias("areaDesc"), F.when(k % 4 != 0, F.col("headline")).alias("headline"), "instruction", params.alias("parameters"),
+    )
+    feature = F.concat(F.lit('{"geometry":'), shape, F.lit(',"properties":'), F.to_json(p), F.lit("}"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("o"), feature.alias("f")))), lambda x: x["f"])
+    return m.groupBy(F.floor(k / _BODY).alias("number")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")).alias("body"))
+
+
+def _read_messages(spark, sf_dir):
+    return feeds.alert_messages(feeds.alert_feed(_alert_bodies(spark, sf_dir)), A.now())
+
+
+@query(f"WITH {MESSAGES} SELECT cap_id, vtec, event, status, message_type, sent, ends, expires, array_to_string(ugc, ',') AS ugc, array_to_string(areas, '; ') AS area_desc, catastrophic, 'Headline ' || id AS headline, own_x AS west, own_y AS south FROM messages")
 def src_alert_feed(spark, sf_dir):
+    """Bodies of about a thousand features each, to messages."""
+    x = _read_messages(spark, sf_dir)
+    low = lambda c: F.round(F.array_min(F.transform(F.col("polys")[0][0], lambda p: p[c])), 9)
+    return x.select("cap_id", "vtec", "event", "status", "message_type", "sent", "ends", "expires", F.array_join("ugc", ",").alias("ugc"), "area_desc", "catastrophic", "headline", low("lon").alias("west"), low("lat").alias("south"))
+
+
+@query(ORACLES["alert_event_merge"].replace("SELECT key, id, event", "SELECT key, 'urn:' || id AS cap_id, event"))
+def alert_feed_events(spark, sf_dir):
+    """From bodies to events: read, filter, cancel, merge."""
+    m = _read_messages(spark, sf_dir)
+    x = al.merge_events(al.without_cancelled(m, A.now())).join(m.select("id", "cap_id"), "id")
+    return x.select("key", "cap_id", "event", "level", "headline", "instruction", "sent", "expires", "ends", "n", F.array_join("ugc", ",").alias("ugc"), "area_desc", F.col("own_polys").isNotNull().alias("shaped"))
+
+
+_KINDS = """b AS (SELECT o_orderkey AS id, CASE o_orderkey % 12
+    WHEN 0 THEN '{"alerts":[{"id":"a' || o_orderkey || '","event":"Flood Watch","ugc":[]}],"updatedAt":"2024-01-01T00:00:00Z","ok":true}' WHEN 1 THEN '{"alerts":[],"updatedAt":null,"ok":false}'
+    WHEN 2 THEN '{"alerts":[{"id":5,"event":"x","ugc":[]}],"updatedAt":null,"ok":true}' WHEN 3 THEN '{"alerts":[null],"updatedAt":null,"ok":true}' WHEN 4 THEN '{"alerts":[],"ok":true}'
+    WHEN 5 THEN '{"gauges":{"A' || o_orderkey || '":{}},"updatedAt":"now"}' WHEN 6 THEN '{"gauges":{},"updatedAt":7}' WHEN 7 THEN '[{"lid":"A"}]' WHEN 8 THEN '{"gauges":[]}'
+    WHEN 9 THEN '<html>502</html>' WHEN 10 THEN '{"alerts":[' ELSE '"text"' END AS body FROM orders)"""
+
+
+@query(f"""WITH {_KINDS}, j AS (SELECT id, CASE WHEN json_valid(body) THEN body END AS j FROM b), t AS (SELECT id, j, json_type(j) AS top, json_type(j, '$.gauges') AS g, json_type(j, '$.updatedAt') AS u FROM j),
+  k AS (SELECT id, j, CASE WHEN json_type(j, '$.alerts') = 'ARRAY' AND u IN ('VARCHAR', 'NULL') AND json_type(j, '$.ok') = 'BOOLEAN'
+      AND len(list_filter(json_extract(j, '$.alerts[*]'), lambda a: NOT coalesce(json_type(a, '$.id') = 'VARCHAR' AND json_type(a, '$.event') = 'VARCHAR' AND json_type(a, '$.ugc') = 'ARRAY', false))) = 0 THEN 'alerts'
+    WHEN g = 'OBJECT' AND u = 'VARCHAR' THEN 'processed' WHEN top = 'ARRAY' OR g = 'ARRAY' THEN 'list' END AS kind FROM t)
+  SELECT id, kind, CASE WHEN j IS NULL THEN 'no JSON' WHEN kind IS NULL THEN 'another shape' END AS reason FROM k""")
+def json_shapes(spark, sf_dir):
+    """Good, broken and foreign bodies."""
     k = F.col("o_orderkey")
-    params = F.struct(F.array(F.lit("/O.NEW.")).alias("VTEC"))
-    p = F.struct(F.concat(F.lit("urn:"), k.cast("string")).alias("id"), F.lit("Flood Watch").alias("event"), F.struct(F.array(F.format_string("TXC%03d", k % 25)).alias("UGC")).alias("geocode"), params.alias("parameters"))
-    x = feeds.alert_feed(_bodies(A.table(spark, sf_dir, "orders"), F.struct(p.alias("properties")), "features"))
-    q = F.col("properties")
-    return x.select(q["id"].alias("id"), q["event"].alias("event"), q["geocode"]["UGC"][0].alias("ugc"), q["parameters"]["VTEC"][0].alias("vtec"))
+    name = k.cast("string")
+    bodies = [
+        F.concat(F.lit('{"alerts":[{"id":"a'), name, F.lit('","event":"Flood Watch","ugc":[]}],"updatedAt":"2024-01-01T00:00:00Z","ok":true}')), F.lit('{"alerts":[],"updatedAt":null,"ok":false}'),
+        F.lit('{"alerts":[{"id":5,"event":"x","ugc":[]}],"updatedAt":null,"ok":true}'), F.lit('{"alerts":[null],"updatedAt":null,"ok":true}'), F.lit('{"alerts":[],"ok":true}'),
+        F.concat(F.lit('{"gauges":{"A'), name, F.lit('":{}},"updatedAt":"now"}')), F.lit('{"gauges":{},"updatedAt":7}'), F.lit('[{"lid":"A"}]'), F.lit('{"gauges":[]}'), F.lit("<html>502</html>"), F.lit('{"alerts":['), F.lit('"text"'),
+    ]
+    x = A.table(spark, sf_dir, "orders").select(k.alias("id"), F.get(F.array(*bodies), (k % 12).cast("int")).alias("body"))
+    return feeds.body_kinds(x).select("id", "kind", "reason")
 
 
 @query(f"WITH {ZONES} SELECT code, CASE WHEN has_shape THEN 1 END AS polygons, CASE WHEN has_shape THEN 2 END AS rings, CASE WHEN has_shape THEN round(x, 6) END AS west FROM zones")
@@ -112,14 +179,14 @@ def src_cameras(spark, sf_dir):
         F.col("id").alias("camId"), F.when(n % 2 == 0, F.lpad(n.cast("string"), 8, "0")).otherwise("n/a").alias("nwisId"), F.col("lat").cast("string").alias("lat"), F.col("lon").cast("string").alias("lng"),
         F.col("state").alias("stateAbrv"), F.col("hidden").alias("hideCam"), F.date_format("photo_at", _ISO).alias("newestImageDT"),
     )
-    return feeds.cameras(_bodies(c, item)).select("id", "site", "lat", "lon", "state", "hidden", "photo_at")
+    return feeds.cameras(_bodies(c, item, by=n)).select("id", "site", "lat", "lon", "state", "hidden", "photo_at")
 
 
 @query("SELECT 'Lake ' || p_partkey AS name, 'G' || p_partkey % 9 AS gauge FROM part")
 def src_overrides(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     pairs = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("Lake "), k), F.concat(F.lit("G"), (F.col("p_partkey") % 9).cast("string")))))
-    files = A.table(spark, sf_dir, "part").groupBy(F.col("p_partkey") % 4).agg(F.to_json(F.struct(pairs.alias("byName"))).alias("body"))
+    files = A.table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / _BODY)).agg(F.to_json(F.struct(pairs.alias("byName"))).alias("body"))
     return feeds.overrides(files)
 
 
@@ -143,6 +210,6 @@ def src_waterways(spark, sf_dir):
     feature = F.concat(
         F.lit('{"properties":{"nhdId":"'), p.cast("string"), F.lit('","name":"'), "p_name", F.lit('"},"geometry":{"type":"'), F.when(p % 2 == 0, "LineString").otherwise("MultiPolygon"), F.lit('","coordinates":'), coords, F.lit("}}")
     )
-    files = A.table(spark, sf_dir, "part").groupBy(p % 4).agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("body"))
+    files = A.table(spark, sf_dir, "part").groupBy(F.floor(p / _BODY)).agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("body"))
     x = feeds.waterways(files)
     return x.select(F.col("properties.nhdId").cast("long").alias("feature"), "kind", F.col("properties.name").alias("name"), F.size("coords").alias("points"))

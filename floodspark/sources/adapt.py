@@ -177,6 +177,8 @@ def messages_of(orders: DataFrame) -> DataFrame:
         F.concat(area(0), F.lit("; "), area(7)).alias("area_desc"),
         F.when(k % 41 == 0, F.array(F.array(ring))).alias("polys"),
         (k % 29 == 0).alias("catastrophic"),
+        F.format_string("Headline %d", k).alias("headline"),
+        F.when(k % 3 == 0, F.format_string("Move to higher ground, %d", k)).alias("instruction"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodspark.functions.alerts import UGC, office_link, parse_vtec
 from floodspark.operators.rivers import clean_polygons
 
 _POINT = "struct<primary:double,primaryUnit:string,secondary:double,secondaryUnit:string,floodCategory:string,validTime:string>"
@@ -17,16 +18,54 @@ SITE_VALUES = (
     "values:array<struct<value:array<struct<dateTime:string,value:string>>>>>>>>"
 )
 SERIES = "struct<issuedTime:string,primaryUnits:string,data:array<struct<validTime:string,generatedTime:string,primary:double,secondary:double>>>"
+_SHAPE = "type:string,coordinates:string"
+#: A collection of shapes may hold another; its members' coordinates stay text until their kind is known.
+_SHAPES = f"struct<{_SHAPE},geometries:array<struct<{_SHAPE},geometries:array<struct<{_SHAPE}>>>>>"
 ALERTS = (
-    "struct<type:string,features:array<struct<id:string,geometry:struct<type:string,coordinates:string>,properties:struct<id:string,areaDesc:string,"
-    "geocode:struct<UGC:array<string>>,affectedZones:array<string>,sent:string,onset:string,expires:string,ends:string,status:string,messageType:string,"
-    "event:string,senderName:string,headline:string,description:string,instruction:string,parameters:struct<VTEC:array<string>,flashFloodDamageThreat:array<string>>>>>>"
+    f"struct<type:string,features:array<struct<id:string,geometry:{_SHAPES},properties:struct<id:string,areaDesc:string,"
+    "geocode:struct<UGC:array<string>>,affectedZones:array<string>,sent:string,effective:string,onset:string,expires:string,ends:string,status:string,messageType:string,"
+    "event:string,sender:string,senderName:string,headline:string,description:string,instruction:string,"
+    "parameters:struct<VTEC:array<string>,NWSheadline:array<string>,flashFloodDamageThreat:array<string>>>>>>"
 )
 CAMERA = "struct<camId:string,nwisId:string,camName:string,lat:string,lng:string,stateAbrv:string,tz:string,newestImageDT:string,hideCam:boolean>"
 TRACK = "struct<type:string,gaugeId:string,referrer:string,visitor:string,at:string>"
 LINES = "struct<features:array<struct<properties:struct<gaugeId:string,name:string,ftype:int,nhdId:string>,geometry:struct<type:string,coordinates:string>>>>"
 
 
+# Shapes of JSON bodies
+
+
+def _type(v: Column, path: str) -> Column:
+    """The kind of what lies under a path of a variant, as Spark names it; null where nothing does."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def is_alerts_response(v: Column) -> Column:
+    """Whether a body (variant) is a stored answer with alerts: a list of alerts with id, event and codes, a time or null, and a flag."""
+    alert = lambda a: F.coalesce((_type(a, "$.id") == "STRING") & (_type(a, "$.event") == "STRING") & _type(a, "$.ugc").startswith("ARRAY"), F.lit(False))
+    each = F.forall(F.try_variant_get(v, "$.alerts", "array<variant>"), alert)
+    return F.coalesce(_type(v, "$.alerts").startswith("ARRAY") & _type(v, "$.updatedAt").isin("STRING", "VOID") & (_type(v, "$.ok") == "BOOLEAN") & each, F.lit(False))
+
+
+def is_processed(v: Column) -> Column:
+    """Whether a body is a processed snapshot: gauges that are no list, and the time of it as text."""
+    gauges = _type(v, "$.gauges")
+    return F.coalesce(gauges.startswith("OBJECT") & (_type(v, "$.updatedAt") == "STRING"), F.lit(False))
+
+
+def is_gauge_list(v: Column) -> Column:
+    """Whether a body is a raw list of gauges, bare or under its key."""
+    return F.coalesce(_type(v, "$").startswith("ARRAY") | _type(v, "$.gauges").startswith("ARRAY"), F.lit(False))
+
+
+def body_kinds(files: DataFrame) -> DataFrame:
+    """files (body, ...) with kind: alerts, processed or list, or null with the reason: no JSON, or JSON of another shape. Each body is parsed once."""
+    x = files.withColumn("__v", F.try_parse_json("body"))
+    v = F.col("__v")
+    kind = F.when(is_alerts_response(v), "alerts").when(is_processed(v), "processed").when(is_gauge_list(v), "list")
+    return x.withColumn("kind", kind).withColumn("reason", F.when(v.isNull(), "no JSON").when(F.col("kind").isNull(), "another shape")).drop("__v")
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole files: path and body."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
@@ -41,9 +80,13 @@ def _list(body: Column, kind: str, key: str | None = None) -> Column:
     return F.when(F.ltrim(body).startswith("["), plain).otherwise(held)
 
 
+#: An ISO date and time with seconds (fractions too) and an offset.
+_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
+
+
 def time_of(text: Column) -> Column:
-    """An ISO time with its offset, as UTC without zone; null before 1970 and for what is no time."""
-    t = F.try_to_timestamp(text)
+    """An ISO time with its offset, as UTC without zone; null before 1970 and for what is no time, or one of another form."""
+    t = F.when(text.rlike(_ISO), F.try_to_timestamp(text))
     return F.when(F.unix_millis(t) > 0, F.to_timestamp_ntz(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSS")))
 
 
@@ -79,7 +122,40 @@ def alert_feed(files: DataFrame) -> DataFrame:
     x = files.withColumn("a", F.from_json("body", ALERTS))
     kind = ALERTS.removeprefix("struct<type:string,features:").removesuffix(">")
     features = F.coalesce("a.features", F.raise_error(F.lit("an alert feed without features")).cast(kind))
-    return x.select(F.posexplode(features).alias("pos", "f")).select("pos", F.col("f.id").alias("feature_id"), "f.geometry", "f.properties")
+    number = [F.col("number")] if "number" in files.columns else []
+    return x.select(*number, F.posexplode(features).alias("pos", "f")).select(*number, "pos", F.col("f.id").alias("feature_id"), "f.geometry", "f.properties")
+
+
+def _said(x: Column) -> Column:
+    """A text that is not blank."""
+    return F.when(F.trim(x) != "", x)
+
+
+def alert_messages(feed: DataFrame, now: Column) -> DataFrame:
+    """alert_feed() to the messages that operators.alerts takes.
+
+    id counts features in the order of the feed (of bodies by their number, where files have one). VTEC is the first text of the list that is
+    VTEC. A message without a time of sending has that of its effect, or now. Codes are the given ones, or else the tails of zone addresses;
+    the threat that makes an emergency is the first one given, in capitals. The shape is that of all usable polygons, or null.
+    """
+    p = F.col("properties")
+    list_ = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    vtec = F.get(F.filter(list_(p["parameters"]["VTEC"]), lambda v: parse_vtec(v).isNotNull()), F.lit(0))
+    threat = F.upper(F.get(F.filter(list_(p["parameters"]["flashFloodDamageThreat"]), lambda v: v.isNotNull()), F.lit(0)))
+    polys = polygons_of(F.col("geometry"))
+    given = F.filter(list_(p["geocode"]["UGC"]), lambda c: c.isNotNull())
+    tails = F.filter(F.transform(list_(p["affectedZones"]), lambda z: F.element_at(F.split(z, "/"), -1)), lambda c: c.rlike(UGC))
+    number = F.col("number").cast("long") if "number" in feed.columns else F.lit(0).cast("long")
+    return feed.select(
+        (number * (1 << 32) + F.col("pos")).alias("id"), F.coalesce(_said(p["id"]), _said(F.col("feature_id"))).alias("cap_id"), vtec.alias("vtec"),
+        _said(p["event"]).alias("event"), _said(p["status"]).alias("status"), _said(p["messageType"]).alias("message_type"),
+        F.coalesce(time_of(p["sent"]), time_of(p["effective"]), now).alias("sent"), time_of(p["ends"]).alias("ends"), time_of(p["expires"]).alias("expires"),
+        F.array_distinct(F.when(F.size(given) > 0, given).otherwise(tails)).alias("ugc"), F.coalesce(_said(p["areaDesc"]), F.lit("")).alias("area_desc"),
+        F.when(F.size(polys) > 0, polys).alias("polys"), F.coalesce(threat == "CATASTROPHIC", F.lit(False)).alias("catastrophic"), threat.alias("damage_threat"),
+        F.coalesce(_said(p["headline"]), F.get(p["parameters"]["NWSheadline"], F.lit(0))).alias("headline"), F.coalesce(_said(p["description"]), F.lit("")).alias("description"),
+        _said(p["instruction"]).alias("instruction"), F.coalesce(_said(p["senderName"]), _said(p["sender"]), F.lit("National Weather Service")).alias("sender_name"),
+        time_of(p["effective"]).alias("effective"), office_link(parse_vtec(vtec)["office"]).alias("web"),
+    )
 
 
 def peaks(files: DataFrame) -> DataFrame:
@@ -134,9 +210,7 @@ def gazetteer(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     return raw.select(F.col("GEOID").alias("id"), F.col("NAME").alias("name"), F.col("INTPTLAT").try_cast("double").alias("lat"), F.col("INTPTLONG").try_cast("double").alias("lon"))
 
 
-_GEOMETRY = "type:string,coordinates:string"
-#: A collection of shapes may hold another; its members' coordinates stay text until their kind is known.
-ZONE = f"struct<properties:struct<id:string>,geometry:struct<{_GEOMETRY},geometries:array<struct<{_GEOMETRY},geometries:array<struct<{_GEOMETRY}>>>>>>"
+ZONE = f"struct<properties:struct<id:string>,geometry:{_SHAPES}>"
 
 
 def _polygons(kind: Column, coordinates: Column) -> Column:
@@ -148,8 +222,8 @@ def _polygons(kind: Column, coordinates: Column) -> Column:
 def polygons_of(geometry: Column) -> Column:
     """All usable polygons of a shape: of polygons, of many, or of collections two deep; other kinds have none."""
     flat = lambda g: _polygons(g["type"], g["coordinates"])
-    members = F.coalesce(geometry["geometries"], F.array().cast(f"array<struct<{_GEOMETRY},geometries:array<struct<{_GEOMETRY}>>>>"))
-    second = F.flatten(F.transform(members, lambda g: F.concat(flat(g), F.flatten(F.transform(F.coalesce(g["geometries"], F.array().cast(f"array<struct<{_GEOMETRY}>>")), flat)))))
+    members = F.coalesce(geometry["geometries"], F.array().cast(f"array<struct<{_SHAPE},geometries:array<struct<{_SHAPE}>>>>"))
+    second = F.flatten(F.transform(members, lambda g: F.concat(flat(g), F.flatten(F.transform(F.coalesce(g["geometries"], F.array().cast(f"array<struct<{_SHAPE}>>")), flat)))))
     return clean_polygons(F.concat(flat(geometry), second))
 
 

@@ -6,6 +6,7 @@ one to files until the input that is there is done.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -14,17 +15,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from floodspark.operators.alerts import TEXTS
+from floodspark.operators.kept import shared_folder
 from floodspark.operators.series import _direction
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; the warehouse only where Spark runs inside one machine's process."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not top and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    top = top or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top}/stream-{uuid.uuid4().hex}"
+    """A new folder under the one that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Names the state store that state of several variables and timers needs, for the streams that start from here on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +93,8 @@ def late_days(stream: DataFrame, rollup: DataFrame, raw: DataFrame, today: str)
 
     def repair(rows: DataFrame, batch: int) -> None:
         days = rows.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).filter(F.col("day") < today).distinct()
-        again = raw.join(F.broadcast(days), "day", "left_semi").groupBy("day").agg(*counts_of_day())
+        # As literals, so that raw by days reads no others; a batch of files brings few days.
+        again = raw.filter(F.col("day").isin([r.day for r in days.collect()])).groupBy("day").agg(*counts_of_day())
         again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{to}/days")
 
     stream.writeStream.foreachBatch(repair).option("checkpointLocation", f"{to}/progress").trigger(availableNow=True).start().awaitTermination()
@@ -125,7 +131,7 @@ def day_counts(stream: DataFrame) -> DataFrame:
     )
 
 
-def trends(stream: DataFrame, span: str = "48 hours", slide: str = "12 hours") -> DataFrame:
+def trends(stream: DataFrame, span: str = "3 hours", slide: str = "15 minutes") -> DataFrame:
     """Slope of each gauge over sliding windows: gauge_id, until, rate, direction, n."""
     h = F.unix_seconds("ts") / 3600.0 - 473_352.0  # hours since 2024
     g = (
@@ -138,46 +144,86 @@ def trends(stream: DataFrame, span: str = "48 hours", slide: str = "12 hours") -
     return g.select(F.col("user_id").alias("gauge_id"), F.col("window.end").alias("until"), rate.alias("rate"), direction.alias("direction"), "n")
 
 
-def rapid_rise(stream: DataFrame, hours: float = 48, least: float = 1.0) -> DataFrame:
-    """Readings at which a gauge's slope over its last hours reaches least, as they come.
+class _Rise(StatefulProcessor):
+    """A gauge's last readings, and whether it rises quickly: (open, time of the last reading)."""
 
-    State holds a gauge's last hours, and goes when event time has left them behind. Slopes come from running sums over
-    the readings in order of time, so a batch costs as much as it has readings.
-    """
+    def __init__(self, hours: float, least: float, silence_s: int) -> None:
+        self.span, self.least, self.silence = int(hours * 3600), least, silence_s
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([f[["event_id", "ts", "value"]] for f in frames])
-        at = rows.ts.map(lambda x: int(x.timestamp())).to_numpy(np.int64)
-        order = np.lexsort((rows.event_id.to_numpy(), at))
-        old_t, old_v = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
-        t = np.concatenate([old_t, at[order]]).astype(np.int64)
-        v = np.concatenate([old_v, rows.value.to_numpy(float)[order]])
-        event = np.concatenate([np.full(len(old_t), -1), rows.event_id.to_numpy()[order]])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.readings = handle.getListState("readings", "t long, v double")
+        self.flag = handle.getValueState("flag", "open boolean, last long")
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            out = pd.DataFrame([(int(key[0]), *r) for r in rows], columns=["gauge_id", "state", "at", "event_id", "rate"])
+            out["at"] = pd.to_datetime(out["at"], unit="s", utc=True)
+            yield out.astype({"event_id": "Int64", "rate": "float64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        x = pd.concat([f[["event_id", "ts", "value"]] for f in rows])
+        at = x.ts.map(lambda t: int(t.timestamp() // 1)).to_numpy(np.int64)
+        order = np.lexsort((x.event_id.to_numpy(), at))
+        held = list(self.readings.get()) if self.readings.exists() else []
+        t = np.concatenate([np.array([r[0] for r in held], np.int64), at[order]])
+        v = np.concatenate([np.array([r[1] for r in held], float), x.value.to_numpy(float)[order]])
+        event = np.concatenate([np.full(len(held), -1), x.event_id.to_numpy()[order]])
         by = np.argsort(t, kind="stable")
         t, v, event = t[by], v[by], event[by]
-        span = int(hours * 3600)
-        lo = np.searchsorted(t, t - span)
-        n = np.arange(1, len(t) + 1) - lo
+        lo, hi = np.searchsorted(t, t - self.span), np.searchsorted(t, t, "right")
+        n = hi - lo
         # About the middle, so that sums of squares keep their digits.
-        x, y = (t - t.mean()) / 3600, v - v.mean()
-        sums = [np.concatenate([[0.0], np.cumsum(z)]) for z in (x, y, x * y, x * x)]
-        sx, sy, sxy, sxx = (c[1:] - c[lo] for c in sums)
+        h, y = (t - t.mean()) / 3600, v - v.mean()
+        sx, sy, sxy, sxx = ((c := np.concatenate([[0.0], np.cumsum(z)]))[hi] - c[lo] for z in (h, y, h * y, h * h))
         with np.errstate(divide="ignore", invalid="ignore"):
             rate = (sxy - sx * sy / n) / (sxx - sx * sx / n)
-        hit = (event >= 0) & (n >= 4) & (t - t[lo] >= 5400) & (rate >= least)
-        keep = t >= t[-1] - span
-        state.update((t[keep].tolist(), v[keep].tolist()))
-        state.setTimeoutTimestamp(max((int(t[-1]) + span) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"gauge_id": np.full(hit.sum(), int(key[0])), "event_id": event[hit].astype(np.int64), "rate": rate[hit]})
-
+        hit = (n >= 4) & (t - t[lo] >= 5400) & (rate >= self.least)
+        open_, last = self.flag.get() if self.flag.exists() else (False, -1)
+        out = []
+        for i in np.flatnonzero((event >= 0) & (t >= last)):
+            if open_ and t[i] - last >= self.silence:
+                out.append(("clear", last + self.silence, None, None))
+                open_ = False
+            if hit[i] != open_:
+                open_ = bool(hit[i])
+                out.append(("open" if open_ else "clear", int(t[i]), int(event[i]), float(rate[i])))
+            last = int(t[i])
+        self.flag.update((open_, last))
+        keep = t >= last - self.span
+        self.readings.put([(int(a), float(b)) for a, b in zip(t[keep], v[keep])])
+        # Once for silence, once for what is held.
+        for wait in (self.silence, self.span):
+            self.handle.registerTimer((last + wait) * 1000)
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        open_, last = self.flag.get() if self.flag.exists() else (False, -1)
+        quiet = open_ and now >= last + self.silence
+        if quiet:
+            self.flag.update((False, last))
+            yield from self._rows(key, [("clear", last + self.silence, None, None)])
+        if last >= 0 and now >= last + max(self.span, self.silence):
+            self.readings.clear()
+            self.flag.clear()
+
+
+def rapid_rise(stream: DataFrame, hours: float = 3, least: float = 1.0, silence_minutes: int = 90, late: str = "1 day") -> DataFrame:
+    """When gauges begin to rise quickly and cease to: gauge_id, state (open or clear), at, event_id and rate of the reading that says so.
+
+    A gauge rises quickly while the slope over its last hours is at least least feet an hour; the flag is cleared by a reading
+    at which it is not, or after silence_minutes of event time without one. Readings in another unit than feet
+    (unit, where the stream has it) do not count. State holds the last hours and goes when event time has left them behind. What
+    comes out is the same however the readings, in order of time, fall into batches; a late reading counts in the slopes after it.
+    """
+    keyed_state(stream.sparkSession)
+    feet = F.coalesce(F.lower(F.trim("unit")) == "ft", F.lit(True)) if "unit" in stream.columns else F.lit(True)
     return (
-        stream.filter("value > -100")
-        .withWatermark("ts", "1 day")
+        stream.filter(feet & (F.col("value") > -100))
+        .withWatermark("ts", late)
         .groupBy("user_id")
-        .applyInPandasWithState(step, "gauge_id long, event_id long, rate double", "ts array<long>, vs array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(_Rise(hours, least, silence_minutes * 60), "gauge_id long, state string, at timestamp, event_id long, rate double", "append", "EventTime")
     )
 
 
@@ -207,43 +253,115 @@ def silent(stream: DataFrame, minutes: int = 90, hours: int = 6) -> DataFrame:
     )
 
 
-def alert_events(stream: DataFrame) -> DataFrame:
-    """Messages (key, id, sent, until, opens, cancels) to each event's state when it changes: open, cancelled, or over once event time passes its end.
+#: What a message keeps in state, and an event has of it.
+_MESSAGE = ("id", "event", "level", "ends", "expires", "ugc", "area_desc", "shape", *TEXTS)
+
+
+class _Events(StatefulProcessor):
+    """An event's messages by id, the time of its last cancellation, and what was last said of it: (version, text)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.messages = handle.getMapState("messages", "id long", "message string")
+        self.gone = handle.getValueState("gone", "at long")
+        self.said = handle.getValueState("said", "version int, state string, event string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        gone = self.gone.get()[0] if self.gone.exists() else -1
+        ms = lambda t: None if pd.isna(t) else int(t.timestamp() * 1000)
+        for frame in rows:
+            for r in frame.to_dict("records"):
+                sent = ms(r["sent"])
+                if r["cancels"] and sent is not None and sent > gone:
+                    gone = sent
+                    self.gone.update((gone,))
+                    self.handle.registerTimer(gone + 1)
+                if r["opens"] and sent is not None:
+                    m = {c: r.get(c) for c in _MESSAGE} | {"sent": sent, "ends": ms(r["ends"]), "expires": ms(r["expires"])}
+                    m["ugc"] = [] if r["ugc"] is None else [str(c) for c in r["ugc"]]
+                    m["effective"] = ms(r["effective"]) if r.get("effective") is not None else None
+                    m = {c: None if isinstance(v, float) and pd.isna(v) else v for c, v in m.items()}
+                    until = _until(m)
+                    if until is None or until > now:
+                        self.messages.updateValue((int(r["id"]),), (json.dumps(m),))
+                        if until is not None:
+                            self.handle.registerTimer(until)
+        yield from self._changed(key, now, gone)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        gone = self.gone.get()[0] if self.gone.exists() else -1
+        yield from self._changed(key, now, gone)
+        if 0 <= gone < now:  # what a cancellation could still cancel would be late by now
+            self.gone.clear()
+
+    def _changed(self, key, now: int, gone: int) -> Iterator[pd.DataFrame]:
+        live, dead = [], []
+        for (id_,), (text,) in self.messages.iterator():
+            m = json.loads(text)
+            until = _until(m)
+            (live if m["sent"] > gone and (until is None or until > now) else dead).append(m)
+        for m in dead:
+            self.messages.removeKey((m["id"],))
+        version, state, event = self.said.get() if self.said.exists() else (0, "", "")
+        if live:
+            new, merged = "open", _merged(live)
+        elif state == "open":
+            new, merged = ("cancelled" if any(m["sent"] <= gone for m in dead) else "over"), json.loads(event)
+        else:
+            return
+        text = json.dumps(merged)
+        if (new, text) != (state, event):
+            self.said.update((version + 1, new, text))
+            row = {"key": key[0], "version": version + 1, "state": new} | merged
+            out = pd.DataFrame([row])
+            for c in ("sent", "ends", "expires", "effective"):
+                out[c] = pd.to_datetime(out[c], unit="ms", utc=True)
+            yield out[EVENT_COLUMNS]
+
 
-    An event is open while a message is newer than its last cancellation; it is over at the latest end of its
-    messages, and open for good where one has none. State goes when an event is over.
-    """
-    never = 1 << 62
+EVENT = "key string, version int, state string, id long, event string, level string, sent timestamp, ends timestamp, expires timestamp, n long, ugc array<string>, area_desc string, shape string, " + ", ".join(
+    f"{c} {'timestamp' if c == 'effective' else 'string'}" for c in TEXTS
+)
+EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
+
+
+def _until(m: dict) -> int | None:
+    return m["expires"] if m["ends"] is None else m["ends"]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row = lambda id_, said: pd.DataFrame({"key": [key[0]], "id": [id_], "state": [said]})
-        if state.hasTimedOut:
-            id_ = state.get[1]
-            state.remove()
-            yield row(id_, "over")
-            return
-        newest, newest_id, until, gone, before = state.get if state.exists else (-1, -1, -1, -1, "")
-        x = pd.concat(list(frames))
-        sent = x.sent.map(lambda t: int(t.timestamp() * 1000))
-        if x.cancels.any():
-            gone = max(gone, int(sent[x.cancels].max()))
-        opening = x[x.opens].assign(ms=sent[x.opens])
-        opening = opening[opening.ms > gone]
-        if len(opening):
-            first = opening.sort_values(["ms", "id"], ascending=[False, True]).iloc[0]
-            newest, newest_id = max((newest, -newest_id), (int(first.ms), -int(first.id)))
-            newest_id = -newest_id
-            ends = [never if pd.isna(t) else int(t.timestamp() * 1000) for t in opening.until]
-            until = max(until, *ends)
-        said = "" if newest < 0 else "open" if newest > gone else "cancelled"
-        state.update((newest, newest_id, until, gone, said))
-        if said == "open" and until < never:
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if said and said != before:
-            yield row(newest_id, said)
 
+def _merged(live: list[dict]) -> dict:
+    """operators.alerts.merge_events() for the messages of one event."""
+    order = sorted(live, key=lambda m: (-m["sent"], m["id"]))
+    last = lambda c: max((m[c] for m in order if m[c] is not None), default=None)
+    areas = [a.strip(" ") for m in order for a in (m["area_desc"] or "").split(";")]
+    first = order[0]
+    return {c: first[c] for c in ("id", "event", "level", "sent", *TEXTS)} | {
+        "ends": last("ends"), "expires": last("expires"), "n": len(order), "ugc": list(dict.fromkeys(c for m in order for c in m["ugc"])),
+        "area_desc": "; ".join(dict.fromkeys(a for a in areas if a)), "shape": next((m["shape"] for m in order if m["shape"]), None),
+    }
+
+
+def alert_events(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Messages (key, id, sent, ends, expires, event, level, ugc, area_desc, opens, cancels, and texts and shape where they have them) to events.
+
+    A row comes out whenever an event changes: its key, a version that counts up, its state (open, cancelled, or over) and all that
+    merge_events() says of its live messages: those newer than its last cancellation whose own end event time has not passed. A
+    cancelled event, and one that is over, keeps what was last said of it; a newer message opens it again. The last version of each key is the same however
+    the messages fall into batches, as long as none is later than late. State goes as messages end.
+    """
+    keyed_state(stream.sparkSession)
+    spare = [F.lit(None).cast("timestamp" if c == "effective" else "string").alias(c) for c in (*TEXTS, "shape") if c not in stream.columns]
     return (
-        stream.withWatermark("sent", "0 seconds")
+        stream.select("*", *spare)
+        .withWatermark("sent", late)
         .groupBy("key")
-        .applyInPandasWithState(step, "key string, id long, state string", "newest long, newest_id long, until long, gone long, said string", "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(_Events(), EVENT, "append", "EventTime")
     )
+
+
+def last_versions(events: DataFrame) -> DataFrame:
+    """The last row of each event."""
+    rest = [c for c in events.columns if c != "key"]
+    return events.groupBy("key").agg(F.max_by(F.struct(*rest), "version").alias("r")).select("key", "r.*")
