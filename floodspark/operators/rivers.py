@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -372,34 +373,118 @@ def staged_neighbor(gauges: DataFrame, staged: DataFrame, parts: DataFrame) -> D
     return x.withColumn("m", m).filter((F.col("m") <= REACH_M) & (F.col("id") != F.col("owner"))).groupBy("id").agg(F.min_by("owner", F.struct("m", "owner")).alias("owner"), F.min("m").alias("m"))
 
 
-def simplify(polys: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """polys (id, ring: array of lon, lat): the ring by Douglas-Peucker, to 4 places; rings of under 4 points go."""
-
-    def thin(p: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(p), bool)
-        keep[[0, -1]] = True
-        work = [(0, len(p) - 1)]
-        while work:
-            i, j = work.pop()
-            if j > i + 1:
-                d = p[j] - p[i]
-                q = p[i + 1 : j] - p[i]
-                t = np.clip((q @ d) / (d @ d), 0, 1) if d @ d > 0 else np.zeros(len(q))
-                off = np.hypot(*(q - t[:, None] * d).T)
-                k = int(off.argmax())
-                if off[k] > tolerance:
-                    keep[i + 1 + k] = True
-                    work += [(i, i + 1 + k), (i + 1 + k, j)]
-        return p[keep]
+def _thinned(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """The points of a line (n, 2) that Douglas and Peucker's rule keeps; both ends stay."""
+    keep = np.zeros(len(p), bool)
+    keep[[0, -1]] = True
+    work = [(0, len(p) - 1)]
+    while work:
+        i, j = work.pop()
+        if j > i + 1:
+            d, q = p[j] - p[i], p[i + 1 : j] - p[i]
+            t = np.clip((q @ d) / (d @ d), 0, 1) if d @ d > 0 else np.zeros(len(q))
+            off = ((q - t[:, None] * d) ** 2).sum(1)
+            k = int(off.argmax())
+            if off[k] > tolerance * tolerance:
+                keep[i + 1 + k] = True
+                work += [(i, i + 1 + k), (i + 1 + k, j)]
+    return p[keep]
+
+
+def _thin_ring(ring: list, tolerance: float) -> list | None:
+    """A closed ring of points, thinned between its first point and the one farthest from it; None for a sliver.
+
+    Points are rounded to 4 places and neighbours that are equal then are one; what has under three points or an area below tolerance squared is a sliver.
+    """
+    p = np.array([[c["lon"], c["lat"]] for c in ring], float).reshape(-1, 2)[:-1]
+    if len(p) < 3:
+        return None
+    far = 1 + int(((p[1:] - p[0]) ** 2).sum(1).argmax())
+    both = np.concatenate([_thinned(p[: far + 1], tolerance), _thinned(np.concatenate([p[far:], p[:1]]), tolerance)[1:-1]])
+    q = np.floor(both * 1e4 + 0.5) / 1e4
+    q = q[np.append(True, (q[1:] != q[:-1]).any(1))]
+    if len(q) > 1 and (q[0] == q[-1]).all():
+        q = q[:-1]
+    if len(q) < 3:
+        return None
+    q = np.concatenate([q, q[:1]])
+    area = (q[:-1, 0] * q[1:, 1] - q[1:, 0] * q[:-1, 1]).sum() / 2
+    return None if abs(area) < tolerance * tolerance else [{"lon": a, "lat": b} for a, b in q]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rings = [np.round(thin(np.array([[c["lon"], c["lat"]] for c in r])), 4) if len(r) else np.zeros((0, 2)) for r in x.ring]
-            ok = [len(r) >= 4 for r in rings]
-            kept = pd.Series([[{"lon": a, "lat": b} for a, b in r] for r, k in zip(rings, ok) if k], dtype=object)
-            yield pd.DataFrame({"id": x.id[ok].reset_index(drop=True), "ring": kept})
 
-    return polys.mapInPandas(run, "id long, ring array<struct<lon:double,lat:double>>")
+def _thin_polygons(polys, tolerance: float) -> list | None:
+    """Polygons with their holes, thinned; a polygon goes with its outer ring, a hole by itself. None if nothing is left."""
+    out = []
+    for poly in polys if polys is not None else ():
+        outer = _thin_ring(poly[0], tolerance) if len(poly) else None
+        if outer:
+            out.append([outer, *filter(None, (_thin_ring(h, tolerance) for h in poly[1:]))])
+    return out or None
+
+
+_POLYS = "array<array<array<struct<lon:double,lat:double>>>>"
+
+
+def simplify(shapes: DataFrame, tolerance: float = 0.002, column: str = "polys") -> DataFrame:
+    """shapes with their polygons (column: outer ring, then holes) thinned to a tolerance in degrees; null where nothing is left."""
+
+    at = shapes.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                thin = pa.array([_thin_polygons(p.as_py(), tolerance) for p in part.column(at)], part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([thin if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)
+
+    return shapes.mapInArrow(run, shapes.schema)
+
+
+#: Tolerances that are tried one after the other, each on the outlines that the one before left.
+LADDER = (0.004, 0.008, 0.016)
+
+
+def payload_ladder(alerts: DataFrame, most: int = 600_000, ladder: tuple[float, ...] = LADDER) -> DataFrame:
+    """alerts (response, key, rest: bytes without the outline, of_zones, polys) with the outlines that let each response keep to most bytes.
+
+    As long as a response is larger, the outlines that come from zones get coarser, step by step (one that would
+    vanish stays as it is). If it is still larger then, its largest such outlines are dropped, one by one, until it is not. Adds tolerance (null where
+    nothing was made coarser), bytes of each outline, and dropped. An outline's bytes are those of its coordinates as JSON.
+    """
+    steps = range(len(ladder) + 1)
+
+    at, zoned = alerts.columns.index("polys"), alerts.columns.index("of_zones")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                all_ = []
+                for polys, of_zones in zip(part.column(at).to_pylist(), part.column(zoned).to_pylist()):
+                    forms = [polys]
+                    for tolerance in ladder:
+                        forms.append((_thin_polygons(forms[-1], tolerance) if of_zones and forms[-1] is not None else None) or forms[-1])
+                    all_.append(forms)
+                kept = [c for k, c in enumerate(part.columns) if k != at]
+                names = [n for k, n in enumerate(part.schema.names) if k != at]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(all_, pa.list_(part.schema.field(at).type))], names=[*names, "forms"])
+
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema if f.name != "polys")
+    x = alerts.mapInArrow(run, f"{rest}, forms array<{_POLYS}>")
+    text = lambda p: F.to_json(F.transform(p, lambda poly: F.transform(poly, lambda ring: F.transform(ring, lambda c: F.array(c["lon"], c["lat"])))))
+    x = x.withColumn("sizes", F.transform("forms", lambda p: F.coalesce(F.octet_length(text(p)), F.lit(0)).cast("long")))
+    total = x.groupBy("response").agg(F.sum("rest").alias("r"), *[F.sum(F.col("sizes")[k]).alias(f"s{k}") for k in steps])
+    first = F.coalesce(*[F.when(F.col("r") + F.col(f"s{k}") <= most, F.lit(k)) for k in steps], F.lit(len(ladder)))
+    total = total.select("response", first.alias("step"), (F.col("r") + F.get(F.array(*[F.col(f"s{k}") for k in steps]), first)).alias("total"))
+    x = x.join(total, "response").withColumn("polys", F.get("forms", F.col("step"))).withColumn("bytes", F.get("sizes", F.col("step")))
+    drops = F.col("of_zones") & F.col("polys").isNotNull()
+    # Largest first; one goes as long as what is left before it is still too much.
+    w = Window.partitionBy("response").orderBy(F.col("bytes").desc(), "key").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum(F.when(drops, F.col("bytes")).otherwise(0)).over(w), F.lit(0))
+    x = x.withColumn("dropped", drops & (F.col("total") - gone > most))
+    tolerance = F.get(F.array(F.lit(None).cast("double"), *map(F.lit, ladder)), F.col("step"))
+    kept = [c for c in alerts.columns if c != "polys"]
+    return x.select(*kept, F.when(~F.col("dropped"), F.col("polys")).alias("polys"), tolerance.alias("tolerance"), "bytes", "dropped")
 
 
 def ring_area(ring: Column) -> Column:

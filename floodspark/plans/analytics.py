@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from floodspark.operators import analytics as op
+from floodspark.operators.kept import shared_folder
 from floodspark.plans import query
 from floodspark.sources import adapt as A
+from floodspark.sources import tracks as tr
 from floodspark.sources.adapt import VISITS
 
 _SALT = "day-salt"
@@ -71,6 +75,35 @@ def last_days(spark, sf_dir):
     return op.day_aggregate(_clean(spark, sf_dir)).orderBy(F.col("day").desc()).limit(7)
 
 
+@query(f"""WITH {VISITS}, {_HASHED}, {_CLEAN}, t AS (SELECT 'gauge_opens' AS kind, gauge_id AS key, count(*) AS n FROM clean WHERE gauge_id IS NOT NULL GROUP BY 2 UNION ALL SELECT 'referrers', referrer, count(*) FROM clean GROUP BY 2)
+  SELECT kind, key, n FROM t""")
+def analytics_maps(spark, sf_dir):
+    """Maps of opens and referrers, of stored days and of days that are counted live, merged and spread again."""
+    c = _clean(spark, sf_dir)
+    each = lambda kind, key: c.filter(F.col(key).isNotNull()).groupBy(F.date_format("at", "yyyy-MM-dd").alias("day"), F.lit(kind).alias("kind"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    days = tr.days_of(each("gauge", "gauge_id").unionByName(each("referrer", "referrer")))
+    both = op.rollup_merge(days.withColumn("pageviews", F.lit(0).cast("long")), days.filter("day >= '2024-01-20'"))
+    total = tr.totals(both)
+    return total.select(F.lit("gauge_opens").alias("kind"), F.explode("gauge_opens").alias("key", "n")).unionByName(total.select(F.lit("referrers").alias("kind"), F.explode("referrers").alias("key", "n")))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'view') AS pageviews, count(DISTINCT user_id) AS visitors, (SELECT count(*) FROM events e WHERE e.event_type = 'click' AND strftime(e.ts, '%Y-%m-%d') = strftime(o.ts, '%Y-%m-%d')) AS opens FROM events o GROUP BY ALL")
+def track_compaction(spark, sf_dir):
+    """Raw files of all days, written as the site writes them; those before the last days are compacted and deleted, then all days are read."""
+    e = A.table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    kind = F.when(F.col("event_type") == "view", "pageview").when(F.col("event_type") == "click", "gauge_open").otherwise(F.col("event_type"))
+    item = F.struct(kind.alias("type"), F.concat(F.lit("G"), F.col("user_id").cast("string")).alias("gaugeId"), F.col("user_id").cast("string").alias("visitor"))
+    # A file holds one event, or here one line: what a task writes of a day.
+    bodies = e.groupBy("day", F.floor(F.col("event_id") / 1000)).agg(F.to_json(F.collect_list(item)).alias("value")).select("day", "value")
+    to = f"{shared_folder(spark)}/tracks-{uuid.uuid4().hex}"
+    bodies.repartition("day").write.partitionBy("day").option("maxRecordsPerFile", 1).text(f"{to}/landed")
+    raw, store = f"{to}/raw", f"{to}/store"
+    tr.move_days(spark, f"{to}/landed", raw)
+    tr.compact(spark, raw, store, "2024-01-20")
+    d = tr.day_rows(spark, raw, store)
+    return d.select("day", "pageviews", "visitors", F.aggregate(F.map_values("gauge_opens"), F.lit(0).cast("long"), lambda s, n: s + n).alias("opens"))
+
+
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages")
 def referrer_host(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", op.referrer_host(F.col("url")).alias("host"))

@@ -80,13 +80,14 @@ def _list(body: Column, kind: str, key: str | None = None) -> Column:
     return F.when(F.ltrim(body).startswith("["), plain).otherwise(held)
 
 
-#: An ISO date and time with seconds (fractions too) and an offset.
+#: An ISO date and time, seconds and fractions if given, and an offset.
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 
 
 def time_of(text: Column) -> Column:
     """An ISO time with its offset, as UTC without zone; null before 1970 and for what is no time, or one of another form."""
-    t = F.when(text.rlike(_ISO), F.try_to_timestamp(text))
+    whole = F.regexp_replace(text, r"(T\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    t = F.when(text.rlike(_ISO), F.try_to_timestamp(whole))
     return F.when(F.unix_millis(t) > 0, F.to_timestamp_ntz(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSS")))
 
 
@@ -183,12 +184,12 @@ def overrides(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.from_json("body", "struct<byName:map<string,string>>")["byName"]).alias("name", "gauge"))
 
 
-def track_events(files: DataFrame) -> DataFrame:
-    """Events of files that hold one event or an array of them, with their day from the path."""
+def track_events(files: DataFrame, *more: str) -> DataFrame:
+    """Events of files that hold one event or an array of them, with their day from the path, and more columns of their file."""
     one = F.array(F.from_json("body", TRACK))
     many = F.from_json("body", f"array<{TRACK}>")
     day = F.regexp_extract("path", r"/(\d{4}-\d{2}-\d{2})/", 1)
-    return files.select(day.alias("day"), F.explode(F.when(F.ltrim("body").startswith("["), many).otherwise(one)).alias("e")).select("day", "e.*")
+    return files.select(day.alias("day"), *more, F.explode(F.when(F.ltrim("body").startswith("["), many).otherwise(one)).alias("e")).select("day", *more, "e.*")
 
 
 def waterways(files: DataFrame) -> DataFrame:

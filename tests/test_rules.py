@@ -146,19 +146,66 @@ def test_nearest_staged_owner_under_a_gauge(spark):
     assert {(r.id, r.owner) for r in rivers.staged_neighbor(gauges, staged, parts).collect()} == {(10, 5)}
 
 
-def test_simplified_rings_stay_close(spark):
-    rng = random.Random(8)
-    ring = [(math.cos(a / 50) + rng.random() * 0.004, math.sin(a / 50) + rng.random() * 0.004) for a in range(314)]
-    ring.append(ring[0])
-    df = spark.createDataFrame([(1, ring), (2, [(0.0, 0.0), (0.001, 0.0), (0.0, 0.001), (0.0, 0.0)])], "id long, ring array<struct<lon:double,lat:double>>")
-    got = {r.id: [tuple(p) for p in r.ring] for r in rivers.simplify(df, 0.02).collect()}
-    thin = got[1]
-    assert 8 < len(thin) < 60 and thin[0] == thin[-1]
-
-    def off(p, a, b):
-        d = (b[0] - a[0], b[1] - a[1])
-        n = d[0] ** 2 + d[1] ** 2
-        t = min(1, max(0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / n)) if n else 0
-        return math.dist(p, (a[0] + t * d[0], a[1] + t * d[1]))
-
-    assert max(min(off(p, a, b) for a, b in zip(thin, thin[1:])) for p in ring) <= 0.0202
+def _off(p, a, b):
+    d = (b[0] - a[0], b[1] - a[1])
+    n = d[0] ** 2 + d[1] ** 2
+    t = min(1, max(0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / n)) if n else 0
+    return math.dist(p, (a[0] + t * d[0], a[1] + t * d[1]))
+
+
+def _circle(x, y, r, n, noise=0.0, seed=8):
+    rng = random.Random(seed)
+    ring = [(x + r * math.cos(2 * math.pi * i / n) + rng.random() * noise, y + r * math.sin(2 * math.pi * i / n) + rng.random() * noise) for i in range(n)]
+    return [*ring, ring[0]]
+
+
+_SHAPES = "key long, polys array<array<array<struct<lon:double,lat:double>>>>"
+
+
+def test_simplified_shapes_stay_close_and_keep_their_area(spark):
+    area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))) / 2
+    whole, hole = _circle(0, 0, 1, 314, 0.004), _circle(0.1, 0.1, 0.4, 200, 0.002)
+    dot, thin = _circle(0.5, 0.5, 0.001, 30), [(0.0, 0.0), (1.0, 0.00001), (2.0, 0.0), (0.0, 0.0)]
+    shapes = [(1, [[whole, hole, dot]]), (2, [[_circle(5, 5, 0.5, 90)], [dot], [_circle(9, 9, 0.3, 50), thin]]), (3, [[dot, hole]]), (4, [[thin]]), (5, None), (6, []), (7, [[[(0.0, 0.0), (0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.1, 0.1), (0.0, 0.0)]]])]
+    got = {r.key: r.polys and [[[tuple(c) for c in ring] for ring in p] for p in r.polys] for r in rivers.simplify(spark.createDataFrame(shapes, _SHAPES), 0.02).collect()}
+    assert {k: v and [len(p) for p in v] for k, v in got.items()} == {1: [2], 2: [1, 1], 3: None, 4: None, 5: None, 6: None, 7: [1]}
+    assert got[7] == [[[(0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.0)]]]
+    for ring, out in ((whole, got[1][0][0]), (hole, got[1][0][1]), (_circle(5, 5, 0.5, 90), got[2][0][0])):
+        assert out[0] == out[-1] and len(out) < len(ring) / 4
+        assert all(any(math.dist(p, q) < 1e-4 for q in ring) for p in out)
+        assert max(min(_off(p, a, b) for a, b in zip(out, out[1:])) for p in ring) <= 0.0202
+        assert abs(area(out) - area(ring)) < 0.05 * area(ring)
+
+
+def test_payload_ladder(spark):
+    rows = [(r, k, 100, k % 3 != 0, [[_circle(k, 0, 0.2 + 0.05 * k, 400, 0.003, k)]]) for r in (1, 2, 3, 4) for k in range(6)] + [(1, 9, 100, True, None)]
+    schema = "response long, key long, rest long, of_zones boolean, polys array<array<array<struct<lon:double,lat:double>>>>"
+    df = spark.createDataFrame([r for r in rows if r[0] == 1], schema)
+    sizes = {r.key: r.bytes for r in rivers.payload_ladder(df, 10**9).collect()}
+    full = sum(sizes.values()) + 700
+    assert all(r.tolerance is None and not r.dropped for r in rivers.payload_ladder(df, full).collect())
+    once = rivers.payload_ladder(df, full - 1).collect()
+    assert {r.tolerance for r in once} == {0.004} and not any(r.dropped for r in once)
+    assert all((r.bytes < sizes[r.key]) == (r.of_zones and r.polys is not None) for r in once)
+    coarse = {r.key: r for r in rivers.payload_ladder(df, 1).collect()}
+    assert {r.tolerance for r in coarse.values()} == {0.016} and {k for k, r in coarse.items() if r.dropped} == {1, 2, 4, 5}
+    assert all((r.polys is None) == (r.dropped or k == 9) for k, r in coarse.items())
+    least = sum(r.bytes for r in coarse.values()) + 700
+    largest = max((r for r in coarse.values() if r.of_zones), key=lambda r: r.bytes)
+    some = rivers.payload_ladder(df, least - 1).collect()
+    assert [r.key for r in some if r.dropped] == [largest.key]
+    assert rivers.payload_ladder(spark.createDataFrame(rows, schema), 10**9).count() == len(rows)
+
+
+def test_plain_letters_of_all_scripts(spark):
+    import unicodedata
+
+    letters = [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+
+    def plain(x):
+        x = "".join(c for c in unicodedata.normalize("NFD", x) if not 0x300 <= ord(c) <= 0x36F).lower()
+        return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else "" if c in "'’ʼ`" else " " for c in x).split())
+
+    df = spark.createDataFrame([(i, f"a{c}b") for i, c in enumerate(letters)], "i int, x string")
+    got = {r.i: r.y for r in df.select("i", search.normalize_text(F.col("x")).alias("y")).collect()}
+    assert [(hex(ord(c)), got[i], plain(f"a{c}b")) for i, c in enumerate(letters) if got[i] != plain(f"a{c}b")] == []
