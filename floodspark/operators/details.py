@@ -25,12 +25,13 @@ def impacts_topn(impacts: DataFrame, most: int = 20) -> DataFrame:
 OBSERVED_HOURS, OBSERVED_POINTS, FORECAST_POINTS = 48, 96, 120
 
 
-def detail_assembly(meta: DataFrame, observed: DataFrame, forecast: DataFrame, impacts: DataFrame, crests: DataFrame, now: Column) -> DataFrame:
+def detail_assembly(meta: DataFrame, observed: DataFrame, forecast: DataFrame, impacts: DataFrame, crests: DataFrame, now: Column, answers: DataFrame | None = None) -> DataFrame:
     """One row for each gauge of meta (id, name, unit): what a detail page shows.
 
     observed and forecast (gauge_id, pos, t, v, unit; forecast with issued_at) are cleaned, of the last 48 hours and of all
     points, thinned to 96 and 120; trend and newest time are of all observed points. impacts (gauge_id, stage, statement)
-    and crests are those of impacts_topn() and crests_topn(). ok: there is any source.
+    and crests are those of impacts_topn() and crests_topn(). answers (gauge_id, record, observed, forecast) says which requests were
+    answered, with rows or without; where it is not given, a source with rows counts as answered. ok: any source was.
     """
     seen, told = (T.series_dedupe(x.filter(S.valid_stage(F.col("v")) & F.col("t").isNotNull())).withColumn("pos", F.unix_micros(F.col("t").cast("timestamp"))) for x in (observed, forecast))
     recent = seen.filter(F.col("t") >= now - F.make_interval(hours=F.lit(OBSERVED_HOURS)))
@@ -55,13 +56,17 @@ def detail_assembly(meta: DataFrame, observed: DataFrame, forecast: DataFrame, i
         out = out.join(part, "gauge_id", "left")
     has = lambda c: F.coalesce(c, F.lit(False))
     record = F.col("own_unit").isNotNull() | F.col("impacts").isNotNull() | F.col("crests").isNotNull()
+    answered = {"record": record, "observed": has(F.col("has_observed")), "forecast": has(F.col("has_forecast"))}
+    if answers is not None:
+        out = out.join(answers.select("gauge_id", *[F.col(c).alias(f"__{c}") for c in answered]), "gauge_id", "left")
+        answered = {c: has(F.col(f"__{c}")) for c in answered}
     return out.select(
         "gauge_id",
         "name",
         F.coalesce("own_unit", "observed_unit", "forecast_unit").alias("unit"),
-        F.struct(record.alias("record"), has(F.col("has_observed")).alias("observed"), has(F.col("has_forecast")).alias("forecast")).alias("sources"),
+        F.struct(*[answered[c].alias(c) for c in ("record", "observed", "forecast")]).alias("sources"),
         "impacts", "crests", "observed", "observed_at", "forecast", "issued_at", "rate", "direction",
-        (record | has(F.col("has_observed")) | has(F.col("has_forecast"))).alias("ok"),
+        (answered["record"] | answered["observed"] | answered["forecast"]).alias("ok"),
     )
 
 

@@ -437,7 +437,7 @@ def simplify(shapes: DataFrame, tolerance: float = 0.002, column: str = "polys")
                 thin = pa.array([_thin_polygons(p.as_py(), tolerance) for p in part.column(at)], part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([thin if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)
 
-    return shapes.mapInArrow(run, shapes.schema)
+    return shapes.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shapes.schema))  # as text, so that all may be null
 
 
 #: Tolerances that are tried one after the other, each on the outlines that the one before left.

@@ -105,17 +105,25 @@ def trend(readings: DataFrame, now: Column, hours: int = 3, old_minutes: int = 9
     return fit.select("gauge_id", rate.alias("rate"), direction.alias("direction"))
 
 
-def trend_replay(readings: DataFrame, hours: int = 3) -> DataFrame:
-    """trend() as it was at every reading: gauge_id, pos, t, v, rate, direction."""
+def trend_replay(readings: DataFrame, hours: int = 3, chunk_days: int = 30) -> DataFrame:
+    """trend() as it was at every reading: gauge_id, pos, t, v, rate, direction.
+
+    Windows are as long as chunk_days, however long a gauge's history is: readings of the last hours of a chunk stand before the
+    next one's too, where they only count in its slopes.
+    """
     origin = F.lit("2024-01-01").cast("timestamp_ntz")
     valid = readings.filter(S.valid_stage(F.col("v"))).withColumn("s", F.unix_seconds(F.col("t").cast("timestamp")))
-    w = Window.partitionBy("gauge_id").orderBy("s").rangeBetween(-hours * 3600, 0)
+    length = max(chunk_days * 86_400, 2 * hours * 3600)
+    own = F.floor(F.col("s") / length)
+    next_ = F.when((own + 1) * length - F.col("s") <= hours * 3600, own + 1)
+    valid = valid.withColumn("own", own).withColumn("chunk", F.explode(F.array_compact(F.array(own, next_))))
+    w = Window.partitionBy("gauge_id", "chunk").orderBy("s").rangeBetween(-hours * 3600, 0)
     h = (F.col("s") - F.unix_seconds(origin.cast("timestamp"))) / 3600.0
     x = valid.withColumn("h", h).select(
-        "gauge_id", "pos", "t", "v", F.regr_slope("v", "h").over(w).alias("slope"), F.count("*").over(w).alias("n"), (F.col("s") - F.min("s").over(w)).alias("span")
+        "gauge_id", "pos", "t", "v", (F.col("own") == F.col("chunk")).alias("mine"), F.regr_slope("v", "h").over(w).alias("slope"), F.count("*").over(w).alias("n"), (F.col("s") - F.min("s").over(w)).alias("span")
     )
     rate, direction = _direction(F.col("slope"), F.col("n"), F.col("span"))
-    return x.select("gauge_id", "pos", "t", "v", rate.alias("rate"), direction.alias("direction"))
+    return x.filter("mine").select("gauge_id", "pos", "t", "v", rate.alias("rate"), direction.alias("direction"))
 
 
 def rise_onsets(replay: DataFrame, least_rate: float = 1.0) -> DataFrame:
@@ -154,8 +162,8 @@ def peak_records(peaks: DataFrame, most: int = 8) -> DataFrame:
 
 
 def crests_topn(crests: DataFrame, most: int = 5) -> DataFrame:
-    """crests (gauge_id, pos, date, t, stage, old_datum): the most recent and the highest of each gauge, with kind and place."""
-    ok = crests.filter(~F.col("old_datum") & S.valid_stage(F.col("stage")))
+    """crests (gauge_id, pos, date, t, stage, old_datum): the most recent and the highest of each gauge since 1800, with kind and place."""
+    ok = crests.filter(~F.col("old_datum") & S.valid_stage(F.col("stage")) & (F.col("t") > F.lit("1800-01-01").cast("timestamp_ntz")))
     once = ok.groupBy("gauge_id", "date", "stage").agg(F.min_by("t", "pos").alias("t"), F.min("pos").alias("pos"))
     recent = Window.partitionBy("gauge_id").orderBy(F.col("t").desc(), "pos")
     high = Window.partitionBy("gauge_id").orderBy(F.col("stage").desc(), F.col("t").desc(), "pos")

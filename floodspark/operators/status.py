@@ -93,12 +93,19 @@ def usable_snapshots(rows: DataFrame) -> DataFrame:
 
 
 def last_good_read(reads: DataFrame, hours: int = 6) -> DataFrame:
-    """reads (feed, t, ok, n): for each failed read the newest good one before it, unless older than hours; stale and error tell."""
+    """reads (feed, pos, t, ok, n): for each failed read the newest good one before it, unless older than hours; stale and error tell.
+
+    A copy that is not too old lies in the same stretch of so many hours or in the one before, so windows are as long as a
+    stretch, and each stretch hands its last good read on to the next.
+    """
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("feed").orderBy("t", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    good = F.last(F.when(F.col("ok"), F.struct("t", "n")), ignorenulls=True).over(w)
-    x = reads.withColumn("g", good)
+    stretch = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / (hours * 3600))
+    x = reads.withColumn("__s", stretch)
+    w = Window.partitionBy("feed", "__s").orderBy("t", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last(F.when(F.col("ok"), F.struct("t", "n")), ignorenulls=True).over(w)
+    ends = x.filter("ok").groupBy("feed", (F.col("__s") + 1).alias("__s")).agg(F.max_by(F.struct("t", "n"), F.struct("t", "pos")).alias("before"))
+    x = x.withColumn("here", here).join(ends, ["feed", "__s"], "left").withColumn("g", F.coalesce("here", "before"))
     age = F.unix_seconds(F.col("t").cast("timestamp")) - F.unix_seconds(F.col("g.t").cast("timestamp"))
     usable = F.coalesce(age < hours * 3600, F.lit(False))
     return x.select(

@@ -25,18 +25,20 @@ def impacts_topn(spark, sf_dir):
 @query(f"""WITH {GAUGES}, {READINGS}, {FORECASTS}, s AS (SELECT gauge_id, t, arg_max(v, pos) AS v FROM readings WHERE v > -100 GROUP BY 1, 2), fs AS (SELECT gauge_id, t, arg_max(v, pos) AS v FROM forecasts WHERE v > -100 GROUP BY 1, 2),
   o AS (SELECT gauge_id, count(*) AS n, round(sum(v), 4) AS total FROM s WHERE t >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR GROUP BY 1), l AS (SELECT gauge_id, max(t) AS observed_at FROM s GROUP BY 1), f AS (SELECT gauge_id, count(*) AS n, round(sum(v), 4) AS total FROM fs GROUP BY 1),
   i AS (SELECT gauge_id, least(count(*), 20) AS n, max(v) AS top FROM readings WHERE v > -100 GROUP BY 1), c AS (SELECT gauge_id, count(*) AS n FROM ({ORACLES['crests_topn']}) GROUP BY 1)
-  SELECT id AS gauge_id, unit, coalesce(o.n, 0)::INTEGER AS seen, o.total AS seen_total, observed_at, coalesce(f.n, 0)::INTEGER AS told, f.total AS told_total, CASE WHEN id IN (SELECT gauge_id FROM forecasts) THEN TIMESTAMP '2024-01-19' END AS issued_at, coalesce(i.n, 0)::INTEGER AS impacts, i.top AS highest, coalesce(c.n, 0)::INTEGER AS crests, true AS ok
+  SELECT id AS gauge_id, unit, coalesce(o.n, 0)::INTEGER AS seen, o.total AS seen_total, observed_at, coalesce(f.n, 0)::INTEGER AS told, f.total AS told_total, CASE WHEN id IN (SELECT gauge_id FROM forecasts) THEN TIMESTAMP '2024-01-19' END AS issued_at, coalesce(i.n, 0)::INTEGER AS impacts, i.top AS highest, coalesce(c.n, 0)::INTEGER AS crests, id % 11 <> 0 AS ok, id % 11 <> 0 AS record, id % 3 = 0 AND id % 11 <> 0 AS observed_answered
   FROM gauges LEFT JOIN o ON o.gauge_id = id LEFT JOIN l ON l.gauge_id = id LEFT JOIN f ON f.gauge_id = id LEFT JOIN i ON i.gauge_id = id LEFT JOIN c ON c.gauge_id = id""")
 def detail_assembly(spark, sf_dir):
     unit = F.lit("ft").alias("unit")
     seen, told = A.readings(spark, sf_dir).select("*", unit), A.forecasts(spark, sf_dir).select("*", unit, F.lit("2024-01-19").cast("timestamp_ntz").alias("issued_at"))
-    x = op.detail_assembly(A.gauges(spark, sf_dir), seen, told, impacts_topn(spark, sf_dir), crests_topn(spark, sf_dir), A.now())
+    g = F.col("id")
+    answers = A.gauges(spark, sf_dir).select(g.alias("gauge_id"), (g % 11 != 0).alias("record"), ((g % 3 == 0) & (g % 11 != 0)).alias("observed"), F.lit(False).alias("forecast"))
+    x = op.detail_assembly(A.gauges(spark, sf_dir), seen, told, impacts_topn(spark, sf_dir), crests_topn(spark, sf_dir), A.now(), answers)
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, p: s + p["v"]), 4)
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(n(c))
     return x.select(
         "gauge_id", "unit", size("observed").alias("seen"), total("observed").alias("seen_total"), "observed_at", size("forecast").alias("told"), total("forecast").alias("told_total"),
-        "issued_at", size("impacts").alias("impacts"), F.get("impacts", F.lit(0))["stage"].alias("highest"), size("crests").alias("crests"), "ok",
+        "issued_at", size("impacts").alias("impacts"), F.get("impacts", F.lit(0))["stage"].alias("highest"), size("crests").alias("crests"), "ok", F.col("sources.record").alias("record"), F.col("sources.observed").alias("observed_answered"),
     )
 
 

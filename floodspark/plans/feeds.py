@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from floodspark.operators import alerts as al
+from floodspark.operators.kept import shared_folder
 from floodspark.plans import ORACLES, query
 from floodspark.sources import adapt as A
 from floodspark.sources import feeds
@@ -213,3 +216,14 @@ def src_waterways(spark, sf_dir):
     files = A.table(spark, sf_dir, "part").groupBy(F.floor(p / _BODY)).agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("body"))
     x = feeds.waterways(files)
     return x.select(F.col("properties.nhdId").cast("long").alias("feature"), "kind", F.col("properties.name").alias("name"), F.size("coords").alias("points"))
+
+
+@query("SELECT lpad(p_partkey::VARCHAR, 7, '0') AS id, p_name AS name, round(25.8 + p_partkey * 3571 % 10800 / 1000.0, 3)::DOUBLE AS lat, CASE WHEN p_partkey % 9 <> 0 THEN round(-106.6 + p_partkey * 7879 % 13100 / 1000.0, 3)::DOUBLE END AS lon FROM part")
+def src_gazetteer(spark, sf_dir):
+    """A padded table of places, written as the census writes it and read again."""
+    p = F.col("p_partkey")
+    lat, lon = 25.8 + (p * 3571 % 10800) / 1000.0, -106.6 + (p * 7879 % 13100) / 1000.0
+    line = F.concat(F.lpad(p.cast("string"), 7, "0"), F.lit("|"), "p_name", F.lit("  |"), F.format_string("%+.3f", lat), F.lit("|"), F.when(p % 9 == 0, "none").otherwise(F.format_string("%+.3f", lon)), F.lit("   "))
+    to = f"{shared_folder(spark)}/gazetteer-{uuid.uuid4().hex}"
+    A.table(spark, sf_dir, "part").select(line.alias("GEOID|NAME|INTPTLAT|INTPTLONG      ")).write.option("header", True).option("quote", "").option("ignoreTrailingWhiteSpace", False).option("sep", "\t").csv(to)
+    return feeds.gazetteer(spark, to)

@@ -24,8 +24,14 @@ def write_places(places: DataFrame, path: str, least: int = 1500) -> None:
 
 
 def segments_geojson(pieces: DataFrame) -> DataFrame:
-    """pieces (feature_id, owner, coords) as GeoJSON features, one text each."""
-    line = F.transform("coords", lambda p: F.array(p["lon"], p["lat"]))
-    geometry = F.struct(F.lit("LineString").alias("type"), line.alias("coordinates"))
-    properties = F.struct(F.col("owner").alias("gaugeId"), F.col("feature_id").alias("featureId"))
-    return pieces.select(F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("feature"))
+    """pieces (feature_id, owner, coords) as GeoJSON features, one text each: a line, or several where coords holds lines, of which one alone is a plain line."""
+    point = lambda p: F.array(p["lon"], p["lat"])
+    one = lambda line: F.to_json(F.transform(line, point))
+    kind, coordinates = F.lit("LineString"), one(F.col("coords"))
+    if pieces.schema["coords"].dataType.elementType.typeName() == "array":
+        several = F.size("coords") > 1
+        kind = F.when(several, "MultiLineString").otherwise(kind)
+        coordinates = F.when(several, F.to_json(F.transform("coords", lambda line: F.transform(line, point)))).otherwise(one(F.col("coords")[0]))
+    properties = F.to_json(F.struct(F.col("owner").alias("gaugeId"), F.col("feature_id").alias("featureId")))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}}"))
+    return pieces.select(feature.alias("feature"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from floodspark.functions import alerts as A
 from floodspark.functions import geo as G
 from floodspark.functions import status as S
-from floodspark.operators import alerts, details, nearby, rivers, search, series
+from floodspark.operators import alerts, details, nearby, rivers, search, series, status
 from floodspark.sources import feeds, sinks
 
 NOW = "2024-07-05 12:00:00"
@@ -138,6 +138,36 @@ def test_photo_addresses(spark):
     assert [r.x for r in df.select(details.valid_image_url(F.col("u")).alias("x")).collect()] == [True] + [False] * 6
 
 
+def test_chunks_of_time_change_nothing(spark):
+    rng = random.Random(12)
+    rows = [(g, i, 1_704_067_200 + i * 900 + rng.randrange(60), round(rng.random() * 9, 2)) for g in (1, 2) for i in range(900) if rng.random() < 0.8]
+    x = spark.createDataFrame(rows, "gauge_id long, pos long, s long, v double").select("gauge_id", "pos", F.timestamp_seconds("s").cast("timestamp_ntz").alias("t"), "v")
+    replay = lambda days: sorted(map(repr, series.trend_replay(x, chunk_days=days).collect()))
+    assert replay(1) == replay(10_000) and len(replay(1)) == len(rows)
+
+
+def test_last_good_reads_one_by_one(spark):
+    rng = random.Random(13)
+    t, rows = 1_704_067_200, []
+    for i in range(300):
+        t += rng.choice([60, 600, 7200, 30_000])
+        rows.append((rng.choice(["a", "b"]), i, t, rng.random() < 0.3, i))
+    x = spark.createDataFrame(rows, "feed string, pos long, s long, ok boolean, n long").withColumn("t", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    want, good = {}, {}
+    for f, i, s, ok, n in rows:
+        if ok:
+            good[f] = (s, n)
+        usable = f in good and s - good[f][0] < 6 * 3600
+        want[i] = (good[f][1] if usable else None, usable and not ok, not usable)
+    assert {r.pos: (r.n, r.stale, r.error) for r in status.last_good_read(x.drop("s")).collect()} == want
+
+
+def test_segments_as_geojson(spark):
+    pieces = spark.createDataFrame([(7, 5, [[(1.0, 2.0), (3.0, 4.0)]]), (8, 5, [[(1.0, 2.0), (3.0, 4.0)], [(5.0, 6.0), (7.0, 8.0)]])], "feature_id long, owner long, coords array<array<struct<lon:double,lat:double>>>")
+    got = [r.feature for r in sinks.segments_geojson(pieces).collect()]
+    assert '"LineString","coordinates":[[1.0,2.0],[3.0,4.0]]' in got[0] and '"MultiLineString","coordinates":[[[1.0,2.0],[3.0,4.0]],[[5.0,6.0],[7.0,8.0]]]' in got[1]
+
+
 def test_nearest_staged_owner_under_a_gauge(spark):
     line = [(-100.0 + i * 0.01, 30.0) for i in range(5)]
     parts = spark.createDataFrame([(1, 1, "R", 5, line), (2, 1, "R", 6, [(-99.96, 30.0), (-99.9, 30.0)])], "part_id long, feature_id long, name string, owner long, coords array<struct<lon:double,lat:double>>")
