@@ -24,16 +24,25 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(text).alias("text"),
     )
-    log = rows.unionByName(more).select(
-        "conv_id",
-        "turn",
-        F.monotonically_increasing_id().alias("message"),
-        F.lit(0).alias("seq"),
-        F.lit("message").alias("kind"),
-        "role",
-        "text",
-    )
-    return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
+    return chat.digests(chat.read_back(chat.render(chat.fold_events(_as_log(rows.unionByName(more))))))
+
+
+def _as_log(messages: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, text) as the events that a chat's log has of them: a draft first; then, by turns, its text in three
+    streamed pieces after a regeneration, or an edit, or a second message; one event of each comes twice."""
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    third = F.floor(n / 3).cast("int")
+    event = lambda seq, kind, role, x: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), x.alias("text"))
+    none = F.lit(None).cast("string")
+    draft = event(0, "message", F.col("role"), F.reverse(text))
+    pieces = [F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, 2 * third + 1, n)]
+    streamed = F.array(draft, event(1, "regenerate", none, none), *[event(2 + i, "delta", none, p) for i, p in enumerate(pieces)], event(2, "delta", none, pieces[0]))
+    edited = F.array(draft, event(1, "delta", none, F.lit(" and more")), event(2, "edit", none, F.col("text")), event(2, "edit", none, F.col("text")))
+    again = F.array(draft, draft, event(1, "message", none, F.col("text")))
+    way = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))
+    events = F.when(way == 0, streamed).when(way == 1, edited).otherwise(again)
+    x = messages.withColumn("message", F.monotonically_increasing_id()).select("conv_id", "turn", "message", F.explode(events).alias("e"))
+    return x.select("conv_id", "turn", "message", "e.*")
 
 
 def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
