@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -258,73 +258,83 @@ _MESSAGE = ("id", "event", "level", "ends", "expires", "ugc", "area_desc", "shap
 
 
 class _Events(StatefulProcessor):
-    """An event's messages by id, the time of its last cancellation, and what was last said of it: (version, text)."""
+    """An event's messages by id, and in one value all that is known of it besides.
+
+    Each call to the store is a round trip, so that a call of the processor reads either once and writes what has changed, and one
+    timer waits for whatever happens first. Times are milliseconds.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.messages = handle.getMapState("messages", "id long", "message string")
-        self.gone = handle.getValueState("gone", "at long")
-        self.said = handle.getValueState("said", "version int, state string, event string")
+        # Time of the last cancellation, what was last said, and the timer that waits; -1 for no time.
+        self.known = handle.getValueState("known", "gone long, version int, state string, event string, timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        gone = self.gone.get()[0] if self.gone.exists() else -1
-        ms = lambda t: None if pd.isna(t) else int(t.timestamp() * 1000)
-        for frame in rows:
-            for r in frame.to_dict("records"):
-                sent = ms(r["sent"])
-                if r["cancels"] and sent is not None and sent > gone:
-                    gone = sent
-                    self.gone.update((gone,))
-                    self.handle.registerTimer(gone + 1)
-                if r["opens"] and sent is not None:
-                    m = {c: r.get(c) for c in _MESSAGE} | {"sent": sent, "ends": ms(r["ends"]), "expires": ms(r["expires"])}
-                    m["ugc"] = [] if r["ugc"] is None else [str(c) for c in r["ugc"]]
-                    m["effective"] = ms(r["effective"]) if r.get("effective") is not None else None
-                    m = {c: None if isinstance(v, float) and pd.isna(v) else v for c, v in m.items()}
-                    until = _until(m)
-                    if until is None or until > now:
-                        self.messages.updateValue((int(r["id"]),), (json.dumps(m),))
-                        if until is not None:
-                            self.handle.registerTimer(until)
-        yield from self._changed(key, now, gone)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.known.get() if self.known.exists() else None
+        gone = known[0] if known else -1
+        # A key without known state has no messages either.
+        held = self._held() if known else {}
+        before, new = set(held), {}
+        for r in rows:
+            sent = r["sent_ms"]
+            if r["cancels"] and sent is not None:
+                gone = max(gone, sent)
+            if r["opens"] and sent is not None:
+                m = {c: r[c] for c in _MESSAGE} | {"sent": sent, "ends": r["ends"], "expires": r["expires"], "ugc": r["ugc"] or []}
+                until = _until(m)
+                if until is None or until > now:
+                    new[m["id"]] = m
+        yield from self._changed(key, now, gone, held | new, before, new, known)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        gone = self.gone.get()[0] if self.gone.exists() else -1
-        yield from self._changed(key, now, gone)
-        if 0 <= gone < now:  # what a cancellation could still cancel would be late by now
-            self.gone.clear()
+        gone, version, state, event, _ = self.known.get()
+        held = self._held()
+        yield from self._changed(key, now, gone, held, set(held), {}, (gone, version, state, event, -1))
+
+    def _held(self) -> dict:
+        return {id_: json.loads(text) for (id_,), (text,) in self.messages.iterator()}
 
-    def _changed(self, key, now: int, gone: int) -> Iterator[pd.DataFrame]:
+    def _changed(self, key, now: int, gone: int, held: dict, before: set, new: dict, known: tuple | None) -> Iterator[Row]:
+        _, version, state, event, timer = known or (-1, 0, "", "", -1)
         live, dead = [], []
-        for (id_,), (text,) in self.messages.iterator():
-            m = json.loads(text)
+        for m in held.values():
             until = _until(m)
             (live if m["sent"] > gone and (until is None or until > now) else dead).append(m)
         for m in dead:
-            self.messages.removeKey((m["id"],))
-        version, state, event = self.said.get() if self.said.exists() else (0, "", "")
-        if live:
-            new, merged = "open", _merged(live)
-        elif state == "open":
-            new, merged = ("cancelled" if any(m["sent"] <= gone for m in dead) else "over"), json.loads(event)
-        else:
-            return
-        text = json.dumps(merged)
-        if (new, text) != (state, event):
-            self.said.update((version + 1, new, text))
-            row = {"key": key[0], "version": version + 1, "state": new} | merged
-            out = pd.DataFrame([row])
-            for c in ("sent", "ends", "expires", "effective"):
-                out[c] = pd.to_datetime(out[c], unit="ms", utc=True)
-            yield out[EVENT_COLUMNS]
-
-
-EVENT = "key string, version int, state string, id long, event string, level string, sent timestamp, ends timestamp, expires timestamp, n long, ugc array<string>, area_desc string, shape string, " + ", ".join(
-    f"{c} {'timestamp' if c == 'effective' else 'string'}" for c in TEXTS
+            if m["id"] in before:
+                self.messages.removeKey((m["id"],))
+        for m in live:
+            if m["id"] in new:
+                self.messages.updateValue((m["id"],), (json.dumps(m),))
+        row = None
+        if live or state == "open":
+            said = "open" if live else "cancelled" if any(m["sent"] <= gone for m in dead) else "over"
+            merged = _merged(live) if live else json.loads(event)
+            text = json.dumps(merged)
+            if (said, text) != (state, event):
+                version, state, event = version + 1, said, text
+                row = Row(**{"key": key[0], "version": version, "state": state} | merged)
+        if 0 <= gone < now:  # what a cancellation could still cancel would be late by now
+            gone = -1
+        wait = min([t for t in map(_until, live) if t is not None] + ([gone + 1] if gone >= 0 else []), default=-1)
+        # A timer that comes too early finds nothing to say and waits on.
+        if wait >= 0 and (timer < 0 or wait < timer):
+            self.handle.registerTimer(wait)
+            timer = wait
+        if (gone, version, state, event, timer) != known:
+            self.known.update((gone, version, state, event, timer))
+        if row:
+            yield row
+
+
+#: An event's columns; the times among them are milliseconds until they leave the stream.
+EVENT = "key string, version int, state string, id long, event string, level string, sent long, ends long, expires long, n long, ugc array<string>, area_desc string, shape string, " + ", ".join(
+    f"{c} {'long' if c == 'effective' else 'string'}" for c in TEXTS
 )
-EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
+_TIMES = ("sent", "ends", "expires", "effective")
 
 
 def _until(m: dict) -> int | None:
@@ -353,12 +363,16 @@ def alert_events(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
     """
     keyed_state(stream.sparkSession)
     spare = [F.lit(None).cast("timestamp" if c == "effective" else "string").alias(c) for c in (*TEXTS, "shape") if c not in stream.columns]
-    return (
-        stream.select("*", *spare)
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp")).alias("sent_ms" if c == "sent" else c)
+    x = stream.select("*", *spare)
+    plain = [c for c in ("key", *_MESSAGE, "opens", "cancels") if c not in _TIMES]
+    events = (
+        x.select(*plain, "sent", *map(ms, _TIMES))
         .withWatermark("sent", late)
         .groupBy("key")
-        .transformWithStateInPandas(_Events(), EVENT, "append", "EventTime")
+        .transformWithState(_Events(), EVENT, "append", "EventTime")
     )
+    return events.withColumns({c: F.timestamp_millis(c) for c in _TIMES})
 
 
 def last_versions(events: DataFrame) -> DataFrame:
