@@ -78,6 +78,64 @@ def test_search_scores(spark):
     assert got == {0: [(0, 140), (1, 115), (6, 100)], 1: [(3, 115), (2, 100)], 2: [(4, 120)], 3: [(3, 60)], 4: [(5, 140)]}
 
 
+def test_searches_against_every_document(spark):
+    """Every query against every document by the rule, with words that stand for each other, repeated words, and long beginnings."""
+    rng = random.Random(11)
+    words = ["fort", "ft", "saint", "st", "sandy", "san", "creek", "cr", "a", "an", "extraordinarily", "extraordinary", "extra", "mount", "mt", "near"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 6))), i % 3, rng.choice(["AB12", "an", None])) for i in range(120)]
+    asks = [(i, " ".join(w[: rng.randrange(1, 16)] for w in rng.choices(words, k=rng.randrange(0, 4)))) for i in range(80)]
+    name = lambda w: search.ALIASES.get(w, w)
+    want = {}
+    for q, ask in asks:
+        typed = ask.split()
+        for d, text, rank, code in docs:
+            tokens = text.split() + ([code.lower()] if code else [])
+            best = [max(((100 if name(t) == name(w) else 60 if t.startswith(w) else 0, -i) for i, t in enumerate(tokens)), default=(0, 0)) for w in typed]
+            if typed and all(p for p, _ in best):
+                at = [-i for _, i in best]
+                score = sum(p for p, _ in best) / len(typed) + 25 * (len(at) > 1 and at == list(range(at[0], at[0] + len(at)))) + 15 * (at[0] == 0)
+                want.setdefault(q, {})[d] = int(score + 0.5)
+    got = {}
+    found = search.search(spark.createDataFrame(asks, "query_id long, query string"), spark.createDataFrame(docs, "doc_id long, name string, rank int, code string"), most=1000).collect()
+    for r in found:
+        got.setdefault(r.query_id, {})[r.doc_id] = r.score
+        assert r.total == len(want[r.query_id])
+    assert got == want and len(found) == sum(map(len, want.values())) > 500
+
+
+def test_points_in_shapes_of_many_cells(spark):
+    """Stars with holes, shapes of several parts, open rings and corners on the borders of cells, against the even-odd rule for whole shapes."""
+    rng = random.Random(5)
+
+    def star(x, y, most, n):
+        turn = sorted(rng.random() * 6.283 for _ in range(n))
+        ring = [(x + (r := most * (0.4 + 0.6 * rng.random())) * math.cos(a), y + r * math.sin(a)) for a in turn]
+        return ring + ring[: rng.randrange(2)]  # closed, or left open
+
+    box = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.5), (0.0, 1.5), (0.0, 0.0)]
+    shapes = {"box": [[box]], "ring": [[box, [(0.5, 0.5), (0.5, 1.0), (1.5, 1.0), (1.5, 0.5), (0.5, 0.5)]]], "tiny": [[star(1.1, 0.7, 0.02, 5)]]}
+    for i in range(12):
+        x, y = rng.uniform(-3, 3), rng.uniform(-3, 3)
+        shapes[f"s{i}"] = [[star(x, y, 1.7, 9), star(x, y, 0.5, 6)]] + [[star(x + 1, y + 1, 1.2, 7)]] * (i % 2)
+    points = [(i, rng.uniform(-4, 4), rng.uniform(-4, 4)) for i in range(3000)] + [(3000 + i, 0.25 * (i // 12) - 1, 0.25 * (i % 12) - 1) for i in range(144)]
+    points += [(9000, float("nan"), 1.0), (9001, None, 1.0)]
+
+    def inside(lat, lon, rings):
+        odd = False
+        for ring in rings:
+            for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+                odd ^= (y0 > lat) != (y1 > lat) and lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0
+        return odd
+
+    want = sorted((i, name) for i, lat, lon in points[:-2] for name, polys in shapes.items() if any(inside(lat, lon, rings) for rings in polys))
+    df = spark.createDataFrame(list(shapes.items()), "pid string, polys array<array<array<struct<lon:double,lat:double>>>>")
+    pts = spark.createDataFrame(points, "id long, lat double, lon double")
+    for size in (0.5, 0.13):
+        assert sorted((r.id, r.pid) for r in nearby.points_in_polygons(pts, df, size).collect()) == want
+    cells = nearby.polygon_cells(df, 0.13)
+    assert cells.filter("whole").count() > 500 and len(want) > 2000
+
+
 def test_neighbours_at_high_latitudes_and_across_the_date_line(spark):
     rng = random.Random(3)
     a = [(i, rng.choice([78.0, 89.9, -85.0, 10.0]) + rng.random() * 0.1, rng.choice([179.9, -179.9, 0.0]) + rng.random() * 0.2 - 0.1) for i in range(60)]
