@@ -177,3 +177,14 @@ def display_place_name(spark, sf_dir):
 @query("""SELECT doc_id, trim(regexp_replace(lower(strip_accents(regexp_replace(text, '[''’ʼ`]', '', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
 def normalize_text(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", se.normalize_text(F.col("text")).alias("key"))
+
+
+@query("""WITH x AS (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN 'Infinity'::DOUBLE WHEN 3 THEN NULL ELSE c_custkey % 190 - 95.0 END AS lat, CASE c_custkey % 11 WHEN 4 THEN '-Infinity'::DOUBLE WHEN 5 THEN NULL ELSE c_custkey % 370 - 185.0 END AS lon FROM customer)
+  SELECT id, lat, lon FROM x WHERE isfinite(lat) AND isfinite(lon) AND abs(lat) <= 90 AND abs(lon) <= 180""")
+def valid_positions(spark, sf_dir):
+    """Positions that are missing, no numbers, endless or off the globe go; poles and 180 degrees stay."""
+    k, num = F.col("c_custkey"), lambda x: F.lit(float(x))
+    lat = F.when(k % 7 == 1, num("nan")).when(k % 7 == 2, num("inf")).when(k % 7 != 3, k % 190 - 95.0)
+    lon = F.when(k % 11 == 4, num("-inf")).when(k % 11 != 5, k % 370 - 185.0)
+    x = A.table(spark, sf_dir, "customer").select(k.alias("id"), lat.alias("lat"), lon.alias("lon"))
+    return x.filter(G.valid_position(F.col("lat"), F.col("lon")))
