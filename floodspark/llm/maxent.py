@@ -76,11 +76,14 @@ def _cut(text: str) -> Iterator[str]:
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-cased words of texts, in order, and the place of each one's text. Arrow takes the same six characters for white space."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    """The lower-cased words of texts, in order, and the place of each one's text. Arrow takes the same six characters for white space.
+
+    Words are lower-cased, not texts: a slice whose type was cast has offsets that do not begin at 0, from which ascii_lower reads wrong bytes.
+    """
+    lists = pc.ascii_split_whitespace(texts)
     flat, of = lists.flatten(), pc.list_parent_indices(lists)
     full = pc.greater(pc.binary_length(flat), 0)
-    found, of = flat.filter(full).cast(pa.large_binary()), of.filter(full).to_numpy()
+    found, of = pc.ascii_lower(flat.filter(full)).cast(pa.large_binary()), of.filter(full).to_numpy()
     long = pc.greater(pc.binary_length(found), 64)
     if pc.any(long).as_py():
         names = [b"\0" + sha256(w).digest() for w in found.filter(long).to_pylist()]

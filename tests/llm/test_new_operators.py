@@ -178,6 +178,25 @@ def test_odd_texts_are_scored(spark):
     assert sorted(r.n_tokens for r in maxent.score(nulls).collect()) == [1, 3]
 
 
+def test_words_of_every_slice(monkeypatch):
+    texts = ["Ab cd ", "Q r", None, "É  Z\x0b", "", "one TWO three", "u"]
+    for extra in ([], [None]):  # with and without a null: Arrow casts slices of the two differently
+        column = pa.array([t for t in texts if t is not None or extra] + extra, pa.string())
+        for size in (1, 4, 9, 1000):
+            monkeypatch.setattr(maxent, "SLICE", size)
+            got = [w for _, _, parts in maxent.chunks(column) for p in parts for w in maxent.words(p)[0].to_pylist()]
+            assert got == [w.encode() for t in column.to_pylist() for w in _tokens(t)[:-1]]
+
+
+def test_base_scores_of_a_batch_in_several_slices(spark):
+    # One batch without nulls, above 4 MB: later slices begin inside its bytes.
+    docs = [(i, f"common W{i} {'x' * 70} " + " ".join(f"w{i}x{k} Und" for k in range(150_000 if i % 4 == 0 else 3))) for i in range(12)]
+    assert sum(len(t) for _, t in docs) > maxent.SLICE
+    frame = spark.createDataFrame([(i, t, i % 5 == 1) for i, t in docs], "doc_id long, text string, held_out boolean").coalesce(1)
+    got = sorted(maxent.score(frame).collect(), key=lambda r: r.doc_id)
+    _check_base(got, docs, lambda i: i % 5 == 1)
+
+
 def _lexicon(counts, tokens=None):
     return maxent.Lexicon(sum(counts.values()) if tokens is None else tokens, len(counts), counts)
 
