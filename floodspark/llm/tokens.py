@@ -8,26 +8,32 @@ common (one very long run), the later chunk starts earlier by three times the ov
 earlier chunk's own last sure boundary.
 
 A space between two characters that are no white space always starts a pre-token, so texts and chunks
-are counted piece by piece between such spaces, and a bounded cache saves encoding pieces again; a piece that is a word followed by punctuation is counted as these two. Texts with other white space next to a space are encoded as they are. Null and empty texts have no
+are counted piece by piece between such spaces, and a bounded cache saves encoding pieces again; a piece that is a word followed by punctuation is counted as these two. A batch's
+distinct pieces are encoded many at once, joined by spaces: only a piece's first token begins with a space. Texts with other white space next to a space are encoded as they are. Null and empty texts have no
 tokens; repeated rows count alike; further columns are ignored; an empty table gives no rows. Ids are
 whole numbers, a null one stays null.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
 CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 9, 64
 CACHE, BATCH = 100_000, 1 << 20
+#: Pieces that are encoded as one text.
+JOINED = 256
 
 #: A word and what follows it: a letter and one of these marks never share a pre-token.
 _WORD_AND_MORE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,./:;<=>?@\[\\\]^`{|}~-].*)""", re.DOTALL)
@@ -53,6 +59,15 @@ def specials(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
+@cache
+def after_space(path: str) -> np.ndarray:
+    """Of each token id, whether the token begins with a space (which byte-level tokenizers write as Ġ)."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=False)
+    out = np.zeros(max(vocab.values(), default=0) + 1 + len(specials(path)), bool)
+    out[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
+    return out
+
+
 def _by_pieces(path: str) -> bool:
     """Whether the tokenizer splits before a lone space."""
     with open(path, encoding="utf-8") as f:
@@ -76,6 +91,18 @@ def _regular(piece: str) -> bool:
     return bool(piece) and _sure(piece[0]) and _sure(piece[-1])
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No passes of the cyclic collector meanwhile: strings and counts form no cycles, but new ones by the thousand start it."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Counter:
     """Counts tokens of texts, with the counts of pieces seen before in two generations."""
 
@@ -89,6 +116,19 @@ class Counter:
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(e) for e in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spaced(self, pieces: list[str]) -> list[int]:
+        """Tokens of regular pieces, each with the space before it."""
+        out, begins = [], after_space(self.path)
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        for group, e in zip(groups, tokenizer(self.path).encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids)
+            starts = np.flatnonzero(begins.take(ids, mode="clip"))
+            if len(starts) == len(group) and not starts[0]:
+                out += np.diff(starts, append=len(ids)).tolist()
+            else:
+                out += self.lengths([" " + p for p in group])
+        return out
+
     def learn(self, pieces: set[str]) -> None:
         """From here on self.new has the pieces' counts, each with the space before it; None: not regular."""
         missing = pieces.difference(self.new)
@@ -96,24 +136,27 @@ class Counter:
             self.old, self.new, missing = self.new, {}, pieces
         if len(self.tails) > CACHE:
             self.tails = {}
+        seen = missing & self.old.keys()
+        self.new.update(zip(seen, map(self.old.__getitem__, seen)))
         whole, split = set(), {}
-        for p in missing:
-            if p in self.old:
-                self.new[p] = self.old[p]
-            elif p.isalpha():
+        for p in missing - seen:
+            if p.isalpha():
                 whole.add(p)
-            elif not _regular(p):
+            elif not p or not _sure(p[-1]):
                 self.new[p] = None
             elif m := _WORD_AND_MORE.fullmatch(p):
                 split[p] = m.groups()
-            else:
+            elif _sure(p[0]):
                 whole.add(p)
+            else:
+                self.new[p] = None
         for head, _ in split.values():
             if head in self.old:
                 self.new[head] = self.old[head]
             elif head not in self.new:
                 whole.add(head)
-        self.new.update(zip(whole, self.lengths([" " + p for p in whole])))
+        whole = list(whole)
+        self.new.update(zip(whole, self.spaced(whole)))
         tails = {t for _, t in split.values()}.difference(self.tails)
         self.tails.update(zip(tails, self.lengths(list(tails))))
         self.new.update((p, self.new[head] + self.tails[tail]) for p, (head, tail) in split.items())
@@ -199,7 +242,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 while j < len(column) and (j == i or size + sizes[j] <= BATCH):
                     size += sizes[j]
                     j += 1
-                n = counter([x or "" for x in column.slice(i, j - i).to_pylist()])
+                with _uncollected():
+                    n = counter([x or "" for x in column.slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, j - i),

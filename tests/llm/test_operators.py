@@ -240,6 +240,20 @@ def test_token_counts_equal_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (want, len((t or "").encode()), want > 1024)
 
 
+def test_distinct_pieces_are_encoded_together(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, rng, single = tokens.Counter(path), random.Random(5), []
+    lengths = counter.lengths
+    monkeypatch.setattr(counter, "lengths", lambda texts: single.extend(texts) or lengths(texts))
+    words = ["".join(rng.choice("abcdefgéßü日1🙂") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["<|endoftext|>", "'s", "a\nb", "Ġ", "ĠĠx", "x" * 900]
+    rng.shuffle(words)
+    want = [len(tokens.tokenizer(path).encode(" " + w, add_special_tokens=False)) for w in words]
+    assert counter.spaced(words) == want and not single
+    texts = ["a " + " ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    assert counter(texts) == [len(tokens.tokenizer(path).encode(t, add_special_tokens=False)) for t in texts]
+    assert len(single) < 200
+
+
 def test_chunks_resynchronise():
     path = public_tokenizers.path("byte_bpe_50k.json")
     counter = tokens.Counter(path)
