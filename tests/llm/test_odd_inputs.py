@@ -1,8 +1,10 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, and columns with clashing names: all operators and stages."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from floodspark.llm import chat, decontam, fim, langid, maxent, neardup, packing, quality, secrets, sharding, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -148,3 +150,20 @@ def test_null_and_repeated_keys_overflow_within_the_limit(spark):
     assert len(got) == 5000 and (pages <= 100).all()
     few = sharding.assign(docs.limit(20), limit=400).toPandas()
     assert few.overflow.nunique() <= 12
+
+
+def test_pipeline_hands_python_small_batches(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[3:4]:
+        spark.conf.unset(corpus_pipeline.BATCH_CONF)
+        stage(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * corpus_pipeline.BATCH_BYTES, name
+    spark.conf.set(corpus_pipeline.BATCH_CONF, "1m")
+    corpus_pipeline.pack(spark, docs.limit(1), "")
+    assert spark.conf.get(corpus_pipeline.BATCH_CONF) == "1m"
+    spark.conf.unset(corpus_pipeline.BATCH_CONF)
