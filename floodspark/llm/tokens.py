@@ -9,7 +9,8 @@ earlier chunk's own last sure boundary.
 
 A space between two characters that are no white space always starts a pre-token, so texts and chunks
 are counted piece by piece between such spaces, and a bounded cache saves encoding pieces again; a piece that is a word followed by punctuation is counted as these two. A batch's
-distinct pieces are encoded many at once, joined by spaces: only a piece's first token begins with a space. Texts with other white space next to a space are encoded as they are. Null and empty texts have no
+distinct pieces are encoded many at once, joined by spaces: only a piece's first token begins with a space. A word of
+Latin letters is one pre-token, which the tokenizer's model takes as it is. Texts with other white space next to a space are encoded as they are. Null and empty texts have no
 tokens; repeated rows count alike; further columns are ignored; an empty table gives no rows. Ids are
 whole numbers, a null one stays null.
 """
@@ -37,6 +38,8 @@ JOINED = 256
 
 #: A word and what follows it: a letter and one of these marks never share a pre-token.
 _WORD_AND_MORE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,./:;<=>?@\[\\\]^`{|}~-].*)""", re.DOTALL)
+#: Marks that most often end a piece.
+_MARKS = "!),.:;?"
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -68,6 +71,13 @@ def after_space(path: str) -> np.ndarray:
     return out
 
 
+@cache
+def letters(path: str) -> dict[int, str]:
+    """Latin letters beyond ASCII as the tokenizer's model takes them, by code point."""
+    pre = tokenizer(path).pre_tokenizer
+    return {c: "".join(part for part, _ in pre.pre_tokenize_str(chr(c))) for c in range(128, 256) if chr(c).isalpha()}
+
+
 def _by_pieces(path: str) -> bool:
     """Whether the tokenizer splits before a lone space."""
     with open(path, encoding="utf-8") as f:
@@ -86,6 +96,10 @@ def _sure(c: str) -> bool:
     return c.isalnum() or (c.isprintable() and not c.isspace())
 
 
+def _latin(piece: str) -> bool:
+    return piece.isalpha() and (piece.isascii() or max(piece) <= "ÿ")
+
+
 def _regular(piece: str) -> bool:
     """Neither empty nor with white space, or what might count as such, at an end."""
     return bool(piece) and _sure(piece[0]) and _sure(piece[-1])
@@ -129,6 +143,11 @@ class Counter:
                 out += self.lengths([" " + p for p in group])
         return out
 
+    def words(self, words: list[str]) -> list[int]:
+        """Tokens of words of Latin letters, each with the space before it."""
+        tokenize, beyond = tokenizer(self.path).model.tokenize, letters(self.path)
+        return [len(tokenize("Ġ" + (w if w.isascii() else w.translate(beyond)))) for w in words]
+
     def learn(self, pieces: set[str]) -> None:
         """From here on self.new has the pieces' counts, each with the space before it; None: not regular."""
         missing = pieces.difference(self.new)
@@ -138,10 +157,12 @@ class Counter:
             self.tails = {}
         seen = missing & self.old.keys()
         self.new.update(zip(seen, map(self.old.__getitem__, seen)))
-        whole, split = set(), {}
+        whole, words, split = set(), set(), {}
         for p in missing - seen:
             if p.isalpha():
-                whole.add(p)
+                (words if _latin(p) else whole).add(p)
+            elif _latin(head := p.rstrip(_MARKS)):
+                split[p] = head, p[len(head) :]
             elif not p or not _sure(p[-1]):
                 self.new[p] = None
             elif m := _WORD_AND_MORE.fullmatch(p):
@@ -150,11 +171,13 @@ class Counter:
                 whole.add(p)
             else:
                 self.new[p] = None
-        for head, _ in split.values():
+        for head in {head for head, _ in split.values()}.difference(self.new):
             if head in self.old:
                 self.new[head] = self.old[head]
-            elif head not in self.new:
-                whole.add(head)
+            else:
+                words.add(head)
+        words = list(words)
+        self.new.update(zip(words, self.words(words)))
         whole = list(whole)
         self.new.update(zip(whole, self.spaced(whole)))
         tails = {t for _, t in split.values()}.difference(self.tails)

@@ -254,6 +254,20 @@ def test_distinct_pieces_are_encoded_together(monkeypatch):
     assert len(single) < 200
 
 
+def test_words_of_latin_letters_go_straight_to_the_model(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, rng, joined = tokens.Counter(path), random.Random(6), []
+    spaced = counter.spaced
+    monkeypatch.setattr(counter, "spaced", lambda pieces: joined.extend(pieces) or spaced(pieces))
+    latin = [chr(c) for c in range(256) if chr(c).isalpha()]
+    words = latin + ["".join(rng.choice(latin[: rng.choice([52, 999])]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    more = [w + "".join(rng.choice("!),.:;?") for _ in range(rng.randint(1, 3))) for w in words]
+    other = ["Ωmega", "ſ", "ĳ.", "ﬁx,", "日本", "...", "a\nb,", "3.", "it's,", "x<|endoftext|>.", "<|endoftext|>!"]
+    texts = ["a " + " ".join(pieces[i : i + 50]) for pieces in (words, more, other) for i in range(0, len(pieces), 50)]
+    assert counter(texts) == [len(tokens.tokenizer(path).encode(t, add_special_tokens=False)) for t in texts]
+    assert len(joined) < 20
+
+
 def test_chunks_resynchronise():
     path = public_tokenizers.path("byte_bpe_50k.json")
     counter = tokens.Counter(path)
