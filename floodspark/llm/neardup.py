@@ -133,6 +133,10 @@ def id_filter(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _passes(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def shingle_sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     """docs (id, text) whose ids pass the filter, with the distinct shingles' hashes and the set's size and fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -140,7 +144,7 @@ def shingle_sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(_passes(shared.value, place)))
             for i, j, s, of in _sliced(batch, k) if batch.num_rows else ():
                 at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))])
                 sets = [np.unique(s[a:z]) for a, z in zip(at, at[1:])]
@@ -416,7 +420,30 @@ def near_duplicates(
     return out
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id_col is among these distinct ids (id); rows with a null id stay.
+
+    A filter of the ids tells most of the other rows, which pass as they are; only rows that it takes for one of the ids are
+    joined with them, so that few texts are shuffled of rows that stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits := id_filter(ids, ids.count()))
+    own = F.col(id_col).cast("long")
+    placed = docs.select("*", F.pmod(F.xxhash64(own), F.lit(8 * len(bits))).alias("__place"))
+
+    def rows(suspect: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                last = batch.num_columns - 1
+                wanted = _passes(shared.value, batch.column(last).to_numpy()) == suspect
+                yield batch.select(range(last)).filter(pa.array(wanted))
+
+        return placed.mapInArrow(run, docs.schema)
+
+    listed = ids.select(F.col("id").alias("__near"))
+    return rows(False).unionAll(rows(True).join(listed, own == F.col("__near"), "left_anti"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that an earlier id is a near copy of; rows with a null id stay."""
-    verdicts = near_duplicates(docs, id_col, "text", k, percent).filter("NOT kept").select(F.col(id_col).alias("__near")).distinct()
-    return docs.join(verdicts, F.col(id_col).cast("long") == F.col("__near"), "left_anti")
+    near = near_duplicates(docs, id_col, "text", k, percent).filter("NOT kept").select(F.col(id_col).alias("id")).distinct()
+    return without(docs, near, id_col)

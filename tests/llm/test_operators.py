@@ -390,6 +390,41 @@ def test_texts_by_filter_and_by_join_give_equal_rows(spark, monkeypatch):
     assert sorted(map(tuple, neardup.near_duplicates(documents(spark, texts)).collect())) == want
 
 
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(11)
+    base = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(500)) for _ in range(300)]
+    documents(spark, base + [t + " more" for t in base[:30]]).write.parquet(path := str(tmp_path / "documents"))
+    docs = spark.read.parquet(path)
+
+    def shuffled():
+        time.sleep(0.3)  # sums are brought up to date every 0.1 s at most, as a task ends
+        spark.range(1).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = neardup.drop_near_duplicates(docs)
+        at = shuffled()
+        assert sorted(r.doc_id for r in out.collect()) == list(range(300))
+        assert shuffled() - at < 0.25 * sum(map(len, base))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_that_a_full_filter_takes_for_dropped_ones_stay(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FILTER_BITS", 64)
+    monkeypatch.setattr(neardup, "CHUNK_BITS", 64)
+    rows = [(i, f"text {i}", 0) for i in range(500)] + [(None, "no id", 1), (7, None, 2), (8, "again", 3), (-3, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, id string, __component int")
+    for gone in (set(), {8, -3, 900}, set(range(0, 500, 2))):
+        ids = spark.createDataFrame([(i,) for i in gone], "id long")
+        got = neardup.without(docs, ids, "doc_id")
+        assert got.columns == docs.columns
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if r[0] not in gone)
+
+
 def test_block_comparison_loses_no_pair(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
