@@ -100,11 +100,14 @@ def resolve_gauge_id(x: Column) -> Column:
     return F.when(x.rlike("^[A-Za-z0-9]{5}$"), F.upper(x))
 
 
-def local_date(t: Column, zone: Column, zones: tuple[str, ...]) -> Column:
-    """The calendar date of a UTC time in its zone; UTC for zones that are not listed, and for midnight."""
+def local_date(t: Column, zone: Column, zones: tuple[str, ...], dates: bool = True) -> Column:
+    """The calendar date of a UTC time in its zone; UTC for zones that are not listed.
+
+    dates: midnight itself, to the microsecond, is a date that was stored without a time and stays; without it all times are instants.
+    """
     known = F.when(zone.isin(*zones), zone).otherwise("UTC")
-    midnight = (F.hour(t) == 0) & (F.minute(t) == 0) & (F.second(t) == 0)
-    return F.when(midnight, F.to_date(t)).otherwise(F.to_date(F.from_utc_timestamp(t, known)))
+    local = F.to_date(F.from_utc_timestamp(t, known))
+    return F.when(F.date_trunc("day", t) == t, F.to_date(t)).otherwise(local) if dates else local
 
 
 def camera_image_url(camera: Column, photo_at: Column, base: str) -> Column:

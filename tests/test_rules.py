@@ -297,3 +297,12 @@ def test_plain_letters_of_all_scripts(spark):
     df = spark.createDataFrame([(i, f"a{c}b") for i, c in enumerate(letters)], "i int, x string")
     got = {r.i: r.y for r in df.select("i", search.normalize_text(F.col("x")).alias("y")).collect()}
     assert [(hex(ord(c)), got[i], plain(f"a{c}b")) for i, c in enumerate(letters) if got[i] != plain(f"a{c}b")] == []
+
+
+def test_local_date_keeps_midnight_only(spark):
+    """A date without a time is stored as midnight; half a second later it is the evening before in Texas."""
+    at = ("2024-01-05 00:00:00", "2024-01-05 00:00:00.000001", "2024-01-05 00:00:00.5", "2024-01-05 06:00:00")
+    x = spark.createDataFrame([(i, a) for i, a in enumerate(at)], "i int, a string")
+    for dates, first in ((True, "2024-01-05"), (False, "2024-01-04")):
+        day = details.local_date(F.col("a").cast("timestamp"), F.lit("America/Chicago"), ("America/Chicago",), dates)
+        assert [r.d for r in x.select(day.cast("string").alias("d"), "i").orderBy("i").collect()] == [first, "2024-01-04", "2024-01-04", "2024-01-05"]
