@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from floodspark.functions.status import epoch_ms
+
 # The two Earth radii in use.
 EARTH_KM, EARTH_M = 6371.0088, 6_371_000.0
 # Metres of a degree of latitude, and of longitude at the equator, in planar lengths.
@@ -57,7 +59,7 @@ def tile_xy(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
 
 def sun_elevation_deg(t: Column, lat: Column, lon: Column) -> Column:
     """The sun's elevation by the low-precision solar position formulas (about a hundredth of a degree)."""
-    d = F.unix_millis(t.cast("timestamp")) / 86_400_000.0 - 10957.5
+    d = epoch_ms(t) / 86_400_000.0 - 10957.5
     g = F.radians(357.529 + 0.98560028 * d)
     q = 280.459 + 0.98564736 * d
     ecliptic = F.radians(q + 1.915 * F.sin(g) + 0.020 * F.sin(2 * g))

@@ -306,3 +306,12 @@ def test_local_date_keeps_midnight_only(spark):
     for dates, first in ((True, "2024-01-05"), (False, "2024-01-04")):
         day = details.local_date(F.col("a").cast("timestamp"), F.lit("America/Chicago"), ("America/Chicago",), dates)
         assert [r.d for r in x.select(day.cast("string").alias("d"), "i").orderBy("i").collect()] == [first, "2024-01-04", "2024-01-04", "2024-01-05"]
+
+
+def test_times_count_to_the_nearest_millisecond(spark):
+    """As epoch_ms() of the SQL does, on both sides of 1970; the sun's elevation goes by it."""
+    want = {"2024-01-05 00:00:00.000499": 1704412800000, "2024-01-05 00:00:00.0005": 1704412800001, "1969-12-31 23:59:59.9995": -1, "1969-12-31 23:59:59.9996": 0, "1969-12-31 23:59:59.998": -2, "2300-01-01 00:00:00.123999": 10413792000124}
+    x = spark.createDataFrame([(a, m) for a, m in want.items()], "a string, m long").withColumn("t", F.col("a").cast("timestamp"))
+    sun = lambda t: G.sun_elevation_deg(t, F.lit(30.0), F.lit(-97.0))
+    for r in x.select("a", "m", S.epoch_ms(F.col("t")).alias("ms"), (sun(F.col("t")) == sun(F.timestamp_millis("m"))).alias("same")).collect():
+        assert (r.a, r.ms, r.same) == (r.a, r.m, True)
