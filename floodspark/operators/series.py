@@ -23,23 +23,23 @@ def history_asof(readings: DataFrame, wanted: DataFrame, minutes: int = 30) -> D
     """wanted (gauge_id, target) with t and v of the reading nearest in time within minutes, the first of equally near.
 
     Buckets as long as the tolerance turn the lookup into an equi-join: a target meets the readings
-    of its bucket and the two beside it.
+    of its bucket and the two beside it. Targets may come from a grid that Spark takes for as small as
+    the gauges it is made of, so both joins are merges: nothing is broadcast.
     """
     step = minutes * 60_000_000
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     valid = readings.filter(S.finite_above(F.col("v"), S.LOWEST_SITE_VALUE))
-    by_bucket = valid.withColumn("bucket", F.floor(micros(F.col("t")) / step))
-    around = wanted.withColumn("__b", F.floor(micros(F.col("target")) / step)).withColumn(
-        "bucket", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1))
-    )
+    own = F.floor(micros(F.col("t")) / step)
+    around = valid.select("gauge_id", "pos", "t", "v", F.explode(F.array(own - 1, own, own + 1)).alias("bucket"))
+    placed = wanted.withColumn("bucket", F.floor(micros(F.col("target")) / step))
     off = F.abs(micros(F.col("t")) - micros(F.col("target")))
     near = (
-        around.join(by_bucket, ["gauge_id", "bucket"])
+        placed.join(around.hint("merge"), ["gauge_id", "bucket"])
         .filter(off <= step)
         .groupBy("gauge_id", "target")
         .agg(F.min_by(F.struct("t", "v"), F.struct(off, "pos")).alias("r"))
     )
-    return wanted.join(near, ["gauge_id", "target"], "left").select("gauge_id", "target", "r.t", "r.v")
+    return wanted.join(near.hint("merge"), ["gauge_id", "target"], "left").select("gauge_id", "target", "r.t", "r.v")
 
 
 def forecast_interpolate(points: DataFrame, wanted: DataFrame, lead_hours: int = 6) -> DataFrame:

@@ -323,3 +323,18 @@ def test_time_grids_go_by_the_nearest_millisecond(spark):
     start = F.lit("2024-01-10").cast("timestamp_ntz")
     got = x.select(*[F.date_format(S.time_bucket(F.col("t"), 5, nearest=n), "mm").alias(str(n)) for n in (True, False)], S.timeline_step(F.col("t"), start, 1152).alias("step")).collect()
     assert [tuple(r) for r in got] == [("05", "05", 0), ("10", "05", 1), ("10", "05", 1), ("10", "10", 1)]
+
+
+def test_targets_of_a_grid_are_not_broadcast(spark):
+    """Spark takes an exploded grid for as small as the gauges; lookups keep repeated targets and ties."""
+    gauges = spark.range(3).repartition(2, "id").distinct()
+    ts = lambda x: F.lit(x).cast("timestamp_ntz")
+    wanted = series.targets(gauges, ts("2024-01-01 00:00:00"), ts("2024-01-01 01:00:00"), 30)
+    rows = [(0, 5, "2024-01-01 00:20:00", 1.0), (0, 4, "2024-01-01 00:40:00", 2.0), (0, 6, "2024-01-01 01:29:59", 3.0), (1, 7, "2023-12-31 23:30:00", 4.0), (1, 8, "2024-01-01 01:30:01", 5.0)]
+    readings = spark.createDataFrame(rows, "gauge_id long, pos long, t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    x = series.history_asof(readings, wanted.unionByName(wanted.filter("gauge_id = 1")))
+    got = sorted((r.gauge_id, r.target.strftime("%H:%M"), r.v) for r in x.collect())
+    no = [(1, "00:30", None), (1, "01:00", None)]
+    assert got[:3] == [(0, "00:00", 1.0), (0, "00:30", 2.0), (0, "01:00", 2.0)]
+    assert [g for g in got if g[0] == 1] == [(1, "00:00", 4.0)] * 2 + [no[0]] * 2 + [no[1]] * 2 and len(got) == 12
+    assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
