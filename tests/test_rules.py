@@ -338,3 +338,29 @@ def test_targets_of_a_grid_are_not_broadcast(spark):
     assert got[:3] == [(0, "00:00", 1.0), (0, "00:30", 2.0), (0, "01:00", 2.0)]
     assert [g for g in got if g[0] == 1] == [(1, "00:00", 4.0)] * 2 + [no[0]] * 2 + [no[1]] * 2 and len(got) == 12
     assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def joined_rows(df):
+    """Most rows that a join of a collected query made."""
+    most, work = 0, [df._jdf.queryExecution().executedPlan()]
+    while work:
+        p = work.pop()
+        kind = p.getClass().getSimpleName()
+        if kind.endswith("QueryStageExec"):
+            work.append(p.plan())
+        elif kind == "AdaptiveSparkPlanExec":
+            work.append(p.executedPlan())
+        if "Join" in kind:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        work += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_equal_queries_are_searched_once(spark):
+    """300 times the same three letters against 300 names that begin with them: not 90,000 pairs."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("Smallville").alias("name"), (F.col("id") % 50).alias("rank"))
+    x = search.search(spark.range(300).select(F.col("id").alias("query_id"), F.lit("sma").alias("query")), docs, most=5)
+    got = x.collect()
+    want = [(d, 75, i + 1, 300) for i, d in enumerate((49, 99, 149, 199, 249))]
+    assert len(got) == 1500 and all(sorted(((r.doc_id, r.score, r.place, r.total) for r in got if r.query_id == q), key=lambda t: t[2]) == want for q in (0, 150, 299))
+    assert joined_rows(x) <= 1500
