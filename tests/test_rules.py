@@ -364,3 +364,18 @@ def test_equal_queries_are_searched_once(spark):
     want = [(d, 75, i + 1, 300) for i, d in enumerate((49, 99, 149, 199, 249))]
     assert len(got) == 1500 and all(sorted(((r.doc_id, r.score, r.place, r.total) for r in got if r.query_id == q), key=lambda t: t[2]) == want for q in (0, 150, 299))
     assert joined_rows(x) <= 1500
+
+
+def test_queries_of_the_same_words_are_one(spark):
+    """However they are written; each keeps its own rows. Words in another order are another query, empty ones find nothing."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("Small Ring "), F.col("id").cast("string")).alias("name"), F.lit(1).alias("rank"), F.lit("Q").alias("code"))
+    asked = ["small ring", " Smáll  RING! ", "ring small", "", None, "ring 7"] + ["Small-Ring"] * 100
+    x = search.search(spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), docs)
+    got = {}
+    for r in x.collect():
+        got.setdefault(r.query_id, []).append((r.place, r.doc_id, r.score, r.total))
+    first = [(i + 1, i, 140, 400) for i in range(30)]
+    assert sorted(got[0]) == sorted(got[1]) == sorted(got[50]) == first and set(got) == {0, 1, 2, 5, *range(6, 106)}
+    assert sorted(got[2]) == [(i + 1, i, 100, 400) for i in range(30)]
+    assert sorted(got[5]) == [(1, 7, 125, 11), *[(i + 2, 70 + i, 105, 11) for i in range(10)]]
+    assert joined_rows(x) <= 30 * len(asked)
