@@ -379,3 +379,17 @@ def test_queries_of_the_same_words_are_one(spark):
     assert sorted(got[2]) == [(i + 1, i, 100, 400) for i in range(30)]
     assert sorted(got[5]) == [(1, 7, 125, 11), *[(i + 2, 70 + i, 105, 11) for i in range(10)]]
     assert joined_rows(x) <= 30 * len(asked)
+
+
+def test_first_circle_fits_the_crowd(spark):
+    """3,000 marks in 100 km x 100 km: places meet some of them at first, not those of 40 km; the nearest are as by brute force."""
+    rng = random.Random(5)
+    spots = [(i, round(30 + rng.random() * 0.9, 5), round(-97 + rng.random(), 5), rng.choice("abc")) for i in range(3000)] + [(3000, 45.0, -80.0, "a"), (3001, 45.0, -80.0, "b")]
+    x = spark.createDataFrame(spots, "id long, lat double, lon double, name string")
+    marks = x.select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), F.col("name").alias("landmark"))
+    assert nearby._crowded_km(marks, 4, 40.0) < 2.5
+    got = {r.id: (r.rid, r.distance) for r in nearby.nearest(x, marks, 1, differ=("name", "landmark")).select("id", "rid", "distance").collect()}
+    assert set(got) == set(range(3002)) and got[3000][0] == 3001
+    for i, lat, lon, name in spots[:200]:
+        h = lambda s: math.sin(math.radians(s[1] - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(s[1])) * math.sin(math.radians(s[2] - lon) / 2) ** 2
+        assert math.isclose(got[i][1], 2 * G.EARTH_KM * math.asin(math.sqrt(min(h(s) for s in spots if s[3] != name))), rel_tol=1e-9, abs_tol=1e-9)
