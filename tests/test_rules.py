@@ -413,3 +413,31 @@ def test_alerts_are_ranked_once_for_each_set_of_shapes(spark):
     for i in (0, 1, 398, 399):
         assert sorted(got[i]) == order(lambda r, i=i: (i % 2 == 0 or r[4] is None) and r[5] is not None)
     assert max(joins(x)) <= 1000
+
+
+def test_pairs_of_points_and_gauges_are_no_rows(spark, monkeypatch):
+    """500 points and 500 gauges in 40 km, some equal, some far, off the globe or without a rank, in groups of 50: as by brute force."""
+    monkeypatch.setattr(nearby, "GROUP", 50)
+    monkeypatch.setattr(nearby, "STEP", 1 << 12)
+    rng = random.Random(3)
+    spot = lambda: (30 + rng.randrange(300) / 1000, -97 + rng.randrange(300) / 1000)
+    gauges = [(i, *spot(), rng.choice((None, 0, 1, 6))) for i in range(500)] + [(500 + i, 30.1, -96.9, 1) for i in range(3)] + [(600, 31.0, -97.0, 2), (601, float("nan"), 0.0, 1), (602, 30.0, None, 1)]
+    points = [(i, *spot()) for i in range(500)] + [(500, 31.3, -97.0), (501, 40.0, -97.0), (502, 91.0, 0.0)]
+    g = spark.createDataFrame(gauges, "rid long, rlat double, rlon double, rank int")
+    x = nearby.nearby_gauges(spark.createDataFrame(points, "id long, lat double, lon double"), g, most=60)
+    got = {}
+    for r in x.collect():
+        got.setdefault(r.id, []).append((r.place, r.rid, r.total, r.beyond_radius))
+    assert max(joins(x)) < 30_000 and set(got) == set(range(502))
+    for i, lat, lon in points[::25] + points[500:502]:
+        def km(g):
+            h = math.sin((math.radians(g[1]) - math.radians(lat)) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(g[1])) * math.sin(math.radians(g[2] - lon) / 2) ** 2
+            return 2 * G.EARTH_KM * math.asin(min(1.0, math.sqrt(h)))
+
+        ok = [q for q in gauges if q[0] < 601]
+        hits = sorted((q for q in ok if km(q) <= 40), key=lambda q: (q[3] is None, -(q[3] or 0), round(km(q), 9), q[0]))
+        far = sorted(ok, key=lambda q: (round(km(q), 9), q[0]))[:5]
+        want = [(n + 1, q[0], len(hits) or 5, not hits) for n, q in enumerate(hits[:60] or far)]
+        # Gauges as far as each other but for the last digits may stand in either order.
+        assert [w[::2] + w[3:] for w in want] == [r[::2] + r[3:] for r in sorted(got[i])]
+        assert [round(km(gauges[r[1]] if r[1] < 503 else gauges[503]), 6) for r in sorted(got[i])] == [round(km(gauges[w[1]] if w[1] < 503 else gauges[503]), 6) for w in want]
