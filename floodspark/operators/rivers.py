@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -425,6 +426,87 @@ def _thin_polygons(polys, tolerance: float) -> list | None:
 _POLYS = "array<array<array<struct<lon:double,lat:double>>>>"
 
 
+def _within(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items of groups of such lengths, one group after the other: the group, and the place in it."""
+    group = np.repeat(np.arange(len(lengths)), lengths)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _thin_all(shapes: pa.Array, tolerance: float) -> pa.Array:
+    """_thin_polygons() of all shapes of a batch at once: each step splits the parts of all their rings."""
+    lengths = lambda a: pc.fill_null(pc.list_value_length(a), 0).to_numpy()
+    polys = shapes.flatten()
+    rings = polys.flatten()
+    points = rings.flatten()
+    n_polys, n_rings, n_points = lengths(shapes), lengths(polys), lengths(rings)
+    xy = np.column_stack([pc.struct_field(points, c).to_numpy(zero_copy_only=False) for c in ("lon", "lat")]).astype(float).reshape(-1, 2)
+    # Rings of three points at least, without their last one, with the first one again at the end.
+    valid = np.flatnonzero(n_points > 3)
+    size = n_points[valid]
+    of, at = _within(size)
+    begin = (np.cumsum(n_points) - n_points)[valid]
+    p = xy[begin[of] + np.where(at == size[of] - 1, 0, at)]
+    start = np.cumsum(size) - size
+    keep = at == 0
+
+    def highest(value: np.ndarray, group: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The highest value of each group, and where it is first."""
+        top = np.maximum.reduceat(value, begins)
+        hit = np.flatnonzero((value == top[group]) | np.isnan(top[group]))
+        return top, hit[np.append(True, group[hit][1:] != group[hit][:-1])]
+
+    if len(valid):
+        inner = (at > 0) & (at < size[of] - 1)
+        where = np.flatnonzero(inner)
+        _, first = highest(((p[where] - p[start][of[where]]) ** 2).sum(1), of[where], np.cumsum(size - 2) - (size - 2))
+        far = where[first]
+        keep[far] = True
+        i, j = np.concatenate([start, far]), np.concatenate([far, start + size - 1])
+        while (more := j > i + 1).any():
+            i, j = i[more], j[more]
+            n = j - i - 1
+            part, k = _within(n)
+            k = i[part] + 1 + k
+            d, q = (p[j] - p[i])[part], p[k] - p[i][part]
+            dd = (d * d).sum(1)
+            t = np.where(dd > 0, np.clip((q * d).sum(1) / np.where(dd > 0, dd, 1), 0, 1), 0)
+            top, first = highest(((q - t[:, None] * d) ** 2).sum(1), part, np.cumsum(n) - n)
+            split = top > tolerance * tolerance
+            middle = k[first][split]
+            keep[middle] = True
+            i, j = np.concatenate([i[split], middle]), np.concatenate([middle, j[split]])
+    q, of = np.floor(p[keep] * 1e4 + 0.5) / 1e4, of[keep]
+    fresh = np.append(True, (q[1:] != q[:-1]).any(1) | (of[1:] != of[:-1]))[: len(q)]
+    q, of = q[fresh], of[fresh]
+    left = np.bincount(of, minlength=len(valid))
+    last = np.cumsum(left) - 1
+    again = (left > 1) & (q[last - left + 1] == q[last]).all(1)
+    stays = np.ones(len(q), bool)
+    stays[last[again]] = False
+    q, left = q[stays], left - again
+    # Closed again, with their areas.
+    of, at = _within(left + 1)
+    closed = q[(np.cumsum(left) - left)[of] + np.where(at == left[of], 0, at)]
+    cross = np.append(closed[:-1, 0] * closed[1:, 1] - closed[1:, 0] * closed[:-1, 1], 0.0)[: len(closed)]
+    area = np.bincount(of, np.where(at < left[of], cross, 0.0), len(valid)) / 2
+    good = np.zeros(len(n_points), bool)
+    good[valid] = (left >= 3) & ~(np.abs(area) < tolerance * tolerance)
+    closed, left = closed[good[valid][of]], (left + 1)[good[valid]]
+    # A polygon goes with its outer ring.
+    poly_of, place = _within(n_rings)
+    outer = np.zeros(len(n_rings), bool)
+    outer[poly_of[(place == 0) & good]] = True
+    ring_stays = good & outer[poly_of]
+    closed, left = closed[np.repeat(ring_stays[good], left)], left[ring_stays[good]]
+    shape_of, _ = _within(n_polys)
+    rings_left, polys_left = np.bincount(poly_of[ring_stays], minlength=len(n_rings))[outer], np.bincount(shape_of[outer], minlength=len(n_polys))
+    offsets = lambda n: np.append(0, np.cumsum(n)).astype(np.int32)
+    point = pa.StructArray.from_arrays([pa.array(closed[:, 0]), pa.array(closed[:, 1])], ["lon", "lat"])
+    out = pa.ListArray.from_arrays(offsets(rings_left), pa.ListArray.from_arrays(offsets(left), point))
+    # An offset that is null makes a null.
+    return pa.ListArray.from_arrays(pa.array(offsets(polys_left), mask=np.append(polys_left == 0, False)), out)
+
+
 def simplify(shapes: DataFrame, tolerance: float = 0.002, column: str = "polys") -> DataFrame:
     """shapes with their polygons (column: outer ring, then holes) thinned to a tolerance in degrees; null where nothing is left."""
 
@@ -432,9 +514,9 @@ def simplify(shapes: DataFrame, tolerance: float = 0.002, column: str = "polys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                thin = pa.array([_thin_polygons(p.as_py(), tolerance) for p in part.column(at)], part.schema.field(at).type)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                thin = _thin_all(part.column(at), tolerance).cast(part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([thin if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)
 
     return shapes.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shapes.schema))  # as text, so that all may be null

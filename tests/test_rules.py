@@ -441,3 +441,21 @@ def test_pairs_of_points_and_gauges_are_no_rows(spark, monkeypatch):
         # Gauges as far as each other but for the last digits may stand in either order.
         assert [w[::2] + w[3:] for w in want] == [r[::2] + r[3:] for r in sorted(got[i])]
         assert [round(km(gauges[r[1]] if r[1] < 503 else gauges[503]), 6) for r in sorted(got[i])] == [round(km(gauges[w[1]] if w[1] < 503 else gauges[503]), 6) for w in want]
+
+
+def test_batches_of_shapes_are_thinned_as_each_shape():
+    """Random stars, squares, slivers, holes, repeated points, nulls and empty shapes, from the middle of an array."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+
+    def ring():
+        n, x, y, w = rng.choice((0, 1, 3, 4, 9, 60)), rng.random() * 9, rng.random() * 9, rng.choice((0.0005, 0.003, 0.02, 0.5))
+        pts = [{"lon": x + w * (1 + rng.choice((0, rng.random()))) * math.cos(6.283 * i / max(n, 1)), "lat": y + w * math.sin(6.283 * i / max(n, 1))} for i in range(n)]
+        pts = [p for p in pts for _ in range(rng.choice((1, 1, 1, 2)))]
+        return pts + pts[:1]
+
+    shapes = [rng.choice((None, [], [[]])) if rng.random() < 0.1 else [[ring() for _ in range(rng.randrange(4))] for _ in range(rng.randrange(4))] for _ in range(600)]
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))))
+    for part in (pa.array(shapes, kind).slice(7, 500), pa.array(shapes, kind).slice(3, 0), pa.array([None, []], kind)):
+        assert rivers._thin_all(part, 0.002).to_pylist() == [rivers._thin_polygons(s, 0.002) for s in part.to_pylist()]
