@@ -459,3 +459,14 @@ def test_batches_of_shapes_are_thinned_as_each_shape():
     kind = pa.list_(pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))))
     for part in (pa.array(shapes, kind).slice(7, 500), pa.array(shapes, kind).slice(3, 0), pa.array([None, []], kind)):
         assert rivers._thin_all(part, 0.002).to_pylist() == [rivers._thin_polygons(s, 0.002) for s in part.to_pylist()]
+
+
+def test_gauges_near_places_are_counted_in_groups(spark):
+    """300 places and 300 gauges in the same town: 90,000 pairs are counted, but no join makes them."""
+    towns = spark.range(300).select("id", (30 + F.col("id") * 0.0001).alias("lat"), F.lit(-97.0).alias("lon"), F.lit("x").alias("name"))
+    gauges = spark.range(300).select(F.col("id").alias("rid"), (30.01 + F.col("id") * 0.0001).alias("rlat"), F.lit(-97.0).alias("rlon"), F.lit(0).alias("rank"))
+    x = details.gauges_near_place(towns, gauges)
+    got = x.groupBy("id").agg(F.first("total").alias("n"), F.min("distance").alias("d"), F.count("*").alias("rows"))
+    rows = got.collect()
+    assert len(rows) == 300 and all((r.n, r.rows) == (300, 100) for r in rows) and max(joins(got)) < 20_000
+    assert math.isclose(min(r.d for r in rows if r.id < 100), 0.0001 * math.pi / 180 * G.EARTH_KM, rel_tol=1e-6)
